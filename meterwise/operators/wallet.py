@@ -48,13 +48,13 @@ def face_values(sessions: DataFrame, invoices: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ purchase entries
 def purchase_entries(charges: DataFrame, sessions: DataFrame, invoices: DataFrame, app_tag: str) -> DataFrame:
-    """Every credit, one row each: (customer, source, object id, micros)."""
+    """Every credit, one row each: (customer, source, object id, micros, created)."""
     ch = settled_charges(charges).select(
         "customer", F.lit("charge").alias("source"), "id",
-        ((F.col("amount") - F.col("amount_refunded")) * MICROS_PER_CENT).alias("micros"),
+        ((F.col("amount") - F.col("amount_refunded")) * MICROS_PER_CENT).alias("micros"), "created",
     )
-    cs = free_sessions(sessions).select("customer", F.lit("session").alias("source"), "id", face_value_micros("metadata").alias("micros"))
-    inv = free_invoices(invoices, app_tag).select("customer", F.lit("invoice").alias("source"), "id", face_value_micros("metadata").alias("micros"))
+    cs = free_sessions(sessions).select("customer", F.lit("session").alias("source"), "id", face_value_micros("metadata").alias("micros"), "created")
+    inv = free_invoices(invoices, app_tag).select("customer", F.lit("invoice").alias("source"), "id", face_value_micros("metadata").alias("micros"), "created")
     return ch.unionByName(cs).unionByName(inv)
 
 
