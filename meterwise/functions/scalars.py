@@ -57,3 +57,30 @@ def usd_text(micros, digits: int) -> Column:
     """USD text from micros with ``digits`` decimals, rounded half up (not half even)."""
     d = (col(micros).cast("decimal(38,0)") / F.lit(1_000_000)).cast("decimal(38,6)")
     return F.format_number(F.round(d, digits), digits)
+
+
+def _grouped(q) -> Column:
+    """Integer text with thousands separators (en-US)."""
+    return F.format_number(q, 0)
+
+
+def money_text(micros) -> Column:
+    """Dollars from micros, en-US currency text with 2 / 4 / 6 decimals by size
+    (>= $1, >= $0.01, else), rounded half up on the exact integer micros."""
+    m = col(micros).cast("long")
+    a = F.abs(m)
+    two = F.floor((a + 5000) / 10000).cast("long")
+    four = F.floor((a + 50) / 100).cast("long")
+    body = (
+        F.when(a >= 1_000_000, F.concat(_grouped(F.floor(two / 100).cast("long")), F.lit("."), F.lpad(F.pmod(two, F.lit(100)).cast("string"), 2, "0")))
+        .when(a >= 10_000, F.concat(_grouped(F.floor(four / 10000).cast("long")), F.lit("."), F.lpad(F.pmod(four, F.lit(10000)).cast("string"), 4, "0")))
+        .otherwise(F.concat(_grouped(F.floor(a / 1_000_000).cast("long")), F.lit("."), F.lpad(F.pmod(a, F.lit(1_000_000)).cast("string"), 6, "0")))
+    )
+    return F.concat(F.when(m < 0, F.lit("-")).otherwise(F.lit("")), F.lit("$"), body)
+
+
+def cents_text(cents) -> Column:
+    """Whole dollars from cents, en-US currency text, rounded half up."""
+    c = col(cents).cast("long")
+    whole = F.floor((F.abs(c) + 50) / 100).cast("long")
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), F.lit("$"), _grouped(whole))

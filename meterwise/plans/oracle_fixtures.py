@@ -173,6 +173,17 @@ FIXTURE_CTES: dict[str, str] = {
            s_suppkey % 4 <> 0 AS active,
            CAST(1700000000 + s_suppkey * 60 AS BIGINT) AS created
     FROM supplier""",
+    "log_lines": """
+    SELECT event_id AS id, user_id AS stream,
+           CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE ts END AS at,
+           strftime(ts, '%H:%M:%S') AS timestamp,
+           CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug'
+                           WHEN 'click' THEN 'info' END AS level,
+           event_type AS source,
+           CASE WHEN event_type = 'error'
+                THEN chr(27) || '[31m' || 'user ' || CAST(user_id AS VARCHAR) || ' event ' || CAST(event_id AS VARCHAR) || ' k=' || json_extract_string(props, '$.k') || chr(27) || '[0m'
+                ELSE 'user ' || CAST(user_id AS VARCHAR) || ' event ' || CAST(event_id AS VARCHAR) || ' k=' || json_extract_string(props, '$.k') END AS message
+    FROM events""",
 }
 
 

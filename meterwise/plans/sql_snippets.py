@@ -56,3 +56,18 @@ BALANCE_CTES = {
     "w_spent": SPENT,
     "balances": BALANCES,
 }
+
+
+def money_sql(m: str) -> str:
+    """DuckDB twin of ``scalars.money_text``."""
+    a = f"abs(CAST({m} AS BIGINT))"
+    two, four = f"(({a} + 5000) // 10000)", f"(({a} + 50) // 100)"
+    return (f"(CASE WHEN {m} < 0 THEN '-' ELSE '' END || '$' || CASE "
+            f"WHEN {a} >= 1000000 THEN format('{{:,}}', {two} // 100) || '.' || lpad(CAST({two} % 100 AS VARCHAR), 2, '0') "
+            f"WHEN {a} >= 10000 THEN format('{{:,}}', {four} // 10000) || '.' || lpad(CAST({four} % 10000 AS VARCHAR), 4, '0') "
+            f"ELSE format('{{:,}}', {a} // 1000000) || '.' || lpad(CAST({a} % 1000000 AS VARCHAR), 6, '0') END)")
+
+
+def cents_sql(c: str) -> str:
+    """DuckDB twin of ``scalars.cents_text``."""
+    return f"(CASE WHEN {c} < 0 THEN '-' ELSE '' END || '$' || format('{{:,}}', (abs(CAST({c} AS BIGINT)) + 50) // 100))"

@@ -367,6 +367,23 @@ class Fixtures:
             (F.lit(CATALOG_EPOCH) + k * 60).cast("long").alias("created"),
         )
 
+    @cached_property
+    def log_lines(self) -> DataFrame:
+        """One log stream per account (from ``events``); errors are wrapped in ANSI red."""
+        e = self.raw("events")
+        t = F.col("event_type")
+        k = F.get_json_object("props", "$.k")
+        msg = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" event "), F.col("event_id").cast("string"), F.lit(" k="), k)
+        return e.select(
+            F.col("event_id").alias("id"),
+            F.col("user_id").alias("stream"),
+            F.when(F.pmod(F.col("event_id"), F.lit(97)) == 0, F.lit(None).cast("timestamp")).otherwise(F.col("ts")).alias("at"),
+            F.date_format("ts", "HH:mm:ss").alias("timestamp"),
+            F.when(t == "error", "error").when(t == "signup", "warn").when(t == "view", "debug").when(t == "click", "info").alias("level"),
+            t.alias("source"),
+            F.when(t == "error", F.concat(F.lit("\x1b[31m"), msg, F.lit("\x1b[0m"))).otherwise(msg).alias("message"),
+        )
+
     # ------------------------------------------------------------- derived
     @cached_property
     def balances(self) -> DataFrame:
