@@ -35,6 +35,37 @@ def _ledger(k: str, units: str, status: str, price: str) -> str:
       CAST({status} AS SMALLINT) AS status,
       CAST(CASE WHEN {k} % 10 = 0 THEN NULL ELSE 200 + {k} END AS INTEGER) AS latency_ms"""
 
+JS_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def items_sql(t: str) -> str:
+    """DuckDB twin of ``moderation.item_array``: non-empty trimmed lines."""
+    return ("list_filter(list_transform(string_split(" + t + ", chr(10)), lambda x: regexp_replace(x, '^" + JS_SPACE + "+|"
+            + JS_SPACE + "+$', '', 'g')), lambda x: x <> '')")
+
+
+def _base(i: int) -> str:
+    return f"'0.' || lpad(CAST(((i.request_id * 7 + i.idx * 13 + {i} * 29) % 1000) * 5 AS VARCHAR), 4, '0')"
+
+
+_BRK, _EDGE, _FIRST = "i.request_id % 17", "(i.request_id + i.idx) % 50", "i.idx = 0"
+_SC = {
+    "harassment": f"CASE WHEN {_BRK} = 3 AND {_FIRST} THEN '1.2' WHEN l.toxic = 1 THEN '0.9' ELSE {_base(0)} END",
+    "hate": f"""CASE WHEN {_BRK} = 5 AND {_FIRST} THEN '"0.5"' WHEN {_EDGE} = 0 THEN '0.3995' ELSE {_base(1)} END""",
+    "sexual": f"CASE WHEN {_EDGE} = 2 THEN '0.4' ELSE {_base(2)} END",
+    "violence": f"CASE WHEN {_EDGE} = 1 THEN '0.5005' ELSE {_base(3)} END",
+    "self_harm": f"CASE WHEN {_EDGE} = 3 THEN '0.8' ELSE {_base(4)} END",
+    "illicit": _base(5),
+    "spam": f"CASE WHEN {_BRK} = 8 AND {_FIRST} THEN 'NaN' ELSE {_base(6)} END",
+}
+_INDEX = (f"CASE WHEN {_BRK} = 4 AND i.idx = c.n - 1 THEN (CASE WHEN c.n > 1 THEN '0' ELSE '1' END) "
+          f"WHEN {_BRK} = 6 AND i.idx = 1 THEN '1.0' ELSE CAST(i.idx AS VARCHAR) END")
+_REASON = ("""CASE WHEN i.request_id % 13 = 0 THEN '42' WHEN l.toxic = 1 THEN '"harassing language"' """
+           """WHEN i.request_id % 11 = 0 THEN '"' || repeat('long reason ', 30) || '"' ELSE '""' END""")
+ENTRY_SQL = ("""'{"index":' || """ + _INDEX + """ || ',"scores":{' || """
+             + " || ',' || ".join(f"""'"{c}":' || ({e})""" for c, e in _SC.items())
+             + """ || '},"reason":' || """ + _REASON + " || '}'")
+
 
 FIXTURE_CTES: dict[str, str] = {
     "accounts": f"""
@@ -173,6 +204,39 @@ FIXTURE_CTES: dict[str, str] = {
            s_suppkey % 4 <> 0 AS active,
            CAST(1700000000 + s_suppkey * 60 AS BIGINT) AS created
     FROM supplier""",
+    "moderation_requests": f"""
+    SELECT doc_id AS request_id,
+           CASE WHEN doc_id % 31 = 0 THEN NULL
+                WHEN doc_id % 23 = 0 THEN 'Basic bnc_' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0')
+                WHEN doc_id % 29 = 0 THEN 'bearer  bnc_' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0')
+                ELSE 'Bearer bnc_' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0') END AS authorization,
+           text,
+           {AS_OF} + to_minutes(CAST(doc_id % 2880 AS INTEGER)) AS at
+    FROM documents""",
+    "mod_items": f"""
+    SELECT request_id, CAST(unnest(range(len(items))) AS INTEGER) AS idx, unnest(items) AS item
+    FROM (SELECT request_id, {items_sql('text')} AS items FROM moderation_requests) r""",
+    "score_answers": f"""
+    SELECT request_id,
+           CASE WHEN request_id % 17 = 7 THEN '{{"results":{{"index":0}}}}'
+                WHEN request_id % 17 = 1 THEN body || ' trailing' ELSE body END AS answer,
+           CASE WHEN request_id % 19 = 0 THEN 500 ELSE 200 END AS upstream_status,
+           CAST(CASE WHEN request_id % 37 = 0 THEN NULL ELSE 100 + 50 * n END AS INTEGER) AS prompt_tokens,
+           CAST(CASE WHEN request_id % 3 = 0 THEN 10 * n END AS INTEGER) AS cached_tokens,
+           CAST(CASE WHEN request_id % 37 = 0 THEN NULL ELSE 40 * n END AS INTEGER) AS completion_tokens,
+           CAST(CASE WHEN request_id % 2 = 1 THEN 5 * n END AS INTEGER) AS reported_reasoning_tokens,
+           CAST((request_id * 37) % 500 AS INTEGER) AS reasoning_chars
+    FROM (
+      SELECT request_id, n,
+             '{{"results":[' || coalesce(string_agg(entry, ',' ORDER BY idx) FILTER (WHERE keep), '') || ']}}' AS body
+      FROM (
+        SELECT i.request_id, i.idx, c.n, {ENTRY_SQL} AS entry,
+               NOT (i.request_id % 17 = 2 AND i.idx = c.n - 1) AS keep
+        FROM mod_items i
+        JOIN (SELECT request_id, count(*) AS n FROM mod_items GROUP BY request_id HAVING count(*) <= 20) c
+          ON c.request_id = i.request_id
+        LEFT JOIN labels l ON l.doc_id = i.request_id) e
+      GROUP BY request_id, n) g""",
     "log_lines": """
     SELECT event_id AS id, user_id AS stream,
            CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE ts END AS at,

@@ -12,6 +12,8 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # JSON.parse keeps the last of repeated keys; variant parsing must accept them too.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Settings for scale: runtime re-planning, skew splitting, size-checked broadcast.

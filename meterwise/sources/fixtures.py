@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterwise.config import CATEGORIES as CATEGORIES_FX
 from meterwise.config import DEFAULT, Params
 from meterwise.sources.tables import read_table
 
@@ -384,6 +385,87 @@ class Fixtures:
             F.when(t == "error", F.concat(F.lit("\x1b[31m"), msg, F.lit("\x1b[0m"))).otherwise(msg).alias("message"),
         )
 
+    @cached_property
+    def moderation_requests(self) -> DataFrame:
+        """Attempted moderation calls: one per document, raw text in, four per account,
+        arriving one minute apart over the two days after ``as_of``."""
+        d = self.raw("documents")
+        k = F.col("doc_id")
+        key = F.concat(F.lit("bnc_"), F.lpad(F.floor(k / 4).cast("long").cast("string"), 12, "0"))
+        auth = (F.when(F.pmod(k, F.lit(31)) == 0, F.lit(None).cast("string"))
+                .when(F.pmod(k, F.lit(23)) == 0, F.concat(F.lit("Basic "), key))
+                .when(F.pmod(k, F.lit(29)) == 0, F.concat(F.lit("bearer  "), key))
+                .otherwise(F.concat(F.lit("Bearer "), key)))
+        return d.select(
+            k.alias("request_id"),
+            auth.alias("authorization"),
+            F.col("text"),
+            (self.as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(k, F.lit(2880)).cast("int"))).alias("at"),
+        )
+
+    @cached_property
+    def score_answers(self) -> DataFrame:
+        """The scoring model's raw answers (JSON text), one per request of 1..20 items.
+
+        Scores are derived from ids (harassment 0.9 for documents labelled toxic); some
+        answers are broken on purpose by ``request_id % 17``: 1 trailing text, 2 a missing
+        item, 3 a score of 1.2, 4 a repeated index, 5 a score given as text, 6 index 1.0
+        (valid), 7 ``results`` as an object, 8 NaN.
+        """
+        from meterwise.operators.moderation import request_items
+
+        items = request_items(self.moderation_requests)
+        n = items.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        lab = self.raw("labels").select(F.col("doc_id").alias("request_id"), "toxic")
+        it = items.join(n.filter(F.col("n") <= 20), "request_id", "inner").join(lab, "request_id", "left")
+        rid, idx, nn = F.col("request_id"), F.col("idx"), F.col("n")
+        brk = F.pmod(rid, F.lit(17))
+        edge = F.pmod(rid + idx, F.lit(50))
+        first = idx == 0
+
+        def base(i: int) -> Column:
+            v = F.pmod(rid * 7 + idx * 13 + i * 29, F.lit(1000)) * 5
+            return F.concat(F.lit("0."), F.lpad(v.cast("string"), 4, "0"))
+
+        sc = {c: base(i) for i, c in enumerate(CATEGORIES_FX)}
+        sc["harassment"] = F.when((brk == 3) & first, F.lit("1.2")).when(F.col("toxic") == 1, F.lit("0.9")).otherwise(sc["harassment"])
+        sc["hate"] = F.when((brk == 5) & first, F.lit('"0.5"')).when(edge == 0, F.lit("0.3995")).otherwise(sc["hate"])
+        sc["violence"] = F.when(edge == 1, F.lit("0.5005")).otherwise(sc["violence"])
+        sc["sexual"] = F.when(edge == 2, F.lit("0.4")).otherwise(sc["sexual"])
+        sc["self_harm"] = F.when(edge == 3, F.lit("0.8")).otherwise(sc["self_harm"])
+        sc["spam"] = F.when((brk == 8) & first, F.lit("NaN")).otherwise(sc["spam"])
+        index_txt = (F.when((brk == 4) & (idx == nn - 1), F.when(nn > 1, F.lit("0")).otherwise(F.lit("1")))
+                     .when((brk == 6) & (idx == 1), F.lit("1.0"))
+                     .otherwise(idx.cast("string")))
+        reason = (F.when(F.pmod(rid, F.lit(13)) == 0, F.lit("42"))
+                  .when(F.col("toxic") == 1, F.lit('"harassing language"'))
+                  .when(F.pmod(rid, F.lit(11)) == 0, F.concat(F.lit('"'), F.repeat(F.lit("long reason "), 30), F.lit('"')))
+                  .otherwise(F.lit('""')))
+        parts = [F.lit('{"index":'), index_txt, F.lit(',"scores":{')]
+        for i, c in enumerate(CATEGORIES_FX):
+            parts += [F.lit(("," if i else "") + f'"{c}":'), sc[c]]
+        parts += [F.lit('},"reason":'), reason, F.lit("}")]
+        entry = F.concat(*parts)
+        keep = ~((brk == 2) & (idx == nn - 1))
+        g = it.groupBy("request_id", "n").agg(
+            F.sort_array(F.collect_list(F.when(keep, F.struct(idx.alias("i"), entry.alias("e"))))).alias("es"))
+        body = F.concat(F.lit('{"results":['), F.array_join(F.col("es.e"), ","), F.lit("]}"))
+        r = F.col("request_id")
+        b = F.pmod(r, F.lit(17))
+        answer = F.when(b == 7, F.lit('{"results":{"index":0}}')).when(b == 1, F.concat(body, F.lit(" trailing"))).otherwise(body)
+        no_usage = F.pmod(r, F.lit(37)) == 0
+        n2 = F.col("n")
+        return g.select(
+            "request_id",
+            answer.alias("answer"),
+            F.when(F.pmod(r, F.lit(19)) == 0, 500).otherwise(200).alias("upstream_status"),
+            F.when(no_usage, F.lit(None)).otherwise(100 + 50 * n2).cast("int").alias("prompt_tokens"),
+            F.when(F.pmod(r, F.lit(3)) == 0, 10 * n2).cast("int").alias("cached_tokens"),
+            F.when(no_usage, F.lit(None)).otherwise(40 * n2).cast("int").alias("completion_tokens"),
+            F.when(F.pmod(r, F.lit(2)) == 1, 5 * n2).cast("int").alias("reported_reasoning_tokens"),
+            F.pmod(r * 37, F.lit(500)).cast("int").alias("reasoning_chars"),
+        )
+
     # ------------------------------------------------------------- derived
     @cached_property
     def balances(self) -> DataFrame:
