@@ -81,7 +81,8 @@ FIXTURE_CTES: dict[str, str] = {
     FROM customer""",
     "users": f"""
     SELECT c_custkey + 1000000 AS user_id,
-           CASE WHEN c_custkey % 4 = 0 THEN 'user' || {_s('c_custkey')} || '@{PH}'
+           CASE WHEN c_custkey % 8 = 0 THEN 'user' || {_s('c_custkey')} || '@users.{OLD}.invalid'
+                WHEN c_custkey % 4 = 0 THEN 'user' || {_s('c_custkey')} || '@{PH}'
                 ELSE 'c' || {_s('c_custkey')} || '@example.com' END AS email,
            c_name AS name
     FROM customer""",
@@ -237,6 +238,15 @@ FIXTURE_CTES: dict[str, str] = {
           ON c.request_id = i.request_id
         LEFT JOIN labels l ON l.doc_id = i.request_id) e
       GROUP BY request_id, n) g""",
+    "key_revokes": f"""
+    SELECT key_id, account_id, {AS_OF} - INTERVAL 1 DAY AS at FROM api_key_creates WHERE key_id % 7 = 0
+    UNION ALL SELECT key_id, account_id, {AS_OF} - INTERVAL 1 HOUR FROM api_key_creates WHERE key_id % 7 = 0
+    UNION ALL SELECT key_id, account_id + 1, {AS_OF} - INTERVAL 2 DAY FROM api_key_creates WHERE key_id % 11 = 0""",
+    "settings_changes": f"""
+    SELECT c_custkey AS account_id, {AS_OF} - INTERVAL 3 DAY AS at, true AS enabled, 500 AS threshold_cents, 2500 AS amount_cents
+    FROM customer WHERE c_custkey % 5 IN (1, 3)
+    UNION ALL
+    SELECT c_custkey, {AS_OF} - INTERVAL 1 HOUR, false, 1000, 10000 FROM customer WHERE c_custkey % 5 IN (2, 3)""",
     "log_lines": """
     SELECT event_id AS id, user_id AS stream,
            CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE ts END AS at,

@@ -137,14 +137,18 @@ _REPLIES = """SELECT idempotency_key,
               FROM commands"""
 
 
-@register(
-    "topup_outcomes", "U-T5",
-    """SELECT c.account_id, CASE WHEN ok THEN r.invoice_id END AS invoice_id, c.amount_cents,
+OUTCOMES_SQL = """SELECT c.account_id, CASE WHEN ok THEN r.invoice_id END AS invoice_id, c.amount_cents,
               CASE WHEN ok THEN coalesce(r.invoice_status, 'open') ELSE 'failed' END AS status,
               CASE WHEN ok THEN NULL ELSE coalesce(c.error, r.reply_error, 'Auto top-up failed.') END AS error,
               (NOT ok) AND c.trigger = 'schedule' AS disable_auto_topup
        FROM commands c LEFT JOIN replies r ON r.idempotency_key = c.idempotency_key,
-            LATERAL (SELECT c.action = 'send' AND r.invoice_id IS NOT NULL AS ok)""",
+            LATERAL (SELECT c.action = 'send' AND r.invoice_id IS NOT NULL AS ok)"""
+OUTCOME_CTES = {**CMD_CTES, "replies": _REPLIES}
+
+
+@register(
+    "topup_outcomes", "U-T5",
+    OUTCOMES_SQL,
     {**CMD_CTES, "replies": _REPLIES},
 )
 def q_topup_outcomes(fx):

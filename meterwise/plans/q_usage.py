@@ -157,15 +157,18 @@ def q_kpi_30d(fx):
     return U.kpi_30d(fx.usage_events, fx.simulated_spend, fx.p.as_of)
 
 
-@register(
-    "rate_impact_30d", "A6",
-    f"""SELECT u.*, {_U2.format(i='u.input_tokens', c='u.cached_input_tokens', o='u.output_tokens', r='u.reasoning_tokens')} AS repriced_micros
+RATE_IMPACT_SQL = f"""SELECT u.*, {_U2.format(i='u.input_tokens', c='u.cached_input_tokens', o='u.output_tokens', r='u.reasoning_tokens')} AS repriced_micros
         FROM (SELECT account_id, model, CAST(count(*) AS INTEGER) AS requests,
                      CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(cached_input_tokens) AS BIGINT) AS cached_input_tokens,
                      CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(reasoning_tokens) AS BIGINT) AS reasoning_tokens,
                      CAST(sum(price_micros) AS BIGINT) AS charged_micros, CAST(sum(cost_micros) AS BIGINT) AS cost_micros
               FROM usage_events WHERE {D30} GROUP BY account_id, model) u
-        LEFT JOIN model_rates r ON r.model = u.model""",
+        LEFT JOIN model_rates r ON r.model = u.model"""
+
+
+@register(
+    "rate_impact_30d", "A6",
+    RATE_IMPACT_SQL,
 )
 def q_rate_impact(fx):
     return U.rate_impact_30d(fx.usage_events, fx.model_rates, fx.p.as_of)

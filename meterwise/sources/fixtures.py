@@ -92,9 +92,11 @@ class Fixtures:
         c = self.raw("customer")
         k = F.col("c_custkey")
         username = F.concat(F.lit("user"), k.cast("string"))
+        old_domain = f"users.{self.p.old_tag}.invalid"
         return c.select(
             (k + 1_000_000).alias("user_id"),
-            F.when(F.pmod(k, F.lit(4)) == 0, F.concat(username, F.lit("@" + self.p.placeholder_domain)))
+            F.when(F.pmod(k, F.lit(8)) == 0, F.concat(username, F.lit("@" + old_domain)))
+            .when(F.pmod(k, F.lit(4)) == 0, F.concat(username, F.lit("@" + self.p.placeholder_domain)))
             .otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com")))
             .alias("email"),
             F.col("c_name").alias("name"),
@@ -466,7 +468,41 @@ class Fixtures:
             F.pmod(r * 37, F.lit(500)).cast("int").alias("reasoning_chars"),
         )
 
+    @cached_property
+    def key_revokes(self) -> DataFrame:
+        """Revoke requests: by the owner (``key_id % 7 = 0``, twice), and by another account
+        (``key_id % 11 = 0``), which must be ignored."""
+        c = self.api_key_creates.select("key_id", "account_id")
+        k = F.col("key_id")
+        own = c.filter(F.pmod(k, F.lit(7)) == 0)
+        first = own.select("key_id", "account_id", (self.as_of - F.expr("INTERVAL 1 DAY")).alias("at"))
+        again = own.select("key_id", "account_id", (self.as_of - F.expr("INTERVAL 1 HOUR")).alias("at"))
+        other = c.filter(F.pmod(k, F.lit(11)) == 0).select("key_id", (F.col("account_id") + 1).alias("account_id"),
+                                                            (self.as_of - F.expr("INTERVAL 2 DAYS")).alias("at"))
+        return first.unionByName(again).unionByName(other)
+
+    @cached_property
+    def settings_changes(self) -> DataFrame:
+        """Auto top-up settings saved from the dashboard (cents), one or two per account."""
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        r = F.pmod(k, F.lit(5))
+        on = c.filter(r.isin(1, 3)).select(k.alias("account_id"), (self.as_of - F.expr("INTERVAL 3 DAYS")).alias("at"),
+                                           F.lit(True).alias("enabled"), F.lit(500).alias("threshold_cents"),
+                                           F.lit(2500).alias("amount_cents"))
+        off = c.filter(r.isin(2, 3)).select(k.alias("account_id"), (self.as_of - F.expr("INTERVAL 1 HOUR")).alias("at"),
+                                            F.lit(False).alias("enabled"), F.lit(1000).alias("threshold_cents"),
+                                            F.lit(10000).alias("amount_cents"))
+        return on.unionByName(off)
+
     # ------------------------------------------------------------- derived
+    @cached_property
+    def customers(self) -> DataFrame:
+        """Typed, latest version of every synced customer (S2 on the feed, then S1)."""
+        from meterwise.sources.synced import synced_latest, synced_typed
+
+        return synced_typed(synced_latest(self.customers_raw))
+
     @cached_property
     def balances(self) -> DataFrame:
         from meterwise.operators.wallet import balances
