@@ -130,6 +130,26 @@ def _replay_group(limit: int):
     return fold
 
 
+def replay_input(admitted_snapshot: DataFrame, outcomes: DataFrame, requests: DataFrame, usage: DataFrame,
+                 balances: DataFrame, as_of: datetime, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
+    """Rows of the P4 / ST4 fold: every attempt whose answer depends on the account's history,
+    plus the last ``limit`` calls before the snapshot (older ones can never block), each
+    carrying the account's snapshot balance."""
+    att = (admitted_snapshot.filter(~F.col("status_code").isin(400, 401, 503))
+           .join(requests.select("request_id", "at"), "request_id", "inner")
+           .join(outcomes, "request_id", "left")
+           .select("request_id", "account_id", "at", "quote_micros",
+                   F.coalesce("outcome", F.lit("upstream")).alias("outcome"), F.lit("attempt").alias("kind")))
+    w = Window.partitionBy("account_id").orderBy(F.desc("created_at"), F.desc("id"))
+    prior = (usage.filter((F.col("created_at") > _ts(as_of - timedelta(hours=24))) & (F.col("created_at") <= _ts(as_of)))
+             .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+             .join(att.select("account_id").distinct(), "account_id", "left_semi")
+             .select(F.lit(None).cast("long").alias("request_id"), "account_id", F.col("created_at").alias("at"),
+                     F.lit(0).cast("long").alias("quote_micros"), F.lit("none").alias("outcome"), F.lit("prior").alias("kind")))
+    return att.unionByName(prior).join(balances.select("account_id", "balance_micros"), "account_id", "left").withColumn(
+        "balance_micros", F.coalesce("balance_micros", F.lit(0)).cast("long"))
+
+
 def admission_replay(admitted_snapshot: DataFrame, outcomes: DataFrame, requests: DataFrame, usage: DataFrame,
                      balances: DataFrame, as_of: datetime, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
     """Replay every attempt in time order per account. A refused attempt writes no row,
@@ -144,20 +164,7 @@ def admission_replay(admitted_snapshot: DataFrame, outcomes: DataFrame, requests
         requests.select("request_id", "at"), "request_id", "inner").select(
         "request_id", "account_id", "at", "status_code", F.lit(0).cast("long").alias("charged_micros"),
         F.lit(False).alias("counted"), F.lit(None).cast("long").alias("balance_after_micros"))
-    att = (admitted_snapshot.filter(~F.col("status_code").isin(400, 401, 503))
-           .join(requests.select("request_id", "at"), "request_id", "inner")
-           .join(outcomes, "request_id", "left")
-           .select("request_id", "account_id", "at", "quote_micros",
-                   F.coalesce("outcome", F.lit("upstream")).alias("outcome"), F.lit("attempt").alias("kind")))
-    # Only the last `limit` calls before the snapshot can still block an attempt.
-    w = Window.partitionBy("account_id").orderBy(F.desc("created_at"), F.desc("id"))
-    prior = (usage.filter((F.col("created_at") > _ts(as_of - timedelta(hours=24))) & (F.col("created_at") <= _ts(as_of)))
-             .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-             .join(att.select("account_id").distinct(), "account_id", "left_semi")
-             .select(F.lit(None).cast("long").alias("request_id"), "account_id", F.col("created_at").alias("at"),
-                     F.lit(0).cast("long").alias("quote_micros"), F.lit("none").alias("outcome"), F.lit("prior").alias("kind")))
-    rows = att.unionByName(prior).join(balances.select("account_id", "balance_micros"), "account_id", "left").withColumn(
-        "balance_micros", F.coalesce("balance_micros", F.lit(0)).cast("long"))
+    rows = replay_input(admitted_snapshot, outcomes, requests, usage, balances, as_of, limit)
     folded = rows.groupBy("account_id").applyInPandas(_replay_group(limit), REPLAY_SCHEMA)
     return folded.unionByName(fixed)
 

@@ -233,7 +233,7 @@ def q_rolling_24h(fx):
                CAST(sum(delta_micros) OVER (PARTITION BY account_id ORDER BY entry_at, entry_rank, entry_id, delta_micros
                                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance_micros
         FROM (
-          SELECT a.account_id, e.id AS entry_id, to_timestamp(e.created)::TIMESTAMP AS entry_at, e.micros AS delta_micros, 0 AS entry_rank
+          SELECT a.account_id, e.id AS entry_id, make_timestamp(e.created * 1000000) AS entry_at, e.micros AS delta_micros, 0 AS entry_rank
           FROM accounts a JOIN (
             SELECT customer, id, (amount - amount_refunded) * 10000 AS micros, created FROM charges
             WHERE status = 'succeeded' AND paid AND NOT disputed AND currency = 'usd'

@@ -71,3 +71,12 @@ def money_sql(m: str) -> str:
 def cents_sql(c: str) -> str:
     """DuckDB twin of ``scalars.cents_text``."""
     return f"(CASE WHEN {c} < 0 THEN '-' ELSE '' END || '$' || format('{{:,}}', (abs(CAST({c} AS BIGINT)) + 50) // 100))"
+
+
+PURCHASE_ENTRIES = f"""
+    SELECT customer, id, 'charge' AS source, (amount - amount_refunded) * 10000 AS micros, created FROM charges
+    WHERE status = 'succeeded' AND paid AND NOT disputed AND currency = 'usd'
+    UNION ALL SELECT customer, id, 'session', CAST(coalesce(json_extract_string(metadata, '$.credits_cents'), '0') AS BIGINT) * 10000, created
+    FROM checkout_sessions WHERE mode = 'payment' AND status = 'complete' AND payment_status IN ('paid', 'no_payment_required') AND amount_total = 0
+    UNION ALL SELECT customer, id, 'invoice', CAST(coalesce(json_extract_string(metadata, '$.credits_cents'), '0') AS BIGINT) * 10000, created
+    FROM invoices WHERE status = 'paid' AND total = 0 AND json_extract_string(metadata, '$.app') = '{TAG}'"""

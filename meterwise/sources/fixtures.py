@@ -64,6 +64,10 @@ class Fixtures:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def orders_dim(self) -> DataFrame:
+        """Orders as the dimension the ledger is joined to (always a table, never a stream)."""
+        return read_table(self.spark, self.sf_dir, "orders")
+
     @property
     def as_of(self) -> Column:
         return ts_lit(self.p.as_of)
@@ -183,7 +187,7 @@ class Fixtures:
         (retried writes, caught by the audits); ids from events are ``event_id*8``.
         """
         li = self.raw("lineitem").filter(F.col("l_returnflag") != "N")
-        o = self.raw("orders").select("o_orderkey", "o_custkey")
+        o = self.orders_dim().select("o_orderkey", "o_custkey")
         old = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
         k_old = F.pmod(F.col("l_partkey"), F.lit(100))
         units_old = F.col("l_quantity").cast("int")
