@@ -14,16 +14,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.config import (BLOCK_THRESHOLD, CATEGORIES, MAX_CHARS_PER_ITEM, MAX_ITEMS_PER_REQUEST, MAX_REASON_CHARS,
+from meterwise.config import (BLOCK_THRESHOLD, CATEGORIES, CHARS_PER_UNIT, MAX_CHARS_PER_ITEM, MAX_ITEMS_PER_REQUEST, MAX_REASON_CHARS,
                               REVIEW_THRESHOLD, TOKEN_BUDGET_BASE, TOKEN_BUDGET_PER_ITEM)
 from meterwise.functions.scalars import item_units, js_round, utf16_length
 
-# JavaScript's String.prototype.trim white space, as a regex class (Java and RE2 syntax).
-JS_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The characters JavaScript's String.prototype.trim removes (white space and
+# line terminators), as code points.
+JS_SPACE_CODES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                  0x205F, 0x3000, 0xFEFF)
+JS_SPACE_CHARS = "".join(chr(c) for c in JS_SPACE_CODES)
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    """Trim a character set from both ends (no regex: a linear scan from each end)."""
+    return F.trim(c, F.lit(JS_SPACE_CHARS))
 
 
 # ------------------------------------------------------------------ F9 / F10
@@ -41,14 +45,16 @@ def request_items(requests: DataFrame, text_col: str = "text", id_col: str = "re
 def request_validation(requests: DataFrame, text_col: str = "text", id_col: str = "request_id") -> DataFrame:
     """per request the first failing rule: empty, > 20 items, an item > 8,000 chars
     (the first such index), else ok; with item count and total units."""
-    items = item_array(F.col(text_col))
-    lens = F.transform(items, lambda x: utf16_length(x))
-    first_long = F.array_position(F.transform(lens, lambda n: n > MAX_CHARS_PER_ITEM), True)
-    n = F.size(items)
-    units = F.aggregate(F.transform(items, lambda x: item_units(x)), F.lit(0), lambda a, b: a + b)
+    # Item lengths are computed once per item (a separate projection, so the split and the
+    # UTF-16 count are not re-evaluated by every expression below).
+    lens = requests.select(id_col, F.transform(item_array(F.col(text_col)), lambda x: utf16_length(x)).alias("_lens"))
+    ln = F.col("_lens")
+    first_long = F.array_position(F.transform(ln, lambda n: n > MAX_CHARS_PER_ITEM), True)
+    n = F.size(ln)
+    units = F.aggregate(ln, F.lit(0), lambda a, b: a + F.greatest(F.lit(1), F.ceil(b / F.lit(CHARS_PER_UNIT))).cast("int"))
     reason = (F.when(n == 0, "empty_input").when(n > MAX_ITEMS_PER_REQUEST, "too_many_items")
               .when(first_long > 0, "item_too_long").otherwise("ok"))
-    return requests.select(
+    return lens.select(
         id_col,
         n.cast("int").alias("n_items"),
         units.cast("int").alias("units"),

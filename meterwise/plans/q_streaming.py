@@ -87,3 +87,10 @@ def q_stream_admission(fx):
                            fx.usage_events, fx.balances, fx.p.as_of)
     return J.stream_admission(rows)
 
+
+
+@register("dashboard", "A10")
+def q_dashboard(fx):
+    from meterwise.plans.dashboard import dashboard
+
+    return dashboard(fx)
