@@ -4,9 +4,10 @@ step that turns admitted, scored requests into ledger rows (M9).
 P2 judges every attempt against one snapshot (``as_of``), the way concurrent
 requests each see the state before any of them is recorded. P4 replays the
 attempts in time order, where a refused attempt leaves no ledger row; that
-fold is sequential per account, so it runs as ``applyInPandas`` on
-account-partitioned data, with the snapshot state reduced beforehand to what
-the fold can use (the balance and the last ``limit`` call times).
+fold is sequential per account, so it runs as a secondary sort (partition by
+account, sort by time) streamed through one ``mapInPandas`` pass, with the
+snapshot state reduced beforehand to what the fold can use (the balance and
+the last ``limit`` call times).
 """
 
 from __future__ import annotations
@@ -99,37 +100,6 @@ REPLAY_SCHEMA = ("request_id long, account_id long, at timestamp, status_code in
                  "counted boolean, balance_after_micros long")
 
 
-def _replay_group(limit: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        prior = pdf[pdf["kind"] == "prior"].sort_values("at")
-        att = pdf[pdf["kind"] == "attempt"].sort_values(["at", "request_id"])
-        recorded = deque(prior["at"].tolist()[-limit:], maxlen=limit)
-        bal = int(pdf["balance_micros"].iloc[0]) if len(pdf) else 0
-        day = pd.Timedelta(hours=24)
-        out = []
-        for r in att.itertuples(index=False):
-            t = r.at
-            used = sum(1 for s in recorded if s > t - day)
-            q = int(r.quote_micros)
-            if used >= limit:
-                out.append((r.request_id, r.account_id, t, 429, 0, False, bal))
-            elif bal < q:
-                out.append((r.request_id, r.account_id, t, 402, 0, False, bal))
-            elif r.outcome == "ok":
-                bal -= q
-                recorded.append(t)
-                out.append((r.request_id, r.account_id, t, 200, q, True, bal))
-            elif r.outcome == "invalid":
-                recorded.append(t)
-                out.append((r.request_id, r.account_id, t, 502, 0, True, bal))
-            else:  # upstream error: nothing recorded, nothing charged
-                out.append((r.request_id, r.account_id, t, 502, 0, False, bal))
-        return pd.DataFrame(out, columns=["request_id", "account_id", "at", "status_code", "charged_micros", "counted",
-                                          "balance_after_micros"])
-
-    return fold
-
-
 def replay_input(admitted_snapshot: DataFrame, outcomes: DataFrame, requests: DataFrame, usage: DataFrame,
                  balances: DataFrame, as_of: datetime, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
     """Rows of the P4 / ST4 fold: every attempt whose answer depends on the account's history,
@@ -165,8 +135,53 @@ def admission_replay(admitted_snapshot: DataFrame, outcomes: DataFrame, requests
         "request_id", "account_id", "at", "status_code", F.lit(0).cast("long").alias("charged_micros"),
         F.lit(False).alias("counted"), F.lit(None).cast("long").alias("balance_after_micros"))
     rows = replay_input(admitted_snapshot, outcomes, requests, usage, balances, as_of, limit)
-    folded = rows.groupBy("account_id").applyInPandas(_replay_group(limit), REPLAY_SCHEMA)
-    return folded.unionByName(fixed)
+    return replay_fold(rows, limit).unionByName(fixed)
+
+
+def replay_fold(rows: DataFrame, limit: int = DAILY_REQUEST_LIMIT, partitions: int | None = None) -> DataFrame:
+    """The fold as a secondary sort: hash-partition by account, sort each partition by
+    (account, prior calls first, time, id) and stream the rows through one Arrow-batched
+    ``mapInPandas`` pass that resets its small state at every new account. No per-group
+    Python call, no group materialised as one pandas frame."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (rows.repartition(n, "account_id")
+               .sortWithinPartitions("account_id", F.desc("kind"), "at", "request_id"))
+    return ordered.mapInPandas(_replay_partition(limit), REPLAY_SCHEMA)
+
+
+def _replay_partition(limit: int):
+    day = pd.Timedelta(hours=24)
+    cols = ["request_id", "account_id", "at", "status_code", "charged_micros", "counted", "balance_after_micros"]
+
+    def run(batches):
+        cur, bal, recorded = None, 0, deque(maxlen=limit)
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.account_id != cur:
+                    cur, bal, recorded = r.account_id, int(r.balance_micros), deque(maxlen=limit)
+                t = r.at
+                if r.kind == "prior":
+                    recorded.append(t)
+                    continue
+                used = sum(1 for s in recorded if s > t - day)
+                q = int(r.quote_micros)
+                if used >= limit:
+                    out.append((r.request_id, cur, t, 429, 0, False, bal))
+                elif bal < q:
+                    out.append((r.request_id, cur, t, 402, 0, False, bal))
+                elif r.outcome == "ok":
+                    bal -= q
+                    recorded.append(t)
+                    out.append((r.request_id, cur, t, 200, q, True, bal))
+                elif r.outcome == "invalid":
+                    recorded.append(t)
+                    out.append((r.request_id, cur, t, 502, 0, True, bal))
+                else:  # upstream error: nothing recorded, nothing charged
+                    out.append((r.request_id, cur, t, 502, 0, False, bal))
+            yield pd.DataFrame(out, columns=cols)
+
+    return run
 
 
 # ---------------------------------------------------------------------------- M9

@@ -48,7 +48,7 @@ _CHECK = f"""
                  CASE WHEN rtype = 'ARRAY' THEN CAST(json_extract(answer, '$.results') AS JSON[]) END AS es
           FROM (SELECT a.request_id, v.n_items AS n, a.answer,
                        coalesce(json_valid(a.answer), false)
-                         AND NOT regexp_matches(a.answer, '[:\[,]\s*-?(NaN|Infinity)\s*[,\]}}]') AS doc_ok,
+                         AND NOT regexp_matches(a.answer, '[:\\[,]\\s*-?(NaN|Infinity)\\s*[,\\]}}]') AS doc_ok,
                        CASE WHEN coalesce(json_valid(a.answer), false) THEN json_type(a.answer, '$.results') END AS rtype
                 FROM score_answers a JOIN val v ON v.request_id = a.request_id
                 WHERE a.upstream_status = 200) x) y"""

@@ -241,15 +241,30 @@ def _admission_state_fn(limit: int):
     return fn
 
 
-def stream_admission(rows: DataFrame, files: int = 4, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
+def stream_admission(rows: DataFrame, slot_hours: int = 12, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
     """ST4: P4 on a stream of attempts: per-account state holds the balance and the last
     ``limit`` recorded call times (bounded, whatever the account's volume). ``rows`` are
-    P4's fold input (attempts and prior calls); they arrive in time order, several files."""
+    P4's fold input (attempts and prior calls). Attempts reach an admission service in time
+    order, so the simulation lands them slot by slot (``slot_hours`` of event time per
+    arrival) and runs one micro-batch per arrival on the same checkpoint."""
     spark = rows.sparkSession
-    stage = stream_dir(spark, "admission-input")
-    rows.repartitionByRange(files, "at").write.mode("overwrite").parquet(f"{stage}/in")
-    src = spark.readStream.schema(spark.read.parquet(f"{stage}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{stage}/in")
-    out = src.groupBy("account_id").applyInPandasWithState(
-        _admission_state_fn(limit), AD.REPLAY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    path = run_available_now(out, "admission")
-    return read_sink(spark, path, out.schema).drop("_batch")
+    d = stream_dir(spark, "admission")
+    slot = F.floor(F.unix_seconds("at") / (slot_hours * 3600)).cast("long")
+    staged = rows.withColumn("_slot", slot)
+    schema = staged.drop("_slot").schema
+    slots = sorted(r[0] for r in staged.select("_slot").distinct().collect())  # a few time slots, not data
+
+    def write(bdf: DataFrame, bid: int) -> None:
+        bdf.write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+
+    out = None
+    for v in slots:
+        staged.filter(F.col("_slot") == v).drop("_slot").write.mode("append").parquet(f"{d}/in")
+        if out is None:
+            src = spark.readStream.schema(schema).parquet(f"{d}/in")
+            out = src.groupBy("account_id").applyInPandasWithState(
+                _admission_state_fn(limit), AD.REPLAY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        q = (out.writeStream.outputMode("append").foreachBatch(write)
+             .option("checkpointLocation", f"{d}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return read_sink(spark, f"{d}/data", spark.createDataFrame([], AD.REPLAY_SCHEMA).schema).drop("_batch")
