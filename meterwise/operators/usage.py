@@ -167,14 +167,30 @@ def usage_rollup(usage: DataFrame, granularities=("hour", "day", "month")) -> Da
 
 
 def rolling_24h(usage: DataFrame) -> DataFrame:
-    """For every ledger row, the account's rows in ``(ts - 24h, ts]`` and its next slot."""
-    ts_us = F.unix_micros("created_at")
-    w = Window.partitionBy("account_id").orderBy(ts_us).rangeBetween(-(MICROS_24H - 1), 0)
-    return usage.select(
-        "id", "account_id", "created_at",
-        F.count(F.lit(1)).over(w).cast("int").alias("used_24h"),
-        (F.min("created_at").over(w) + F.expr("INTERVAL 24 HOURS")).alias("slot_at"),
-    )
+    """For every ledger row, the account's rows in ``(ts - 24h, ts]`` and its next slot
+    (oldest of them + 24 h).
+
+    Partitioned by (account, UTC day), not by account: each day also receives a copy of the
+    previous day's rows shifted by +24 h, and a shifted row is inside the window exactly
+    when its shifted time is after ``ts``. A busy account is therefore cut into day-sized
+    window partitions (each row is shuffled twice), never its whole history in one task.
+    """
+    day_us = F.lit(MICROS_24H)
+    us = F.unix_micros("created_at")
+    cur = usage.select("id", "account_id", "created_at", us.alias("_us"), F.floor(us / day_us).alias("_day"), F.lit(0).alias("_sh"))
+    prev = usage.select(F.lit(None).cast("long").alias("id"), "account_id", F.lit(None).cast("timestamp").alias("created_at"),
+                        (us + day_us).alias("_us"), (F.floor(us / day_us) + 1).alias("_day"), F.lit(1).alias("_sh"))
+    u = cur.unionByName(prev)
+    part = Window.partitionBy("account_id", "_day")
+    run = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    after = part.orderBy("_us").rangeBetween(1, Window.unboundedFollowing)
+    sh = F.col("_sh")
+    used = F.sum(1 - sh).over(run) + F.sum(sh).over(part) - F.sum(sh).over(run)
+    oldest = F.coalesce(F.min(F.when(sh == 1, F.col("_us"))).over(after) - day_us, F.min(F.when(sh == 0, F.col("_us"))).over(part))
+    out = u.select("id", "account_id", "created_at", "_sh", used.cast("int").alias("used_24h"), oldest.alias("_oldest"))
+    return out.filter(F.col("_sh") == 0).select(
+        "id", "account_id", "created_at", "used_24h",
+        (F.timestamp_micros("_oldest") + F.expr("INTERVAL 24 HOURS")).alias("slot_at"))
 
 
 def wallet_entries(accounts: DataFrame, charges: DataFrame, sessions: DataFrame, invoices: DataFrame,
@@ -197,7 +213,17 @@ def wallet_entries(accounts: DataFrame, charges: DataFrame, sessions: DataFrame,
 def running_balance(entries: DataFrame) -> DataFrame:
     """The balance after every entry, in (time, credit-first, id) order.
 
-    A rows frame from the partition start is a running aggregate: constant memory per
-    row, so a very large account streams through its task without buffering."""
-    w = Window.partitionBy("account_id").orderBy("entry_at", "entry_rank", "entry_id", "delta_micros").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return entries.select("account_id", "entry_id", "entry_at", "delta_micros", F.sum("delta_micros").over(w).cast("long").alias("balance_micros"))
+    A distributed prefix sum: the running sum inside each (account, UTC day) plus the
+    account's total of all earlier days (a window over one row per account and day).
+    A busy account's history is split into day-sized sorts instead of one.
+    """
+    day = F.floor(F.unix_micros("entry_at") / F.lit(MICROS_24H)).alias("_day")
+    e = entries.select("*", day)
+    totals = e.groupBy("account_id", "_day").agg(F.sum("delta_micros").alias("_tot"))
+    before = Window.partitionBy("account_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("account_id", "_day", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_offset"))
+    w = (Window.partitionBy("account_id", "_day").orderBy("entry_at", "entry_rank", "entry_id", "delta_micros")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = e.select("account_id", "_day", "entry_id", "entry_at", "delta_micros", F.sum("delta_micros").over(w).alias("_run"))
+    j = within.join(offsets, ["account_id", "_day"], "inner")
+    return j.select("account_id", "entry_id", "entry_at", "delta_micros", (F.col("_run") + F.col("_offset")).cast("long").alias("balance_micros"))
