@@ -29,7 +29,8 @@ def _nested(df: DataFrame, name: str, order: list[str], fields: list[str], desc:
 def dashboard(fx: Fixtures) -> DataFrame:
     p = fx.p
     acc = fx.accounts
-    wallet = fx.balances.select("account_id", F.struct("purchased_micros", "spent_micros", "balance_micros").alias("wallet"))
+    snap = fx.wallet_snapshot  # read twice below
+    wallet = snap.select("account_id", F.struct("purchased_micros", "spent_micros", "balance_micros").alias("wallet"))
     card = PU.card_on_file(acc, fx.charges).select(
         "account_id", F.when(F.col("card_last4").isNotNull(), F.struct("card_brand", "card_last4")).alias("card"))
     purchases = PU.purchases_top10(PU.all_purchases(acc, fx.charges, fx.checkout_sessions, fx.invoices, p.app_tag))
@@ -46,7 +47,7 @@ def dashboard(fx: Fixtures) -> DataFrame:
                        ["id", "service", "units", "status", "price_micros", "latency_ms", "created_at", "simulated"], desc=True)
     limit = U.limit_status(acc, fx.usage_events, p.as_of).select(
         "account_id", F.struct(F.lit(DAILY_REQUEST_LIMIT).alias("per_day"), "used", "remaining", "next_slot_at").alias("limit"))
-    avail = TU.topup_available(acc, fx.balances, fx.charges).select(
+    avail = TU.topup_available(acc, snap, fx.charges).select(
         "account_id", (F.col("available_free") if p.free_mode else F.col("available_paid")).alias("available"))
     price = F.broadcast(active_unit_price(fx.service_prices, p.service).select(F.lit(1).alias("_one"), "unit_price_micros"))
     out = (acc.select("account_id", "auto_topup_enabled", "auto_topup_threshold_micros", "auto_topup_amount_cents", "auto_topup_error")

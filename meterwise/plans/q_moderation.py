@@ -205,8 +205,9 @@ def _auth(fx):
     return AD.key_auth(fx.moderation_requests, fx.api_keys)
 
 
-def _admission(fx):
-    return AD.admission(fx.moderation_requests, _val(fx), _auth(fx), fx.usage_events, fx.balances, fx.service_prices,
+def _admission(fx, balances=None):
+    b = fx.balances if balances is None else balances
+    return AD.admission(fx.moderation_requests, _val(fx), _auth(fx), fx.usage_events, b, fx.service_prices,
                         fx.p.service, fx.p.as_of)
 
 
@@ -249,8 +250,9 @@ def q_quote(fx):
 @register("admission_replay", "P4")
 def q_admission_replay(fx):
     rejects = _ingest(fx)[1]
-    return AD.admission_replay(_admission(fx), AD.answer_outcomes(fx.score_answers, rejects), fx.moderation_requests,
-                               fx.usage_events, fx.balances, fx.p.as_of)
+    snap = fx.wallet_snapshot  # read by the snapshot check and by the fold
+    return AD.admission_replay(_admission(fx, snap), AD.answer_outcomes(fx.score_answers, rejects), fx.moderation_requests,
+                               fx.usage_events, snap, fx.p.as_of)
 
 
 _M9 = f"""

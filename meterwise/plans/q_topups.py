@@ -57,12 +57,14 @@ def q_pending_anti(fx):
     return TU.pending_clear(fx.accounts, fx.topups, fx.invoices, fx.p.as_of)
 
 
-def _scheduled(fx):
-    return TU.topup_scheduled(fx.accounts, fx.balances, fx.charges, fx.topups, fx.p.as_of, fx.p.free_mode)
+def _scheduled(fx, balances=None):
+    b = fx.balances if balances is None else balances
+    return TU.topup_scheduled(fx.accounts, b, fx.charges, fx.topups, fx.p.as_of, fx.p.free_mode)
 
 
-def _manual(fx):
-    return TU.topup_manual(fx.accounts, fx.balances, fx.charges, fx.topups, fx.invoices, fx.p.as_of, fx.p.free_mode)
+def _manual(fx, balances=None):
+    b = fx.balances if balances is None else balances
+    return TU.topup_manual(fx.accounts, b, fx.charges, fx.topups, fx.invoices, fx.p.as_of, fx.p.free_mode)
 
 
 @register("topup_scheduled", "U-T1", _SCHEDULED, CTES)
@@ -83,7 +85,8 @@ _KEYS = f"""SELECT account_id, 'schedule' AS trigger, 'topup:' || CAST(account_i
 
 @register("topup_keys", "U-T3", _KEYS, CAND_CTES)
 def q_topup_keys(fx):
-    return TU.topup_keys(_scheduled(fx), _manual(fx), fx.p.as_of)
+    snap = fx.wallet_snapshot
+    return TU.topup_keys(_scheduled(fx, snap), _manual(fx, snap), fx.p.as_of)
 
 
 def _commands_sql(src: str, trigger: str) -> str:
@@ -108,8 +111,9 @@ CMD_CTES = {**CAND_CTES, "promo": _PROMO,
 
 def _commands(fx):
     p = fx.p
-    s = TU.topup_commands(_scheduled(fx), fx.promotion_codes, p.promotion_code, p.app_tag, p.free_mode, "schedule", p.as_of)
-    m = TU.topup_commands(_manual(fx), fx.promotion_codes, p.promotion_code, p.app_tag, p.free_mode, "manual", p.as_of)
+    snap = fx.wallet_snapshot  # both candidate sets read the same wallet once
+    s = TU.topup_commands(_scheduled(fx, snap), fx.promotion_codes, p.promotion_code, p.app_tag, p.free_mode, "schedule", p.as_of)
+    m = TU.topup_commands(_manual(fx, snap), fx.promotion_codes, p.promotion_code, p.app_tag, p.free_mode, "manual", p.as_of)
     return s.unionByName(m)
 
 

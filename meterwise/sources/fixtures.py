@@ -507,6 +507,15 @@ class Fixtures:
 
         return synced_typed(synced_latest(self.customers_raw))
 
+    @cached_property
+    def wallet_snapshot(self) -> DataFrame:
+        """W5 computed once and cut from its lineage (a reliable checkpoint in the shared
+        ``spark.checkpoint.dir``), for jobs that read the wallet more than once."""
+        from meterwise.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(self.spark)
+        return self.balances.checkpoint(eager=True)
+
     @cached_property
     def balances(self) -> DataFrame:
         from meterwise.operators.wallet import balances
