@@ -118,7 +118,6 @@ FIXTURE_CTES: dict[str, str] = {
            {_ledger('(l_partkey % 100)', 'l_quantity', '200', 'CAST(CAST(l_quantity AS INTEGER) AS BIGINT) * 300000')},
            l_shipdate AS created_at
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_returnflag <> 'N'
     UNION ALL
     SELECT event_id * 8 AS id, user_id AS account_id,
            CASE WHEN user_id % 3 <> 1 THEN user_id END AS api_key_id,

@@ -186,7 +186,7 @@ class Fixtures:
         Ids from lineitem are ``orderkey*8 + linenumber`` and repeat where the input repeats
         (retried writes, caught by the audits); ids from events are ``event_id*8``.
         """
-        li = self.raw("lineitem").filter(F.col("l_returnflag") != "N")
+        li = self.raw("lineitem")
         o = self.orders_dim().select("o_orderkey", "o_custkey")
         old = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
         k_old = F.pmod(F.col("l_partkey"), F.lit(100))

@@ -3,11 +3,18 @@
 The driver's Parquet files store zone-less timestamps; the domain model uses
 ``timestamp`` in a UTC session, so every timestamp column is cast once here.
 Reads are lazy: column pruning and filter pushdown reach the Parquet scan
-through whatever the caller selects later.
+through whatever the caller selects later (in a UTC session Catalyst unwraps
+the cast, so time bounds still become ``PushedFilters``).
+
+A table's schema is inferred once per path and then passed to every later
+read: schema inference reads Parquet footers in a Spark job, which over many
+files costs a job per read for nothing.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +24,29 @@ DRIVER_TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+_SCHEMAS: dict[str, T.StructType] = {}
+_LOCK = threading.Lock()
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def table_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The file schema of ``path``, inferred on first use only."""
+    with _LOCK:
+        s = _SCHEMAS.get(path)
+    if s is None:
+        s = spark.read.parquet(path).schema
+        with _LOCK:
+            _SCHEMAS[path] = s
+    return s
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = table_path(sf_dir, name)
+    schema = table_schema(spark, path)
+    df = spark.read.schema(schema).parquet(path)
     casts = [
         F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
         for f in df.schema.fields

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise.session import ensure_checkpoint_dir
+from meterwise.sources.tables import table_path, table_schema
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -28,13 +29,13 @@ def stream_dir(spark: SparkSession, name: str) -> str:
 def read_stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
     """A file stream over ``<folder>/<name>.parquet`` (or a folder of such files), with the
     zone-less timestamps cast once, as in batch reads."""
-    static = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    reader = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet")
+    schema = table_schema(spark, table_path(folder, name))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     s = reader.parquet(folder)
     casts = [F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
-             for f in static.schema.fields]
+             for f in schema.fields]
     return s.select(*casts)
 
 
