@@ -26,6 +26,9 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture for error messages costs several JVM round trips per Column call
+    # (read once per process, so it belongs in the builder config).
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

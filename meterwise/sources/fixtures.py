@@ -53,6 +53,38 @@ def ts_lit(dt: datetime) -> Column:
     return F.lit(dt).cast("timestamp")
 
 
+# The row expressions below are SQL text (``selectExpr``): one projection is one call to
+# the JVM, where the same expression assembled from Column objects costs one per node.
+def sql_str(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_ts(dt: datetime) -> str:
+    """A Spark SQL timestamp literal (read in the session time zone, UTC)."""
+    return f"TIMESTAMP '{dt.strftime('%Y-%m-%d %H:%M:%S.%f')}'"
+
+
+def pack_sql(k: str) -> str:
+    """``pack`` as SQL text."""
+    return f"CASE pmod(floor({k} / 3), 3) WHEN 0 THEN 1000 WHEN 1 THEN 2500 ELSE 10000 END"
+
+
+def ledger_sql(k: str, units: str, status: str, price: str) -> list[str]:
+    """Ledger columns from service to latency: tokens from ``k``, cost at the fixture's model
+    cost (0.07 in, 0.07 cached, 0.30 out per Mtok) rounded half up."""
+    input_t = f"CAST(100 + 10 * {k} AS INT)"
+    output_t = f"CAST(50 + 3 * {k} AS INT)"
+    cost = f"CAST(floor((7 * CAST({input_t} AS BIGINT) + 30 * CAST({output_t} AS BIGINT) + 50) / 100) AS BIGINT)"
+    return [
+        "'moderate' AS service", f"CAST({units} AS INT) AS units", "'gpt-oss-20b' AS model",
+        f"{input_t} AS input_tokens", f"CAST({k} AS INT) AS cached_input_tokens", f"{output_t} AS output_tokens",
+        f"CAST({k} AS INT) AS reasoning_tokens", f"CAST({price} AS BIGINT) AS price_micros", f"{cost} AS cost_micros",
+        f"CAST({status} AS SMALLINT) AS status",
+        f"CASE WHEN pmod({k}, 10) = 0 THEN CAST(NULL AS INT) ELSE CAST(200 + {k} AS INT) END AS latency_ms",
+    ]
+
+
 class Fixtures:
     """Lazy domain tables over one scale-factor directory."""
 
@@ -75,63 +107,51 @@ class Fixtures:
     # ------------------------------------------------------------------ app.*
     @cached_property
     def accounts(self) -> DataFrame:
-        c = self.raw("customer")
-        k = F.col("c_custkey")
-        tier = F.pmod(k, F.lit(3))
-        return c.select(
-            k.alias("account_id"),
-            F.when(F.pmod(k, F.lit(43)) == 0, F.lit(None).cast("long")).otherwise(k + 1_000_000).alias("user_id"),
-            F.col("c_name").alias("label"),
-            F.when(F.pmod(k, F.lit(17)) == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("cus_"), k.cast("string"))).alias("stripe_customer_id"),
-            F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "AUTOMOBILE").alias("auto_topup_enabled"),
-            F.when(tier == 0, 2_000_000).when(tier == 1, 5_000_000).otherwise(10_000_000).cast("long").alias("auto_topup_threshold_micros"),
-            F.when(tier == 0, 1000).when(tier == 1, 2500).otherwise(10000).cast("int").alias("auto_topup_amount_cents"),
-            F.lit(None).cast("string").alias("auto_topup_error"),
-            (ts_lit(datetime(2023, 1, 1)) + F.make_dt_interval(F.pmod(k, F.lit(365)).cast("int"))).alias("created_at"),
+        return self.raw("customer").selectExpr(
+            "c_custkey AS account_id",
+            "CASE WHEN pmod(c_custkey, 43) = 0 THEN CAST(NULL AS BIGINT) ELSE c_custkey + 1000000 END AS user_id",
+            "c_name AS label",
+            "CASE WHEN pmod(c_custkey, 17) = 0 THEN CAST(NULL AS STRING) ELSE concat('cus_', CAST(c_custkey AS STRING)) END AS stripe_customer_id",
+            "c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') AS auto_topup_enabled",
+            "CAST(CASE pmod(c_custkey, 3) WHEN 0 THEN 2000000 WHEN 1 THEN 5000000 ELSE 10000000 END AS BIGINT) AS auto_topup_threshold_micros",
+            "CAST(CASE pmod(c_custkey, 3) WHEN 0 THEN 1000 WHEN 1 THEN 2500 ELSE 10000 END AS INT) AS auto_topup_amount_cents",
+            "CAST(NULL AS STRING) AS auto_topup_error",
+            f"{sql_ts(datetime(2023, 1, 1))} + make_dt_interval(CAST(pmod(c_custkey, 365) AS INT)) AS created_at",
         )
 
     @cached_property
     def users(self) -> DataFrame:
         """Signed-in users (auth side): one per customer; some use a placeholder email."""
-        c = self.raw("customer")
-        k = F.col("c_custkey")
-        username = F.concat(F.lit("user"), k.cast("string"))
-        old_domain = f"users.{self.p.old_tag}.invalid"
-        return c.select(
-            (k + 1_000_000).alias("user_id"),
-            F.when(F.pmod(k, F.lit(8)) == 0, F.concat(username, F.lit("@" + old_domain)))
-            .when(F.pmod(k, F.lit(4)) == 0, F.concat(username, F.lit("@" + self.p.placeholder_domain)))
-            .otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com")))
-            .alias("email"),
-            F.col("c_name").alias("name"),
+        old_domain = sql_str(f"@users.{self.p.old_tag}.invalid")
+        placeholder = sql_str("@" + self.p.placeholder_domain)
+        return self.raw("customer").selectExpr(
+            "c_custkey + 1000000 AS user_id",
+            f"CASE WHEN pmod(c_custkey, 8) = 0 THEN concat('user', CAST(c_custkey AS STRING), {old_domain}) "
+            f"WHEN pmod(c_custkey, 4) = 0 THEN concat('user', CAST(c_custkey AS STRING), {placeholder}) "
+            "ELSE concat('c', CAST(c_custkey AS STRING), '@example.com') END AS email",
+            "c_name AS name",
         )
 
     @cached_property
     def api_key_creates(self) -> DataFrame:
         """Key creation events: the key text exists only here (never stored)."""
-        c = self.raw("customer").filter(F.pmod(F.col("c_custkey"), F.lit(3)) != 1)
-        k = F.col("c_custkey")
-        key_text = F.concat(F.lit("bnc_"), F.lpad(k.cast("string"), 12, "0"))
-        return c.select(
-            k.alias("key_id"),
-            k.alias("account_id"),
-            F.lit("default").alias("name"),
-            key_text.alias("key_text"),
-            (ts_lit(datetime(2023, 1, 1)) + F.make_dt_interval(F.pmod(k, F.lit(365)).cast("int"))).alias("created_at"),
+        return self.raw("customer").filter("pmod(c_custkey, 3) <> 1").selectExpr(
+            "c_custkey AS key_id",
+            "c_custkey AS account_id",
+            "'default' AS name",
+            "concat('bnc_', lpad(CAST(c_custkey AS STRING), 12, '0')) AS key_text",
+            f"{sql_ts(datetime(2023, 1, 1))} + make_dt_interval(CAST(pmod(c_custkey, 365) AS INT)) AS created_at",
         )
 
     @cached_property
     def api_keys(self) -> DataFrame:
-        k = F.col("key_id")
-        return self.api_key_creates.select(
-            "key_id",
-            "account_id",
-            "name",
-            F.substring("key_text", 1, 12).alias("prefix"),
-            F.sha2("key_text", 256).alias("key_hash"),
+        return self.api_key_creates.selectExpr(
+            "key_id", "account_id", "name",
+            "substring(key_text, 1, 12) AS prefix",
+            "sha2(key_text, 256) AS key_hash",
             "created_at",
-            F.lit(None).cast("timestamp").alias("last_used_at"),
-            F.when(F.pmod(k, F.lit(7)) == 0, self.as_of - F.expr("INTERVAL 1 DAY")).otherwise(F.lit(None).cast("timestamp")).alias("revoked_at"),
+            "CAST(NULL AS TIMESTAMP) AS last_used_at",
+            f"CASE WHEN pmod(key_id, 7) = 0 THEN {sql_ts(self.p.as_of)} - INTERVAL 1 DAY ELSE CAST(NULL AS TIMESTAMP) END AS revoked_at",
         )
 
     @cached_property
@@ -158,30 +178,9 @@ class Fixtures:
         )
         return df.select("model", *[F.col(c).cast("decimal(12,4)").alias(c) for c in df.columns[1:]])
 
-    @staticmethod
-    def _ledger_columns(k: Column, units: Column, status: Column, price: Column) -> list:
-        input_t = (100 + 10 * k).cast("int")
-        cached_t = k.cast("int")
-        output_t = (50 + 3 * k).cast("int")
-        # cost at the fixture's model cost (0.07 in, 0.07 cached, 0.30 out per Mtok), rounded half up
-        cost = F.floor((7 * input_t.cast("long") + 30 * output_t.cast("long") + 50) / 100).cast("long")
-        return [
-            F.lit("moderate").alias("service"),
-            units.cast("int").alias("units"),
-            F.lit("gpt-oss-20b").alias("model"),
-            input_t.alias("input_tokens"),
-            cached_t.alias("cached_input_tokens"),
-            output_t.alias("output_tokens"),
-            k.cast("int").alias("reasoning_tokens"),
-            price.cast("long").alias("price_micros"),
-            cost.alias("cost_micros"),
-            status.cast("short").alias("status"),
-            F.when(F.pmod(k, F.lit(10)) == 0, F.lit(None).cast("int")).otherwise((200 + k).cast("int")).alias("latency_ms"),
-        ]
-
     @cached_property
     def usage_events(self) -> DataFrame:
-        """The usage ledger: old calls from lineitem (1995-2001) and recent calls from events.
+        """The usage ledger: old calls from lineitem (1992-1998) and recent calls from events.
 
         Ids from lineitem are ``orderkey*8 + linenumber`` and repeat where the input repeats
         (retried writes, caught by the audits); ids from events are ``event_id*8``.
@@ -189,126 +188,109 @@ class Fixtures:
         li = self.raw("lineitem")
         o = self.orders_dim().select("o_orderkey", "o_custkey")
         old = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-        k_old = F.pmod(F.col("l_partkey"), F.lit(100))
-        units_old = F.col("l_quantity").cast("int")
-        cust = F.col("o_custkey")
-        old_rows = old.select(
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
-            cust.alias("account_id"),
-            F.when(F.pmod(cust, F.lit(3)) != 1, cust).alias("api_key_id"),
-            *self._ledger_columns(k_old, units_old, F.lit(200), units_old.cast("long") * FIXTURE_PRICE_MICROS),
-            F.col("l_shipdate").alias("created_at"),
-        )
-        ev = self.raw("events").filter(F.col("event_type") != "signup")
-        k_new = F.get_json_object("props", "$.k").cast("int")
-        is_err = F.col("event_type") == "error"
-        units_new = F.when(is_err, 0).otherwise(1 + F.pmod(k_new, F.lit(20)))
-        ts = F.col("ts")
-        price_now = F.when(ts >= ts_lit(datetime(2024, 1, 25)), 400_000).when(ts >= ts_lit(datetime(2024, 1, 10)), 300_000).otherwise(250_000)
-        user = F.col("user_id")
-        new_rows = ev.select(
-            (F.col("event_id") * 8).alias("id"),
-            user.alias("account_id"),
-            F.when(F.pmod(user, F.lit(3)) != 1, user).alias("api_key_id"),
-            *self._ledger_columns(k_new, units_new, F.when(is_err, 502).otherwise(200), units_new.cast("long") * price_now),
-            ts.alias("created_at"),
+        units_old = "CAST(l_quantity AS INT)"
+        old_rows = old.selectExpr(
+            "l_orderkey * 8 + l_linenumber AS id",
+            "o_custkey AS account_id",
+            "CASE WHEN pmod(o_custkey, 3) <> 1 THEN o_custkey END AS api_key_id",
+            *ledger_sql("pmod(l_partkey, 100)", units_old, "200", f"CAST({units_old} AS BIGINT) * {FIXTURE_PRICE_MICROS}"),
+            "l_shipdate AS created_at",
         )
+        units_new = "CASE WHEN event_type = 'error' THEN 0 ELSE 1 + pmod(_k, 20) END"
+        price_now = (f"CASE WHEN ts >= {sql_ts(datetime(2024, 1, 25))} THEN 400000 "
+                     f"WHEN ts >= {sql_ts(datetime(2024, 1, 10))} THEN 300000 ELSE 250000 END")
+        new_rows = (self.raw("events").filter("event_type <> 'signup'")
+                    .selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS _k")
+                    .selectExpr(
+                        "event_id * 8 AS id",
+                        "user_id AS account_id",
+                        "CASE WHEN pmod(user_id, 3) <> 1 THEN user_id END AS api_key_id",
+                        *ledger_sql("_k", units_new, "CASE WHEN event_type = 'error' THEN 502 ELSE 200 END",
+                                    f"CAST({units_new} AS BIGINT) * {price_now}"),
+                        "ts AS created_at",
+                    ))
         return old_rows.unionByName(new_rows)
 
     @cached_property
     def simulated_spend(self) -> DataFrame:
-        ev = self.raw("events").filter(F.col("event_type") == "signup")
-        k = F.get_json_object("props", "$.k").cast("long")
-        return ev.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("account_id"),
-            ((1 + k) * 10_000).alias("amount_micros"),
-            F.col("ts").alias("created_at"),
+        return self.raw("events").filter("event_type = 'signup'").selectExpr(
+            "event_id AS id",
+            "user_id AS account_id",
+            "(1 + CAST(get_json_object(props, '$.k') AS BIGINT)) * 10000 AS amount_micros",
+            "ts AS created_at",
         )
 
     @cached_property
     def topups(self) -> DataFrame:
-        o = self.raw("orders").filter(F.pmod(F.col("o_orderkey"), F.lit(10)) == 2)
-        k = F.col("o_orderkey")
-        has_inv = F.pmod(k, F.lit(3)) == 2
-        status = F.when(~has_inv, "failed").when(F.col("o_orderstatus") == "P", "open").otherwise("paid")
-        return o.select(
-            k.alias("id"),
-            F.col("o_custkey").alias("account_id"),
-            F.when(has_inv, F.concat(F.lit("in_"), k.cast("string"))).alias("invoice_id"),
-            pack(k).cast("int").alias("amount_cents"),
-            status.alias("status"),
-            F.when(~has_inv, F.lit("card_declined")).alias("error"),
-            (self.as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(k, F.lit(61)).cast("int"))).alias("created_at"),
+        return self.raw("orders").filter("pmod(o_orderkey, 10) = 2").selectExpr(
+            "o_orderkey AS id",
+            "o_custkey AS account_id",
+            "CASE WHEN pmod(o_orderkey, 3) = 2 THEN concat('in_', CAST(o_orderkey AS STRING)) END AS invoice_id",
+            f"CAST({pack_sql('o_orderkey')} AS INT) AS amount_cents",
+            "CASE WHEN pmod(o_orderkey, 3) <> 2 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'open' ELSE 'paid' END AS status",
+            "CASE WHEN pmod(o_orderkey, 3) <> 2 THEN 'card_declined' END AS error",
+            f"{sql_ts(self.p.as_of)} - make_dt_interval(0, 0, CAST(pmod(o_orderkey, 61) AS INT)) AS created_at",
         )
 
     # --------------------------------------------------------------- stripe.*
     def _orders_slice(self, r: int) -> DataFrame:
-        return self.raw("orders").filter(F.pmod(F.col("o_orderkey"), F.lit(3)) == r)
+        return self.raw("orders").filter(f"pmod(o_orderkey, 3) = {r}")
 
     @cached_property
     def charges(self) -> DataFrame:
-        o = self._orders_slice(0)
-        k = F.col("o_orderkey")
-        failed = (F.col("o_orderstatus") == "P") & (F.pmod(k, F.lit(2)) == 0)
-        refunded = F.when(F.col("o_orderpriority") == "1-URGENT", 500).otherwise(0).cast("long")
-        last4 = F.lpad(F.pmod(k, F.lit(10000)).cast("string"), 4, "0")
-        details = (
-            F.when(F.pmod(k, F.lit(7)) == 0, F.lit('{"type":"card","card":{"brand":"mastercard"}}'))
-            .when(F.pmod(k, F.lit(13)) == 0, F.concat(F.lit('{"type":"card","card":{"last4":"'), last4, F.lit('"}}')))
-            .otherwise(F.concat(F.lit('{"type":"card","card":{"brand":"visa","last4":"'), last4, F.lit('"}}')))
-        )
-        kind = F.when(F.pmod(k, F.lit(4)) == 0, "auto_topup").otherwise("checkout")
-        return o.select(
-            F.concat(F.lit("ch_"), k.cast("string")).alias("id"),
-            F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer"),
-            F.when(F.pmod(k, F.lit(5)) == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("pm_"), F.pmod(k, F.lit(97)).cast("string"))).alias("payment_method"),
-            details.alias("payment_method_details"),
-            pack(k).cast("long").alias("amount"),
-            refunded.alias("amount_refunded"),
-            F.when(F.pmod(k, F.lit(31)) == 0, "eur").otherwise("usd").alias("currency"),
-            F.when(failed, "failed").otherwise("succeeded").alias("status"),
-            (~failed).alias("paid"),
-            (refunded > 0).alias("refunded"),
-            F.when(F.pmod(k, F.lit(37)) == 0, F.lit(None).cast("boolean")).otherwise(F.pmod(k, F.lit(23)) == 0).alias("disputed"),
-            F.concat(F.lit("https://pay.example/receipts/ch_"), k.cast("string")).alias("receipt_url"),
-            F.concat(F.lit('{"app":"' + self.p.app_tag + '","kind":"'), kind, F.lit('"}')).alias("metadata"),
-            epoch_s(F.col("o_orderdate")).alias("created"),
+        failed = "(o_orderstatus = 'P' AND pmod(o_orderkey, 2) = 0)"
+        refunded = "CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 500 ELSE 0 END AS BIGINT)"
+        last4 = "lpad(CAST(pmod(o_orderkey, 10000) AS STRING), 4, '0')"
+        details = ("""CASE WHEN pmod(o_orderkey, 7) = 0 THEN '{"type":"card","card":{"brand":"mastercard"}}' """
+                   f"""WHEN pmod(o_orderkey, 13) = 0 THEN concat('{{"type":"card","card":{{"last4":"', {last4}, '"}}}}') """
+                   f"""ELSE concat('{{"type":"card","card":{{"brand":"visa","last4":"', {last4}, '"}}}}') END""")
+        kind = "CASE WHEN pmod(o_orderkey, 4) = 0 THEN 'auto_topup' ELSE 'checkout' END"
+        return self._orders_slice(0).selectExpr(
+            "concat('ch_', CAST(o_orderkey AS STRING)) AS id",
+            "concat('cus_', CAST(o_custkey AS STRING)) AS customer",
+            "CASE WHEN pmod(o_orderkey, 5) = 0 THEN CAST(NULL AS STRING) ELSE concat('pm_', CAST(pmod(o_orderkey, 97) AS STRING)) END AS payment_method",
+            f"{details} AS payment_method_details",
+            f"CAST({pack_sql('o_orderkey')} AS BIGINT) AS amount",
+            f"{refunded} AS amount_refunded",
+            "CASE WHEN pmod(o_orderkey, 31) = 0 THEN 'eur' ELSE 'usd' END AS currency",
+            f"CASE WHEN {failed} THEN 'failed' ELSE 'succeeded' END AS status",
+            f"NOT {failed} AS paid",
+            f"{refunded} > 0 AS refunded",
+            "CASE WHEN pmod(o_orderkey, 37) = 0 THEN CAST(NULL AS BOOLEAN) ELSE pmod(o_orderkey, 23) = 0 END AS disputed",
+            "concat('https://pay.example/receipts/ch_', CAST(o_orderkey AS STRING)) AS receipt_url",
+            f"""concat({sql_str('{"app":"' + self.p.app_tag + '","kind":"')}, {kind}, '"}}') AS metadata""",
+            "unix_seconds(o_orderdate) AS created",
         )
 
     @cached_property
     def checkout_sessions(self) -> DataFrame:
-        o = self._orders_slice(1)
-        k = F.col("o_orderkey")
-        meta = F.when(F.pmod(k, F.lit(41)) == 0, F.lit('{"app":"' + self.p.app_tag + '"}')).otherwise(
-            F.concat(F.lit('{"app":"' + self.p.app_tag + '","credits_cents":"'), pack(k).cast("string"), F.lit('"}'))
-        )
-        return o.select(
-            F.concat(F.lit("cs_"), k.cast("string")).alias("id"),
-            F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer"),
-            F.when(F.pmod(k, F.lit(13)) == 0, "subscription").otherwise("payment").alias("mode"),
-            F.when(F.col("o_orderstatus") == "P", "open").otherwise("complete").alias("status"),
-            F.when(F.pmod(k, F.lit(11)) == 0, "unpaid").otherwise("no_payment_required").alias("payment_status"),
-            F.when(F.pmod(k, F.lit(29)) == 0, 1000).otherwise(0).cast("long").alias("amount_total"),
-            meta.alias("metadata"),
-            epoch_s(F.col("o_orderdate")).alias("created"),
+        tag = self.p.app_tag
+        meta = (f"""CASE WHEN pmod(o_orderkey, 41) = 0 THEN {sql_str('{"app":"' + tag + '"}')} """
+                f"""ELSE concat({sql_str('{"app":"' + tag + '","credits_cents":"')}, CAST({pack_sql('o_orderkey')} AS STRING), '"}}') END""")
+        return self._orders_slice(1).selectExpr(
+            "concat('cs_', CAST(o_orderkey AS STRING)) AS id",
+            "concat('cus_', CAST(o_custkey AS STRING)) AS customer",
+            "CASE WHEN pmod(o_orderkey, 13) = 0 THEN 'subscription' ELSE 'payment' END AS mode",
+            "CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE 'complete' END AS status",
+            "CASE WHEN pmod(o_orderkey, 11) = 0 THEN 'unpaid' ELSE 'no_payment_required' END AS payment_status",
+            "CAST(CASE WHEN pmod(o_orderkey, 29) = 0 THEN 1000 ELSE 0 END AS BIGINT) AS amount_total",
+            f"{meta} AS metadata",
+            "unix_seconds(o_orderdate) AS created",
         )
 
     @cached_property
     def invoices(self) -> DataFrame:
-        o = self._orders_slice(2)
-        k = F.col("o_orderkey")
-        tag = F.when(F.pmod(k, F.lit(19)) == 0, "other").otherwise(self.p.app_tag)
-        total = F.when(F.pmod(k, F.lit(29)) == 0, 1000).otherwise(0).cast("long")
-        return o.select(
-            F.concat(F.lit("in_"), k.cast("string")).alias("id"),
-            F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer"),
-            F.when(F.col("o_orderstatus") == "P", "open").otherwise("paid").alias("status"),
-            total.alias("total"),
-            total.alias("amount_paid"),
-            F.concat(F.lit("https://pay.example/invoices/in_"), k.cast("string")).alias("hosted_invoice_url"),
-            F.concat(F.lit('{"app":"'), tag, F.lit('","kind":"auto_topup","credits_cents":"'), pack(k).cast("string"), F.lit('"}')).alias("metadata"),
-            epoch_s(F.col("o_orderdate")).alias("created"),
+        total = "CAST(CASE WHEN pmod(o_orderkey, 29) = 0 THEN 1000 ELSE 0 END AS BIGINT)"
+        tag = f"CASE WHEN pmod(o_orderkey, 19) = 0 THEN 'other' ELSE {sql_str(self.p.app_tag)} END"
+        return self._orders_slice(2).selectExpr(
+            "concat('in_', CAST(o_orderkey AS STRING)) AS id",
+            "concat('cus_', CAST(o_custkey AS STRING)) AS customer",
+            "CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE 'paid' END AS status",
+            f"{total} AS total",
+            f"{total} AS amount_paid",
+            "concat('https://pay.example/invoices/in_', CAST(o_orderkey AS STRING)) AS hosted_invoice_url",
+            f"""concat('{{"app":"', {tag}, '","kind":"auto_topup","credits_cents":"', CAST({pack_sql('o_orderkey')} AS STRING), '"}}') AS metadata""",
+            "unix_seconds(o_orderdate) AS created",
         )
 
     @cached_property
@@ -318,95 +300,75 @@ class Fixtures:
         One version per synced customer (none when ``c_custkey % 19 = 0``); customers with
         ``c_custkey % 5 = 0`` get a second, newer version with another email.
         """
-        c = self.raw("customer").filter(
-            (F.pmod(F.col("c_custkey"), F.lit(17)) != 0) & (F.pmod(F.col("c_custkey"), F.lit(19)) != 0)
-        )
-        k = F.col("c_custkey")
-        versions = c.withColumn("version", F.explode(F.when(F.pmod(k, F.lit(5)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-        v = F.col("version")
-        email = (
-            F.when(v == 2, F.concat(F.lit('"c'), k.cast("string"), F.lit('@new.example.com"')))
-            .when(F.pmod(k, F.lit(11)) == 0, F.lit("null"))
-            .when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit('"user'), k.cast("string"), F.lit("@" + self.p.placeholder_domain + '"')))
-            .otherwise(F.concat(F.lit('"c'), k.cast("string"), F.lit('@example.com"')))
-        )
-        cid = F.concat(F.lit("cus_"), k.cast("string"))
-        doc = F.concat(
-            F.lit('{"id":"'), cid, F.lit('","object":"customer","email":'), email,
-            F.lit(',"name":"'), F.col("c_name"),
-            F.lit('","metadata":{"app":"' + self.p.app_tag + '","account_id":"'), k.cast("string"),
-            F.lit('"},"created":'), (F.lit(CUSTOMER_EPOCH) + k).cast("string"), F.lit("}"),
-        )
-        return versions.select(
-            cid.alias("id"),
-            F.lit("acct_main").alias("_account_id"),
-            (ts_lit(datetime(2024, 1, 1)) + F.make_dt_interval(F.lit(0), v.cast("int"))).alias("_updated_at"),
-            doc.alias("_raw_data"),
+        c = self.raw("customer").filter("pmod(c_custkey, 17) <> 0 AND pmod(c_custkey, 19) <> 0")
+        versions = c.selectExpr("*", "explode(CASE WHEN pmod(c_custkey, 5) = 0 THEN array(1, 2) ELSE array(1) END) AS version")
+        k = "CAST(c_custkey AS STRING)"
+        email = (f"""CASE WHEN version = 2 THEN concat('"c', {k}, '@new.example.com"') """
+                 "WHEN pmod(c_custkey, 11) = 0 THEN 'null' "
+                 f"""WHEN pmod(c_custkey, 4) = 0 THEN concat('"user', {k}, {sql_str("@" + self.p.placeholder_domain + '"')}) """
+                 f"""ELSE concat('"c', {k}, '@example.com"') END""")
+        cid = f"concat('cus_', {k})"
+        doc = (f"""concat('{{"id":"', {cid}, '","object":"customer","email":', {email}, ',"name":"', c_name, """
+               f"""{sql_str('","metadata":{"app":"' + self.p.app_tag + '","account_id":"')}, {k}, """
+               f"""'"}},"created":', CAST({CUSTOMER_EPOCH} + c_custkey AS STRING), '}}')""")
+        return versions.selectExpr(
+            f"{cid} AS id",
+            "'acct_main' AS _account_id",
+            f"{sql_ts(datetime(2024, 1, 1))} + make_dt_interval(0, CAST(version AS INT)) AS _updated_at",
+            f"{doc} AS _raw_data",
         )
 
     @cached_property
     def prices(self) -> DataFrame:
         """Synced catalog prices (from ``part``): many versions per lookup key."""
-        p = self.raw("part")
-        k = F.col("p_partkey")
-        r = F.pmod(k, F.lit(4))
         tag, old = self.p.app_tag, self.p.old_tag
-        key = F.when(r == 0, f"{tag}_credits_10").when(r == 1, f"{tag}_credits_25").when(r == 2, f"{tag}_credits_100").otherwise(f"{old}_credits_10")
-        amount = F.when(r == 1, 2500).when(r == 2, 10000).otherwise(1000).cast("long")
-        return p.select(
-            F.concat(F.lit("price_"), k.cast("string")).alias("id"),
-            key.alias("lookup_key"),
-            ((F.pmod(k, F.lit(3)) != 0) & (r != 2)).alias("active"),
-            amount.alias("unit_amount"),
-            (F.lit(CATALOG_EPOCH) + k * 60).cast("long").alias("created"),
+        return self.raw("part").selectExpr(
+            "concat('price_', CAST(p_partkey AS STRING)) AS id",
+            f"CASE pmod(p_partkey, 4) WHEN 0 THEN {sql_str(tag + '_credits_10')} WHEN 1 THEN {sql_str(tag + '_credits_25')} "
+            f"WHEN 2 THEN {sql_str(tag + '_credits_100')} ELSE {sql_str(old + '_credits_10')} END AS lookup_key",
+            "(pmod(p_partkey, 3) <> 0 AND pmod(p_partkey, 4) <> 2) AS active",
+            "CAST(CASE pmod(p_partkey, 4) WHEN 1 THEN 2500 WHEN 2 THEN 10000 ELSE 1000 END AS BIGINT) AS unit_amount",
+            f"CAST({CATALOG_EPOCH} + p_partkey * 60 AS BIGINT) AS created",
         )
 
     @cached_property
     def promotion_codes(self) -> DataFrame:
         """Synced promotion codes (from ``supplier``)."""
-        s = self.raw("supplier")
-        k = F.col("s_suppkey")
-        code = F.when(F.pmod(k, F.lit(3)) == 2, self.p.old_tag.upper() + "100").otherwise(self.p.promotion_code)
-        return s.select(
-            F.concat(F.lit("promo_"), k.cast("string")).alias("id"),
-            code.alias("code"),
-            (F.pmod(k, F.lit(4)) != 0).alias("active"),
-            (F.lit(CATALOG_EPOCH) + k * 60).cast("long").alias("created"),
+        return self.raw("supplier").selectExpr(
+            "concat('promo_', CAST(s_suppkey AS STRING)) AS id",
+            f"CASE WHEN pmod(s_suppkey, 3) = 2 THEN {sql_str(self.p.old_tag.upper() + '100')} ELSE {sql_str(self.p.promotion_code)} END AS code",
+            "pmod(s_suppkey, 4) <> 0 AS active",
+            f"CAST({CATALOG_EPOCH} + s_suppkey * 60 AS BIGINT) AS created",
         )
 
     @cached_property
     def log_lines(self) -> DataFrame:
         """One log stream per account (from ``events``); errors are wrapped in ANSI red."""
-        e = self.raw("events")
-        t = F.col("event_type")
-        k = F.get_json_object("props", "$.k")
-        msg = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" event "), F.col("event_id").cast("string"), F.lit(" k="), k)
-        return e.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("stream"),
-            F.when(F.pmod(F.col("event_id"), F.lit(97)) == 0, F.lit(None).cast("timestamp")).otherwise(F.col("ts")).alias("at"),
-            F.date_format("ts", "HH:mm:ss").alias("timestamp"),
-            F.when(t == "error", "error").when(t == "signup", "warn").when(t == "view", "debug").when(t == "click", "info").alias("level"),
-            t.alias("source"),
-            F.when(t == "error", F.concat(F.lit("\x1b[31m"), msg, F.lit("\x1b[0m"))).otherwise(msg).alias("message"),
+        msg = ("concat('user ', CAST(user_id AS STRING), ' event ', CAST(event_id AS STRING), ' k=', "
+               "get_json_object(props, '$.k'))")
+        return self.raw("events").selectExpr(
+            "event_id AS id",
+            "user_id AS stream",
+            "CASE WHEN pmod(event_id, 97) = 0 THEN CAST(NULL AS TIMESTAMP) ELSE ts END AS at",
+            "date_format(ts, 'HH:mm:ss') AS `timestamp`",
+            "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug' "
+            "WHEN 'click' THEN 'info' END AS level",
+            "event_type AS source",
+            f"CASE WHEN event_type = 'error' THEN concat(chr(27), '[31m', {msg}, chr(27), '[0m') ELSE {msg} END AS message",
         )
 
     @cached_property
     def moderation_requests(self) -> DataFrame:
         """Attempted moderation calls: one per document, raw text in, four per account,
         arriving one minute apart over the two days after ``as_of``."""
-        d = self.raw("documents")
-        k = F.col("doc_id")
-        key = F.concat(F.lit("bnc_"), F.lpad(F.floor(k / 4).cast("long").cast("string"), 12, "0"))
-        auth = (F.when(F.pmod(k, F.lit(31)) == 0, F.lit(None).cast("string"))
-                .when(F.pmod(k, F.lit(23)) == 0, F.concat(F.lit("Basic "), key))
-                .when(F.pmod(k, F.lit(29)) == 0, F.concat(F.lit("bearer  "), key))
-                .otherwise(F.concat(F.lit("Bearer "), key)))
-        return d.select(
-            k.alias("request_id"),
-            auth.alias("authorization"),
-            F.col("text"),
-            (self.as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(k, F.lit(2880)).cast("int"))).alias("at"),
+        key = "concat('bnc_', lpad(CAST(CAST(floor(doc_id / 4) AS BIGINT) AS STRING), 12, '0'))"
+        auth = (f"CASE WHEN pmod(doc_id, 31) = 0 THEN CAST(NULL AS STRING) WHEN pmod(doc_id, 23) = 0 THEN concat('Basic ', {key}) "
+                f"WHEN pmod(doc_id, 29) = 0 THEN concat('bearer  ', {key}) ELSE concat('Bearer ', {key}) END")
+        return self.raw("documents").selectExpr(
+            "doc_id AS request_id",
+            f"{auth} AS authorization",
+            "text",
+            f"{sql_ts(self.p.as_of)} + make_dt_interval(0, 0, CAST(pmod(doc_id, 2880) AS INT)) AS at",
         )
 
     @cached_property
@@ -424,52 +386,44 @@ class Fixtures:
         n = items.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
         lab = self.raw("labels").select(F.col("doc_id").alias("request_id"), "toxic")
         it = items.join(n.filter(F.col("n") <= 20), "request_id", "inner").join(lab, "request_id", "left")
-        rid, idx, nn = F.col("request_id"), F.col("idx"), F.col("n")
-        brk = F.pmod(rid, F.lit(17))
-        edge = F.pmod(rid + idx, F.lit(50))
-        first = idx == 0
+        brk = "pmod(request_id, 17)"
+        edge = "pmod(request_id + idx, 50)"
 
-        def base(i: int) -> Column:
-            v = F.pmod(rid * 7 + idx * 13 + i * 29, F.lit(1000)) * 5
-            return F.concat(F.lit("0."), F.lpad(v.cast("string"), 4, "0"))
+        def base(i: int) -> str:
+            return f"concat('0.', lpad(CAST(pmod(request_id * 7 + idx * 13 + {i * 29}, 1000) * 5 AS STRING), 4, '0'))"
 
         sc = {c: base(i) for i, c in enumerate(CATEGORIES_FX)}
-        sc["harassment"] = F.when((brk == 3) & first, F.lit("1.2")).when(F.col("toxic") == 1, F.lit("0.9")).otherwise(sc["harassment"])
-        sc["hate"] = F.when((brk == 5) & first, F.lit('"0.5"')).when(edge == 0, F.lit("0.3995")).otherwise(sc["hate"])
-        sc["violence"] = F.when(edge == 1, F.lit("0.5005")).otherwise(sc["violence"])
-        sc["sexual"] = F.when(edge == 2, F.lit("0.4")).otherwise(sc["sexual"])
-        sc["self_harm"] = F.when(edge == 3, F.lit("0.8")).otherwise(sc["self_harm"])
-        sc["spam"] = F.when((brk == 8) & first, F.lit("NaN")).otherwise(sc["spam"])
-        index_txt = (F.when((brk == 4) & (idx == nn - 1), F.when(nn > 1, F.lit("0")).otherwise(F.lit("1")))
-                     .when((brk == 6) & (idx == 1), F.lit("1.0"))
-                     .otherwise(idx.cast("string")))
-        reason = (F.when(F.pmod(rid, F.lit(13)) == 0, F.lit("42"))
-                  .when(F.col("toxic") == 1, F.lit('"harassing language"'))
-                  .when(F.pmod(rid, F.lit(11)) == 0, F.concat(F.lit('"'), F.repeat(F.lit("long reason "), 30), F.lit('"')))
-                  .otherwise(F.lit('""')))
-        parts = [F.lit('{"index":'), index_txt, F.lit(',"scores":{')]
+        sc["harassment"] = f"CASE WHEN {brk} = 3 AND idx = 0 THEN '1.2' WHEN toxic = 1 THEN '0.9' ELSE {sc['harassment']} END"
+        sc["hate"] = f"""CASE WHEN {brk} = 5 AND idx = 0 THEN '"0.5"' WHEN {edge} = 0 THEN '0.3995' ELSE {sc['hate']} END"""
+        sc["violence"] = f"CASE WHEN {edge} = 1 THEN '0.5005' ELSE {sc['violence']} END"
+        sc["sexual"] = f"CASE WHEN {edge} = 2 THEN '0.4' ELSE {sc['sexual']} END"
+        sc["self_harm"] = f"CASE WHEN {edge} = 3 THEN '0.8' ELSE {sc['self_harm']} END"
+        sc["spam"] = f"CASE WHEN {brk} = 8 AND idx = 0 THEN 'NaN' ELSE {sc['spam']} END"
+        index_txt = (f"CASE WHEN {brk} = 4 AND idx = n - 1 THEN (CASE WHEN n > 1 THEN '0' ELSE '1' END) "
+                     f"WHEN {brk} = 6 AND idx = 1 THEN '1.0' ELSE CAST(idx AS STRING) END")
+        reason = ("""CASE WHEN pmod(request_id, 13) = 0 THEN '42' WHEN toxic = 1 THEN '"harassing language"' """
+                  """WHEN pmod(request_id, 11) = 0 THEN concat('"', repeat('long reason ', 30), '"') ELSE '""' END""")
+        parts = ["""'{"index":'""", index_txt, """',"scores":{'"""]
         for i, c in enumerate(CATEGORIES_FX):
-            parts += [F.lit(("," if i else "") + f'"{c}":'), sc[c]]
-        parts += [F.lit('},"reason":'), reason, F.lit("}")]
-        entry = F.concat(*parts)
-        keep = ~((brk == 2) & (idx == nn - 1))
+            parts += [sql_str(("," if i else "") + f'"{c}":'), sc[c]]
+        parts += ["""'},"reason":'""", reason, "'}'"]
+        entry = f"concat({', '.join(parts)})"
+        keep = f"NOT ({brk} = 2 AND idx = n - 1)"
         g = it.groupBy("request_id", "n").agg(
-            F.sort_array(F.collect_list(F.when(keep, F.struct(idx.alias("i"), entry.alias("e"))))).alias("es"))
-        body = F.concat(F.lit('{"results":['), F.array_join(F.col("es.e"), ","), F.lit("]}"))
-        r = F.col("request_id")
-        b = F.pmod(r, F.lit(17))
-        answer = F.when(b == 7, F.lit('{"results":{"index":0}}')).when(b == 1, F.concat(body, F.lit(" trailing"))).otherwise(body)
-        no_usage = F.pmod(r, F.lit(37)) == 0
-        n2 = F.col("n")
-        return g.select(
+            F.expr(f"sort_array(collect_list(CASE WHEN {keep} THEN struct(idx AS i, {entry} AS e) END))").alias("es"))
+        body = """concat('{"results":[', array_join(es.e, ','), ']}')"""
+        answer = (f"""CASE WHEN {brk} = 7 THEN '{{"results":{{"index":0}}}}' """
+                  f"WHEN {brk} = 1 THEN concat({body}, ' trailing') ELSE {body} END")
+        no_usage = "pmod(request_id, 37) = 0"
+        return g.selectExpr(
             "request_id",
-            answer.alias("answer"),
-            F.when(F.pmod(r, F.lit(19)) == 0, 500).otherwise(200).alias("upstream_status"),
-            F.when(no_usage, F.lit(None)).otherwise(100 + 50 * n2).cast("int").alias("prompt_tokens"),
-            F.when(F.pmod(r, F.lit(3)) == 0, 10 * n2).cast("int").alias("cached_tokens"),
-            F.when(no_usage, F.lit(None)).otherwise(40 * n2).cast("int").alias("completion_tokens"),
-            F.when(F.pmod(r, F.lit(2)) == 1, 5 * n2).cast("int").alias("reported_reasoning_tokens"),
-            F.pmod(r * 37, F.lit(500)).cast("int").alias("reasoning_chars"),
+            f"{answer} AS answer",
+            "CASE WHEN pmod(request_id, 19) = 0 THEN 500 ELSE 200 END AS upstream_status",
+            f"CAST(CASE WHEN {no_usage} THEN NULL ELSE 100 + 50 * n END AS INT) AS prompt_tokens",
+            "CAST(CASE WHEN pmod(request_id, 3) = 0 THEN 10 * n END AS INT) AS cached_tokens",
+            f"CAST(CASE WHEN {no_usage} THEN NULL ELSE 40 * n END AS INT) AS completion_tokens",
+            "CAST(CASE WHEN pmod(request_id, 2) = 1 THEN 5 * n END AS INT) AS reported_reasoning_tokens",
+            "CAST(pmod(request_id * 37, 500) AS INT) AS reasoning_chars",
         )
 
     @cached_property

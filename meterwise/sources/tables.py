@@ -16,7 +16,6 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DRIVER_TABLES = (
@@ -43,12 +42,14 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType:
     return s
 
 
+def utc_projection(schema: T.StructType) -> list[str]:
+    """Column list (SQL text) casting zone-less timestamps to ``timestamp``; one projection,
+    built without a round trip per column."""
+    return [f"CAST(`{f.name}` AS TIMESTAMP) AS `{f.name}`" if isinstance(f.dataType, T.TimestampNTZType) else f"`{f.name}`"
+            for f in schema.fields]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = table_path(sf_dir, name)
     schema = table_schema(spark, path)
-    df = spark.read.schema(schema).parquet(path)
-    casts = [
-        F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
-        for f in df.schema.fields
-    ]
-    return df.select(*casts)
+    return spark.read.schema(schema).parquet(path).selectExpr(*utc_projection(schema))

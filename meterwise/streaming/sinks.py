@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise.session import ensure_checkpoint_dir
-from meterwise.sources.tables import table_path, table_schema
+from meterwise.sources.tables import table_path, table_schema, utc_projection
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -34,9 +34,7 @@ def read_stream_table(spark: SparkSession, folder: str, name: str, max_files: in
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     s = reader.parquet(folder)
-    casts = [F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
-             for f in schema.fields]
-    return s.select(*casts)
+    return s.selectExpr(*utc_projection(schema))
 
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", batch_fn=None) -> str:
