@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterwise.config import DAILY_REQUEST_LIMIT, DEFAULT_RETRY_AFTER_S, MICROS_PER_CENT, PACK_CENTS
-from meterwise.operators.pricing import active_unit_price, cost_micros, price_micros
+from meterwise.operators.pricing import active_unit_price, cost_micros_of, price_micros_of
 from meterwise.operators.usage import window_counts
 
 BEARER = r"(?i)^Bearer\s+(\S+)$"
@@ -58,13 +58,13 @@ def admission(requests: DataFrame, validation: DataFrame, auth: DataFrame, usage
     """P2 (+P3): the answer to every attempt against the ``as_of`` snapshot, checks in the
     reference's order: 400 bad input, 401 no key, 503 no active price, 429 limit reached,
     402 balance below the quote, else 200."""
-    price = F.broadcast(active_unit_price(service_prices, service).select(F.lit(1).alias("_one"), "unit_price_micros"))
+    price = active_unit_price(service_prices, service).select("unit_price_micros").scalar()  # one row at most
     used = window_counts(usage, as_of)
     j = (requests.select("request_id").join(validation.select("request_id", "validation", "units"), "request_id", "inner")
          .join(auth, "request_id", "left")
          .join(used, "account_id", "left")
          .join(balances.select("account_id", "balance_micros"), "account_id", "left")
-         .withColumn("_one", F.lit(1)).join(price, "_one", "left").drop("_one"))
+         .withColumn("unit_price_micros", price))
     quote = (F.col("units").cast("long") * F.col("unit_price_micros"))
     u = F.coalesce(F.col("used"), F.lit(0))
     bal = F.coalesce(F.col("balance_micros"), F.lit(0))
@@ -82,11 +82,11 @@ def quote(requests: DataFrame, validation: DataFrame, auth: DataFrame, balances:
           service: str) -> DataFrame:
     """P5: units x price, whether the balance covers it, the balance after, and how many
     items each credit pack buys at this price."""
-    price = F.broadcast(active_unit_price(service_prices, service).select(F.lit(1).alias("_one"), "unit_price_micros"))
+    price = active_unit_price(service_prices, service).select("unit_price_micros").scalar()  # one row at most
     j = (validation.filter(F.col("validation") == "ok").select("request_id", "units")
          .join(auth.filter(F.col("account_id").isNotNull()), "request_id", "inner")
          .join(balances.select("account_id", "balance_micros"), "account_id", "left")
-         .withColumn("_one", F.lit(1)).join(price, "_one", "inner").drop("_one"))
+         .withColumn("unit_price_micros", price).filter(F.col("unit_price_micros").isNotNull()))
     q = F.col("units").cast("long") * F.col("unit_price_micros")
     bal = F.coalesce(F.col("balance_micros"), F.lit(0)).cast("long")
     packs = [F.floor(F.lit(c * MICROS_PER_CENT) / F.col("unit_price_micros")).cast("long").alias(f"items_per_pack_{c}")
@@ -216,7 +216,7 @@ def metering(admitted: DataFrame, answers: DataFrame, rejects: DataFrame, reason
         F.lit(None).cast("int").alias("latency_ms"),
         F.col("at").alias("created_at"),
     )
-    rows = price_micros(rows, service_prices, out="price_micros")
-    rows = cost_micros(rows, model_costs, out="cost_micros")
+    rows = price_micros_of(rows, service_prices, service, out="price_micros")
+    rows = cost_micros_of(rows, model_costs, model, out="cost_micros")
     return rows.select("id", "account_id", "api_key_id", "service", "units", "model", "input_tokens", "cached_input_tokens",
                        "output_tokens", "reasoning_tokens", "price_micros", "cost_micros", "status", "latency_ms", "created_at")

@@ -24,8 +24,19 @@ def price_micros(calls: DataFrame, service_prices: DataFrame, service_col: str =
     """``max(units, 0) * unit price`` of the service; unknown service = 0. Ignores ``active``."""
     sp = _config(service_prices.select(F.col("service").alias("_svc"), F.col("unit_price_micros").alias("_unit_price")))
     j = calls.join(sp, calls[service_col] == sp["_svc"], "left")
-    price = F.coalesce(F.greatest(F.col(units_col).cast("long"), F.lit(0)) * F.col("_unit_price"), F.lit(0)).cast("long")
-    return j.withColumn(out, price).drop("_svc", "_unit_price")
+    return j.withColumn(out, _price(F.col(units_col), F.col("_unit_price"))).drop("_svc", "_unit_price")
+
+
+def _price(units: Column, unit_price: Column) -> Column:
+    return F.coalesce(F.greatest(units.cast("long"), F.lit(0)) * unit_price, F.lit(0)).cast("long")
+
+
+def price_micros_of(calls: DataFrame, service_prices: DataFrame, service: str, units_col: str = "units",
+                    out: str = "price_micros") -> DataFrame:
+    """U1 for calls that all use one known service: the unit price is a scalar subquery
+    (the service is the key, so one row at most), not a join on a constant."""
+    unit = service_prices.filter(F.col("service") == service).select("unit_price_micros").scalar()
+    return calls.withColumn(out, _price(F.col(units_col), unit))
 
 
 def _dec(c: str) -> Column:
@@ -54,13 +65,24 @@ def cost_micros(calls: DataFrame, model_costs: DataFrame, model_col: str = "mode
     i, c, o = cols
     mc = _config(model_costs.withColumnRenamed("model", "_model"))
     j = calls.join(mc, calls[model_col] == mc["_model"], "left")
-    amount = (
-        F.greatest(_dec(i) - _dec(c), F.lit(0)) * F.col("input_usd_per_mtok")
-        + _dec(c) * F.col("cached_input_usd_per_mtok")
-        + _dec(o) * F.col("output_usd_per_mtok")
-    )
-    return j.withColumn(out, F.coalesce(F.round(amount, 0).cast("long"), F.lit(0).cast("long"))).drop(
-        "_model", "input_usd_per_mtok", "cached_input_usd_per_mtok", "output_usd_per_mtok")
+    cost = _cost(cols, F.col("input_usd_per_mtok"), F.col("cached_input_usd_per_mtok"), F.col("output_usd_per_mtok"))
+    return j.withColumn(out, cost).drop("_model", "input_usd_per_mtok", "cached_input_usd_per_mtok", "output_usd_per_mtok")
+
+
+def _cost(cols, r_in: Column, r_cached: Column, r_out: Column) -> Column:
+    i, c, o = cols
+    amount = F.greatest(_dec(i) - _dec(c), F.lit(0)) * r_in + _dec(c) * r_cached + _dec(o) * r_out
+    return F.coalesce(F.round(amount, 0).cast("long"), F.lit(0).cast("long"))
+
+
+def cost_micros_of(calls: DataFrame, model_costs: DataFrame, model: str, out: str = "cost_micros_now",
+                   cols=("input_tokens", "cached_input_tokens", "output_tokens")) -> DataFrame:
+    """U3 for calls that all use one known model: its three rates come from one scalar
+    subquery (the model is the key, so one row at most), not a join on a constant."""
+    r = (model_costs.filter(F.col("model") == model)
+         .select(F.struct("input_usd_per_mtok", "cached_input_usd_per_mtok", "output_usd_per_mtok")).scalar())
+    return calls.withColumn(out, _cost(cols, r.getField("input_usd_per_mtok"), r.getField("cached_input_usd_per_mtok"),
+                                       r.getField("output_usd_per_mtok")))
 
 
 def active_unit_price(service_prices: DataFrame, service: str) -> DataFrame:
@@ -70,9 +92,9 @@ def active_unit_price(service_prices: DataFrame, service: str) -> DataFrame:
 
 def price_lookup(accounts: DataFrame, balances: DataFrame, service_prices: DataFrame, service: str) -> DataFrame:
     """Per account its balance (0 when absent) and the service's active unit price (NULL when not sold)."""
-    price = _config(active_unit_price(service_prices, service))
-    a = accounts.select("account_id").withColumn("service", F.lit(service))
-    out = a.join(balances.select("account_id", "balance_micros"), "account_id", "left").join(price, "service", "left")
+    price = active_unit_price(service_prices, service).select("unit_price_micros").scalar()  # one row at most
+    out = (accounts.select("account_id").join(balances.select("account_id", "balance_micros"), "account_id", "left")
+           .withColumn("unit_price_micros", price))
     return out.select("account_id", F.coalesce("balance_micros", F.lit(0)).cast("long").alias("balance_micros"), "unit_price_micros")
 
 

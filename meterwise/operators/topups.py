@@ -117,9 +117,7 @@ def topup_commands(candidates: DataFrame, promotion_codes: DataFrame, promotion_
     promo = (promotion_codes.filter((F.col("code") == promotion_code) & F.col("active"))
              .groupBy("code").agg(F.max_by("id", F.struct("created", "id")).alias("promotion_id"))
              .select(F.col("promotion_id")))
-    c = candidates.withColumn("_code", F.lit(promotion_code))
-    promo_b = F.broadcast(promo.withColumn("_code", F.lit(promotion_code)))  # at most one row per code
-    c = c.join(promo_b, "_code", "left").drop("_code")
+    c = candidates.withColumn("promotion_id", promo.scalar())  # one row at most: grouped by the one code
     slot = F.lit(cooldown_slot(as_of))
     key = (F.concat_ws(":", F.lit("topup"), F.col("account_id").cast("string"), slot.cast("string")) if trigger == "schedule" else
            F.concat_ws(":", F.lit("topup"), F.col("account_id").cast("string"), F.lit("manual"),

@@ -49,12 +49,12 @@ def dashboard(fx: Fixtures) -> DataFrame:
         "account_id", F.struct(F.lit(DAILY_REQUEST_LIMIT).alias("per_day"), "used", "remaining", "next_slot_at").alias("limit"))
     avail = TU.topup_available(acc, snap, fx.charges).select(
         "account_id", (F.col("available_free") if p.free_mode else F.col("available_paid")).alias("available"))
-    price = F.broadcast(active_unit_price(fx.service_prices, p.service).select(F.lit(1).alias("_one"), "unit_price_micros"))
+    price = active_unit_price(fx.service_prices, p.service).select("unit_price_micros").scalar()  # one row at most
     out = (acc.select("account_id", "auto_topup_enabled", "auto_topup_threshold_micros", "auto_topup_amount_cents", "auto_topup_error")
            .join(wallet, "account_id", "left").join(card, "account_id", "left").join(purchases_n, "account_id", "left")
            .join(topups_n, "account_id", "left").join(keys_n, "account_id", "left").join(daily_n, "account_id", "left")
            .join(recent_n, "account_id", "left").join(limit, "account_id", "left").join(avail, "account_id", "left")
-           .withColumn("_one", F.lit(1)).join(price, "_one", "left").drop("_one"))
+           .withColumn("unit_price_micros", price))
 
     def empty(c: str):
         return F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType))
