@@ -137,3 +137,12 @@ def test_debit_never_below_zero(spark):
     b = spark.createDataFrame([(1, 3_000_000), (2, -5), (3, 0), (4, 10_000_000)], "account_id long, balance_micros long")
     got = {r.account_id: r.amount_micros for r in TU.debit_amount(b, 500).collect()}
     assert got == {1: 3_000_000, 4: 5_000_000}
+
+
+def test_cluster_conf_sizes_partitions():
+    from meterwise.session import cluster_conf
+
+    c = cluster_conf(20 * 1024**4)  # a 20 TB shuffle
+    assert int(c["spark.sql.shuffle.partitions"]) == 20 * 1024**4 // (128 * 1024 * 1024)
+    assert c["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == c["spark.sql.shuffle.partitions"]
+    assert cluster_conf(1)["spark.sql.shuffle.partitions"] == "200"
