@@ -42,3 +42,16 @@ def test_scans_read_only_needed_columns(plans):
     # W5 never reads the documents' text or lineitem prices.
     p = plans["balances"]
     assert "l_extendedprice" not in p and "l_comment" not in p
+
+
+@pytest.mark.parametrize("name", ["recent_charges", "purchases_top10", "recent_ledger", "recent_topups", "log_tail", "log_search"])
+def test_top_n_lists_cut_before_the_shuffle(plans, name):
+    # A hot key sends at most N rows per map task (the 5,000-line log tail included).
+    assert "WindowGroupLimit" in plans[name] and "Partial" in plans[name]
+
+
+@pytest.mark.parametrize("name", ["rolling_24h", "running_balance"])
+def test_per_row_windows_split_a_busy_account_by_day(plans, name):
+    # T6 / T7 sort (account, UTC day) partitions, never one account's whole history.
+    specs = [line for line in plans[name].splitlines() if " Window [" in line and "_day" in line]
+    assert specs and all("windowspecdefinition(account_id" in line for line in specs)
