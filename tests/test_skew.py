@@ -81,3 +81,35 @@ def test_spend_per_account_matches_brute_force(spark, usage, calls):
     for _, acc, _, p in calls:
         want[acc] = want.get(acc, 0) + p
     assert got == want
+
+
+def test_replay_fold_carries_a_hot_account_across_arrow_batches(spark):
+    from test_properties import _brute_force_replay
+
+    from meterwise.operators import admission as AD
+
+    rnd = random.Random(11)
+    base = 1_706_659_200 * 1_000_000  # 2024-01-31 UTC
+    rows, rid = [], 0
+    for acc, n in [(HOT, 2000)] + [(a, 50) for a in range(2, 42)]:
+        bal = 5_000_000 if acc == HOT else rnd.randrange(0, 400_000)
+        for _ in range(2):
+            rows.append((None, acc, base - rnd.randrange(DAY_US), 0, "none", "prior", bal))
+        for _ in range(n):
+            rid += 1
+            outcome = rnd.choices(["ok", "invalid", "upstream"], [70, 15, 15])[0]
+            rows.append((rid, acc, base + rnd.randrange(20 * DAY_US), rnd.randrange(1000, 50_000), outcome, "attempt", bal))
+    df = spark.createDataFrame(rows, "request_id long, account_id long, us long, quote_micros long, outcome string, "
+                                     "kind string, balance_micros long")
+    df = df.select("request_id", "account_id", F.timestamp_micros("us").alias("at"), "quote_micros", "outcome", "kind",
+                   "balance_micros")
+    want = _brute_force_replay([r.asDict() for r in df.collect()])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "50")  # the hot account spans about 40 batches of one task
+    try:
+        got = sorted((r.request_id, r.status_code) for r in AD.replay_fold(df).collect())
+    finally:
+        spark.conf.set(key, old)
+    assert got == want
+    assert {s for _, s in want} >= {200, 402, 429, 502}
