@@ -143,9 +143,10 @@ def replay_fold(rows: DataFrame, limit: int = DAILY_REQUEST_LIMIT, partitions: i
     (account, prior calls first, time, id) and stream the rows through one Arrow-batched
     ``mapInPandas`` pass that resets its small state at every new account. No per-group
     Python call, no group materialised as one pandas frame."""
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (rows.repartition(n, "account_id")
-               .sortWithinPartitions("account_id", F.desc("kind"), "at", "request_id"))
+    # Without an explicit count AQE may merge small partitions (whole partitions, so an
+    # account is never split) and sizes the fold's tasks by data.
+    parts = rows.repartition(partitions, "account_id") if partitions else rows.repartition("account_id")
+    ordered = parts.sortWithinPartitions("account_id", F.desc("kind"), "at", "request_id")
     return ordered.mapInPandas(_replay_partition(limit), REPLAY_SCHEMA)
 
 
