@@ -5,7 +5,9 @@ The reference evaluates ``price_micros(service, units)`` and
 call. Here the lookup tables (services, models, price history) are small
 configuration tables with one row per service / model / price change, so
 they are broadcast and joined once per batch of calls; the big side (the
-ledger) is never shuffled for pricing.
+ledger) is never shuffled for pricing. When every call uses one known service
+or model (metering, the price lookup), the rates are a scalar subquery instead:
+a join on a constant key would plan as a keyless nested-loop join.
 """
 
 from __future__ import annotations
