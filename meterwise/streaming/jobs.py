@@ -250,8 +250,11 @@ def stream_admission(rows: DataFrame, slot_hours: int = 12, limit: int = DAILY_R
     spark = rows.sparkSession
     d = stream_dir(spark, "admission")
     slot = F.floor(F.unix_seconds("at") / (slot_hours * 3600)).cast("long")
-    staged = rows.withColumn("_slot", slot)
-    schema = staged.drop("_slot").schema
+    # The fold input is computed once and written by slot; each arrival then reads only
+    # its own slot's folder (partition pruning), so nothing upstream runs per slot.
+    rows.withColumn("_slot", slot).write.partitionBy("_slot").parquet(f"{d}/staged")
+    staged = spark.read.parquet(f"{d}/staged")
+    schema = rows.schema
     slots = sorted(r[0] for r in staged.select("_slot").distinct().collect())  # a few time slots, not data
 
     def write(bdf: DataFrame, bid: int) -> None:
