@@ -156,7 +156,22 @@ def stream_late(fx: StreamFixtures, files: int = 8) -> DataFrame:
     lag); late rows go to a side table. The watermark is a one-row table in the sink."""
     spark = fx.spark
     stage = stream_dir(spark, "late-input")
-    _static(fx).raw("events").repartitionByRange(files, "event_id").write.mode("overwrite").parquet(f"{stage}/in/events.parquet")
+    # Arrival order is the point of this job, so it is made explicit: the events are cut
+    # into ``files`` event-id ranges once and landed one after another (each landing a later
+    # file; the stream takes one file per trigger in that order). Every tenth event is a
+    # straggler: it reaches the feed right after the next range.
+    _static(fx).raw("events").repartitionByRange(files, "event_id").write.mode("overwrite").parquet(f"{stage}/chunks")
+    ranges = sorted(r[0] for r in spark.read.parquet(f"{stage}/chunks").select(F.input_file_name()).distinct().collect())
+    straggler = F.pmod(F.col("event_id"), F.lit(10)) == 0
+    landings = []  # one file name per range (part index = range order), not data
+    for k, name in enumerate(ranges):
+        landings.append((name, ~straggler))
+        if k:
+            landings.append((ranges[k - 1], straggler))
+    if ranges:
+        landings.append((ranges[-1], straggler))
+    for name, keep in landings:
+        spark.read.parquet(name).filter(keep).write.mode("append").parquet(f"{stage}/in/events.parquet")
     src = (spark.readStream.schema(spark.read.parquet(f"{stage}/in/events.parquet").schema)
            .option("maxFilesPerTrigger", 1).parquet(f"{stage}/in/events.parquet"))
     lag = timedelta(minutes=SYNC_LAG_MINUTES)
@@ -167,8 +182,12 @@ def stream_late(fx: StreamFixtures, files: int = 8) -> DataFrame:
         except Exception:
             wm = None
         late = F.lit(False) if wm is None else (F.col("ts") < F.lit(wm - lag).cast("timestamp"))
-        bdf.withColumn("late", late).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
-        bdf.agg(F.max("ts").alias("max_ts")).write.mode("overwrite").parquet(f"{d}/watermark/_batch={bid}")
+        bdf.persist()  # two outputs from one read of the batch (a lost block is re-read from the source)
+        try:
+            bdf.withColumn("late", late).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+            bdf.agg(F.max("ts").alias("max_ts")).write.mode("overwrite").parquet(f"{d}/watermark/_batch={bid}")
+        finally:
+            bdf.unpersist()
 
     path = run_available_now(src, "late", batch_fn=batch_fn)
     return read_sink(spark, path, src.schema)
