@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterwise.llm import language_id, suffix_arrays
+from meterwise.llm import language_id, ngram_join, suffix_arrays
 from meterwise.llm.folds import held_out
 
 
@@ -49,9 +49,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = """
+WITH RECURSIVE low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM low WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pairs JOIN size s ON s.doc_id = x JOIN size t ON t.doc_id = y WHERE 100 * c >= 75 * (s.n + t.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM low UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT low.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM low LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_arrays": op3_suffix_arrays,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_suffix_arrays": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_suffix_arrays": OP3_SQL, "op6_ngram_jaccard_join": OP6_SQL}
