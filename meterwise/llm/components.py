@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     then the label of that label; labels only fall, and the rounds end when none did. Hubs
     are summed up before the shuffle (partial minimum) and split by the skew join.
     """
-    both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct()
-    both = written(both, "edges")
+    ways = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    both = written(edges.where("x <> y").select(ways.alias("e")).select("e.x", "e.y").distinct(), "edges")
     labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
         told = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("told"))
