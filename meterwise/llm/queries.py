@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterwise.llm import language_id, ngram_join, suffix_arrays
+from meterwise.llm import language_id, ngram_join, pivotal_mix, suffix_arrays, warc
 from meterwise.llm.folds import held_out
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_mix.taken(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first <> page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest
+"""
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -70,9 +89,11 @@ FROM low LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS compo
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pivotal_mix": op2_pivotal_mix,
     "op3_suffix_arrays": op3_suffix_arrays,
+    "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_suffix_arrays": OP3_SQL, "op6_ngram_jaccard_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_suffix_arrays": OP3_SQL, "op5_warc": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}
