@@ -256,7 +256,8 @@ def groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     placed = nodes.join(large, "root").withColumn("p", part).withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
     placed = placed.select("root", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "digest", "i", "h")
     texts = rows.withColumnRenamed("doc_id", "j").withColumnRenamed("h", "g")
-    found = placed.join(texts, (F.col("h") == F.col("g")) & F.col("i").eqNullSafe(F.col("j"))).select("root", "p", "q", "digest", "text")
+    # always by a shuffle of both sides: the texts are no more than once the input
+    found = placed.hint("merge").join(texts, (F.col("h") == F.col("g")) & F.col("i").eqNullSafe(F.col("j"))).select("root", "p", "q", "digest", "text")
     links = found.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_blocks(percent), "x bigint, y bigint")
     linked = components(links).withColumnRenamed("node", "digest")
     # the smallest id of each set, then of each component of sets
