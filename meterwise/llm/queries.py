@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterwise.llm import language_id, ngram_join, pivotal_mix, suffix_arrays, warc
+from meterwise.llm import backoff_lm, language_id, ngram_join, pivotal_mix, suffix_arrays, warc
 from meterwise.llm.folds import held_out
 
 
@@ -88,12 +88,17 @@ FROM low LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS compo
 """
 
 
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivotal_mix": op2_pivotal_mix,
     "op3_suffix_arrays": op3_suffix_arrays,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
+    "op10_backoff_lm": op10_backoff_lm,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op3_suffix_arrays": OP3_SQL, "op5_warc": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}
