@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from meterwise.llm import words as W
 from meterwise.llm.scratch import written
 
-BUCKET = 20_000
+BUCKET = 4_000
 FAN = 1_000
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
