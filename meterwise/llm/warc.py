@@ -159,5 +159,6 @@ def _reader(with_payload: bool):
 def read(index: DataFrame, *, payload: bool = True) -> DataFrame:
     """The records of the index rows given: page_id, url, payload_bytes, payload_digest,
     record_type, refers_to and, if asked for, payload (null for a revisit)."""
-    spots = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / F.lit(STRETCH))).sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    spots = index.select("file", "offset", "length").repartition(max(1, -(-size // STRETCH)), "file", F.floor(F.col("offset") / F.lit(STRETCH))).sortWithinPartitions("file", "offset")
     return spots.mapInArrow(_reader(payload), RECORD + (", payload string" if payload else ""))
