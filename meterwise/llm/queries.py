@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterwise.llm import backoff_lm, language_id, ngram_join, pivotal_mix, suffix_arrays, warc
+from meterwise.llm import backoff_lm, decision_list, knn_quality, language_id, ngram_join, pivotal_mix, suffix_arrays, warc
 from meterwise.llm.folds import held_out
+from meterwise.llm.scratch import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = knn_quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()), "quality")
+    return knn_quality.predict(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.taken(table(spark, sf_dir, "documents"))
 
@@ -88,16 +95,28 @@ FROM low LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS compo
 """
 
 
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(decision_list.statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("y"))
+    rules = decision_list.learn(own.join(labels, "doc_id"))
+    failed = decision_list.base_failed()
+    return own.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & decision_list.verdict(rules)).alias("kept"), decision_list.number_of_first_rule(rules).alias("rule"))
+
+
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn_quality": op1_knn_quality,
     "op2_pivotal_mix": op2_pivotal_mix,
     "op3_suffix_arrays": op3_suffix_arrays,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
+    "op8_decision_list": op8_decision_list,
     "op10_backoff_lm": op10_backoff_lm,
     "pipeline": corpus_pipeline.run,
 }
