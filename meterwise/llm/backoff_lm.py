@@ -74,13 +74,14 @@ def _pack(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 5, -1)
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The columns again: 64 bits for the first, 32 for the others."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(5, 5, -1)
     out = []
-    for c in raw:
-        x = np.zeros((c.shape[1], 8), np.uint8)
-        x[:, :5] = c.T
-        out.append(x.view("<u8").ravel())
+    for k, c in enumerate(raw):
+        x = np.zeros((c.shape[1], 4 if k else 8), np.uint8)
+        x[:, : 4 if k else 5] = c[: 4 if k else 5].T
+        out.append(x.view("<u4" if k else "<u8").ravel())
     return out
 
 
@@ -167,37 +168,45 @@ def _entries(shared, partitions: int, id_type: pa.DataType):
 
 def _score_part(runs: list[int], data: list[bytes], table: np.ndarray, total: int) -> pa.RecordBatch:
     """(run, docs, sums, backoffs) of one partition's pieces."""
-    pieces = [_unpack(x, 5) for x in data]
-    pair = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in pieces])
-    count, own1, own2 = (np.concatenate([p[k] for p in pieces]).astype(np.int64) for k in (2, 3, 4))
-    if len(pair) < 1 << 24:
-        packed = np.sort((pair << np.uint64(24)) | np.arange(len(pair), dtype=np.uint64))
-        order = (packed & np.uint64(0xFFFFFF)).astype(np.int64)
-    else:
-        order = np.argsort(pair, kind="stable")
-    at = W.run_starts(pair[order])
-    elsewhere = np.empty(len(pair), np.int64)
-    elsewhere[order] = np.repeat(np.add.reduceat(count[order], at), np.diff(np.append(at, len(order))))
-    elsewhere -= count
-    both = unscramble(pair)
-    before = table[(both >> np.uint64(VOCAB_BITS)).astype(np.int64)] - own1
-    word = table[(both & np.uint64(_V - 1)).astype(np.int64)] - own2
-    seen = elsewhere > 0
-    score = np.log(ALPHA) + _share(word, total)
-    score[seen] = np.log(elsewhere[seen] / before[seen])
-    score *= count
-    back = count * ~seen
-    docs, sums, backs, k = [], [], [], 0
+    pieces = [_unpack(x) for x in data]
     for p in pieces:
-        d, n = p[1].astype(np.int64), len(p[1])
+        p[0] = np.cumsum(p[0], dtype=np.uint64)
+    elsewhere = _totals(np.concatenate([p[0] for p in pieces]), np.concatenate([p[2] for p in pieces]))
+    docs, sums, backs, k = [], [], [], 0
+    for pair, doc, count, own1, own2 in pieces:
+        both = unscramble(pair)
+        more = elsewhere[k : k + len(pair)] - count
+        before = table[(both >> np.uint64(VOCAB_BITS)).astype(np.int64)] - own1
+        score = np.log(ALPHA) + _share(table[(both & np.uint64(_V - 1)).astype(np.int64)] - own2, total)
+        seen = more > 0
+        score[seen] = np.log(more[seen] / before[seen])
+        d = doc.astype(np.int64)
         there = np.flatnonzero(np.bincount(d))
-        docs.append(there.astype("<i4").tobytes())
-        sums.append(np.bincount(d, score[k : k + n])[there].tobytes())
-        backs.append(np.bincount(d, back[k : k + n])[there].astype("<i4").tobytes())
-        k += n
+        docs.append(zstandard.compress(np.diff(there, prepend=0).astype("<i4").tobytes(), 1))
+        sums.append(np.bincount(d, score * count)[there].tobytes())
+        backs.append(zstandard.compress(np.bincount(d, count * ~seen)[there].astype("<i4").tobytes(), 1))
+        k += len(pair)
     return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), *(pa.array(x, pa.binary()) for x in (docs, sums, backs))], names=["run", "docs", "sums", "backs"])
 
 
+def _totals(pair: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each entry the count of its pair over all entries."""
+    n = len(pair)
+    if n < 1 << 24:
+        pair <<= np.uint64(24)
+        pair |= np.arange(n, dtype=np.uint64)
+        pair.sort()
+        order = (pair & np.uint64(0xFFFFFF)).astype(np.int32)
+        pair >>= np.uint64(24)
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+    at = W.run_starts(pair)
+    out = np.empty(n, np.int64)
+    out[order] = np.repeat(np.add.reduceat(count[order].astype(np.int64), at), np.diff(np.append(at, n)))
+    return out
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: np.ndarray = shared.value
@@ -235,7 +244,7 @@ def _sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if last is not None:
                     yield close()
                 last, sums, backs = number, np.zeros(0), np.zeros(0, np.int64)
-            d, s, b = np.frombuffer(d, "<i4"), np.frombuffer(s), np.frombuffer(b, "<i4")
+            d, s, b = np.cumsum(np.frombuffer(zstandard.decompress(d), "<i4")), np.frombuffer(s), np.frombuffer(zstandard.decompress(b), "<i4")
             more = int(d[-1]) + 1 - len(sums)
             if more > 0:
                 sums, backs = np.append(sums, np.zeros(more)), np.append(backs, np.zeros(more, np.int64))
