@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterwise.llm import backoff_lm, decision_list, knn_quality, language_id, ngram_join, pivotal_mix, suffix_arrays, warc
+from meterwise.llm import backoff_lm, decision_list, knn_quality, language_id, line_dedup, ngram_join, pivotal_mix, suffix_arrays, warc
 from meterwise.llm.folds import held_out
 from meterwise.llm.scratch import written
 
@@ -60,6 +60,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_exact", "n_near", "whole", F.col("row.text").alias("text"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_quality": op1_knn_quality,
     "op2_pivotal_mix": op2_pivotal_mix,
     "op3_suffix_arrays": op3_suffix_arrays,
+    "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
