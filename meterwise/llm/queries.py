@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterwise.llm import backoff_lm, decision_list, knn_quality, language_id, line_dedup, ngram_join, pivotal_mix, suffix_arrays, warc
+from meterwise.llm import backoff_lm, decision_list, knn_quality, language_id, line_dedup, ngram_join, pivotal_mix, preferences, suffix_arrays, warc
 from meterwise.llm.folds import held_out
 from meterwise.llm.scratch import written
 
@@ -110,6 +110,39 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~failed & decision_list.verdict(rules)).alias("kept"), decision_list.number_of_first_rule(rules).alias("rule"))
 
 
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(preferences.turns(table(spark, sf_dir, "conversations")), "turns")
+    out = preferences.format_pairs(own, preferences.pairs(own))
+    spans = lambda c: F.aggregate(c, F.lit(0), lambda acc, s: acc + s["end"] - s["start"]).cast("long")
+    return out.select("chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_trained"), spans("rejected_mask").alias("rejected_trained"))
+
+
+# The masks themselves are checked in the tests; here by the number of characters that train.
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, m.role AS role, m.text AS text FROM (
+    SELECT conv_id, turn, min({'role': coalesce(role, 'none'), 'text': replace(coalesce(text, ''), '<|', '< |')}) AS m
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)),
+talk AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS l, list(turn ORDER BY turn) AS turns,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said FROM t GROUP BY conv_id),
+best AS (SELECT l[1] AS opening, arg_min(conv_id, (-said, conv_id)) AS chosen_id FROM talk GROUP BY l[1]),
+pair AS (
+  SELECT b.chosen_id, r.conv_id AS rejected_id, c.l AS c, r.l AS r,
+    coalesce(list_min([i FOR i IN range(1, greatest(len(c.l), len(r.l)) + 1) IF c.l[i] IS DISTINCT FROM r.l[i]]) - 1, len(c.l)) AS p
+  FROM talk r JOIN best b ON b.opening = r.l[1] JOIN talk c ON c.conv_id = b.chosen_id
+  WHERE r.conv_id <> b.chosen_id AND (c.l <> r.l OR c.turns <> r.turns)),
+cut AS (SELECT chosen_id, rejected_id, p, c[1:p] AS h, c[p + 1:] AS c, r[p + 1:] AS r FROM pair)
+SELECT chosen_id, rejected_id, CAST(p AS INTEGER) AS n_prompt_turns,
+  coalesce(array_to_string([concat('<|', x.role, '|>', chr(10), x.text, '<|end|>', chr(10)) FOR x IN h], ''), '') AS prompt,
+  coalesce(array_to_string([concat('<|', x.role, '|>', chr(10), x.text, '<|end|>', chr(10)) FOR x IN c], ''), '') AS chosen,
+  coalesce(array_to_string([concat('<|', x.role, '|>', chr(10), x.text, '<|end|>', chr(10)) FOR x IN r], ''), '') AS rejected,
+  CAST(coalesce(list_sum([length(x.text) + 8 FOR x IN c IF x.role = 'assistant']), 0) AS BIGINT) AS chosen_trained,
+  CAST(coalesce(list_sum([length(x.text) + 8 FOR x IN r IF x.role = 'assistant']), 0) AS BIGINT) AS rejected_trained
+FROM cut
+"""
+
+
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score(table(spark, sf_dir, "documents"))
 
@@ -123,7 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_decision_list": op8_decision_list,
+    "op9_preferences": op9_preferences,
     "op10_backoff_lm": op10_backoff_lm,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_suffix_arrays": OP3_SQL, "op5_warc": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_suffix_arrays": OP3_SQL, "op5_warc": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op9_preferences": OP9_SQL}
