@@ -1,3 +1,60 @@
-STAGES = []
-def run(spark, sf_dir):
-    return spark.range(0)
+"""Corpus pipeline: documents in, a mixed training corpus out, stage by stage.
+
+Every stage works on all that the stage before it kept and returns the columns of documents;
+each result is written as Parquet and read again as the next stage's documents. The last stage
+repeats rows as often as the mix takes them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from meterwise.llm import language_id, line_dedup, ngram_join, pivotal_mix, suffix_arrays
+from meterwise.llm.scratch import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told (no letters, or no language likelier than
+    all others together). Learns from the labelled languages of the documents given."""
+    return language_id.keep_identified(docs, language_id.train(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that repeat an earlier line, and documents that lose all their words so."""
+    return line_dedup.clean(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by shingles."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark passages."""
+    return suffix_arrays.decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes every source to its share of the words; a row per copy taken."""
+    return pivotal_mix.mix(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", dedup_documents),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+]
+
+# Trained models and random rounding have no SQL form; the stages are tested one by one.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
