@@ -170,6 +170,22 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(ok, F.pmod(F.floor(state / F.pow(F.lit(2), F.greatest(diagonal, F.lit(0)))), F.lit(2)) == 1).otherwise(F.lit(False))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def near(x: Column, y: Column, edits: int) -> Column:
+    """``within``, the common beginning and end left away first."""
+
+    def end(s: Column) -> Column:
+        cut = lambda q: F.struct(*[F.left(s[c], F.length(s[c]) - q).alias(c) for c in "xy"])
+        return _let(_let(_common(s["x"], s["y"], True), cut), lambda m: within(m["x"], m["y"], edits))
+
+    begin = lambda p: F.struct(*[F.right(c, F.length(c) - p).alias(n) for n, c in (("x", x), ("y", y))])
+    return _let(_let(_common(x, y, False), begin), end)
+
+
 def near_pairs(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """(a, b): hashes of different distinct lines within ``edits`` edits."""
     segments, found, hot = edits + 1, None, None
@@ -190,11 +206,7 @@ def near_pairs(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     texts = written(_of_hashes(lines, written(ids, "line-ids")), "line-texts")
     both = found.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a")
     both = both.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b").where(F.abs(F.col("nx") - F.col("ny")) <= edits)
-    both = both.withColumn("p", _common(F.col("x"), F.col("y"), False))
-    both = both.withColumn("x", F.expr("substring(x, p + 1)")).withColumn("y", F.expr("substring(y, p + 1)"))
-    both = both.withColumn("q", _common(F.col("x"), F.col("y"), True))
-    both = both.withColumn("x", F.expr("left(x, length(x) - q)")).withColumn("y", F.expr("left(y, length(y) - q)"))
-    return both.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    return both.where(near(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
 def removals(docs: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:

@@ -62,8 +62,8 @@ def test_within_is_edit_distance(spark):
     pairs = [("".join(rng.choice("ab") for _ in range(rng.randint(0, 7))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 7)))) for _ in range(300)]
     df = spark.createDataFrame(pairs, "a string, b string")
     for edits in (1, 2, 3):
-        rows = df.select("a", "b", L.within(F.col("a"), F.col("b"), edits).alias("ok"), L._common(F.col("a"), F.col("b"), False).alias("p")).collect()
-        assert all(r.ok == (distance(r.a, r.b) <= edits) for r in rows)
+        rows = df.select("a", "b", L.within(F.col("a"), F.col("b"), edits).alias("ok"), L.near(F.col("a"), F.col("b"), edits).alias("cut")).collect()
+        assert all(r.ok == r.cut == (distance(r.a, r.b) <= edits) for r in rows)
 
 
 def test_clean_keeps_columns_and_drops_emptied_documents(spark):
