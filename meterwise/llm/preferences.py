@@ -10,6 +10,8 @@ back is split by the skew join. Pairs from elsewhere (chosen_id, rejected_id) do
 renders what is left of each as completion. A mask lists the character ranges [start, end) of
 a completion that train: the assistant's texts and the marks that end them.
 
+``format_replies`` makes pairs of one conversation each: its last reply against the one before.
+
 Edge cases: turns are in order of their number; of rows with equal conv_id and turn the first
 by (role, text) counts; rows with a null conv_id or turn are left out. A null role renders as
 ``none``, a null text as an empty one. A mark within a text is broken up by a blank, so that
@@ -64,12 +66,31 @@ def _mask(part: Column) -> Column:
     return F.aggregate(part, none, add, lambda acc: acc["spans"])
 
 
+def _whole(own: DataFrame) -> DataFrame:
+    return own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+
 def format_pairs(own: DataFrame, found: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected,
     rejected_mask per pair of conversations given by their turns."""
-    whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    whole = _whole(own)
     both = found.join(whole.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r")), "rejected_id")
-    both = both.join(whole.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c")), "chosen_id")
+    return _formatted(both.join(whole.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c")), "chosen_id"))
+
+
+def format_replies(own: DataFrame) -> DataFrame:
+    """The same, of each conversation up to its last reply (assistant turn) as chosen, and
+    with the reply before that in place of the last, if it differs, as rejected."""
+    last = lambda c, k: F.get(c, F.size(c) - k)
+    two = _whole(own).withColumn("a", F.filter("turns", lambda t: t["role"] == "assistant")).where(F.size("a") > 1)
+    two = two.where(last(F.col("a"), 1)["text"] != last(F.col("a"), 2)["text"])
+    before = F.filter("turns", lambda t: t["turn"] < last(F.col("a"), 1)["turn"])
+    stale = F.struct(last(F.col("a"), 1)["turn"].alias("turn"), F.lit("assistant").alias("role"), last(F.col("a"), 2)["text"].alias("text"))
+    return _formatted(two.select(
+        F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), F.concat(before, F.array(last(F.col("a"), 1))).alias("c"), F.concat(before, F.array(stale)).alias("r")))
+
+
+def _formatted(both: DataFrame) -> DataFrame:
     same = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     differs = F.array_position(same, False)  # from 1; 0: the conversations are equal
     common = F.when(differs > 0, differs - 1).otherwise(F.size("c")).cast("int")

@@ -112,9 +112,10 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = written(preferences.turns(table(spark, sf_dir, "conversations")), "turns")
-    out = preferences.format_pairs(own, preferences.pairs(own))
+    alike = preferences.format_pairs(own, preferences.pairs(own))
+    out = alike.withColumn("kind", F.lit("opening")).union(preferences.format_replies(own).withColumn("kind", F.lit("reply")))
     spans = lambda c: F.aggregate(c, F.lit(0), lambda acc, s: acc + s["end"] - s["start"]).cast("long")
-    return out.select("chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_trained"), spans("rejected_mask").alias("rejected_trained"))
+    return out.select("kind", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_trained"), spans("rejected_mask").alias("rejected_trained"))
 
 
 # The masks themselves are checked in the tests; here by the number of characters that train.
@@ -132,8 +133,12 @@ pair AS (
     coalesce(list_min([i FOR i IN range(1, greatest(len(c.l), len(r.l)) + 1) IF c.l[i] IS DISTINCT FROM r.l[i]]) - 1, len(c.l)) AS p
   FROM talk r JOIN best b ON b.opening = r.l[1] JOIN talk c ON c.conv_id = b.chosen_id
   WHERE r.conv_id <> b.chosen_id AND (c.l <> r.l OR c.turns <> r.turns)),
-cut AS (SELECT chosen_id, rejected_id, p, c[1:p] AS h, c[p + 1:] AS c, r[p + 1:] AS r FROM pair)
-SELECT chosen_id, rejected_id, CAST(p AS INTEGER) AS n_prompt_turns,
+reply AS (SELECT conv_id, l, i[len(i)] AS last, i[len(i) - 1] AS stale FROM (SELECT conv_id, l, [i FOR i IN range(1, len(l) + 1) IF l[i].role = 'assistant'] AS i FROM talk) WHERE len(i) > 1),
+cut AS (
+  SELECT 'opening' AS kind, chosen_id, rejected_id, p, c[1:p] AS h, c[p + 1:] AS c, r[p + 1:] AS r FROM pair
+  UNION ALL
+  SELECT 'reply', conv_id, conv_id, last - 1, l[1:last - 1], [l[last]], [l[stale]] FROM reply WHERE l[last].text <> l[stale].text)
+SELECT kind, chosen_id, rejected_id, CAST(p AS INTEGER) AS n_prompt_turns,
   coalesce(array_to_string([concat('<|', x.role, '|>', chr(10), x.text, '<|end|>', chr(10)) FOR x IN h], ''), '') AS prompt,
   coalesce(array_to_string([concat('<|', x.role, '|>', chr(10), x.text, '<|end|>', chr(10)) FOR x IN c], ''), '') AS chosen,
   coalesce(array_to_string([concat('<|', x.role, '|>', chr(10), x.text, '<|end|>', chr(10)) FOR x IN r], ''), '') AS rejected,
