@@ -144,18 +144,20 @@ def topup_outcomes(commands: DataFrame, replies: DataFrame) -> DataFrame:
     ``replies``: (idempotency_key, invoice_id, invoice_status, error). A success row gets
     status ``open`` when the reply has none; a failure row keeps the message; a scheduled
     failure also switches auto top-up off (``disable_auto_topup``), a manual one does not.
-    Commands that failed before sending are failures too.
+    Commands that failed before sending are failures too. A sent command without a reply
+    is still in flight: ``pending``, no error, auto top-up stays on.
     """
-    j = commands.join(replies, "idempotency_key", "left")
+    j = commands.join(replies.withColumn("replied", F.lit(True)), "idempotency_key", "left")
+    waits = (F.col("action") == "send") & F.col("replied").isNull()
     err = F.coalesce(F.col("error"), F.col("reply_error"))
     ok = (F.col("action") == "send") & F.col("invoice_id").isNotNull()
     return j.select(
         "account_id",
         F.when(ok, F.col("invoice_id")).alias("invoice_id"),
         "amount_cents",
-        F.when(ok, F.coalesce(F.col("invoice_status"), F.lit("open"))).otherwise(F.lit("failed")).alias("status"),
-        F.when(ok, F.lit(None).cast("string")).otherwise(F.coalesce(err, F.lit("Auto top-up failed."))).alias("error"),
-        ((~ok) & (F.col("trigger") == "schedule")).alias("disable_auto_topup"),
+        F.when(waits, "pending").when(ok, F.coalesce(F.col("invoice_status"), F.lit("open"))).otherwise(F.lit("failed")).alias("status"),
+        F.when(waits | ok, F.lit(None).cast("string")).otherwise(F.coalesce(err, F.lit("Auto top-up failed."))).alias("error"),
+        (~waits & ~ok & (F.col("trigger") == "schedule")).alias("disable_auto_topup"),
     )
 
 
