@@ -4,7 +4,7 @@ The reference evaluates ``price_micros(service, units)`` and
 ``cost_micros(model, tokens...)`` as SQL functions with a table lookup per
 call. Here the lookup tables (services, models, price history) are small
 configuration tables with one row per service / model / price change, so
-they are broadcast and joined once per batch of calls; the big side (the
+they are broadcast if small enough and joined once per batch of calls; the big side (the
 ledger) is never shuffled for pricing. When every call uses one known service
 or model (metering, the price lookup), the rates are a scalar subquery instead:
 a join on a constant key would plan as a keyless nested-loop join.
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 
 def _config(df: DataFrame) -> DataFrame:
-    """Broadcast a configuration table: one row per service / model / price change."""
-    return F.broadcast(df)
+    """A configuration table (one row per service / model / price change). Spark broadcasts it
+    if its measured size is under the session's bound, and joins by a shuffle otherwise."""
+    return df
 
 
 def price_micros(calls: DataFrame, service_prices: DataFrame, service_col: str = "service", units_col: str = "units",
@@ -104,7 +105,7 @@ def price_asof(calls: DataFrame, price_history: DataFrame, ts_col: str = "create
     """The unit price in force when each call was made (NULL before the first price).
 
     The history is turned into ``[valid_from, valid_to)`` ranges on its own (small) side,
-    then broadcast: an equi-join on service with the range as a join filter, so the
+    then joined: an equi-join on service with the range as a join filter, so the
     call side is never sorted or shuffled by time.
     """
     w = Window.partitionBy("service").orderBy("valid_from")

@@ -97,7 +97,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master  # local-cluster has executors of its own, with folders of their own
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every executor can reach")
     scratch = tempfile.mkdtemp(prefix="meterwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
