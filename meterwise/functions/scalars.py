@@ -21,6 +21,16 @@ def utf16_length(text) -> Column:
     return (F.octet_length(F.encode(col(text), "UTF-16BE")) / 2).cast("int")
 
 
+def utf16_prefix(text, units: int) -> Column:
+    """The first ``units`` UTF-16 code units of a text (JavaScript's ``slice``); a pair that
+    the cut would halve is left out whole."""
+    t = col(text)
+    wide = F.encode(t, "UTF-16BE")
+    halved = F.hex(F.substring(wide, 2 * units - 1, 1)).between("D8", "DB")
+    kept = F.when(halved, F.substring(wide, 1, 2 * units - 2)).otherwise(F.substring(wide, 1, 2 * units))
+    return F.when(F.length(t) * 2 <= units, t).otherwise(F.decode(kept, "UTF-16BE"))
+
+
 def js_round(x) -> Column:
     """``Math.round``: half up toward +infinity, on doubles."""
     return F.floor(col(x) + F.lit(0.5))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from meterwise.config import (BLOCK_THRESHOLD, CATEGORIES, CHARS_PER_UNIT, MAX_CHARS_PER_ITEM, MAX_ITEMS_PER_REQUEST, MAX_REASON_CHARS,
                               REVIEW_THRESHOLD, TOKEN_BUDGET_BASE, TOKEN_BUDGET_PER_ITEM)
-from meterwise.functions.scalars import item_units, js_round, utf16_length
+from meterwise.functions.scalars import item_units, js_round, utf16_length, utf16_prefix
 
 # The characters JavaScript's String.prototype.trim removes (white space and
 # line terminators), as code points.
@@ -197,7 +197,7 @@ def _r3(c: Column) -> Column:
 
 def verdicts(results: DataFrame) -> DataFrame:
     """M5: scores rounded to 3 places first; top = max; block >= 0.8, review >= 0.4, else
-    allow; ``flagged`` = categories >= 0.4 in category order; reason cut at 300."""
+    allow; ``flagged`` = categories >= 0.4 in category order; reason cut at 300 UTF-16 units."""
     r = results.select("request_id", "idx", *[_r3(F.col(c)).alias(c) for c in CATEGORIES], "reason")
     top = F.greatest(*[F.col(c) for c in CATEGORIES])
     flagged = F.filter(F.array(*[F.when(F.col(c) >= REVIEW_THRESHOLD, F.lit(c)) for c in CATEGORIES]), lambda x: x.isNotNull())
@@ -206,7 +206,7 @@ def verdicts(results: DataFrame) -> DataFrame:
         top.alias("top_score"),
         F.when(top >= BLOCK_THRESHOLD, "block").when(top >= REVIEW_THRESHOLD, "review").otherwise("allow").alias("verdict"),
         flagged.alias("flagged"),
-        F.substring("reason", 1, MAX_REASON_CHARS).alias("reason"),
+        utf16_prefix(F.col("reason"), MAX_REASON_CHARS).alias("reason"),
     )
 
 

@@ -152,11 +152,14 @@ def card_on_file(accounts: DataFrame, charges: DataFrame, n: int = 10) -> DataFr
 
 # ------------------------------------------------------------------- F5 / F11
 def active_keys(api_keys: DataFrame, account_id: int | None = None) -> DataFrame:
-    """keys not revoked (optionally of one account), newest first within the account."""
+    """keys not revoked (optionally of one account), ranked newest first
+    within the account (``newest_rank`` 1 is the newest; ties go to the larger id)."""
     k = api_keys.filter(F.col("revoked_at").isNull())
     if account_id is not None:
         k = k.filter(F.col("account_id") == account_id)
-    return k.select("key_id", "account_id", "name", "prefix", "created_at", "last_used_at")
+    newest = Window.partitionBy("account_id").orderBy(F.col("created_at").desc(), F.col("key_id").desc())
+    return k.select("key_id", "account_id", "name", "prefix", "created_at", "last_used_at",
+                    F.row_number().over(newest).alias("newest_rank"))
 
 
 def active_price(prices: DataFrame, promotion_codes: DataFrame) -> DataFrame:

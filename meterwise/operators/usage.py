@@ -134,26 +134,33 @@ def margin(usage: DataFrame) -> DataFrame:
 
 
 def usage_series(usage: DataFrame) -> DataFrame:
-    """Long series from the ledger: (account_id, series_id, unit, value). Tokens carry no unit."""
+    """Long series from the ledger: (account_id, series_id, unit, value). Tokens carry no unit.
+    Values are whole numbers (money in micros), so totals are exact in any order."""
     return usage.select(
         "account_id",
         F.explode(F.array(
-            F.struct(F.lit("spend").alias("series_id"), F.lit("micros").alias("unit"), F.col("price_micros").cast("double").alias("value")),
-            F.struct(F.lit("items").alias("series_id"), F.lit("units").alias("unit"), F.col("units").cast("double").alias("value")),
-            F.struct(F.lit("latency").alias("series_id"), F.lit("ms").alias("unit"), F.col("latency_ms").cast("double").alias("value")),
+            F.struct(F.lit("spend").alias("series_id"), F.lit("micros").alias("unit"), F.col("price_micros").cast("long").alias("value")),
+            F.struct(F.lit("items").alias("series_id"), F.lit("units").alias("unit"), F.col("units").cast("long").alias("value")),
+            F.struct(F.lit("latency").alias("series_id"), F.lit("ms").alias("unit"), F.col("latency_ms").cast("long").alias("value")),
             F.struct(F.lit("tokens").alias("series_id"), F.lit(None).cast("string").alias("unit"),
-                     (F.col("input_tokens") + F.col("output_tokens")).cast("double").alias("value")),
+                     (F.col("input_tokens") + F.col("output_tokens")).cast("long").alias("value")),
         )).alias("s"),
     ).select("account_id", "s.*")
 
 
 def series_totals(series: DataFrame) -> DataFrame:
-    """Totals per unit, never across units (NULL unit is its own group), with the number
-    of series in each unit group and a flag when an account mixes units."""
-    per_unit = series.groupBy("account_id", "unit").agg(
-        F.sum("value").alias("total"), F.countDistinct("series_id").cast("int").alias("series"))
-    units = per_unit.groupBy("account_id").agg((F.count(F.lit(1)) > 1).alias("mixed_units"))
-    return per_unit.join(units, "account_id", "inner")
+    """Totals per unit, never across units (no unit, NULL or empty, is one group), with
+    the number of series in each unit group and a flag when an account mixes units."""
+    per_unit = series_sums(series).groupBy("account_id", "unit").agg(
+        F.sum("total").alias("total"), F.count(F.lit(1)).cast("int").alias("series"))
+    units = F.count(F.lit(1)).over(Window.partitionBy("account_id"))
+    return per_unit.withColumn("mixed_units", units > 1)
+
+
+def series_sums(series: DataFrame) -> DataFrame:
+    """The total of each series of an account (an empty unit counts as none)."""
+    return series.withColumn("unit", F.nullif("unit", F.lit(""))).groupBy("account_id", "unit", "series_id").agg(
+        F.sum("value").alias("total"))
 
 
 def usage_rollup(usage: DataFrame, granularities=("hour", "day", "month")) -> DataFrame:

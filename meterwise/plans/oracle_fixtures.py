@@ -138,8 +138,9 @@ FIXTURE_CTES: dict[str, str] = {
            CAST({_pack('o_orderkey')} AS INTEGER) AS amount_cents,
            CASE WHEN o_orderkey % 3 <> 2 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'open' ELSE 'paid' END AS status,
            CASE WHEN o_orderkey % 3 <> 2 THEN 'card_declined' END AS error,
-           {AS_OF} - to_minutes(CAST(o_orderkey % 61 AS INTEGER)) AS created_at
-    FROM orders WHERE o_orderkey % 10 = 2""",
+           CASE WHEN o_orderkey % 4 = 1 THEN 'manual' ELSE 'schedule' END AS "trigger",
+           {AS_OF} - to_minutes(CAST(o_orderkey % 601 AS INTEGER)) AS created_at
+    FROM orders""",
     "charges": f"""
     SELECT 'ch_' || {_s('o_orderkey')} AS id, 'cus_' || {_s('o_custkey')} AS customer,
            CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'pm_' || {_s('o_orderkey % 97')} END AS payment_method,
@@ -233,7 +234,7 @@ FIXTURE_CTES: dict[str, str] = {
         SELECT i.request_id, i.idx, c.n, {ENTRY_SQL} AS entry,
                NOT (i.request_id % 17 = 2 AND i.idx = c.n - 1) AS keep
         FROM mod_items i
-        JOIN (SELECT request_id, count(*) AS n FROM mod_items GROUP BY request_id HAVING count(*) <= 20) c
+        JOIN (SELECT request_id, count(*) AS n FROM mod_items GROUP BY request_id) c
           ON c.request_id = i.request_id
         LEFT JOIN labels l ON l.doc_id = i.request_id) e
       GROUP BY request_id, n) g""",

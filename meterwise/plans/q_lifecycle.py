@@ -158,7 +158,7 @@ def q_key_state(fx):
                          max(CASE WHEN enabled THEN "at" END) AS last_enable_at
                   FROM settings_changes GROUP BY account_id) c ON c.account_id = a.account_id
        LEFT JOIN (SELECT account_id, max({'ts': created_at, 'message': coalesce(error, 'Auto top-up failed.')}) AS f
-                  FROM topups WHERE status = 'failed' GROUP BY account_id) f ON f.account_id = a.account_id""",
+                  FROM topups WHERE status = 'failed' AND "trigger" = 'schedule' GROUP BY account_id) f ON f.account_id = a.account_id""",
 )
 def q_settings_state(fx):
     return LC.settings_state(fx.accounts, fx.settings_changes, LC.scheduled_failures(fx.topups))

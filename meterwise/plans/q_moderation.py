@@ -61,7 +61,9 @@ _TOP = "greatest(" + ", ".join(CATEGORIES) + ")"
 _VERDICTS = ("SELECT request_id, idx, " + ", ".join(CATEGORIES) + f", {_TOP} AS top_score, "
              f"CASE WHEN {_TOP} >= 0.8 THEN 'block' WHEN {_TOP} >= 0.4 THEN 'review' ELSE 'allow' END AS verdict, "
              "list_filter([" + ", ".join(f"CASE WHEN {c} >= 0.4 THEN '{c}' END" for c in CATEGORIES) + "], lambda x: x IS NOT NULL) AS flagged, "
-             "substring(reason, 1, 300) AS reason FROM (SELECT request_id, idx, "
+             f"CASE WHEN {u16('substring(reason, 1, 300)')} <= 300 THEN substring(reason, 1, 300) ELSE "
+             "array_to_string(list_filter(string_split(substring(reason, 1, 300), ''), "
+             f"lambda c, i: {u16('substring(reason, 1, i)')} <= 300), '') END AS reason FROM (SELECT request_id, idx, "
              + ", ".join(f"{e} AS {c}" for c, e in _R3.items()) + ", reason FROM results) r")
 _TOPCAT = "CASE " + " ".join(f"WHEN {c} = {_TOP} THEN '{c}'" for c in CATEGORIES) + " END"
 

@@ -148,7 +148,9 @@ def q_card_on_file(fx):
 
 @register(
     "active_keys", "F5",
-    "SELECT key_id, account_id, name, prefix, created_at, last_used_at FROM api_keys WHERE revoked_at IS NULL",
+    """SELECT key_id, account_id, name, prefix, created_at, last_used_at,
+              CAST(row_number() OVER (PARTITION BY account_id ORDER BY created_at DESC, key_id DESC) AS INTEGER) AS newest_rank
+       FROM api_keys WHERE revoked_at IS NULL""",
 )
 def q_active_keys(fx):
     return PU.active_keys(fx.api_keys)

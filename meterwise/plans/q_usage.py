@@ -186,16 +186,16 @@ def q_margin(fx):
 
 
 _SERIES = """
-    SELECT account_id, 'spend' AS series_id, 'micros' AS unit, CAST(price_micros AS DOUBLE) AS value FROM usage_events
-    UNION ALL SELECT account_id, 'items', 'units', CAST(units AS DOUBLE) FROM usage_events
-    UNION ALL SELECT account_id, 'latency', 'ms', CAST(latency_ms AS DOUBLE) FROM usage_events
-    UNION ALL SELECT account_id, 'tokens', NULL, CAST(input_tokens + output_tokens AS DOUBLE) FROM usage_events"""
+    SELECT account_id, 'spend' AS series_id, 'micros' AS unit, CAST(price_micros AS BIGINT) AS value FROM usage_events
+    UNION ALL SELECT account_id, 'items', 'units', CAST(units AS BIGINT) FROM usage_events
+    UNION ALL SELECT account_id, 'latency', 'ms', CAST(latency_ms AS BIGINT) FROM usage_events
+    UNION ALL SELECT account_id, 'tokens', NULL, CAST(input_tokens + output_tokens AS BIGINT) FROM usage_events"""
 
 
 @register(
     "series_totals", "A8",
     """SELECT p.account_id, p.unit, p.total, p.series, u.n > 1 AS mixed_units
-       FROM (SELECT account_id, unit, sum(value) AS total, CAST(count(DISTINCT series_id) AS INTEGER) AS series
+       FROM (SELECT account_id, unit, CAST(sum(value) AS BIGINT) AS total, CAST(count(DISTINCT series_id) AS INTEGER) AS series
              FROM series GROUP BY account_id, unit) p
        JOIN (SELECT account_id, count(DISTINCT unit) + max(CASE WHEN unit IS NULL THEN 1 ELSE 0 END) AS n
              FROM series GROUP BY account_id) u ON u.account_id = p.account_id""",
@@ -205,6 +205,15 @@ def q_series_totals(fx):
     return U.series_totals(U.usage_series(fx.usage_events))
 
 
+@register(
+    "series_sums", "A8",
+    "SELECT account_id, unit, series_id, CAST(sum(value) AS BIGINT) AS total FROM series GROUP BY account_id, unit, series_id",
+    {"series": _SERIES},
+)
+def q_series_sums(fx):
+    return U.series_sums(U.usage_series(fx.usage_events))
+
+
 @register(
     "usage_rollup", "A9",
     """SELECT account_id, g AS granularity, date_trunc(g, created_at) AS bucket, CAST(count(*) AS INTEGER) AS requests,

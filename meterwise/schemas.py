@@ -26,7 +26,7 @@ OWNED = {
                         ("created_at", TS, False)),
     "simulated_spend": _st(("id", L, False), ("account_id", L, False), ("amount_micros", L, False), ("created_at", TS, False)),
     "topups": _st(("id", L, False), ("account_id", L, False), ("invoice_id", S, True), ("amount_cents", I, False),
-                  ("status", S, False), ("error", S, True), ("created_at", TS, False)),
+                  ("status", S, False), ("error", S, True), ("trigger", S, False), ("created_at", TS, False)),
 }
 
 # Synced customer documents (the JSON in ``_raw_data``).

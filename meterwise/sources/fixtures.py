@@ -222,14 +222,15 @@ class Fixtures:
 
     @cached_property
     def topups(self) -> DataFrame:
-        return self.raw("orders").filter("pmod(o_orderkey, 10) = 2").selectExpr(
+        return self.raw("orders").selectExpr(
             "o_orderkey AS id",
             "o_custkey AS account_id",
             "CASE WHEN pmod(o_orderkey, 3) = 2 THEN concat('in_', CAST(o_orderkey AS STRING)) END AS invoice_id",
             f"CAST({pack_sql('o_orderkey')} AS INT) AS amount_cents",
             "CASE WHEN pmod(o_orderkey, 3) <> 2 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'open' ELSE 'paid' END AS status",
             "CASE WHEN pmod(o_orderkey, 3) <> 2 THEN 'card_declined' END AS error",
-            f"{sql_ts(self.p.as_of)} - make_dt_interval(0, 0, CAST(pmod(o_orderkey, 61) AS INT)) AS created_at",
+            "CASE WHEN pmod(o_orderkey, 4) = 1 THEN 'manual' ELSE 'schedule' END AS trigger",
+            f"{sql_ts(self.p.as_of)} - make_dt_interval(0, 0, CAST(pmod(o_orderkey, 601) AS INT)) AS created_at",
         )
 
     # --------------------------------------------------------------- stripe.*
@@ -373,7 +374,8 @@ class Fixtures:
 
     @cached_property
     def score_answers(self) -> DataFrame:
-        """The scoring model's raw answers (JSON text), one per request of 1..20 items.
+        """The scoring model's raw answers (JSON text), one per request with items,
+        however many (an oversized request is refused by F10, not by the scorer).
 
         Scores are derived from ids (harassment 0.9 for documents labelled toxic); some
         answers are broken on purpose by ``request_id % 17``: 1 trailing text, 2 a missing
@@ -385,7 +387,7 @@ class Fixtures:
         items = request_items(self.moderation_requests)
         n = items.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
         lab = self.raw("labels").select(F.col("doc_id").alias("request_id"), "toxic")
-        it = items.join(n.filter(F.col("n") <= 20), "request_id", "inner").join(lab, "request_id", "left")
+        it = items.join(n, "request_id", "inner").join(lab, "request_id", "left")
         brk = "pmod(request_id, 17)"
         edge = "pmod(request_id + idx, 50)"
 

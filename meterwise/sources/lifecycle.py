@@ -27,7 +27,7 @@ def ledger_append(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of ``batch`` to append: the request id is the key, so a retried write (an id
     already in the ledger, or repeated in the batch) adds nothing; the first write wins."""
     first = _first_by_all(batch, "id", ["created_at"])
-    return first.join(ledger.select("id").distinct(), "id", "left_anti").select(*batch.columns)
+    return first.join(ledger.select("id"), "id", "left_anti").select(*batch.columns)
 
 
 def write_ledger(rows: DataFrame, path: str) -> None:
@@ -117,7 +117,8 @@ def settings_state(accounts: DataFrame, changes: DataFrame, failures: DataFrame)
 
 
 def scheduled_failures(topups: DataFrame) -> DataFrame:
-    """Failure events of scheduled top-ups (the message that switched auto top-up off)."""
-    return topups.filter(F.col("status") == "failed").select(
+    """Failure events of scheduled top-ups (the message that switched auto top-up off); a
+    failed manual top-up leaves the switch alone."""
+    return topups.filter((F.col("status") == "failed") & (F.col("trigger") == "schedule")).select(
         "account_id", F.col("created_at").alias("at"), F.coalesce("error", F.lit("Auto top-up failed.")).alias("message"))
 

@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the batch jobs (ST1-ST9).
+"""Structured Streaming twins of the batch jobs (ST1-ST7, ST9).
 
 The fixture expressions are row-wise (plus stream-static joins), so the same
 ``Fixtures`` code builds streaming DataFrames when its driver tables are file
@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from meterwise.config import CHECKOUT_WATCH_MINUTES, DAILY_REQUEST_LIMIT, SYNC_LAG_MINUTES, TOPUP_WATCH_MINUTES
+from meterwise.config import (CHECKOUT_WATCH_MINUTES, DAILY_REQUEST_LIMIT, SYNC_LAG_MINUTES, TOPUP_COOLDOWN_MINUTES,
+                              TOPUP_WATCH_MINUTES)
 from meterwise.operators import admission as AD
 from meterwise.operators import topups as TU
 from meterwise.operators.wallet import purchase_entries
 from meterwise.sources.fixtures import Fixtures
+from meterwise.sources.lifecycle import ledger_append
 from meterwise.sources.synced import synced_latest, synced_typed
-from meterwise.streaming.sinks import latest_per_key, read_sink, read_stream_table, run_available_now, stream_dir
+from meterwise.streaming.sinks import latest_per_key, read_if_written, read_sink, read_stream_table, run_available_now, stream_dir
 
 WATERMARK = f"{SYNC_LAG_MINUTES} minutes"
 
@@ -55,9 +57,17 @@ def stream_synced(fx: StreamFixtures) -> DataFrame:
 
 # ------------------------------------------------------------------------ ST2
 def stream_ledger(fx: StreamFixtures) -> DataFrame:
-    """ST2: ingest metered calls exactly once by request id (dedupe within the watermark)."""
-    calls = fx.usage_events.withWatermark("created_at", WATERMARK).dropDuplicatesWithinWatermark(["id"])
-    path = run_available_now(calls, "ledger")
+    """ST2: ingest metered calls exactly once by request id. Every micro-batch is appended as
+    S4 appends a batch, against the ids already written: a first write lands however late it
+    comes, a repeat never does."""
+    calls = fx.usage_events
+
+    def append(bdf: DataFrame, bid: int, d: str) -> None:
+        written = read_if_written(fx.spark, f"{d}/data")
+        ledger = bdf.limit(0) if written is None else written.filter(F.col("_batch") < bid)
+        ledger_append(ledger, bdf).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+
+    path = run_available_now(calls, "ledger", batch_fn=append)
     return read_sink(fx.spark, path, calls.schema).drop("_batch")
 
 
@@ -123,12 +133,13 @@ def _watches(fx: Fixtures, accounts: DataFrame) -> DataFrame:
 def _credits(fx: Fixtures, accounts: DataFrame) -> DataFrame:
     a = accounts.select("account_id", F.col("stripe_customer_id").alias("customer")).filter(F.col("customer").isNotNull())
     return (purchase_entries(fx.charges, fx.checkout_sessions, fx.invoices, fx.p.app_tag).join(a, "customer", "inner")
+            .filter(F.col("micros") > 0)
             .select(F.col("account_id").alias("c_account_id"), F.col("id").alias("credit_id"),
                     F.timestamp_seconds("created").alias("credit_at")))
 
 
 def stream_credit_watch(fx: StreamFixtures) -> DataFrame:
-    """ST7: after a checkout or top-up request, ``landed`` when a credit arrives within the
+    """ST7: after a checkout or top-up request, ``landed`` when a credit above zero arrives within the
     time-out (10 min checkout, 7 min top-up), else ``timed_out``. A stream-stream interval
     join with watermarks on both sides bounds the join state by the longest time-out."""
     st = _static(fx)
@@ -149,111 +160,69 @@ def stream_credit_watch(fx: StreamFixtures) -> DataFrame:
         F.when(F.col("landed_at").isNotNull(), "landed").otherwise("timed_out").alias("status"))
 
 
-# ------------------------------------------------------------------------ ST8
-def stream_late(fx: StreamFixtures, files: int = 8) -> DataFrame:
-    """ST8: split arriving events into on-time and late rows. A row is late when its event
-    time is older than the watermark (newest event time of earlier batches minus the sync
-    lag); late rows go to a side table. The watermark is a one-row table in the sink."""
-    spark = fx.spark
-    stage = stream_dir(spark, "late-input")
-    # Arrival order is the point of this job, so it is made explicit: the events are cut
-    # into ``files`` event-id ranges once and landed one after another (each landing a later
-    # file; the stream takes one file per trigger in that order). Every tenth event is a
-    # straggler: it reaches the feed right after the next range.
-    _static(fx).raw("events").repartitionByRange(files, "event_id").write.mode("overwrite").parquet(f"{stage}/chunks")
-    ranges = sorted(r[0] for r in spark.read.parquet(f"{stage}/chunks").select(F.input_file_name()).distinct().collect())
-    straggler = F.pmod(F.col("event_id"), F.lit(10)) == 0
-    landings = []  # one file name per range (part index = range order), not data
-    for k, name in enumerate(ranges):
-        landings.append((name, ~straggler))
-        if k:
-            landings.append((ranges[k - 1], straggler))
-    if ranges:
-        landings.append((ranges[-1], straggler))
-    for name, keep in landings:
-        spark.read.parquet(name).filter(keep).write.mode("append").parquet(f"{stage}/in/events.parquet")
-    src = (spark.readStream.schema(spark.read.parquet(f"{stage}/in/events.parquet").schema)
-           .option("maxFilesPerTrigger", 1).parquet(f"{stage}/in/events.parquet"))
-    lag = timedelta(minutes=SYNC_LAG_MINUTES)
-
-    def batch_fn(bdf: DataFrame, bid: int, d: str) -> None:
-        try:  # one scalar per batch, as Spark itself tracks its watermark
-            wm = spark.read.parquet(f"{d}/watermark").filter(F.col("_batch") < bid).agg(F.max("max_ts")).first()[0]
-        except Exception:
-            wm = None
-        late = F.lit(False) if wm is None else (F.col("ts") < F.lit(wm - lag).cast("timestamp"))
-        bdf.persist()  # two outputs from one read of the batch (a lost block is re-read from the source)
-        try:
-            bdf.withColumn("late", late).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
-            bdf.agg(F.max("ts").alias("max_ts")).write.mode("overwrite").parquet(f"{d}/watermark/_batch={bid}")
-        finally:
-            bdf.unpersist()
-
-    path = run_available_now(src, "late", batch_fn=batch_fn)
-    return read_sink(spark, path, src.schema)
-
-
 # ------------------------------------------------------------------------ ST6
-def stream_topups(fx: StreamFixtures) -> DataFrame:
-    """ST6: on every trigger (5 minutes in production), scheduled top-up commands for the
-    accounts under threshold, at most one per account per cooldown window: commands whose
-    idempotency key was already written are dropped."""
+def stream_topups(fx: StreamFixtures, tick: timedelta = timedelta(minutes=5)) -> DataFrame:
+    """ST6: on every trigger, scheduled top-up commands for the accounts under threshold, at
+    most one per account per cooldown window. Trigger n judges the accounts at ``as_of`` plus
+    n ticks; accounts commanded within the cooldown before that instant are left out."""
     st = _static(fx)
     spark = fx.spark
     ticks = fx.raw("events").select("event_id")  # any arrival drives a run
 
     def batch_fn(bdf: DataFrame, bid: int, d: str) -> None:
-        cands = TU.topup_scheduled(st.accounts, st.balances, st.charges, st.topups, fx.p.as_of, fx.p.free_mode)
-        cmds = TU.topup_commands(cands, st.promotion_codes, fx.p.promotion_code, fx.p.app_tag, fx.p.free_mode, "schedule", fx.p.as_of)
-        try:
-            seen = spark.read.parquet(f"{d}/data").filter(F.col("_batch") < bid).select("idempotency_key")
-            cmds = cmds.join(seen, "idempotency_key", "left_anti")
-        except Exception:
-            pass
-        cmds.write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+        at = fx.p.as_of + bid * tick
+        cands = TU.topup_scheduled(st.accounts, st.balances, st.charges, st.topups, at, fx.p.free_mode)
+        cmds = TU.topup_commands(cands, st.promotion_codes, fx.p.promotion_code, fx.p.app_tag, fx.p.free_mode, "schedule", at)
+        written = read_if_written(spark, f"{d}/data")
+        if written is not None:
+            after = F.lit(at - timedelta(minutes=TOPUP_COOLDOWN_MINUTES)).cast("timestamp")
+            recent = written.filter((F.col("_batch") < bid) & (F.col("commanded_at") > after))
+            cmds = cmds.join(recent.select("account_id"), "account_id", "left_anti")
+        cmds.withColumn("commanded_at", F.lit(at).cast("timestamp")).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
 
     path = run_available_now(ticks, "topups", batch_fn=batch_fn)
     return read_sink(spark, path, ticks.schema)
 
 
 # ------------------------------------------------------------------------ ST4
-STATE_SCHEMA = "balance long, t1 timestamp, t2 timestamp"
+STATE_SCHEMA = "balance long, recorded array<long>"
+DAY_MICROS = 24 * 3600 * 1_000_000
 
 
 def _admission_state_fn(limit: int):
+    """The fold of one account's rows of a micro-batch. The state is the balance and the last
+    ``limit`` recorded call times (microseconds). The rows come in several Arrow batches in no
+    order, so they are gathered and sorted first: a micro-batch of one account (ids, times and
+    amounts, no texts) has to fit into its task."""
+
     def fn(key, pdfs, state):
-        if state.exists:
-            bal, t1, t2 = state.get
-            recorded = [t for t in (t1, t2) if t is not None]
-        else:
-            bal, recorded = None, []
+        bal, recorded = state.get if state.exists else (None, [])
+        recorded = list(recorded)
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["kind", "at", "request_id"], ascending=[False, True, True])
         out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["kind", "at", "request_id"], ascending=[False, True, True])
-            for r in pdf.itertuples(index=False):
-                if bal is None:
-                    bal = int(r.balance_micros)
-                if r.kind == "prior":
-                    recorded = (recorded + [r.at])[-limit:]
-                    continue
-                t = r.at
-                used = sum(1 for s in recorded if s > t - pd.Timedelta(hours=24))
-                q = int(r.quote_micros)
-                if used >= limit:
-                    out.append((r.request_id, r.account_id, t, 429, 0, False, bal))
-                elif bal < q:
-                    out.append((r.request_id, r.account_id, t, 402, 0, False, bal))
-                elif r.outcome == "ok":
-                    bal -= q
-                    recorded = (recorded + [t])[-limit:]
-                    out.append((r.request_id, r.account_id, t, 200, q, True, bal))
-                elif r.outcome == "invalid":
-                    recorded = (recorded + [t])[-limit:]
-                    out.append((r.request_id, r.account_id, t, 502, 0, True, bal))
-                else:
-                    out.append((r.request_id, r.account_id, t, 502, 0, False, bal))
-        padded = (recorded + [None, None])[:2] if len(recorded) < 2 else recorded[-2:]
-        state.update((bal if bal is not None else 0, padded[0], padded[1]))
+        for r in rows.itertuples(index=False):
+            if bal is None:
+                bal = int(r.balance_micros)
+            t = r.at.value // 1000
+            if r.kind == "prior":
+                recorded = (recorded + [t])[-limit:]
+                continue
+            used = sum(1 for s in recorded if s > t - DAY_MICROS)
+            q = int(r.quote_micros)
+            status, charged, counted = 502, 0, False
+            if used >= limit:
+                status = 429
+            elif bal < q:
+                status = 402
+            elif r.outcome == "ok":
+                status, charged, counted = 200, q, True
+            elif r.outcome == "invalid":
+                counted = True
+            bal -= charged
+            if counted:
+                recorded = (recorded + [t])[-limit:]
+            out.append((r.request_id, r.account_id, r.at, status, charged, counted, bal))
+        state.update((bal if bal is not None else 0, recorded))
         yield pd.DataFrame(out, columns=["request_id", "account_id", "at", "status_code", "charged_micros", "counted",
                                          "balance_after_micros"])
 

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from meterwise.session import ensure_checkpoint_dir
 from meterwise.sources.tables import table_path, table_schema, utc_projection
@@ -27,10 +28,10 @@ def stream_dir(spark: SparkSession, name: str) -> str:
 
 
 def read_stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A file stream over ``<folder>/<name>.parquet`` (or a folder of such files), with the
-    zone-less timestamps cast once, as in batch reads."""
+    """A file stream over ``<folder>/<name>.parquet`` and the files ``<name>_*.parquet`` that
+    land beside it later, with the zone-less timestamps cast once, as in batch reads."""
     schema = table_schema(spark, table_path(folder, name))
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{{{name},{name}_*}}.parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     s = reader.parquet(folder)
@@ -57,10 +58,21 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
 
 def read_sink(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All rows a sink wrote (with ``_batch``), or an empty frame when nothing was written."""
+    rows = read_if_written(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("_batch", T.IntegerType())]))
+    return rows
+
+
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet rows under ``path``, or None when no batch has made that folder yet; any
+    other failure is raised."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # no batch produced output
-        return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("_batch", T.IntegerType())]))
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def latest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:

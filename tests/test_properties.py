@@ -85,11 +85,3 @@ def test_backfills_are_idempotent(fx):
 
 def test_stream_balance_equals_batch(fx):
     assert _rows(REGISTRY["stream_balance"].build(fx)) == _rows(fx.balances)
-
-
-def test_late_rows_are_the_stragglers(fx):
-    out = REGISTRY["stream_late"].build(fx)
-    late = out.filter("late")
-    assert late.count() > 0
-    assert late.filter(F.pmod(F.col("event_id"), F.lit(10)) != 0).count() == 0
-    assert out.count() == fx.raw("events").count()
