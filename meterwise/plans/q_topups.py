@@ -13,58 +13,57 @@ SLOT = TU.cooldown_slot(DEFAULT.as_of)
 TAG = DEFAULT.app_tag
 CODE = DEFAULT.promotion_code
 
-_CARD = """SELECT customer, payment_method FROM (
-             SELECT customer, payment_method, row_number() OVER (PARTITION BY customer ORDER BY created DESC, id DESC) AS k
-             FROM charges WHERE status = 'succeeded' AND payment_method IS NOT NULL) WHERE k = 1"""
-_ATTEMPTS = "SELECT account_id, count(*) AS n FROM topups GROUP BY account_id"
-_RECENT = f"SELECT * FROM topups WHERE created_at > {AS_OF} - INTERVAL 15 MINUTE"
-_PENDING = """SELECT * FROM recent_t t WHERE t.status <> 'failed'
-              AND NOT EXISTS (SELECT 1 FROM invoices i WHERE i.id = t.invoice_id AND i.status = 'paid')"""
-
-_BASE = """SELECT a.account_id, a.stripe_customer_id AS customer, card.payment_method, a.auto_topup_amount_cents AS amount_cents,
-                  b.purchased_micros, CAST(coalesce(t.n, 0) AS INTEGER) AS attempts
-           FROM accounts a JOIN balances b ON b.account_id = a.account_id
-           LEFT JOIN card ON card.customer = a.stripe_customer_id
-           LEFT JOIN attempts t ON t.account_id = a.account_id
-           WHERE a.stripe_customer_id IS NOT NULL AND b.balance_micros < a.auto_topup_threshold_micros"""
-
-_SCHEDULED = _BASE + """ AND a.auto_topup_enabled
-           AND NOT EXISTS (SELECT 1 FROM recent_t r WHERE r.account_id = a.account_id)"""
-_MANUAL = _BASE + """ AND NOT EXISTS (SELECT 1 FROM pending p WHERE p.account_id = a.account_id)"""
-
-CTES = {**BALANCE_CTES, "card": _CARD, "attempts": _ATTEMPTS, "recent_t": _RECENT, "pending": _PENDING}
+_CARDS = """SELECT customer AS stripe_customer_id, last(payment_method ORDER BY created, id) AS payment_method
+            FROM charges WHERE status = 'succeeded' AND payment_method IS NOT NULL GROUP BY customer"""
+# What an account's top-up rows say about it: how many, whether one is recent, whether a
+# recent one still waits for its paid invoice.
+_HISTORY = f"""SELECT account_id, CAST(count(t.id) AS INTEGER) AS attempts, coalesce(bool_or(recent), false) AS cooling,
+                      coalesce(bool_or(recent AND t.status <> 'failed'
+                                       AND (t.invoice_id IS NULL OR t.invoice_id NOT IN (FROM paid_invoices))), false) AS waiting
+               FROM accounts LEFT JOIN (SELECT *, created_at > {AS_OF} - INTERVAL 15 MINUTE AS recent FROM topups) t USING (account_id)
+               GROUP BY account_id"""
+_PAID = "SELECT DISTINCT id FROM invoices WHERE status = 'paid' AND id IS NOT NULL"
+
+
+def _due(rule: str) -> str:
+    """Accounts under their threshold that also meet ``rule``, in the columns of a candidate."""
+    return f"""SELECT account_id, stripe_customer_id AS customer, payment_method, auto_topup_amount_cents AS amount_cents, purchased_micros, attempts
+               FROM accounts JOIN history USING (account_id) JOIN balances USING (account_id) LEFT JOIN cards USING (stripe_customer_id)
+               WHERE stripe_customer_id IS NOT NULL AND auto_topup_threshold_micros > balance_micros AND {rule}"""
+
+
+_SCHEDULED = _due("auto_topup_enabled AND NOT cooling")
+_MANUAL = _due("NOT waiting")
+_HAS_CARD = " AND payment_method IS NOT NULL"
+
+HISTORY_CTES = {"paid_invoices": _PAID, "history": _HISTORY}
+CTES = {**BALANCE_CTES, **HISTORY_CTES, "cards": _CARDS}
 CAND_CTES = {**CTES, "scheduled": _SCHEDULED, "manual": _MANUAL}
 
 
-@register("topup_attempts", "J8",
-          "SELECT a.account_id, CAST(coalesce(t.n, 0) AS INTEGER) AS attempts FROM accounts a LEFT JOIN attempts t ON t.account_id = a.account_id",
-          {"attempts": _ATTEMPTS})
+@register("topup_attempts", "J8", "SELECT account_id, attempts FROM history", HISTORY_CTES)
 def q_topup_attempts(fx):
     return TU.topup_attempts(fx.accounts, fx.topups)
 
 
-@register("cooldown_anti", "J9",
-          "SELECT a.* FROM accounts a WHERE NOT EXISTS (SELECT 1 FROM recent_t r WHERE r.account_id = a.account_id)",
-          {"recent_t": _RECENT})
+@register("cooldown_anti", "J9", "SELECT a.* FROM accounts a JOIN history USING (account_id) WHERE NOT cooling", HISTORY_CTES)
 def q_cooldown_anti(fx):
     return TU.cooldown_clear(fx.accounts, fx.topups, fx.p.as_of)
 
 
-@register("pending_anti", "J10",
-          "SELECT a.* FROM accounts a WHERE NOT EXISTS (SELECT 1 FROM pending p WHERE p.account_id = a.account_id)",
-          {"recent_t": _RECENT, "pending": _PENDING})
+@register("pending_anti", "J10", "SELECT a.* FROM accounts a JOIN history USING (account_id) WHERE NOT waiting", HISTORY_CTES)
 def q_pending_anti(fx):
     return TU.pending_clear(fx.accounts, fx.topups, fx.invoices, fx.p.as_of)
 
 
-def _scheduled(fx, balances=None):
+def _scheduled(fx, balances=None, free_mode=True):
     b = fx.balances if balances is None else balances
-    return TU.topup_scheduled(fx.accounts, b, fx.charges, fx.topups, fx.p.as_of, fx.p.free_mode)
+    return TU.topup_scheduled(fx.accounts, b, fx.charges, fx.topups, fx.p.as_of, free_mode)
 
 
-def _manual(fx, balances=None):
+def _manual(fx, balances=None, free_mode=True):
     b = fx.balances if balances is None else balances
-    return TU.topup_manual(fx.accounts, b, fx.charges, fx.topups, fx.invoices, fx.p.as_of, fx.p.free_mode)
+    return TU.topup_manual(fx.accounts, b, fx.charges, fx.topups, fx.invoices, fx.p.as_of, free_mode)
 
 
 @register("topup_scheduled", "U-T1", _SCHEDULED, CTES)
@@ -77,6 +76,16 @@ def q_topup_manual(fx):
     return _manual(fx)
 
 
+@register("topup_scheduled_paid", "U-T1", _SCHEDULED + _HAS_CARD, CTES)
+def q_topup_scheduled_paid(fx):
+    return _scheduled(fx, free_mode=False)
+
+
+@register("topup_manual_paid", "U-T2", _MANUAL + _HAS_CARD, CTES)
+def q_topup_manual_paid(fx):
+    return _manual(fx, free_mode=False)
+
+
 _KEYS = f"""SELECT account_id, 'schedule' AS trigger, 'topup:' || CAST(account_id AS VARCHAR) || ':{SLOT}' AS idempotency_key FROM scheduled
             UNION
             SELECT account_id, 'manual', 'topup:' || CAST(account_id AS VARCHAR) || ':manual:' || CAST(purchased_micros AS VARCHAR)
@@ -109,11 +118,11 @@ CMD_CTES = {**CAND_CTES, "promo": _PROMO,
             "commands": _commands_sql("scheduled", "schedule") + " UNION ALL " + _commands_sql("manual", "manual")}
 
 
-def _commands(fx):
+def _commands(fx, free_mode=True):
     p = fx.p
     snap = fx.wallet_snapshot  # both candidate sets read the same wallet once
-    s = TU.topup_commands(_scheduled(fx, snap), fx.promotion_codes, p.promotion_code, p.app_tag, p.free_mode, "schedule", p.as_of)
-    m = TU.topup_commands(_manual(fx, snap), fx.promotion_codes, p.promotion_code, p.app_tag, p.free_mode, "manual", p.as_of)
+    s = TU.topup_commands(_scheduled(fx, snap, free_mode), fx.promotion_codes, p.promotion_code, p.app_tag, free_mode, "schedule", p.as_of)
+    m = TU.topup_commands(_manual(fx, snap, free_mode), fx.promotion_codes, p.promotion_code, p.app_tag, free_mode, "manual", p.as_of)
     return s.unionByName(m)
 
 
@@ -122,6 +131,20 @@ def q_topup_commands(fx):
     return _commands(fx)
 
 
+_PAID_COMMANDS = f"""SELECT account_id, customer, amount_cents, CAST(NULL AS VARCHAR) AS promotion_id, payment_method,
+              concat_ws(':', 'topup', account_id, CASE trigger WHEN 'schedule' THEN '{SLOT}' ELSE concat_ws(':', 'manual', purchased_micros, attempts) END) AS idempotency_key,
+              json_object('app', '{TAG}', 'account_id', CAST(account_id AS VARCHAR), 'kind', 'auto_topup',
+                          'trigger', trigger, 'credits_cents', CAST(amount_cents AS VARCHAR))::VARCHAR AS metadata,
+              trigger, 'send' AS action, CAST(NULL AS VARCHAR) AS error
+       FROM (SELECT *, 'schedule' AS trigger FROM scheduled UNION ALL SELECT *, 'manual' FROM manual)
+       WHERE payment_method IS NOT NULL"""
+
+
+@register("topup_commands_paid", "U-T4", _PAID_COMMANDS, CAND_CTES)
+def q_topup_commands_paid(fx):
+    return _commands(fx, free_mode=False)
+
+
 def payment_replies(commands):
     """Stand-in for the payment service's replies, derived from the commands (tests only)."""
     a = F.col("account_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from meterwise.operators import wallet as W
 from meterwise.plans.registry import register
-from meterwise.plans.sql_snippets import BALANCE_CTES, FACE, FREE_INVOICE, FREE_SESSION, FREE_ORDERS, FREE_INVOICES, PURCHASED, SETTLED, SPENT
+from meterwise.plans.sql_snippets import BALANCE_CTES, FACE, FREE_INVOICE, FREE_SESSION, MOVEMENT_CTES, SETTLED, moved
 
 
 @register("settled_charges", "F1", f"SELECT * FROM charges WHERE {SETTLED}")
@@ -40,17 +40,17 @@ def q_account_charges(fx):
     return W.account_charges(fx.accounts, fx.charges)
 
 
-@register("purchased_charges", "W1", PURCHASED)
+@register("purchased_charges", "W1", moved("charge"), MOVEMENT_CTES)
 def q_purchased_charges(fx):
     return W.purchased_charges(fx.accounts, fx.charges)
 
 
-@register("purchased_sessions", "W2", FREE_ORDERS)
+@register("purchased_sessions", "W2", moved("session"), MOVEMENT_CTES)
 def q_purchased_sessions(fx):
     return W.purchased_sessions(fx.accounts, fx.checkout_sessions)
 
 
-@register("purchased_invoices", "W3", FREE_INVOICES)
+@register("purchased_invoices", "W3", moved("invoice"), MOVEMENT_CTES)
 def q_purchased_invoices(fx):
     return W.purchased_invoices(fx.accounts, fx.invoices, fx.p.app_tag)
 
@@ -62,22 +62,19 @@ def q_all_spend(fx):
     return W.all_spend(fx.usage_events, fx.simulated_spend)
 
 
-@register("spent", "W4", SPENT)
+@register("spent", "W4", moved("usage", "simulated"), MOVEMENT_CTES)
 def q_spent(fx):
     return W.spent(fx.usage_events, fx.simulated_spend)
 
 
 @register(
     "wallet_assembly", "J2",
-    """SELECT a.account_id, CAST(coalesce(p.micros, 0) AS BIGINT) AS charges_micros,
-              CAST(coalesce(f.micros, 0) AS BIGINT) AS sessions_micros, CAST(coalesce(i.micros, 0) AS BIGINT) AS invoices_micros,
-              CAST(coalesce(s.micros, 0) AS BIGINT) AS spent_micros
-       FROM accounts a
-       LEFT JOIN w_purchased p ON p.account_id = a.account_id
-       LEFT JOIN w_free_orders f ON f.account_id = a.account_id
-       LEFT JOIN w_free_invoices i ON i.account_id = a.account_id
-       LEFT JOIN w_spent s ON s.account_id = a.account_id""",
-    {k: v for k, v in BALANCE_CTES.items() if k != "balances"},
+    """SELECT account_id, CAST(coalesce(sum(delta) FILTER (kind = 'charge'), 0) AS BIGINT) AS charges_micros,
+              CAST(coalesce(sum(delta) FILTER (kind = 'session'), 0) AS BIGINT) AS sessions_micros,
+              CAST(coalesce(sum(delta) FILTER (kind = 'invoice'), 0) AS BIGINT) AS invoices_micros,
+              CAST(coalesce(-sum(delta) FILTER (kind IN ('usage', 'simulated')), 0) AS BIGINT) AS spent_micros
+       FROM movements GROUP BY account_id HAVING bool_or(kind = 'opening')""",
+    MOVEMENT_CTES,
 )
 def q_wallet_assembly(fx):
     return W.wallet_parts(fx.accounts, fx.charges, fx.checkout_sessions, fx.invoices, fx.usage_events, fx.simulated_spend, fx.p.app_tag)

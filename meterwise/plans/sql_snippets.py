@@ -1,5 +1,4 @@
-"""DuckDB SQL pieces reused by several oracle queries (the reference's view text,
-re-stated over the fixture tables)."""
+"""DuckDB SQL pieces reused by several oracle queries."""
 
 from meterwise.config import DEFAULT
 
@@ -13,49 +12,39 @@ FREE_SESSION = ("mode = 'payment' AND status = 'complete' AND payment_status IN
                 "AND amount_total = 0")
 FREE_INVOICE = f"status = 'paid' AND total = 0 AND json_extract_string(metadata, '$.app') = '{TAG}'"
 
-PURCHASED = f"""
-    SELECT a.account_id, CAST(sum((ch.amount - ch.amount_refunded) * 10000) AS BIGINT) AS micros
-    FROM accounts a JOIN charges ch ON ch.customer = a.stripe_customer_id
-    WHERE ch.status = 'succeeded' AND ch.paid AND NOT ch.disputed AND ch.currency = 'usd'
-    GROUP BY a.account_id"""
+PURCHASE_ENTRIES = f"""
+    SELECT customer, id, 'charge' AS source, (amount - amount_refunded) * 10000 AS micros, created FROM charges
+    WHERE status = 'succeeded' AND paid AND NOT disputed AND currency = 'usd'
+    UNION ALL SELECT customer, id, 'session', CAST(coalesce(json_extract_string(metadata, '$.credits_cents'), '0') AS BIGINT) * 10000, created
+    FROM checkout_sessions WHERE mode = 'payment' AND status = 'complete' AND payment_status IN ('paid', 'no_payment_required') AND amount_total = 0
+    UNION ALL SELECT customer, id, 'invoice', CAST(coalesce(json_extract_string(metadata, '$.credits_cents'), '0') AS BIGINT) * 10000, created
+    FROM invoices WHERE status = 'paid' AND total = 0 AND json_extract_string(metadata, '$.app') = '{TAG}'"""
 
-FREE_ORDERS = f"""
-    SELECT a.account_id, CAST(sum({FACE.format(m='cs.metadata')}) AS BIGINT) AS micros
-    FROM accounts a JOIN checkout_sessions cs ON cs.customer = a.stripe_customer_id
-    WHERE cs.mode = 'payment' AND cs.status = 'complete' AND cs.payment_status IN ('paid', 'no_payment_required')
-      AND cs.amount_total = 0
-    GROUP BY a.account_id"""
+# One signed list of every movement of money on an account (credits up, spend down) and a
+# zero opening row per account: the wallet is one grouping of it, with no join per source.
+MOVEMENTS = f"""
+    SELECT account_id, 'opening' AS kind, CAST(0 AS BIGINT) AS delta FROM accounts
+    UNION ALL SELECT account_id, 'usage', -price_micros FROM usage_events
+    UNION ALL SELECT account_id, 'simulated', -amount_micros FROM simulated_spend
+    UNION ALL SELECT owner.account_id, entry.source, entry.micros
+    FROM ({PURCHASE_ENTRIES}) entry JOIN accounts owner ON owner.stripe_customer_id = entry.customer"""
 
-FREE_INVOICES = f"""
-    SELECT a.account_id, CAST(sum({FACE.format(m='inv.metadata')}) AS BIGINT) AS micros
-    FROM accounts a JOIN invoices inv ON inv.customer = a.stripe_customer_id
-    WHERE inv.status = 'paid' AND inv.total = 0 AND json_extract_string(inv.metadata, '$.app') = '{TAG}'
-    GROUP BY a.account_id"""
 
-SPENT = """
-    SELECT account_id, CAST(sum(micros) AS BIGINT) AS micros
-    FROM (SELECT account_id, price_micros AS micros FROM usage_events
-          UNION ALL SELECT account_id, amount_micros FROM simulated_spend) all_spend
-    GROUP BY account_id"""
+def moved(*kinds: str) -> str:
+    """Per account, the size of its movements of the given kinds (accounts without any are absent)."""
+    names = ", ".join(f"'{k}'" for k in kinds)
+    return f"SELECT account_id, CAST(abs(sum(delta)) AS BIGINT) AS micros FROM movements WHERE kind IN ({names}) GROUP BY account_id"
+
 
 BALANCES = """
-    SELECT a.account_id,
-           CAST(coalesce(p.micros, 0) + coalesce(f.micros, 0) + coalesce(i.micros, 0) AS BIGINT) AS purchased_micros,
-           CAST(coalesce(s.micros, 0) AS BIGINT) AS spent_micros,
-           CAST(coalesce(p.micros, 0) + coalesce(f.micros, 0) + coalesce(i.micros, 0) - coalesce(s.micros, 0) AS BIGINT) AS balance_micros
-    FROM accounts a
-    LEFT JOIN w_purchased p ON p.account_id = a.account_id
-    LEFT JOIN w_free_orders f ON f.account_id = a.account_id
-    LEFT JOIN w_free_invoices i ON i.account_id = a.account_id
-    LEFT JOIN w_spent s ON s.account_id = a.account_id"""
+    SELECT account_id, CAST(balance + down AS BIGINT) AS purchased_micros, CAST(down AS BIGINT) AS spent_micros,
+           CAST(balance AS BIGINT) AS balance_micros
+    FROM (SELECT account_id, sum(delta) AS balance,
+                 coalesce(-sum(delta) FILTER (kind IN ('usage', 'simulated')), 0) AS down
+          FROM movements GROUP BY account_id HAVING bool_or(kind = 'opening'))"""
 
-BALANCE_CTES = {
-    "w_purchased": PURCHASED,
-    "w_free_orders": FREE_ORDERS,
-    "w_free_invoices": FREE_INVOICES,
-    "w_spent": SPENT,
-    "balances": BALANCES,
-}
+BALANCE_CTES = {"movements": MOVEMENTS, "balances": BALANCES}
+MOVEMENT_CTES = {"movements": MOVEMENTS}
 
 
 def money_sql(m: str) -> str:
@@ -71,12 +60,3 @@ def money_sql(m: str) -> str:
 def cents_sql(c: str) -> str:
     """DuckDB twin of ``scalars.cents_text``."""
     return f"(CASE WHEN {c} < 0 THEN '-' ELSE '' END || '$' || format('{{:,}}', (abs(CAST({c} AS BIGINT)) + 50) // 100))"
-
-
-PURCHASE_ENTRIES = f"""
-    SELECT customer, id, 'charge' AS source, (amount - amount_refunded) * 10000 AS micros, created FROM charges
-    WHERE status = 'succeeded' AND paid AND NOT disputed AND currency = 'usd'
-    UNION ALL SELECT customer, id, 'session', CAST(coalesce(json_extract_string(metadata, '$.credits_cents'), '0') AS BIGINT) * 10000, created
-    FROM checkout_sessions WHERE mode = 'payment' AND status = 'complete' AND payment_status IN ('paid', 'no_payment_required') AND amount_total = 0
-    UNION ALL SELECT customer, id, 'invoice', CAST(coalesce(json_extract_string(metadata, '$.credits_cents'), '0') AS BIGINT) * 10000, created
-    FROM invoices WHERE status = 'paid' AND total = 0 AND json_extract_string(metadata, '$.app') = '{TAG}'"""
