@@ -39,12 +39,18 @@ def key_auth(requests: DataFrame, api_keys: DataFrame) -> DataFrame:
     """Bearer token from the Authorization header (scheme case-insensitive), SHA-256
     hex, matched against live keys. No match: NULL key and account."""
     token = F.regexp_extract("authorization", BEARER, 1)
-    h = F.when(token != "", F.sha2(token, 256))
+    # Requests without a token get a key of their own that matches nothing: a NULL key would
+    # send all of them to one task.
+    h = F.when(token != "", F.sha2(token, 256)).otherwise(_unmatched())
     live = api_keys.filter(F.col("revoked_at").isNull()).select("key_hash", "key_id", "account_id")
     r = requests.select("request_id", h.alias("key_hash"))
     return r.join(live, "key_hash", "left").select("request_id", "key_id", "account_id")
 
 
+def _unmatched() -> Column:
+    return F.concat(F.lit("none:"), F.col("request_id").cast("string"))
+
+
 def retry_after(next_slot: Column, as_of: datetime) -> Column:
     """Seconds until the oldest call ages out: max(1, ceil(ms / 1000)) with the slot at
     millisecond precision; 3600 when there is no slot."""
@@ -59,11 +65,14 @@ def admission(requests: DataFrame, validation: DataFrame, auth: DataFrame, usage
     reference's order: 400 bad input, 401 no key, 503 no active price, 429 limit reached,
     402 balance below the quote, else 200."""
     price = active_unit_price(service_prices, service).select("unit_price_micros").scalar()  # one row at most
-    used = window_counts(usage, as_of)
+    # What is known per account is joined first, so the requests meet it once; those without an
+    # account get a key of their own (see ``key_auth``).
+    facts = window_counts(usage, as_of).join(balances.select("account_id", "balance_micros"), "account_id", "full")
+    facts = facts.select(F.col("account_id").cast("string").alias("_account"), "used", "oldest_at", "balance_micros")
     j = (requests.select("request_id").join(validation.select("request_id", "validation", "units"), "request_id", "inner")
          .join(auth, "request_id", "left")
-         .join(used, "account_id", "left")
-         .join(balances.select("account_id", "balance_micros"), "account_id", "left")
+         .withColumn("_account", F.coalesce(F.col("account_id").cast("string"), _unmatched()))
+         .join(facts, "_account", "left")
          .withColumn("unit_price_micros", price))
     quote = (F.col("units").cast("long") * F.col("unit_price_micros"))
     u = F.coalesce(F.col("used"), F.lit(0))

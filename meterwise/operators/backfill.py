@@ -17,7 +17,7 @@ def _meta_app(doc: Column) -> Column:
 
 def retag(tables: dict[str, DataFrame], old_tag: str, new_tag: str, meta_col: str = "metadata") -> DataFrame:
     """B1: objects whose ``metadata.app`` is the old tag get the new tag; the other keys are
-    kept (a map merge where the new value wins). Objects already on the new tag are
+    kept (a map merge where the new value wins), and the rewritten metadata is returned. Objects already on the new tag are
     reported as ``already``."""
     out = None
     for name, df in tables.items():
@@ -28,6 +28,7 @@ def retag(tables: dict[str, DataFrame], old_tag: str, new_tag: str, meta_col: st
             F.when(_meta_app(F.col(meta_col)) == old_tag, "changed").otherwise("already").alias("status"),
             F.element_at(merged, "app").alias("app"),
             F.size(merged).alias("n_keys"),
+            F.to_json(merged).alias("metadata"),
         )
         out = part if out is None else out.unionByName(part)
     return out

@@ -48,6 +48,11 @@ def request_validation(requests: DataFrame, text_col: str = "text", id_col: str
     # Item lengths are computed once per item (a separate projection, so the split and the
     # UTF-16 count are not re-evaluated by every expression below).
     lens = requests.select(id_col, F.transform(item_array(F.col(text_col)), lambda x: utf16_length(x)).alias("_lens"))
+    return _judged(lens, id_col)
+
+
+def _judged(lens: DataFrame, id_col: str) -> DataFrame:
+    """F10 from the items' lengths (``_lens``)."""
     ln = F.col("_lens")
     first_long = F.array_position(F.transform(ln, lambda n: n > MAX_CHARS_PER_ITEM), True)
     n = F.size(ln)
@@ -55,7 +60,7 @@ def request_validation(requests: DataFrame, text_col: str = "text", id_col: str
     reason = (F.when(n == 0, "empty_input").when(n > MAX_ITEMS_PER_REQUEST, "too_many_items")
               .when(first_long > 0, "item_too_long").otherwise("ok"))
     return lens.select(
-        id_col,
+        *[c for c in lens.columns if c != "_lens"],
         n.cast("int").alias("n_items"),
         units.cast("int").alias("units"),
         reason.alias("validation"),
@@ -63,6 +68,27 @@ def request_validation(requests: DataFrame, text_col: str = "text", id_col: str
     )
 
 
+def body_items(body: Column) -> Column:
+    """The items of a JSON request body: ``input`` is one string or an array of strings, taken
+    as they are. NULL when the body is not such JSON, or any string or the array is empty."""
+    value = F.try_variant_get(F.try_parse_json(body), "$.input", "variant")
+    many = F.try_variant_get(value, "$", "array<variant>")
+    kinds = F.transform(many, lambda e: F.schema_of_variant(e))
+    items = (F.when(F.schema_of_variant(value) == "STRING", F.array(F.try_variant_get(value, "$", "string")))
+             .when(F.forall(kinds, lambda k: F.coalesce(k == "STRING", F.lit(False))), F.transform(many, lambda e: F.try_variant_get(e, "$", "string"))))
+    return F.when((F.size(items) > 0) & F.forall(items, lambda x: x != ""), items)
+
+
+def body_validation(requests: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
+    """F9 + F10 of the API form: ``invalid_input`` for a body ``body_items`` refuses (no items,
+    no units), else as ``request_validation``, with the items as an array."""
+    r = requests.select(id_col, body_items(F.col(body_col)).alias("items"))
+    lens = r.select(id_col, "items", F.coalesce(F.transform("items", utf16_length), F.array().cast("array<int>")).alias("_lens"))
+    judged = _judged(lens, id_col)
+    return judged.select(id_col, "items", "n_items", "units",
+                         F.when(F.col("items").isNull(), "invalid_input").otherwise(F.col("validation")).alias("validation"), "bad_index")
+
+
 # ------------------------------------------------------------------ M1 / M2
 def item_units_df(items: DataFrame) -> DataFrame:
     """M1: units per item = max(1, ceil(UTF-16 length / 2000))."""
@@ -117,6 +143,22 @@ def score_items(items: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]
     return items.select("request_id", "idx", "item").mapInPandas(run, schema)
 
 
+def score_answers_of(scored: DataFrame) -> DataFrame:
+    """The scorer's output as raw answers, one JSON text per request in item order: what M4
+    checks. A request's items are bounded by F10."""
+    entry = F.struct(F.col("idx").alias("index"), F.struct(*CATEGORIES).alias("scores"), F.lit("").alias("reason"))
+    g = scored.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("idx", entry.alias("e")))).alias("_es"))
+    return g.select("request_id", F.to_json(F.struct(F.col("_es.e").alias("results"))).alias("answer"), F.lit(200).alias("upstream_status"))
+
+
+def text_verdicts(requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] = lexicon_scorer) -> DataFrame:
+    """F10, F9, M3, M4 and M5 as one plan: the verdicts of every valid request's texts."""
+    valid = request_validation(requests).filter(F.col("validation") == "ok")
+    items = request_items(requests).join(valid.select("request_id"), "request_id", "left_semi")
+    results, _ = ingest_scores(score_answers_of(score_items(items, scorer)), valid)
+    return verdicts(results)
+
+
 # ------------------------------------------------------------------------ M4
 _SCORES = ", ".join(f"{c}: double" for c in CATEGORIES)
 ANSWER_SCHEMA = f"array<struct<results: array<struct<index: double, scores: struct<{_SCORES}>, reason: string>>>>"

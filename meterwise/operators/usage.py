@@ -164,13 +164,14 @@ def series_sums(series: DataFrame) -> DataFrame:
 
 
 def usage_rollup(usage: DataFrame, granularities=("hour", "day", "month")) -> DataFrame:
-    """The same measures per account at several time granularities (one pass, exploded)."""
+    """The same measures per account at several time granularities, hours and longer. The
+    ledger is summed by hour first; only the hours are then repeated per granularity."""
+    hours = usage.groupBy("account_id", F.date_trunc("hour", "created_at").alias("hour")).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("units").alias("units"), F.sum("price_micros").alias("micros"))
     g = F.explode(F.array(*[F.lit(x) for x in granularities])).alias("granularity")
-    u = usage.select("account_id", "units", "price_micros", "created_at", g)
-    bucket = F.expr("date_trunc(granularity, created_at)")
-    return u.groupBy("account_id", "granularity", bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).cast("int").alias("requests"), F.sum("units").cast("long").alias("units"),
-        F.sum("price_micros").cast("long").alias("spent_micros"))
+    return hours.select("*", g).groupBy("account_id", "granularity", F.expr("date_trunc(granularity, hour)").alias("bucket")).agg(
+        F.sum("requests").cast("int").alias("requests"), F.sum("units").cast("long").alias("units"),
+        F.sum("micros").cast("long").alias("spent_micros"))
 
 
 def rolling_24h(usage: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from meterwise.operators.wallet import purchase_entries
 from meterwise.plans import q_topups
 from meterwise.plans.q_usage import RATE_IMPACT_SQL
 from meterwise.plans.registry import register
-from meterwise.schemas import OWNED, conform
+from meterwise.schemas import OWNED, SYNCED, conform
 from meterwise.sources import lifecycle as LC
 from meterwise.sources import synced as SY
 
@@ -53,6 +53,30 @@ def q_load_tables(fx):
     return conform(fx.usage_events, OWNED["usage_events"])
 
 
+def _load(table):
+    def build(fx):
+        return conform(getattr(fx, table), OWNED[table])
+
+    return build
+
+
+# The tables that grow; service prices and model costs are a few configuration rows.
+for _t in ("accounts", "api_keys", "simulated_spend", "topups"):
+    register(f"load_{_t}", "S3", f"SELECT * FROM {_t}")(_load(_t))
+
+
+def _synced(table):
+    def build(fx):
+        return SY.synced_typed(SY.synced_latest(fx.synced_feed(table)), SYNCED[table]).drop("_account_id", "_updated_at")
+
+    return build
+
+
+# Through the change feed (S2, then S1) and back to the table it was made from.
+for _t in SYNCED:
+    register(f"synced_{_t}", "S1-S2", f"SELECT * FROM {_t}")(_synced(_t))
+
+
 _LEDGER_COLS = ["id", "account_id", "api_key_id", "service", "units", "model", "input_tokens", "cached_input_tokens", "output_tokens",
                 "reasoning_tokens", "price_micros", "cost_micros", "status", "latency_ms", "created_at"]
 _ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in ["created_at"] + [c for c in _LEDGER_COLS if c not in ("id", "created_at")])
@@ -183,7 +207,9 @@ def q_customer_link(fx):
 # -------------------------------------------------------------------- backfills
 def _retag_sql(table: str, meta: str) -> str:
     return (f"SELECT '{table}' AS table_name, id, CASE WHEN json_extract_string({meta}, '$.app') = 'other' THEN 'changed' ELSE 'already' END AS status, "
-            f"'{P.app_tag}' AS app, CAST(len(json_keys({meta})) AS INTEGER) AS n_keys FROM {table}_m "
+            f"'{P.app_tag}' AS app, CAST(len(json_keys({meta})) AS INTEGER) AS n_keys, "
+            f"""replace({meta}, '"app":"other"', '"app":"{P.app_tag}"') AS metadata """
+            f"FROM {table}_m "
             f"WHERE json_extract_string({meta}, '$.app') IN ('other', '{P.app_tag}')")
 
 
@@ -272,6 +298,19 @@ def q_purge_semi(fx):
     return BF.keep_children(fx.usage_events, BF.purge_accounts(fx.accounts)[0])
 
 
+def _purged(table):
+    def build(fx):
+        return BF.keep_children(getattr(fx, table), BF.purge_accounts(fx.accounts)[0])
+
+    return build
+
+
+# The purge reaches every child of an account, not only the ledger.
+for _t in ("api_keys", "simulated_spend", "topups"):
+    register(f"purge_{_t}", "J12",
+             f"SELECT * FROM {_t} WHERE account_id IN (SELECT account_id FROM accounts WHERE user_id IS NOT NULL)")(_purged(_t))
+
+
 # ---------------------------------------------------------------------- audits
 _DUPS = {"usage_events": "id", "topups": "invoice_id", "accounts": "user_id", "api_keys": "key_hash", "charges": "id"}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from meterwise.config import CATEGORIES, DEFAULT
 from meterwise.operators import admission as AD
 from meterwise.operators import moderation as MO
@@ -91,11 +89,6 @@ _HEAD = (f"CASE WHEN len(flagged) > 0 THEN array_to_string(list_transform(flagge
          f"{_fixed2(_score_of('top_category'))} END")
 
 
-@lru_cache(maxsize=None)
-def _ctx(fx):
-    return fx
-
-
 def _val(fx):
     return MO.request_validation(fx.moderation_requests)
 
@@ -132,11 +125,52 @@ def q_request_batches(fx):
     return MO.request_batches(MO.request_items(fx.moderation_requests))
 
 
-@register("score_items", "M3")
+def _hits(word: str) -> str:
+    return f"((length(lower(item)) - length(replace(lower(item), '{word}', ''))) // {len(word)})"
+
+
+_LEXICON_SCORES = ("SELECT request_id, idx, " + ", ".join(
+    f"least(({' + '.join(_hits(w) for w in MO.LEXICON[c])}) * CAST(0.3 AS DOUBLE), 1) AS {c}" for c in CATEGORIES) + " FROM mod_items")
+
+
+@register("score_items", "M3", _LEXICON_SCORES)
 def q_score_items(fx):
     return MO.score_items(MO.request_items(fx.moderation_requests))
 
 
+@register("text_verdicts", "M3-M5", "SELECT * FROM verdicts",
+          {"val": _VAL, "results": f"SELECT *, '' AS reason FROM ({_LEXICON_SCORES}) s WHERE request_id IN (SELECT request_id FROM val WHERE validation = 'ok')",
+           "verdicts": _VERDICTS})
+def q_text_verdicts(fx):
+    return MO.text_verdicts(fx.moderation_requests)
+
+
+# API bodies of the documents: the whole text as one string, or its lines as an array (a blank
+# line there is an empty string, which the API refuses).
+_BODY = """SELECT request_id, json_object('input', CASE WHEN request_id % 2 = 0 THEN to_json("text") ELSE to_json(string_split("text", chr(10))) END) AS body
+           FROM moderation_requests"""
+_BODY_VAL = f"""
+    SELECT request_id, items, n_items,
+           CAST(coalesce(list_sum(list_transform(items, lambda x: greatest(1, ceil({u16('x')} / 2000)))), 0) AS INTEGER) AS units,
+           CASE WHEN items IS NULL THEN 'invalid_input' WHEN n_items > 20 THEN 'too_many_items' WHEN long_at > 0 THEN 'item_too_long' ELSE 'ok' END AS validation,
+           CASE WHEN n_items BETWEEN 1 AND 20 AND long_at > 0 THEN CAST(long_at - 1 AS INTEGER) END AS bad_index
+    FROM (SELECT request_id, items, CAST(coalesce(len(items), 0) AS INTEGER) AS n_items,
+                 coalesce(list_position(list_transform(items, lambda x: {u16('x')} > 8000), true), 0) AS long_at
+          FROM (SELECT request_id, CASE WHEN len(parts) > 0 AND NOT list_contains(parts, '') THEN parts END AS items
+                FROM (SELECT request_id, CASE json_type(body, '$.input') WHEN 'VARCHAR' THEN [json_extract_string(body, '$.input')]
+                                              WHEN 'ARRAY' THEN from_json(json_extract(body, '$.input'), '["VARCHAR"]') END AS parts
+                      FROM bodies) p) i) v"""
+
+
+@register("body_validation", "F9-F10", _BODY_VAL, {"bodies": _BODY})
+def q_body_validation(fx):
+    from pyspark.sql import functions as F
+
+    whole = F.to_json(F.struct(F.col("text").alias("input")))
+    lines = F.to_json(F.struct(F.split("text", "\n").alias("input")))
+    return MO.body_validation(fx.moderation_requests.select("request_id", F.when(F.col("request_id") % 2 == 0, whole).otherwise(lines).alias("body")))
+
+
 @register("ingest_scores", "M4", "SELECT * FROM results", MOD_CTES)
 def q_ingest_scores(fx):
     return _ingest(fx)[0]

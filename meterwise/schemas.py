@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 L, I, S, B, TS = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType(), T.TimestampType()
+RATE = T.DecimalType(12, 4)
 
 
 def _st(*fields) -> T.StructType:
@@ -24,12 +25,27 @@ OWNED = {
                         ("output_tokens", I, False), ("reasoning_tokens", I, False), ("price_micros", L, False),
                         ("cost_micros", L, False), ("status", T.ShortType(), False), ("latency_ms", I, True),
                         ("created_at", TS, False)),
+    "service_prices": _st(("service", S, False), ("unit_price_micros", L, False), ("active", B, False), ("updated_at", TS, False)),
+    "model_costs": _st(("model", S, False), ("input_usd_per_mtok", RATE, False), ("cached_input_usd_per_mtok", RATE, False),
+                       ("output_usd_per_mtok", RATE, False)),
     "simulated_spend": _st(("id", L, False), ("account_id", L, False), ("amount_micros", L, False), ("created_at", TS, False)),
     "topups": _st(("id", L, False), ("account_id", L, False), ("invoice_id", S, True), ("amount_cents", I, False),
                   ("status", S, False), ("error", S, True), ("trigger", S, False), ("created_at", TS, False)),
 }
 
-# Synced customer documents (the JSON in ``_raw_data``).
+# Synced documents (the JSON in ``_raw_data``). Nested objects that are read by path later
+# (metadata, card details) are kept as their JSON text.
+CHARGE_DOC = _st(("id", S, True), ("customer", S, True), ("payment_method", S, True), ("payment_method_details", S, True),
+                 ("amount", L, True), ("amount_refunded", L, True), ("currency", S, True), ("status", S, True), ("paid", B, True),
+                 ("refunded", B, True), ("disputed", B, True), ("receipt_url", S, True), ("metadata", S, True), ("created", L, True))
+PRICE_DOC = _st(("id", S, True), ("lookup_key", S, True), ("active", B, True), ("unit_amount", L, True), ("created", L, True))
+SESSION_DOC = _st(("id", S, True), ("customer", S, True), ("mode", S, True), ("status", S, True), ("payment_status", S, True),
+                  ("amount_total", L, True), ("metadata", S, True), ("created", L, True))
+INVOICE_DOC = _st(("id", S, True), ("customer", S, True), ("status", S, True), ("total", L, True), ("amount_paid", L, True),
+                  ("hosted_invoice_url", S, True), ("metadata", S, True), ("created", L, True))
+PROMOTION_DOC = _st(("id", S, True), ("code", S, True), ("active", B, True), ("created", L, True))
+SYNCED = {"charges": CHARGE_DOC, "prices": PRICE_DOC, "checkout_sessions": SESSION_DOC, "invoices": INVOICE_DOC,
+          "promotion_codes": PROMOTION_DOC}
 CUSTOMER_DOC = _st(("id", S, True), ("email", S, True), ("name", S, True),
                    ("metadata", T.MapType(S, S), True), ("created", L, True))
 

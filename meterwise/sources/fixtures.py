@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from meterwise.config import CATEGORIES as CATEGORIES_FX
 from meterwise.config import DEFAULT, Params
+from meterwise.schemas import SYNCED
 from meterwise.sources.tables import read_table
 
 # Fixed fixture values (FIXTURES.md).
@@ -319,6 +320,18 @@ class Fixtures:
             f"{doc} AS _raw_data",
         )
 
+    def synced_feed(self, table: str) -> DataFrame:
+        """Change feed of a synced table: every object as a JSON document in an old version
+        (another ``created``) and the current one, which arrives twice."""
+        doc_schema = SYNCED[table]
+        nested = {"metadata": "map<string,string>", "payment_method_details": "type string, card struct<brand:string, last4:string>"}
+        doc = [F.from_json(f.name, nested[f.name]).alias(f.name) if f.name in nested else F.col(f.name) for f in doc_schema.fields]
+        versions = getattr(self, table).withColumn("_v", F.explode(F.array(F.lit(1), F.lit(2), F.lit(2))))
+        versions = versions.withColumn("created", F.when(F.col("_v") == 1, 0).otherwise(F.col("created")))
+        return versions.select("id", F.lit("acct_main").alias("_account_id"),
+                               (ts_lit(datetime(2024, 1, 1)) + F.make_dt_interval(F.lit(0), "_v")).alias("_updated_at"),
+                               F.to_json(F.struct(*doc)).alias("_raw_data"))
+
     @cached_property
     def prices(self) -> DataFrame:
         """Synced catalog prices (from ``part``): many versions per lookup key."""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from meterwise.functions.scalars import utf16_prefix
 from meterwise.operators import audit as AU
+from meterwise.operators import moderation as MO
 from meterwise.operators import purchases as PU
 from meterwise.operators import usage as U
+from meterwise.schemas import OWNED, read_owned
 from meterwise.sources import lifecycle as LC
 from meterwise.streaming.jobs import _admission_state_fn
 from meterwise.streaming.sinks import read_if_written, read_stream_table, run_available_now
@@ -131,3 +133,28 @@ def test_audits_fire(spark):
     assert [(r.table_name, r.ref, r.n) for r in AU.orphans({"c": (child, "ref")}, parent, "key").collect()] == [("c", "9", 2)]
     entries = spark.createDataFrame([("o1", "charge"), ("o1", "session"), ("o2", "charge")], "id string, source string")
     assert [(r.id, r.n, r.sources) for r in AU.no_double_count(entries).collect()] == [("o1", 2, "charge,session")]
+
+
+def test_request_bodies(spark):
+    bodies = {'{"input": "a"}': ["a"], '{"input": ["a", " b "]}': ["a", " b "], '{"input": ""}': None, '{"input": []}': None,
+              '{"input": ["a", ""]}': None, '{"input": ["a", 1]}': None, '{"input": ["a", null]}': None, '{"input": 3}': None,
+              '{"other": "a"}': None, "no json": None, None: None, '{"input": {"a": 1}}': None}
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "request_id long, body string")
+    got = {r.request_id: r for r in MO.body_validation(df).collect()}
+    assert [got[i].items for i in range(len(bodies))] == list(bodies.values())
+    assert {got[i].validation for i, v in enumerate(bodies.values()) if v is None} == {"invalid_input"}
+    assert got[1].validation == "ok" and got[1].n_items == 2 and got[1].units == 2 and got[2].units == 0
+
+
+def test_verdicts_follow_the_text(spark):
+    df = spark.createDataFrame([(1, "you stupid idiot loser\n\na nice day"), (2, "stupid idiot"), (3, ""), (4, None)],
+                               "request_id long, text string")
+    got = {(r.request_id, r.idx): (r.verdict, list(r.flagged)) for r in MO.text_verdicts(df).collect()}
+    assert got == {(1, 0): ("block", ["harassment"]), (1, 1): ("allow", []), (2, 0): ("review", ["harassment"])}
+
+
+def test_owned_tables_are_read_with_their_schema(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 3, DAY)], "id long, account_id long, amount_micros long, created_at timestamp")
+    rows.write.parquet(str(tmp_path / "t"))
+    got = read_owned(spark, str(tmp_path / "t"), "simulated_spend")
+    assert [f.name for f in got.schema] == [f.name for f in OWNED["simulated_spend"]] and got.count() == 1
