@@ -283,7 +283,40 @@ def q_quote(fx):
     return AD.quote(fx.moderation_requests, _val(fx), _auth(fx), fx.balances, fx.service_prices, fx.p.service)
 
 
-@register("admission_replay", "P4")
+# The replay as a recursion: step k judges every account's k-th attempt with what the first
+# k - 1 left of its balance and added to its calls.
+_ATTEMPTS = """
+    SELECT ad.request_id, ad.account_id, r."at" AS tried_at, ad.quote_micros,
+           CASE WHEN coalesce(s.upstream_status, 0) <> 200 THEN 'upstream' WHEN c.outcome_check <> 'ok' THEN 'invalid' ELSE 'ok' END AS outcome,
+           row_number() OVER (PARTITION BY ad.account_id ORDER BY r."at", ad.request_id) AS k
+    FROM admitted ad JOIN moderation_requests r USING (request_id)
+    LEFT JOIN score_answers s USING (request_id) LEFT JOIN checked c USING (request_id)
+    WHERE ad.status_code NOT IN (400, 401, 503)"""
+_REPLAY = f"""
+    WITH RECURSIVE fold AS (
+      SELECT a.account_id, CAST(0 AS BIGINT) AS k, CAST(coalesce(b.balance_micros, 0) AS BIGINT) AS left_micros,
+             coalesce(p.calls, CAST([] AS TIMESTAMP[])) AS calls, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS TIMESTAMP) AS tried_at,
+             0 AS status_code, CAST(0 AS BIGINT) AS charged_micros, false AS counted
+      FROM (SELECT DISTINCT account_id FROM attempts) a LEFT JOIN balances b USING (account_id)
+      LEFT JOIN (SELECT account_id, list(created_at) AS calls FROM usage_events
+                 WHERE created_at > {AS_OF} - INTERVAL 24 HOUR AND created_at <= {AS_OF} GROUP BY account_id) p USING (account_id)
+      UNION ALL
+      SELECT account_id, k, left_micros - CASE WHEN st = 200 THEN quote_micros ELSE 0 END,
+             CASE WHEN st = 200 OR (st = 502 AND outcome = 'invalid') THEN list_append(calls, tried_at) ELSE calls END,
+             request_id, tried_at, st, CASE WHEN st = 200 THEN quote_micros ELSE 0 END, st = 200 OR (st = 502 AND outcome = 'invalid')
+      FROM (SELECT f.left_micros, f.calls, t.*,
+                   CASE WHEN len(list_filter(f.calls, lambda c: c > t.tried_at - INTERVAL 24 HOUR)) >= 2 THEN 429
+                        WHEN f.left_micros < t.quote_micros THEN 402 WHEN t.outcome = 'ok' THEN 200 ELSE 502 END AS st
+            FROM fold f JOIN attempts t ON t.account_id = f.account_id AND t.k = f.k + 1) step)
+    SELECT request_id, account_id, tried_at AS "at", status_code, charged_micros, counted, left_micros AS balance_after_micros
+    FROM fold WHERE k > 0"""
+FOLD_SQL = "SELECT * FROM replayed"
+FOLD_CTES = {**ADM_CTES, **MOD_CTES, "attempts": _ATTEMPTS, "replayed": _REPLAY}
+_REFUSED = """SELECT request_id, account_id, r."at", status_code, CAST(0 AS BIGINT), false, CAST(NULL AS BIGINT)
+              FROM admitted JOIN moderation_requests r USING (request_id) WHERE status_code IN (400, 401, 503)"""
+
+
+@register("admission_replay", "P4", f"{FOLD_SQL} UNION ALL {_REFUSED}", FOLD_CTES)
 def q_admission_replay(fx):
     rejects = _ingest(fx)[1]
     snap = fx.wallet_snapshot  # read by the snapshot check and by the fold

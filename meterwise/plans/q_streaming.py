@@ -4,7 +4,7 @@ input, then returns its final state; the oracle is the batch answer."""
 from __future__ import annotations
 
 from meterwise.operators import admission as AD
-from meterwise.plans import q_lifecycle, q_moderation
+from meterwise.plans import q_lifecycle, q_moderation, q_topups
 from meterwise.plans.registry import register
 from meterwise.plans.sql_snippets import AS_OF, BALANCE_CTES, PURCHASE_ENTRIES
 from meterwise.streaming import jobs as J
@@ -71,12 +71,15 @@ def q_stream_credit_watch(fx):
     return J.stream_credit_watch(_sfx(fx))
 
 
-@register("stream_topups", "ST6")
+_FIRST_TICK = f"SELECT *, {AS_OF} AS commanded_at FROM commands WHERE trigger = 'schedule'"
+
+
+@register("stream_topups", "ST6", _FIRST_TICK, q_topups.CMD_CTES)
 def q_stream_topups(fx):
     return J.stream_topups(_sfx(fx)).drop("_batch")
 
 
-@register("stream_admission", "ST4")
+@register("stream_admission", "ST4", q_moderation.FOLD_SQL, q_moderation.FOLD_CTES)
 def q_stream_admission(fx):
     rejects = q_moderation._ingest(fx)[1]
     rows = AD.replay_input(q_moderation._admission(fx), AD.answer_outcomes(fx.score_answers, rejects), fx.moderation_requests,

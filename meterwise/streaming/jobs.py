@@ -14,6 +14,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from meterwise.config import (CHECKOUT_WATCH_MINUTES, DAILY_REQUEST_LIMIT, SYNC_LAG_MINUTES, TOPUP_COOLDOWN_MINUTES,
@@ -30,11 +31,13 @@ WATERMARK = f"{SYNC_LAG_MINUTES} minutes"
 
 
 class StreamFixtures(Fixtures):
-    """Fixtures whose listed driver tables are file streams (the rest stay static)."""
+    """Fixtures whose listed driver tables are file streams (the rest stay static). Jobs over
+    fixtures of the same ``run`` name resume each other's checkpoints."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, streamed=("events", "lineitem", "orders", "customer"), **kw):
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed=("events", "lineitem", "orders", "customer"), run: str | None = None, **kw):
         super().__init__(spark, sf_dir, **kw)
         self.streamed = set(streamed)
+        self.run = run
 
     def raw(self, name: str) -> DataFrame:
         if name in self.streamed:
@@ -48,10 +51,15 @@ def _static(fx: StreamFixtures) -> Fixtures:
 
 # ------------------------------------------------------------------------ ST1
 def stream_synced(fx: StreamFixtures) -> DataFrame:
-    """ST1: keep the latest version per object from the change feed (final state = S2)."""
+    """ST1: keep the latest version per object from the change feed (final state = S2). Each
+    micro-batch leaves only its newest version of an object."""
     feed = fx.customers_raw
-    path = run_available_now(feed, "synced")
-    rows = read_sink(fx.spark, path, feed.schema).drop("_batch")
+
+    def newest(bdf: DataFrame, bid: int, d: str) -> None:
+        synced_latest(bdf).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+
+    path = run_available_now(feed, "synced", batch_fn=newest, run=fx.run)
+    rows = read_sink(fx.spark, path, feed.schema).select(*feed.columns)
     return synced_typed(synced_latest(rows))
 
 
@@ -67,21 +75,34 @@ def stream_ledger(fx: StreamFixtures) -> DataFrame:
         ledger = bdf.limit(0) if written is None else written.filter(F.col("_batch") < bid)
         ledger_append(ledger, bdf).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
 
-    path = run_available_now(calls, "ledger", batch_fn=append)
+    path = run_available_now(calls, "ledger", batch_fn=append, run=fx.run)
     return read_sink(fx.spark, path, calls.schema).drop("_batch")
 
 
 # ------------------------------------------------------------------------ ST3
+def _windowed(fx: StreamFixtures, calls: DataFrame, name: str, window, sums: dict) -> DataFrame:
+    """Window sums of a stream of calls. A micro-batch writes the sums of its own rows, and the
+    final state adds the micro-batches up: sums of sums are exact however late a row comes,
+    so no watermark has to drop any and no state is kept between the batches."""
+    keys = ["account_id", "window_start", "window_end"]
+
+    def partial(bdf: DataFrame, bid: int, d: str) -> None:
+        g = bdf.groupBy("account_id", window.alias("w")).agg(*[F.sum(e).cast("long").alias(c) for c, e in sums.items()])
+        g = g.select("account_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *sums)
+        g.write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+
+    path = run_available_now(calls, name, batch_fn=partial, run=fx.run)
+    schema = T.StructType([T.StructField("account_id", T.LongType()), T.StructField("window_start", T.TimestampType()),
+                           T.StructField("window_end", T.TimestampType()), *[T.StructField(c, T.LongType()) for c in sums]])
+    return read_sink(fx.spark, path, schema).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+
+
 def stream_usage(fx: StreamFixtures, size: str = "1 day") -> DataFrame:
-    """ST3: tumbling-window usage per account (update mode; final state per window)."""
-    agg = (fx.usage_events.withWatermark("created_at", WATERMARK)
-           .groupBy(F.window("created_at", size).alias("w"), "account_id")
-           .agg(F.count(F.lit(1)).cast("int").alias("requests"), F.sum("units").cast("long").alias("units"),
-                F.sum("price_micros").cast("long").alias("spent_micros"))
-           .select("account_id", F.col("w.start").alias("window_start"), "requests", "units", "spent_micros"))
-    path = run_available_now(agg, "usage", output_mode="update")
-    final = latest_per_key(read_sink(fx.spark, path, agg.schema), ["account_id", "window_start"])
-    return final.select("account_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "requests", "units", "spent_micros")
+    """ST3: tumbling-window usage per account."""
+    w = _windowed(fx, fx.usage_events, "usage", F.window("created_at", size),
+                  {"requests": F.lit(1), "units": F.col("units"), "spent_micros": F.col("price_micros")})
+    return w.select("account_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), F.col("requests").cast("int").alias("requests"),
+                    "units", "spent_micros")
 
 
 # ------------------------------------------------------------------------ ST5
@@ -95,7 +116,7 @@ def stream_balance(fx: StreamFixtures) -> DataFrame:
     sims = fx.simulated_spend.select("account_id", F.lit(0).cast("long").alias("credit"), F.col("amount_micros").alias("debit"))
     agg = credits.unionByName(debits).unionByName(sims).groupBy("account_id").agg(
         F.sum("credit").cast("long").alias("purchased"), F.sum("debit").cast("long").alias("spent"))
-    path = run_available_now(agg, "balance", output_mode="update")
+    path = run_available_now(agg, "balance", output_mode="update", run=fx.run)
     final = latest_per_key(read_sink(fx.spark, path, agg.schema), ["account_id"])
     w = st.accounts.select("account_id").join(final, "account_id", "left")
     p, s = F.coalesce("purchased", F.lit(0)).cast("long"), F.coalesce("spent", F.lit(0)).cast("long")
@@ -106,12 +127,8 @@ def stream_balance(fx: StreamFixtures) -> DataFrame:
 def stream_sliding_24h(fx: StreamFixtures) -> DataFrame:
     """ST9: requests per account in sliding 24 h windows advanced hourly, last 30 days."""
     recent = fx.usage_events.filter(F.col("created_at") > F.lit(fx.p.as_of - timedelta(days=30)).cast("timestamp"))
-    agg = (recent.withWatermark("created_at", WATERMARK)
-           .groupBy(F.window("created_at", "24 hours", "1 hour").alias("w"), "account_id")
-           .agg(F.count(F.lit(1)).cast("int").alias("requests"))
-           .select("account_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests"))
-    path = run_available_now(agg, "sliding", output_mode="update")
-    return latest_per_key(read_sink(fx.spark, path, agg.schema), ["account_id", "window_start"])
+    w = _windowed(fx, recent, "sliding", F.window("created_at", "24 hours", "1 hour"), {"requests": F.lit(1)})
+    return w.withColumn("requests", F.col("requests").cast("int"))
 
 
 # ------------------------------------------------------------------------ ST7
@@ -149,7 +166,7 @@ def stream_credit_watch(fx: StreamFixtures) -> DataFrame:
     cond = ((w["account_id"] == c["c_account_id"]) & (c["credit_at"] > w["requested_at"])
             & (c["credit_at"] <= w["requested_at"] + F.expr(f"INTERVAL {longest} MINUTES")))
     matches = w.join(c, cond, "leftOuter").select("watch_id", "requested_at", "timeout_min", "credit_at")
-    path = run_available_now(matches, "credit_watch")
+    path = run_available_now(matches, "credit_watch", run=fx.run)
     got = read_sink(fx.spark, path, matches.schema)
     in_time = got.filter(F.col("credit_at").isNotNull()
                          & (F.col("credit_at") <= F.col("requested_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("timeout_min"))))
@@ -180,7 +197,7 @@ def stream_topups(fx: StreamFixtures, tick: timedelta = timedelta(minutes=5)) ->
             cmds = cmds.join(recent.select("account_id"), "account_id", "left_anti")
         cmds.withColumn("commanded_at", F.lit(at).cast("timestamp")).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
 
-    path = run_available_now(ticks, "topups", batch_fn=batch_fn)
+    path = run_available_now(ticks, "topups", batch_fn=batch_fn, run=fx.run)
     return read_sink(spark, path, ticks.schema)
 
 

@@ -1,6 +1,7 @@
 """Stream plumbing: file-stream sources over the driver's tables, idempotent
 ``foreachBatch`` sinks in the shared checkpoint folder, and read-back of the
-final state.
+final state. A job with a ``run`` name keeps its folder (checkpoint and output)
+from one start to the next and goes on where it stopped.
 
 Every sink writes one directory per micro-batch id with ``overwrite``, so a
 batch replayed after an executor or driver loss rewrites the same files:
@@ -21,28 +22,26 @@ from meterwise.session import ensure_checkpoint_dir
 from meterwise.sources.tables import table_path, table_schema, utc_projection
 
 
-def stream_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one streaming job, under ``spark.checkpoint.dir``."""
+def stream_dir(spark: SparkSession, name: str, run: str | None = None) -> str:
+    """The folder of one streaming job under ``spark.checkpoint.dir``: the same one for every
+    start of the run of that name, a fresh one without a name."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/streams/{name}-{run or uuid.uuid4().hex[:12]}"
 
 
-def read_stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
+def read_stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A file stream over ``<folder>/<name>.parquet`` and the files ``<name>_*.parquet`` that
     land beside it later, with the zone-less timestamps cast once, as in batch reads."""
     schema = table_schema(spark, table_path(folder, name))
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{{{name},{name}_*}}.parquet")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    s = reader.parquet(folder)
+    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{{{name},{name}_*}}.parquet").parquet(folder)
     return s.selectExpr(*utc_projection(schema))
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", batch_fn=None) -> str:
+def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", batch_fn=None, run: str | None = None) -> str:
     """Run ``stream`` over everything available now into ``<dir>/data/_batch=<id>``; returns
     the data path. ``batch_fn(df, batch_id, dir)`` replaces the default writer."""
     spark = stream.sparkSession
-    d = stream_dir(spark, name)
+    d = stream_dir(spark, name, run)
 
     def write(bdf: DataFrame, bid: int) -> None:
         if batch_fn is not None:

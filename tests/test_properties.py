@@ -10,6 +10,7 @@ from meterwise.operators import backfill as BF
 from meterwise.operators import usage as U
 from meterwise.plans import q_moderation as QM
 from meterwise.plans.catalog import REGISTRY
+from meterwise.plans.compare import compare
 
 
 def _rows(df):
@@ -85,3 +86,17 @@ def test_backfills_are_idempotent(fx):
 
 def test_stream_balance_equals_batch(fx):
     assert _rows(REGISTRY["stream_balance"].build(fx)) == _rows(fx.balances)
+
+
+def test_dashboard_lists_equal_their_own_queries(fx, con):
+    d = REGISTRY["dashboard"].build(fx).cache()
+    r = compare(d.select("account_id", "wallet.*"), con, REGISTRY["balances"].oracle_sql())
+    assert r["match"], r
+    for column, name, fields in (("purchases", "purchases_top10", ["id", "amount_cents", "refunded_cents", "status", "disputed", "auto", "created"]),
+                                 ("auto_topup.recent", "recent_topups", ["id", "amount_cents", "status", "error", "created_at"]),
+                                 ("usage.daily", "daily_merged", ["day", "requests", "units", "spent_micros", "simulated_micros"]),
+                                 ("usage.recent", "recent_ledger", ["id", "units", "status", "price_micros", "simulated"])):
+        flat = d.select("account_id", F.explode(column).alias("e")).select("account_id", *[F.col(f"e.{f}").alias(f) for f in fields])
+        r = compare(flat, con, f"SELECT account_id, {', '.join(fields)} FROM ({REGISTRY[name].oracle_sql()}) own")
+        assert r["match"], (column, r)
+    d.unpersist()
