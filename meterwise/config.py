@@ -30,9 +30,6 @@ PACK_CENTS = (1000, 2500, 10000)
 TOPUP_AMOUNTS_CENTS = (1000, 2500, 10000)
 TOPUP_THRESHOLDS_CENTS = (200, 500, 1000)
 TOPUP_COOLDOWN_MINUTES = 15
-# API keys: prefix text and characters shown after it.
-API_KEY_PREFIX = "bnc_"
-API_KEY_VISIBLE_CHARS = 8
 # Requests one account may make in any rolling 24 hours.
 DAILY_REQUEST_LIMIT = 2
 # The one service sold and the model behind it.
@@ -62,6 +59,7 @@ class Params:
 
     as_of: datetime = datetime(2024, 1, 31, 0, 0, 0)
     app_tag: str = "appx"
+    key_prefix: str = "key_"
     free_mode: bool = True
     promotion_code: str = "APPX100"
     service: str = MODERATION_SERVICE

@@ -14,6 +14,7 @@ from meterwise.config import DEFAULT
 P = DEFAULT
 AS_OF = f"TIMESTAMP '{P.as_of_sql}'"
 TAG = P.app_tag
+KEY = P.key_prefix
 OLD = P.old_tag
 PH = P.placeholder_domain
 
@@ -88,7 +89,7 @@ FIXTURE_CTES: dict[str, str] = {
     FROM customer""",
     "api_key_creates": f"""
     SELECT c_custkey AS key_id, c_custkey AS account_id, 'default' AS name,
-           'bnc_' || lpad({_s('c_custkey')}, 12, '0') AS key_text,
+           '{KEY}' || lpad({_s('c_custkey')}, 12, '0') AS key_text,
            TIMESTAMP '2023-01-01 00:00:00' + to_days(CAST(c_custkey % 365 AS INTEGER)) AS created_at
     FROM customer WHERE c_custkey % 3 <> 1""",
     "api_keys": f"""
@@ -208,9 +209,9 @@ FIXTURE_CTES: dict[str, str] = {
     "moderation_requests": f"""
     SELECT doc_id AS request_id,
            CASE WHEN doc_id % 31 = 0 THEN NULL
-                WHEN doc_id % 23 = 0 THEN 'Basic bnc_' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0')
-                WHEN doc_id % 29 = 0 THEN 'bearer  bnc_' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0')
-                ELSE 'Bearer bnc_' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0') END AS authorization,
+                WHEN doc_id % 23 = 0 THEN 'Basic {KEY}' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0')
+                WHEN doc_id % 29 = 0 THEN 'bearer  {KEY}' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0')
+                ELSE 'Bearer {KEY}' || lpad(CAST(doc_id // 4 AS VARCHAR), 12, '0') END AS authorization,
            text,
            {AS_OF} + to_minutes(CAST(doc_id % 2880 AS INTEGER)) AS at
     FROM documents""",

@@ -140,7 +140,7 @@ class Fixtures:
             "c_custkey AS key_id",
             "c_custkey AS account_id",
             "'default' AS name",
-            "concat('bnc_', lpad(CAST(c_custkey AS STRING), 12, '0')) AS key_text",
+            f"concat({sql_str(self.p.key_prefix)}, lpad(CAST(c_custkey AS STRING), 12, '0')) AS key_text",
             f"{sql_ts(datetime(2023, 1, 1))} + make_dt_interval(CAST(pmod(c_custkey, 365) AS INT)) AS created_at",
         )
 
@@ -375,7 +375,7 @@ class Fixtures:
     def moderation_requests(self) -> DataFrame:
         """Attempted moderation calls: one per document, raw text in, four per account,
         arriving one minute apart over the two days after ``as_of``."""
-        key = "concat('bnc_', lpad(CAST(CAST(floor(doc_id / 4) AS BIGINT) AS STRING), 12, '0'))"
+        key = f"concat({sql_str(self.p.key_prefix)}, lpad(CAST(CAST(floor(doc_id / 4) AS BIGINT) AS STRING), 12, '0'))"
         auth = (f"CASE WHEN pmod(doc_id, 31) = 0 THEN CAST(NULL AS STRING) WHEN pmod(doc_id, 23) = 0 THEN concat('Basic ', {key}) "
                 f"WHEN pmod(doc_id, 29) = 0 THEN concat('bearer  ', {key}) ELSE concat('Bearer ', {key}) END")
         return self.raw("documents").selectExpr(
@@ -395,12 +395,12 @@ class Fixtures:
         item, 3 a score of 1.2, 4 a repeated index, 5 a score given as text, 6 index 1.0
         (valid), 7 ``results`` as an object, 8 NaN.
         """
-        from meterwise.operators.moderation import request_items
+        from meterwise.operators.moderation import item_array
 
-        items = request_items(self.moderation_requests)
-        n = items.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        split = self.moderation_requests.select("request_id", item_array(F.col("text")).alias("items"))
+        items = split.select("request_id", F.size("items").alias("n"), F.posexplode("items").alias("idx", "item")).drop("item")
         lab = self.raw("labels").select(F.col("doc_id").alias("request_id"), "toxic")
-        it = items.join(n, "request_id", "inner").join(lab, "request_id", "left")
+        it = items.join(lab, "request_id", "left")
         brk = "pmod(request_id, 17)"
         edge = "pmod(request_id + idx, 50)"
 
