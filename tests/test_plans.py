@@ -22,9 +22,10 @@ def test_no_cross_or_nested_loop_joins(plans):
 
 
 def test_no_row_at_a_time_python(plans):
-    # Python appears only as Arrow-batched mapInPandas (M3's scorer, P4's fold).
+    # Python appears only as Arrow-batched mapInPandas (M3's scorer, also within ``text_verdicts``, and
+    # P4's fold).
     assert not [n for n, p in plans.items() if "BatchEvalPython" in p]
-    assert sorted(n for n, p in plans.items() if "MapInPandas" in p) == ["admission_replay", "score_items"]
+    assert sorted(n for n, p in plans.items() if "MapInPandas" in p) == ["admission_replay", "score_items", "text_verdicts"]
 
 
 def test_wallet_aggregates_before_every_shuffle(plans):
