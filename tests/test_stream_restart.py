@@ -1,6 +1,7 @@
 """Streams that stop, get a later file with late rows, and go on from their checkpoints."""
 
 import shutil
+import uuid
 
 import pyarrow.parquet as pq
 import pytest
@@ -28,8 +29,12 @@ def folder(tmp_path_factory):
     return d, rest
 
 
+# The checkpoint folder outlives the test: a name of its own for each test run.
+RUN = uuid.uuid4().hex
+
+
 def _run(spark, folder, job):
-    return getattr(J, job)(J.StreamFixtures(spark, str(folder), run="restart"))
+    return getattr(J, job)(J.StreamFixtures(spark, str(folder), run=RUN))
 
 
 def test_streams_resume_and_equal_the_batch(spark, fx, con, folder, monkeypatch):
