@@ -241,7 +241,8 @@ def _hash(text: Column) -> Column:
 
 def groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, h (hash of its text), n_shingles, component_id (the smallest
-    doc_id reachable by links)."""
+    doc_id reachable by links; a label only, since ids may be null or shared) and node (the
+    digest that stands for its group, null without shingles)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", _hash(F.col("text")).alias("h"), "text")
     profile = written(rows.mapInArrow(_profile, f"doc_id {id_type}, h bigint, n bigint, digest bigint"), "profile")
@@ -264,8 +265,8 @@ def groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     ids = profile.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     ids = ids.join(linked, "digest", "left")
     least = ids.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
-    named = ids.join(least, "root", "left").where("root IS NOT NULL OR rows > 1").select("digest", F.coalesce("component", "least").alias("component"))
-    return profile.join(named, "digest", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = ids.join(least, "root", "left").where("root IS NOT NULL OR rows > 1").select("digest", "root", F.coalesce("component", "least").alias("component"))
+    return profile.join(named, "digest", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("root", "digest").alias("node"))
 
 
 def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -273,7 +274,7 @@ def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     (of rows with that id, the one whose text's hash is smallest; of equal rows, one).
     Documents without shingles all stay."""
     found = written(groups(docs, percent=percent), "groups")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("of"))
+    first = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("of"))
     rows = found.groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
     keep = first.select(F.col("of.doc_id").alias("__i"), F.col("of.h").alias("__h"))
     keep = keep.join(rows.select(F.col("doc_id").alias("__i2"), F.col("h").alias("__h2"), "rows"), (F.col("__h") == F.col("__h2")) & F.col("__i").eqNullSafe(F.col("__i2"))).select("__i", "__h", (F.col("rows") > 1).alias("__many"))

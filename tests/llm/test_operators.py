@@ -108,6 +108,13 @@ def test_groups_by_brute_force(docs):
     assert ngram_join.groups(docs.limit(0)).count() == 0
 
 
+def test_unlinked_documents_stay_whatever_their_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(k)) for k in range(5, 8)] + [(8, text(9)), (None, text(9)), (9, text(9) + " more")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(text(k) for k in [*range(8), 9])
+
+
 def test_link_block_prunes_nothing_that_links():
     rng = np.random.default_rng(4)
     base = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(8)]
