@@ -1,26 +1,26 @@
 """Language-model scores: stupid backoff over words, leaving the scored document out.
 
-The score of a word after another is ``c(both) / c(first)``, where counts are over all
-documents but the scored one; if the pair occurs nowhere else it is ``ALPHA`` times the word's
-own share ``c(word) / N``, and ``ALPHA / N`` if the word occurs nowhere else either (a text's
-first word: its share). A document's score is the sum of the logarithms.
-
-Words (A-Z lower-cased, between ASCII white space) are hashed to ``2**VOCAB_BITS`` ids, so the
-word counts are a table of fixed size, which is broadcast, and a pair is a 40-bit number
-without collisions. The pair counts grow with the corpus and are partitioned by hash:
-
-1. Every task sums its words' counts; the sums of all tasks are the word table.
-2. Every run of documents lists its distinct (document, pair) with how often it occurs there,
-   sorted by scrambled pair and cut by ranges of it into ``partitions``, each piece packed and
-   compressed. That written table holds the exploded pairs.
-3. A partition gets its pieces from all documents, counts its pairs, joins the counts back to
-   its entries and sums what they score per document. So counting, join and first summation
-   share one shuffle, and a pair that fills a document is one entry.
-4. The partial sums of each run of documents are added up.
-
-Edge cases: null texts and texts without words have no words, score null and no pairs; a word
-or pair that only one document has always backs off; repeated rows are documents of their own
-and count each other. Other columns are not read.
+The score of a word is ``c(gram) / c(context)`` for the longest gram of up to ``order`` words
+that ends with it and occurs in another document, where the context is the gram without the
+word and counts are over all documents but the scored one. Every step to a shorter gram costs
+``ALPHA``; a single word scores its share ``c(word) / N``, or ``ALPHA / N`` if it occurs nowhere
+else. At the start of a text the longest gram is what the text has. A document's score is the
+sum of the logarithms; n_backoff counts the words that took at least one step.
+
+Words (A-Z lower-cased, between ASCII white space) and grams are compared by 64-bit hashes, and
+no table of them is held as a whole: the counts of all orders are partitioned by hash.
+
+1. Documents are written as runs of up to ``RUN_BYTES`` of text, compressed.
+2. Every run counts its distinct grams of all orders, sorted by hash and cut by ranges of it
+   into ``partitions``, each piece packed and compressed. So a gram, however frequent, is one
+   entry per run.
+3. A partition gets its pieces from all runs, sums the counts of each gram and sends every piece
+   its grams' totals, in the order of the piece.
+4. A run meets its totals, lists its grams again, takes the own document's counts off and scores.
+
+Edge cases: null texts and texts without words have no words and score null; a gram that only
+one document has always backs off; repeated rows are documents of their own and count each
+other. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,238 +37,185 @@ from pyspark.sql import functions as F
 from meterwise.llm import words as W
 from meterwise.llm.scratch import written
 
-VOCAB_BITS = 20
 ALPHA = 0.4
-#: Entries of a partition of the pair table.
+#: Entries of a partition of the count table, at most about so many.
 PARTITION_PAIRS = 4 << 20
-RUN_BYTES = 8 << 20
-_V = 1 << VOCAB_BITS
-_SLICES = 64
-_MASK40 = np.uint64((1 << 40) - 1)
-_MUL = np.uint64(0x9E3779B97F4A7C15) & _MASK40 | np.uint64(1)
-_MUL_INV = np.uint64(pow(int(_MUL), -1, 1 << 40))
+RUN_BYTES = 4 << 20
 
 
 def word_ids(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of each text, end to end, and where each text's begin."""
     low = W.LOWER[buf]
     starts, ends, first = W.split_words(low, offs, W.NON_SPACE)
-    return W.word_hashes(low, starts, ends) >> np.uint64(64 - VOCAB_BITS), first
-
-
-def scramble(x: np.ndarray) -> np.ndarray:
-    """A bijection of 40-bit numbers."""
-    x = (x * _MUL) & _MASK40
-    x = x ^ (x >> np.uint64(20))
-    return (x * _MUL) & _MASK40
-
-
-def unscramble(x: np.ndarray) -> np.ndarray:
-    x = (x * _MUL_INV) & _MASK40
-    x = x ^ (x >> np.uint64(20))
-    return (x * _MUL_INV) & _MASK40
+    return W.word_hashes(low, starts, ends), first
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of small unsigned numbers as compressed byte planes."""
-    raw = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes() for c in columns)
+    """Columns of unsigned numbers as compressed byte planes."""
+    raw = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
-    """The columns again: 64 bits for the first, 32 for the others."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(5, 5, -1)
-    out = []
-    for k, c in enumerate(raw):
-        x = np.zeros((c.shape[1], 4 if k else 8), np.uint8)
-        x[:, : 4 if k else 5] = c[: 4 if k else 5].T
-        out.append(x.view("<u4" if k else "<u8").ravel())
-    return out
+def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(c.T).view("<u8").ravel() for c in raw]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_V, np.int64)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, ids, sizes, data, n_words): a run's documents and their texts."""
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for _, _, buf, offs in W.chunks(batch.column(0)):
-            total += np.bincount(word_ids(buf, offs)[0].astype(np.int64), minlength=_V)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(total, _SLICES)], pa.binary())], names=["slice", "counts"])
-
+        for a, b, buf, offs in W.chunks(batch.column(1), RUN_BYTES):
+            _, _, first = W.split_words(buf, offs, W.NON_SPACE)
+            ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([_pack(np.diff(offs))], pa.binary()), pa.array([zstandard.compress(buf.tobytes(), 1)], pa.binary()), pa.array([int(first[-1])], pa.int64())], names=["run", "ids", "sizes", "data", "n_words"])
+            number += 1
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[s] = sums.get(s, 0) + np.frombuffer(zstandard.decompress(c), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
+def _words(sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    offs = np.concatenate([[0], np.cumsum(_unpack(sizes, 1)[0].astype(np.int64))])
+    return word_ids(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), offs)
 
-def word_table(docs: DataFrame) -> np.ndarray:
-    """The count of every word id over all documents."""
-    rows = docs.select("text").mapInArrow(_word_counts, "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(_add, "slice int, counts binary").collect()
-    table = np.zeros((_SLICES, _V // _SLICES), np.int64)
-    for r in rows:
-        table[r.slice] = np.frombuffer(zstandard.decompress(r.counts), np.int64)
-    return table.ravel()
 
+def _grams(ids: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hashes of the grams of 1 to ``order`` words, end to end, and the first word of each, by order."""
+    hashes, at = [ids], [np.arange(len(ids))]
+    for k in range(2, order + 1):
+        own = np.flatnonzero(W.inside(first, k))
+        hashes.append(W.ngram_hashes(ids, k)[own])
+        at.append(own)
+    return np.concatenate(hashes), at
 
-def _share(count: np.ndarray, total: int) -> np.ndarray:
-    """Log of a word's share, its count elsewhere given."""
-    return np.log(np.where(count > 0, count, ALPHA) / max(total, 1))
 
-
-def _entries(shared, partitions: int, id_type: pa.DataType):
-    """Rows of documents (run, doc, doc_id, n_words, base) and of pieces (part, run, data)."""
+def _pieces(partitions: int, order: int):
+    """Rows (part, run, data): a run's distinct grams and their counts, by ranges of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: np.ndarray = shared.value
-        total = int(table.sum())
-        number = TaskContext.get().partitionId() << 32
-        names = ["part", "run", "data", "doc", "doc_id", "n_words", "base"]
+        bounds = np.array([-(-(k << 64) // partitions) for k in range(1, partitions)], np.uint64)
         for batch in batches:
-            for a, b, buf, offs in W.chunks(batch.column(1), RUN_BYTES):
-                ids, first = word_ids(buf, offs)
-                n = np.diff(first)
-                doc = np.repeat(np.arange(b - a, dtype=np.uint64), n)
-                # how often each document has each of its words
-                key = np.sort((doc << np.uint64(VOCAB_BITS)) | ids)
-                at = W.run_starts(key)
-                own_key, own_n = key[at], np.diff(np.append(at, len(key)))
-                base = np.full(b - a, np.nan)
-                some = np.flatnonzero(n)
-                if len(some):
-                    w = ids[first[:-1][some]]
-                    own = own_n[np.searchsorted(own_key, (some.astype(np.uint64) << np.uint64(VOCAB_BITS)) | w)]
-                    base[some] = _share(table[w.astype(np.int64)] - own, total)
-                z = b - a
-                yield pa.RecordBatch.from_arrays([pa.nulls(z, pa.int32()), pa.array(np.full(z, number)), pa.nulls(z, pa.binary()), pa.array(np.arange(z, dtype=np.int32)), batch.column(0).slice(a, z), pa.array(n), pa.array(base, from_pandas=True)], names=names)
-                inside = W.inside(first, 2)
-                pair = scramble((ids[:-1] << np.uint64(VOCAB_BITS)) | ids[1:])[inside] if len(ids) > 1 else np.zeros(0, np.uint64)
-                d = doc[:-1][inside] if len(ids) > 1 else np.zeros(0, np.uint64)
-                # by pair, then document: the document's number goes into the low 24 bits
-                packed = np.sort((pair << np.uint64(24)) | d)
-                at = W.run_starts(packed)
-                count = np.diff(np.append(at, len(packed))).astype(np.uint64)
-                packed = packed[at]
-                pair, d = packed >> np.uint64(24), packed & np.uint64(0xFFFFFF)
-                both = unscramble(pair)
-                own = [own_n[np.searchsorted(own_key, (d << np.uint64(VOCAB_BITS)) | w)].astype(np.uint64) for w in (both >> np.uint64(VOCAB_BITS), both & np.uint64(_V - 1))]
-                part = (pair * np.uint64(partitions)) >> np.uint64(40)
-                cut = np.searchsorted(part, np.arange(partitions + 1, dtype=np.uint64))
-                data = []
-                for k in range(partitions):
-                    s = slice(cut[k], cut[k + 1])
-                    data.append(_pack(np.diff(pair[s], prepend=np.uint64(0)), d[s], count[s], own[0][s], own[1][s]) if cut[k] < cut[k + 1] else None)
-                have = [k for k in range(partitions) if data[k] is not None]
-                z = len(have)
-                yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(np.full(z, number)), pa.array([data[k] for k in have], pa.binary()), pa.nulls(z, pa.int32()), pa.nulls(z, id_type), pa.nulls(z, pa.int64()), pa.nulls(z, pa.float64())], names=names)
-                number += 1
+            for number, sizes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = np.sort(_grams(*_words(sizes, data), order)[0])
+                at = W.run_starts(grams)
+                count, grams = np.diff(np.append(at, len(grams))), grams[at]
+                cut = [0, *np.searchsorted(grams, bounds), len(grams)]
+                have = [k for k in range(partitions) if cut[k] < cut[k + 1]]
+                packed = [_pack(np.diff(grams[cut[k] : cut[k + 1]], prepend=np.uint64(0)), count[cut[k] : cut[k + 1]]) for k in have]
+                yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array([number] * len(have), pa.int64()), pa.array(packed, pa.binary())], names=["part", "run", "data"])
 
     return run
 
 
-def _score_part(runs: list[int], data: list[bytes], table: np.ndarray, total: int) -> pa.RecordBatch:
-    """(run, docs, sums, backoffs) of one partition's pieces."""
-    pieces = [_unpack(x) for x in data]
-    for p in pieces:
-        p[0] = np.cumsum(p[0], dtype=np.uint64)
-    elsewhere = _totals(np.concatenate([p[0] for p in pieces]), np.concatenate([p[2] for p in pieces]))
-    docs, sums, backs, k = [], [], [], 0
-    for pair, doc, count, own1, own2 in pieces:
-        both = unscramble(pair)
-        more = elsewhere[k : k + len(pair)] - count
-        before = table[(both >> np.uint64(VOCAB_BITS)).astype(np.int64)] - own1
-        score = np.log(ALPHA) + _share(table[(both & np.uint64(_V - 1)).astype(np.int64)] - own2, total)
-        seen = more > 0
-        score[seen] = np.log(more[seen] / before[seen])
-        d = doc.astype(np.int64)
-        there = np.flatnonzero(np.bincount(d))
-        docs.append(zstandard.compress(np.diff(there, prepend=0).astype("<i4").tobytes(), 1))
-        sums.append(np.bincount(d, score * count)[there].tobytes())
-        backs.append(zstandard.compress(np.bincount(d, count * ~seen)[there].astype("<i4").tobytes(), 1))
-        k += len(pair)
-    return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), *(pa.array(x, pa.binary()) for x in (docs, sums, backs))], names=["run", "docs", "sums", "backs"])
-
-
-def _totals(pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """For each entry the count of its pair over all entries."""
-    n = len(pair)
-    if n < 1 << 24:
-        pair <<= np.uint64(24)
-        pair |= np.arange(n, dtype=np.uint64)
-        pair.sort()
-        order = (pair & np.uint64(0xFFFFFF)).astype(np.int32)
-        pair >>= np.uint64(24)
-    else:
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-    at = W.run_starts(pair)
-    out = np.empty(n, np.int64)
-    out[order] = np.repeat(np.add.reduceat(count[order].astype(np.int64), at), np.diff(np.append(at, n)))
+def _totals(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each entry the count of its gram over all entries."""
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    at = W.run_starts(gram)
+    out = np.empty(len(gram), np.int64)
+    out[order] = np.repeat(np.add.reduceat(count[order].astype(np.int64), at), np.diff(np.append(at, len(gram))))
     return out
 
 
-def _score(shared):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, part, data) from rows (part, run, data) in order: per gram of the piece what
+    other runs have of it."""
+    last, runs, pieces = None, [], []
+
+    def close() -> pa.RecordBatch:
+        each = [_unpack(x, 2) for x in pieces]
+        count = np.concatenate([c for _, c in each]).astype(np.int64)
+        others = _totals(np.concatenate([np.cumsum(g, dtype=np.uint64) for g, _ in each]), count) - count
+        cut = np.cumsum([0, *(len(c) for _, c in each)])
+        data = [_pack(others[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array([last] * len(runs), pa.int32()), pa.array(data, pa.binary())], names=["run", "part", "data"])
+
+    for batch in batches:
+        for part, number, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != last and runs:
+                yield close()
+                runs, pieces = [], []
+            last = part
+            runs.append(number)
+            pieces.append(piece)
+    if runs:
+        yield close()
+
+
+def _elsewhere(grams: np.ndarray, doc: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each gram how often other documents have it; ``others``: other runs, by distinct gram.
+    ``doc`` grows among equal grams."""
+    by = np.argsort(grams, kind="stable")
+    g, d = grams[by], doc[by]
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    at = np.flatnonzero(new)
+    # the run's own count and the others', then the own document's off
+    total = np.repeat(others + np.diff(np.append(at, len(g))), np.diff(np.append(at, len(g))))
+    new[1:] |= d[1:] != d[:-1]
+    at = np.flatnonzero(new)
+    own = np.diff(np.append(at, len(g)))
+    out = np.empty(len(g), np.int64)
+    out[by] = total - np.repeat(own, own)
+    return out
+
+
+def _score_run(sizes: bytes, data: bytes, others: list[bytes], total: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, backoffs, score) of each document of a run."""
+    ids, first = _words(sizes, data)
+    n = np.diff(first)
+    if not len(ids):
+        return n, n, np.full(len(n), np.nan)
+    grams, at = _grams(ids, first, order)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    found = _elsewhere(grams, np.concatenate([doc[a] for a in at]), np.concatenate([_unpack(x, 1)[0] for x in others]).astype(np.int64))
+    counts = np.split(found, np.cumsum([len(a) for a in at])[:-1])
+    score = np.log(np.where(counts[0] > 0, counts[0], ALPHA) / total)
+    back = np.zeros(len(ids), bool)
+    context = counts[0]  # by the first word of the gram
+    for k in range(2, order + 1):
+        own, word = at[k - 1], at[k - 1] + k - 1
+        seen = counts[k - 1] > 0
+        score[word] += np.log(ALPHA)
+        score[word[seen]] = np.log(counts[k - 1][seen] / context[own[seen]])
+        back[word] = ~seen
+        context = np.zeros(len(ids), np.int64)
+        context[own] = counts[k - 1]
+    sums = np.bincount(doc, score, minlength=len(n))
+    return n, np.bincount(doc, back, minlength=len(n)).astype(np.int64), np.where(n > 0, sums, np.nan)
+
+
+def _score(total: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: np.ndarray = shared.value
-        total = int(table.sum())
-        last, runs, data = None, [], []
+        """From rows (run, part, data, ids, sizes) in order of run and part; part -1 is the text."""
+        text, others = None, []
 
         def close() -> pa.RecordBatch:
-            out = _score_part(runs, data, table, total)
-            return out.append_column("part", pa.array([last] * len(runs), pa.int32()))
+            ids, sizes, data = text
+            n, back, score = _score_run(sizes, data, others, total, order)
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(back, pa.int64()), pa.array(score, from_pandas=True)], names=["doc_id", "n_words", "n_backoff", "log_score"])
 
         for batch in batches:
-            for part, number, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != last and runs:
-                    yield close()
-                    runs, data = [], []
-                last = part
-                runs.append(number)
-                data.append(piece)
-        if runs:
+            for k, (part, data, sizes) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 4)), strict=True)):
+                if part < 0:
+                    if text is not None:
+                        yield close()
+                    text, others = (batch.column(3).slice(k, 1).flatten(), sizes, data), []
+                else:
+                    others.append(data)
+        if text is not None:
             yield close()
 
     return run
 
 
-def _sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, doc, pairs' score, backoffs) from the partial sums of runs, in order of runs."""
-    last, sums, backs = None, np.zeros(0), np.zeros(0, np.int64)
-
-    def close() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), last)), pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums), pa.array(backs)], names=["run", "doc", "pairs", "backoffs"])
-
-    for batch in batches:
-        for number, d, s, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if number != last:
-                if last is not None:
-                    yield close()
-                last, sums, backs = number, np.zeros(0), np.zeros(0, np.int64)
-            d, s, b = np.cumsum(np.frombuffer(zstandard.decompress(d), "<i4")), np.frombuffer(s), np.frombuffer(zstandard.decompress(b), "<i4")
-            more = int(d[-1]) + 1 - len(sums)
-            if more > 0:
-                sums, backs = np.append(sums, np.zeros(more)), np.append(backs, np.zeros(more, np.int64))
-            sums[d] += s
-            backs[d] += b
-    if last is not None:
-        yield close()
-
-
-def score(docs: DataFrame, *, partition_pairs: int = PARTITION_PAIRS) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, partition_pairs: int = PARTITION_PAIRS) -> DataFrame:
     """Per document: doc_id, n_words, n_backoff, log_score (null without words), mean_log_score."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    spark = docs.sparkSession
-    table = word_table(docs)
-    shared = spark.sparkContext.broadcast(table)
-    partitions = max(1, -(-int(table.sum()) // partition_pairs))
-    kind = docs.schema["doc_id"].dataType
-    rows = docs.select("doc_id", "text").mapInArrow(_entries(shared, partitions, to_arrow_type(kind)), f"part int, run bigint, data binary, doc int, doc_id {kind.simpleString()}, n_words bigint, base double")
-    rows = written(rows, "pairs")
-    pieces = rows.where("part IS NOT NULL").select("part", "run", "data").repartition("part").sortWithinPartitions("part", "run")
-    sums = pieces.mapInArrow(_score(shared), "run bigint, docs binary, sums binary, backs binary, part int")
-    sums = sums.repartition("run").sortWithinPartitions("run", "part").mapInArrow(_sum_runs, "run bigint, doc int, pairs double, backoffs bigint")
-    own = rows.where("part IS NULL").select("run", "doc", "doc_id", "n_words", "base")
-    both = own.join(sums, ["run", "doc"], "left")
-    total = F.col("base") + F.coalesce("pairs", F.lit(0.0))
-    return both.select("doc_id", "n_words", F.coalesce("backoffs", F.lit(0).cast("long")).alias("n_backoff"), total.alias("log_score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_score"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    runs = written(docs.select("doc_id", "text").mapInArrow(_runs, f"run bigint, ids array<{kind}>, sizes binary, data binary, n_words bigint"), "runs")
+    total = runs.agg(F.sum("n_words")).first()[0] or 0
+    partitions = max(1, -(-total * order // partition_pairs))
+    pieces = runs.select("run", "sizes", "data").mapInArrow(_pieces(partitions, order), "part int, run bigint, data binary")
+    counted = pieces.repartition("part").sortWithinPartitions("part", "run").mapInArrow(_count, "run bigint, part int, data binary")
+    texts = runs.select("run", F.lit(-1).alias("part"), "data", "ids", "sizes")
+    both = texts.union(counted.select("run", "part", "data", F.lit(None).cast(f"array<{kind}>"), F.lit(None).cast("binary")))
+    out = both.repartition("run").sortWithinPartitions("run", "part").mapInArrow(_score(total, order), f"doc_id {kind}, n_words bigint, n_backoff bigint, log_score double")
+    return out.select("doc_id", "n_words", "n_backoff", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

@@ -288,6 +288,43 @@ def test_backoff_by_brute_force(docs):
     assert all(close(a, b) for a, b in zip(sorted(got, key=str), sorted(want, key=str), strict=True))
 
 
+def backoff_of_words(texts, order):
+    """(n_words, n_backoff, log_score) of each text, over the words themselves."""
+    import math
+
+    rows = [words((t or "").translate(AZ)) for t in texts]
+    grams = lambda t: Counter(tuple(t[a : a + k]) for k in range(1, order + 1) for a in range(len(t) - k + 1))
+    all_grams, n = sum((grams(t) for t in rows), Counter()), sum(map(len, rows))
+    out = []
+    for t in rows:
+        own, score, back = grams(t), 0.0, 0
+        c = lambda g, own=own: all_grams[g] - own[g]
+        for k in range(len(t)):
+            most = min(order, k + 1)
+            seen = next((m for m in range(most, 1, -1) if c(tuple(t[k - m + 1 : k + 1]))), 1)
+            gram = tuple(t[k - seen + 1 : k + 1])
+            share = c(gram) / c(gram[:-1]) if seen > 1 else (c(gram) or backoff_lm.ALPHA) / n
+            score += math.log(share) + (most - seen) * math.log(backoff_lm.ALPHA)
+            back += seen < most
+        out.append((len(t), back, score if t else None))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_backoff_over_real_words(spark, monkeypatch, order):
+    monkeypatch.setattr(backoff_lm, "RUN_BYTES", 4000)  # several runs a task
+    rng = random.Random(order)
+    # far more words than a table of 2**20 ids holds apart, and a small vocabulary for long grams
+    texts = [" ".join(f"w{rng.randrange(20000)}" for _ in range(300)) for _ in range(60)]
+    texts += [" ".join(rng.choice("ABcdef") for _ in range(rng.randint(0, 200))) for _ in range(40)] + [None, "", " ", "a", texts[0]]
+    want = backoff_of_words(texts, order)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = {"order": order} if order != 2 else {}
+    got = {r.doc_id: r for r in backoff_lm.score(docs, partition_pairs=3000, **parts).collect()}
+    assert [(got[i].n_words, got[i].n_backoff) for i in range(len(texts))] == [w[:2] for w in want]
+    assert all((got[i].log_score is None) if w[2] is None else abs(got[i].log_score - w[2]) < 1e-6 * max(1, abs(w[2])) for i, w in enumerate(want))
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
