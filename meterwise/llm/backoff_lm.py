@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from meterwise.llm import words as W
 from meterwise.llm.scratch import written
 
+#: Words of the longest gram of the registered query.
+ORDER = 3
 ALPHA = 0.4
 #: Entries of a partition of the count table, at most about so many.
 PARTITION_PAIRS = 4 << 20

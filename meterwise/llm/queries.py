@@ -149,7 +149,7 @@ FROM cut
 
 
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    return backoff_lm.score(table(spark, sf_dir, "documents"), order=backoff_lm.ORDER)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
