@@ -325,6 +325,13 @@ def test_backoff_over_real_words(spark, monkeypatch, order):
     assert all((got[i].log_score is None) if w[2] is None else abs(got[i].log_score - w[2]) < 1e-6 * max(1, abs(w[2])) for i, w in enumerate(want))
 
 
+def test_a_frequent_gram_is_one_entry_a_run(spark):
+    docs = spark.createDataFrame([(i, "the the the") for i in range(500)], "doc_id long, text string").coalesce(1)
+    runs = docs.mapInArrow(backoff_lm._runs, "run bigint, ids array<bigint>, sizes binary, data binary, n_words bigint")
+    pieces = runs.select("run", "sizes", "data").mapInArrow(backoff_lm._pieces(1, 2), "part int, run bigint, data binary").collect()
+    assert [sorted(backoff_lm._unpack(p.data, 2)[1].tolist()) for p in pieces] == [[1000, 1500]]
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
