@@ -1,10 +1,11 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line (between line feeds, outer ASCII white space aside) of at least ``MIN_CHARS``
-characters goes if it equals an earlier line, or if the first place of a line within
+A line (between line feeds, outer ASCII white space aside) that is not blank goes if it equals
+an earlier line, or, from ``MIN_CHARS`` characters, if the first place of a line within
 ``MAX_EDITS`` edits of it is earlier than its own first place; the order is that of doc_id,
-then of the text's hash, then of the line's number. Shorter lines always stay. A document
-that had words and loses all of them goes as a whole.
+then of the text's hash, then of the line's number. Blank lines stay. Edits of shorter lines
+make other words of them, so these go as exact repeats only. A document that had words and
+loses all of them goes as a whole.
 
 1. Lines are grouped by hash (partial minimum of place, so a line that fills a third of the
    corpus is one row per task); only distinct lines go on.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 
 from meterwise.llm.scratch import written
 
+#: Characters of the shortest line that goes as an exact repeat, and as a near one.
+EXACT_CHARS = 1
 MIN_CHARS = 20
 MAX_EDITS = 1
 HOT = 64
@@ -79,12 +82,12 @@ def _document_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.col("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(i, k, pos, line, n, h, g): every line of at least ``MIN_CHARS`` characters with its
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """(i, k, pos, line, n, h, g): every line of at least ``shortest`` characters with its
     document's id and key, its length and two hashes."""
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("i"), _document_key().alias("k"), F.posexplode(F.split("text", "\n")).alias("pos", "whole"))
     line = F.regexp_replace("whole", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-    return rows.select("i", "k", "pos", line.alias("line")).withColumn("n", F.length("line")).where(F.col("n") >= MIN_CHARS).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), "line"))
+    return rows.select("i", "k", "pos", line.alias("line")).withColumn("n", F.length("line")).where(F.col("n") >= shortest).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), "line"))
 
 
 def _keyed(lines: DataFrame, segments: int, edits: int) -> DataFrame:
@@ -193,7 +196,7 @@ def near_pairs(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
         if hot is None:
             own = [F.col(c) for c in distinct.columns if c.startswith(("index_", "probe_"))]
             each = [F.struct(c.alias("key"), F.lit(name.startswith("index_")).alias("index")) for c, name in zip(own, [c for c in distinct.columns if c.startswith(("index_", "probe_"))], strict=True)]
-            keyed = distinct.select("h", F.explode(F.array(*each)).alias("e")).select("e.key", "e.index", "h")
+            keyed = distinct.select("h", F.explode(F.array(*each)).alias("e")).select("e.key", "e.index", "h").where("key IS NOT NULL")
         else:
             keyed = _keyed(_of_hashes(lines, hot), segments, edits)
         pairs, hot = _pairs(keyed, level == LEVELS - 1)
@@ -209,11 +212,13 @@ def near_pairs(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     return both.where(near(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
-def removals(docs: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
-    """(k, removed, n_exact, n_near): per document key the numbers of the lines that go."""
-    lines = _lines(docs)
+def removals(docs: DataFrame, *, edits: int = MAX_EDITS, shortest: int = MIN_CHARS) -> DataFrame:
+    """(k, removed, n_exact, n_near): per document key the numbers of the lines that go; lines
+    of fewer than ``shortest`` characters stay."""
+    lines = _lines(docs, shortest)
     index, probes = keys(F.col("line"), F.col("n"), edits + 1, edits)
-    named = [k.alias(f"index_{j}") for j, k in enumerate(index)] + [k.alias(f"probe_{j}") for j, k in enumerate(probes)]
+    long = F.col("n") >= MIN_CHARS  # shorter lines have no keys
+    named = [F.when(long, k).alias(f"index_{j}") for j, k in enumerate(index)] + [F.when(long, k).alias(f"probe_{j}") for j, k in enumerate(probes)]
     each = lines.select("h", "g", F.struct("i", "k", "pos").alias("at"), *named)
     # the keys are the same for equal lines, so any of them will do
     distinct = written(each.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("rows"), *[F.max(c).alias(c) for c in each.columns[3:]]), "lines")
@@ -231,7 +236,7 @@ def removals(docs: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
 def dedup(docs: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
     """The documents as struct ``row`` (all columns, text without the lines that go), with
     n_lines, n_exact, n_near and ``whole`` (whether it had words and lost them all)."""
-    gone = removals(docs, edits=edits)
+    gone = removals(docs, edits=edits, shortest=EXACT_CHARS)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), _document_key().alias("k"))
     both = rows.join(gone, "k", "left").withColumn("lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")

@@ -73,3 +73,10 @@ def test_clean_keeps_columns_and_drops_emptied_documents(spark):
     assert {k: r.text for k, r in out.items()} == {1: line + "\nshort", 3: "", 4: None}
     assert out[1].removed == "x"
     assert L.clean(spark.createDataFrame([], "doc_id long, text string, n_chars long")).collect() == []
+
+
+def test_short_lines_go_as_exact_repeats_only(spark):
+    rows = [(1, "Read more\n\nShare it\nfirst words"), (2, " Read more \nRead mose\n\nsecond words"), (3, "Read more\nShare it"), (4, "a\n\na\n"), (5, "\n \n")]
+    out = {r.row.doc_id: r for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r.row.text for k, r in out.items()} == {1: rows[0][1], 2: "Read mose\n\nsecond words", 3: "", 4: "a\n\n", 5: "\n \n"}
+    assert {k: (r.n_exact, r.n_near, r.whole) for k, r in out.items()} == {1: (0, 0, False), 2: (1, 0, False), 3: (2, 0, True), 4: (1, 0, False), 5: (0, 0, False)}
