@@ -16,8 +16,9 @@ from meterwise.llm.scratch import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told (no letters, or no language likelier than
-    all others together). Learns from the labelled languages of the documents given."""
+    """Drops documents without letters, and the few short ones where no language is likelier than
+    all others together; gibberish and languages not learned stay. Learns from the labelled
+    languages of the documents given."""
     return language_id.keep_identified(docs, language_id.train(docs))
 
 

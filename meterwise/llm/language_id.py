@@ -143,7 +143,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The documents, all columns as they are, whose language is found with ``min_score``."""
+    """The documents, all columns as they are, whose language is found with ``min_score``.
+
+    The score is a posterior over the whole text and not normalised by length: after a few words
+    it is near 1 for any text, also in a language not learned or in gibberish. So in practice
+    only texts without letters (and all, if nothing was learned) are dropped."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     last = len(docs.columns)
 
