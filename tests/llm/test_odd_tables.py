@@ -16,7 +16,8 @@ ITEM = {"item_id": pa.int64(), "text": pa.string()}
 TABLES = {"documents": DOC, "labels": LABEL, "conversations": TALK, "pages": PAGE, "benchmark": ITEM}
 # Names that the operators give to columns of their own.
 CLASH = ("h", "g", "k", "key", "row", "line", "lines", "removed", "n", "size", "target", "source_size", "taken", "score", "label", "run",
-         "part", "doc", "held_out", "whole", "clean", "component_id", "n_words", "copies", "lang_pred")
+         "part", "doc", "held_out", "whole", "clean", "component_id", "n_words", "copies", "lang_pred", "owner", "repo", "found", "base", "spans", "rank",
+         "weight", "bucket", "nth", "ref", "head", "depth", "fp")
 PROSE = "the quick brown fox jumps over the lazy dog while seven old wizards quietly mix a potion of green herbs near the river bank at dawn"
 
 
@@ -50,7 +51,7 @@ def odd(tmp_path_factory):
         "benchmark": [(1, PROSE), (2, None), (3, ""), (4, "a"), (5, " . ")]})
 
 
-PER_DOCUMENT = [n for n in queries.QUERIES if n not in ("op5_warc", "op9_preferences", "pipeline")]
+PER_DOCUMENT = [n for n in queries.QUERIES if n not in ("op5_warc", "op9_preferences", "op12_prefix_trie", "pipeline")]
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
