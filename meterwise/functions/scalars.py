@@ -59,16 +59,6 @@ def item_units(text) -> Column:
     return F.greatest(F.lit(1), F.ceil(utf16_length(text) / F.lit(CHARS_PER_UNIT))).cast("int")
 
 
-def micros_of_24h() -> Column:
-    return F.lit(24 * 3600 * 1_000_000)
-
-
-def usd_text(micros, digits: int) -> Column:
-    """USD text from micros with ``digits`` decimals, rounded half up (not half even)."""
-    d = (col(micros).cast("decimal(38,0)") / F.lit(1_000_000)).cast("decimal(38,6)")
-    return F.format_number(F.round(d, digits), digits)
-
-
 def _grouped(q) -> Column:
     """Integer text with thousands separators (en-US)."""
     return F.format_number(q, 0)

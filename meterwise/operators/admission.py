@@ -4,10 +4,8 @@ step that turns admitted, scored requests into ledger rows (M9).
 P2 judges every attempt against one snapshot (``as_of``), the way concurrent
 requests each see the state before any of them is recorded. P4 replays the
 attempts in time order, where a refused attempt leaves no ledger row; that
-fold is sequential per account, so it runs as a secondary sort (partition by
-account, sort by time) streamed through one ``mapInPandas`` pass, with the
-snapshot state reduced beforehand to what the fold can use (the balance and
-the last ``limit`` call times).
+fold is cut where an account pauses for more than 24 h, and only what the
+balance can refuse is folded in strict order.
 """
 
 from __future__ import annotations
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 from meterwise.config import DAILY_REQUEST_LIMIT, DEFAULT_RETRY_AFTER_S, MICROS_PER_CENT, PACK_CENTS
 from meterwise.operators.pricing import active_unit_price, cost_micros_of, price_micros_of
 from meterwise.operators.usage import window_counts
+from meterwise.sources.tables import materialized
 
 BEARER = r"(?i)^Bearer\s+(\S+)$"
 
@@ -107,30 +106,75 @@ def quote(requests: DataFrame, validation: DataFrame, auth: DataFrame, balances:
 # ---------------------------------------------------------------------------- P4
 REPLAY_SCHEMA = ("request_id long, account_id long, at timestamp, status_code int, charged_micros long, "
                  "counted boolean, balance_after_micros long")
+#: What the fold reads, in P4 and ST4 alike: attempts (``micros``: the quote), credits and calls made before.
+FOLD_ROWS = "kind string, request_id long, account_id long, at timestamp, micros long, outcome string"
+#: Order of rows of one instant.
+KIND_RANK = {"opening": 0, "prior": 1, "credit": 2, "attempt": 3}
+DAY_MICROS = 24 * 3600 * 1_000_000
+
+
+class AccountFold:
+    """What the answers to an account's next attempts depend on: its balance and the times
+    (microseconds) of its last ``limit`` recorded calls. ``need`` is the balance at the start
+    that would have kept every attempt so far from a 402."""
+
+    __slots__ = ("balance", "recorded", "limit", "bound", "need")
+
+    def __init__(self, limit: int, balance: int = 0, recorded=(), bound: bool = True):
+        self.balance, self.recorded, self.limit, self.bound, self.need = balance, deque(recorded, maxlen=limit), limit, bound, -(1 << 62)
+
+    def step(self, kind: str, t: int, micros: int, outcome: str) -> tuple[int, int, bool] | None:
+        """Takes the next row; for an attempt (status, charged, counted). With ``bound`` off the
+        balance refuses nothing."""
+        if kind == "prior":
+            self.recorded.append(t)
+            return None
+        if kind != "attempt":
+            self.balance += micros
+            return None
+        if sum(1 for r in self.recorded if r > t - DAY_MICROS) >= self.limit:
+            return 429, 0, False
+        self.need = max(self.need, micros - self.balance)
+        if self.bound and self.balance < micros:
+            return 402, 0, False
+        if outcome == "ok":
+            self.balance -= micros
+            self.recorded.append(t)
+            return 200, micros, True
+        if outcome == "invalid":
+            self.recorded.append(t)
+            return 502, 0, True
+        return 502, 0, False  # upstream error: nothing recorded, nothing charged
 
 
 def replay_input(admitted_snapshot: DataFrame, outcomes: DataFrame, requests: DataFrame, usage: DataFrame,
-                 balances: DataFrame, as_of: datetime, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
-    """Rows of the P4 / ST4 fold: every attempt whose answer depends on the account's history,
-    plus the last ``limit`` calls before the snapshot (older ones can never block), each
-    carrying the account's snapshot balance."""
+                 balances: DataFrame, as_of: datetime, limit: int = DAILY_REQUEST_LIMIT, credits: DataFrame | None = None) -> DataFrame:
+    """Rows of the P4 / ST4 fold (FOLD_ROWS): every attempt whose answer depends on the account's
+    history, the account's balance at the snapshot as a credit of that instant, the last ``limit``
+    calls before it (older ones can never block), and ``credits`` (account_id, at, micros) that
+    land later."""
+    text = lambda v: F.lit(v).cast("string")
     att = (admitted_snapshot.filter(~F.col("status_code").isin(400, 401, 503))
            .join(requests.select("request_id", "at"), "request_id", "inner")
            .join(outcomes, "request_id", "left")
-           .select("request_id", "account_id", "at", "quote_micros",
-                   F.coalesce("outcome", F.lit("upstream")).alias("outcome"), F.lit("attempt").alias("kind")))
+           .select(F.lit("attempt").alias("kind"), "request_id", "account_id", "at", F.col("quote_micros").alias("micros"),
+                   F.coalesce("outcome", F.lit("upstream")).alias("outcome")))
+    none = F.lit(None).cast("long").alias("request_id")
     w = Window.partitionBy("account_id").orderBy(F.desc("created_at"), F.desc("id"))
     prior = (usage.filter((F.col("created_at") > _ts(as_of - timedelta(hours=24))) & (F.col("created_at") <= _ts(as_of)))
              .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-             .join(att.select("account_id").distinct(), "account_id", "left_semi")
-             .select(F.lit(None).cast("long").alias("request_id"), "account_id", F.col("created_at").alias("at"),
-                     F.lit(0).cast("long").alias("quote_micros"), F.lit("none").alias("outcome"), F.lit("prior").alias("kind")))
-    return att.unionByName(prior).join(balances.select("account_id", "balance_micros"), "account_id", "left").withColumn(
-        "balance_micros", F.coalesce("balance_micros", F.lit(0)).cast("long"))
+             .select(F.lit("prior").alias("kind"), none, "account_id", F.col("created_at").alias("at"), F.lit(0).cast("long").alias("micros"), text(None).alias("outcome")))
+    opening = balances.filter(F.col("balance_micros") != 0).select(
+        F.lit("credit").alias("kind"), none, "account_id", _ts(as_of).alias("at"), F.col("balance_micros").cast("long").alias("micros"), text(None).alias("outcome"))
+    if credits is not None:
+        opening = opening.unionByName(credits.select(F.lit("credit").alias("kind"), none, "account_id", "at", F.col("micros").cast("long").alias("micros"),
+                                                     text(None).alias("outcome")))
+    history = prior.unionByName(opening).join(att.select("account_id").distinct(), "account_id", "left_semi")
+    return att.unionByName(history.select(*att.columns))
 
 
 def admission_replay(admitted_snapshot: DataFrame, outcomes: DataFrame, requests: DataFrame, usage: DataFrame,
-                     balances: DataFrame, as_of: datetime, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
+                     balances: DataFrame, as_of: datetime, limit: int = DAILY_REQUEST_LIMIT, credits: DataFrame | None = None) -> DataFrame:
     """Replay every attempt in time order per account. A refused attempt writes no row,
     so it neither counts nor spends; an admitted one with a valid answer counts and spends
     its quote; an invalid answer counts but spends 0; an upstream error leaves no trace.
@@ -143,73 +187,88 @@ def admission_replay(admitted_snapshot: DataFrame, outcomes: DataFrame, requests
         requests.select("request_id", "at"), "request_id", "inner").select(
         "request_id", "account_id", "at", "status_code", F.lit(0).cast("long").alias("charged_micros"),
         F.lit(False).alias("counted"), F.lit(None).cast("long").alias("balance_after_micros"))
-    rows = replay_input(admitted_snapshot, outcomes, requests, usage, balances, as_of, limit)
+    rows = replay_input(admitted_snapshot, outcomes, requests, usage, balances, as_of, limit, credits)
     return replay_fold(rows, limit).unionByName(fixed)
 
 
-def replay_fold(rows: DataFrame, limit: int = DAILY_REQUEST_LIMIT, partitions: int | None = None) -> DataFrame:
-    """The fold as a secondary sort: hash-partition by account, sort each partition by
-    (account, prior calls first, time, id) and stream the rows through one Arrow-batched
-    ``mapInPandas`` pass that resets its small state at every new account. No per-group
-    Python call, no group materialised as one pandas frame."""
-    # Without an explicit count AQE may merge small partitions (whole partitions, so an
-    # account is never split) and sizes the fold's tasks by data.
-    parts = rows.repartition(partitions, "account_id") if partitions else rows.repartition("account_id")
-    ordered = parts.sortWithinPartitions("account_id", F.desc("kind"), "at", "request_id")
-    return ordered.mapInPandas(_replay_partition(limit), REPLAY_SCHEMA)
-
-
-def _replay_partition(limit: int):
+def segmented(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``seg``, the first day of the account's run of consecutive days: two segments
+    lie more than 24 h apart, so no call of one counts in the other. Runs are found on the days an
+    account has, not on its rows."""
+    day = F.floor(F.unix_micros("at") / F.lit(DAY_MICROS)).alias("_day")
+    dated = rows.select("*", day)
+    w = Window.partitionBy("account_id").orderBy("_day")
+    days = dated.select("account_id", "_day").distinct()
+    days = days.select("account_id", "_day", F.when(F.coalesce(F.col("_day") - F.lag("_day").over(w) > 1, F.lit(True)), F.col("_day")).alias("_first"))
+    days = days.select("account_id", "_day", F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("seg"))
+    return dated.join(days, ["account_id", "_day"]).drop("_day")
+
+
+def replay_fold(rows: DataFrame, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
+    """The fold over FOLD_ROWS, an account's segments side by side.
+
+    Each segment is first folded as if the balance refused nothing, which yields its answers, what
+    it adds to the balance and the balance it needs at its start. A running sum over the segments of an
+    account gives the balance each one starts with; where that covers the need (a segment that never
+    runs dry) the answers stand. From an account's first segment that does run dry on, its rows are
+    folded again in order. Both passes are a secondary sort (hash-partition, sort) streamed through
+    ``mapInPandas`` with the small state of one account; no group is held as a frame."""
+    rows = materialized(segmented(rows), "replay-rows")
+    free = materialized(_folded(rows, ["account_id", "seg"], limit, bound=False), "replay-segments")
+    w = Window.partitionBy("account_id").orderBy("seg")
+    starts = free.filter("need IS NOT NULL").select(
+        "account_id", "seg", "need", F.coalesce(F.sum("balance_after_micros").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"))
+    dry = starts.filter(F.col("need") > F.col("start")).groupBy("account_id").agg(F.min(F.struct("seg", "start")).alias("_dry"))
+    dry = dry.select("account_id", F.col("_dry.seg").alias("dry_seg"), F.col("_dry.start").alias("dry_start"))
+    stand = (free.filter("need IS NULL").join(starts.select("account_id", "seg", "start"), ["account_id", "seg"])
+             .join(dry.select("account_id", "dry_seg"), "account_id", "left").filter("dry_seg IS NULL OR seg < dry_seg")
+             .withColumn("balance_after_micros", F.col("balance_after_micros") + F.col("start")))
+    again = rows.join(dry, "account_id").filter("seg >= dry_seg").select(*rows.columns)
+    opening = dry.select(F.lit("opening").alias("kind"), F.lit(None).cast("long").alias("request_id"), "account_id", F.timestamp_micros(F.col("dry_seg") * DAY_MICROS).alias("at"),
+                         F.col("dry_start").alias("micros"), F.lit(None).cast("string").alias("outcome"), F.col("dry_seg").alias("seg"))
+    replayed = _folded(again.unionByName(opening), ["account_id"], limit, bound=True).filter("need IS NULL")
+    cols = [c.split()[0] for c in REPLAY_SCHEMA.split(", ")]
+    return stand.select(*cols).unionByName(replayed.select(*cols))
+
+
+def _folded(rows: DataFrame, group: list[str], limit: int, bound: bool) -> DataFrame:
+    """REPLAY_SCHEMA, seg and need: a row an attempt, and per group one without request whose
+    ``balance_after_micros`` is what the group adds to the balance and ``need`` what it needs."""
+    rank = F.create_map(*[F.lit(x) for kv in KIND_RANK.items() for x in kv])[F.col("kind")].alias("_rank")
+    ordered = rows.select("*", rank).repartition(*group).sortWithinPartitions(*group, "at", "_rank", "request_id")
+    return ordered.drop("_rank").mapInPandas(_replay_partition(len(group), limit, bound), REPLAY_SCHEMA + ", seg long, need long")
+
+
+def _replay_partition(n_keys: int, limit: int, bound: bool):
     """The fold over one sorted partition. Columns are read once per Arrow batch into plain
-    lists (times as integer nanoseconds), so a row costs a few list reads and integer
-    compares; the state is the balance and the last ``limit`` recorded times."""
-    day_ns = 24 * 3600 * 1_000_000_000
-    cols = ["request_id", "account_id", "at", "status_code", "charged_micros", "counted", "balance_after_micros"]
+    lists (times as integer microseconds), so a row costs a few list reads and compares."""
+    cols = ["request_id", "account_id", "at", "status_code", "charged_micros", "counted", "balance_after_micros", "seg", "need"]
+
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=cols)
+        out["at"] = pd.to_datetime(out["at"], unit="us")
+        out["request_id"], out["need"] = out["request_id"].astype("Int64"), out["need"].astype("Int64")
+        return out
 
     def run(batches):
-        cur, bal, recorded = None, 0, deque(maxlen=limit)
+        cur, fold, rows = None, None, []
         for pdf in batches:
-            accounts = pdf["account_id"].tolist()
-            times = pd.DatetimeIndex(pdf["at"]).asi8.tolist()
-            kinds = pdf["kind"].tolist()
-            quotes = pdf["quote_micros"].tolist()
-            outcomes = pdf["outcome"].tolist()
-            balances = pdf["balance_micros"].tolist()
-            pos, status, charged, counted, after = [], [], [], [], []
-            for k in range(len(accounts)):
-                if accounts[k] != cur:
-                    cur, bal, recorded = accounts[k], int(balances[k]), deque(maxlen=limit)
-                t = times[k]
-                if kinds[k] == "prior":
-                    recorded.append(t)
-                    continue
-                floor = t - day_ns
-                used = sum(1 for r in recorded if r > floor)
-                q = int(quotes[k])
-                if used >= limit:
-                    st, ch, ct = 429, 0, False
-                elif bal < q:
-                    st, ch, ct = 402, 0, False
-                elif outcomes[k] == "ok":
-                    bal -= q
-                    recorded.append(t)
-                    st, ch, ct = 200, q, True
-                elif outcomes[k] == "invalid":
-                    recorded.append(t)
-                    st, ch, ct = 502, 0, True
-                else:  # upstream error: nothing recorded, nothing charged
-                    st, ch, ct = 502, 0, False
-                pos.append(k)
-                status.append(st)
-                charged.append(ch)
-                counted.append(ct)
-                after.append(bal)
-            sel = pdf.iloc[pos]
-            yield pd.DataFrame({
-                "request_id": sel["request_id"].to_numpy(), "account_id": sel["account_id"].to_numpy(),
-                "at": sel["at"].to_numpy(), "status_code": status, "charged_micros": charged, "counted": counted,
-                "balance_after_micros": after,
-            }, columns=cols)
+            accounts, segs = pdf["account_id"].tolist(), pdf["seg"].tolist()
+            times = pdf["at"].astype("datetime64[us]").astype("int64").tolist()
+            for req, account, seg, kind, t, micros, outcome in zip(pdf["request_id"].tolist(), accounts, segs, pdf["kind"].tolist(), times,
+                                                                   pdf["micros"].tolist(), pdf["outcome"].tolist(), strict=True):
+                key = (account, seg)[:n_keys]
+                if key != cur:
+                    if cur is not None:
+                        rows.append((None, cur[0], None, 0, 0, False, fold.balance, cur[-1], fold.need))
+                    cur, fold = key, AccountFold(limit, bound=bound)
+                answer = fold.step(kind, t, micros, outcome)
+                if answer is not None:
+                    rows.append((int(req), account, t, *answer, fold.balance, seg, None))
+            yield frame(rows)
+            rows = []
+        if cur is not None:
+            yield frame([(None, cur[0], None, 0, 0, False, fold.balance, cur[-1], fold.need)])
 
     return run
 
@@ -223,6 +282,11 @@ def answer_outcomes(answers: DataFrame, rejects: DataFrame) -> DataFrame:
     return j.select("request_id", out.alias("outcome"))
 
 
+def answer_outcomes_of(checked: DataFrame) -> DataFrame:
+    """ok / invalid of the answers that came (M4's check); an attempt without one is upstream."""
+    return checked.select("request_id", F.when(F.col("check") == "ok", "ok").otherwise("invalid").alias("outcome"))
+
+
 def metering(admitted: DataFrame, answers: DataFrame, rejects: DataFrame, reasoning: DataFrame, requests: DataFrame,
              service_prices: DataFrame, model_costs: DataFrame, service: str, model: str) -> DataFrame:
     """M9: ledger rows for admitted requests. Valid answer: its units, status 200; invalid

@@ -42,12 +42,12 @@ def request_items(requests: DataFrame, text_col: str = "text", id_col: str = "re
     return r.select(id_col, F.col("idx").cast("int").alias("idx"), "item")
 
 
-def request_validation(requests: DataFrame, text_col: str = "text", id_col: str = "request_id") -> DataFrame:
+def request_validation(requests: DataFrame, text_col: str = "text", id_col: str = "request_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """per request the first failing rule: empty, > 20 items, an item > 8,000 chars
-    (the first such index), else ok; with item count and total units."""
+    (the first such index), else ok; with item count and total units (and the columns ``keep``)."""
     # Item lengths are computed once per item (a separate projection, so the split and the
     # UTF-16 count are not re-evaluated by every expression below).
-    lens = requests.select(id_col, F.transform(item_array(F.col(text_col)), lambda x: utf16_length(x)).alias("_lens"))
+    lens = requests.select(id_col, *keep, F.transform(item_array(F.col(text_col)), lambda x: utf16_length(x)).alias("_lens"))
     return _judged(lens, id_col)
 
 
@@ -171,26 +171,25 @@ def _parse(answer: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), answer, F.lit("]")), ANSWER_SCHEMA, _JSON_OPTS)
 
 
-def ingest_scores(answers: DataFrame, validation: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M4: strict check of each request's answer, the way ``JSON.parse`` + type checks are.
-
-    Returns (results, rejects). A request is rejected whole when its answer is not one JSON
-    document, ``results`` is not an array of objects, an entry's index is not an integer in [0, n) or
-    repeats, a score is missing, not a number or outside [0, 1], or there are fewer than n
-    results. The reject reason is the first that applies in that order.
+def check_answers(answers: DataFrame, validation: DataFrame) -> DataFrame:
+    """M4's strict check of each request's answer, the way ``JSON.parse`` + type checks are:
+    the parsed ``results``, their reasons' types and ``check``, the first of these that applies, or ok.
+    An answer is rejected whole when it is not one JSON document, ``results`` is not an array of
+    objects, an entry's index is not an integer in [0, n) or repeats, a score is missing, not a
+    number or outside [0, 1], or there are fewer than n results. Answers that did not come
+    (``upstream_status`` other than 200) have no row.
     """
     a = answers.filter(F.col("upstream_status") == 200).join(validation.select("request_id", "n_items"), "request_id", "inner")
     parsed = _parse(F.col("answer"))
-    results = F.when(F.size(parsed) == 1, F.get(parsed, 0).getField("results"))
+    results = F.when(F.size("_parsed") == 1, F.get("_parsed", 0).getField("results"))
     # The variant parser is strict about NaN / Infinity (the bracket parse is strict about
     # trailing text); it also tells a string ``reason`` from a number or boolean (those
     # become '', as in the reference).
-    variant = F.try_parse_json(F.col("answer"))
-    rtypes = F.transform(F.expr("try_variant_get(try_parse_json(answer), '$.results', 'array<variant>')"),
+    rtypes = F.transform(F.try_variant_get("_variant", "$.results", "array<variant>"),
                          lambda e: F.schema_of_variant(F.try_variant_get(e, "$.reason", "variant")))
-    p = a.select("request_id", "n_items", F.col("answer").isNull().alias("_null"), results.alias("results"),
-                 F.when(variant.isNotNull(), rtypes).alias("rtypes"),
-                 ((F.size(parsed) == 1) & variant.isNotNull()).alias("_doc_ok"))
+    p = (a.select("request_id", "n_items", parsed.alias("_parsed"), F.try_parse_json(F.col("answer")).alias("_variant"))
+         .select("request_id", "n_items", results.alias("results"), F.when(F.col("_variant").isNotNull(), rtypes).alias("rtypes"),
+                 ((F.size("_parsed") == 1) & F.col("_variant").isNotNull()).alias("_doc_ok")))
     n = F.col("n_items")
 
     def entry_ok_index(e):
@@ -216,7 +215,12 @@ def ingest_scores(answers: DataFrame, validation: DataFrame) -> tuple[DataFrame,
               .when(distinct < F.size(res), "duplicate_index")
               .when(F.size(res) < n, "missing_results")
               .otherwise("ok"))
-    checked = p.withColumn("check", reason)
+    return p.withColumn("check", reason)
+
+
+def ingest_scores(answers: DataFrame, validation: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M4: (results, rejects) of the answers by ``check_answers``."""
+    checked = check_answers(answers, validation)
     rejects = checked.filter(F.col("check") != "ok").select("request_id", F.col("check").alias("reason"))
     ok = checked.filter(F.col("check") == "ok")
     ex = ok.select("request_id", F.posexplode("results").alias("pos", "e"), "rtypes")

@@ -16,16 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _config(df: DataFrame) -> DataFrame:
-    """A configuration table (one row per service / model / price change). Spark broadcasts it
-    if its measured size is under the session's bound, and joins by a shuffle otherwise."""
-    return df
-
-
 def price_micros(calls: DataFrame, service_prices: DataFrame, service_col: str = "service", units_col: str = "units",
                  out: str = "price_micros") -> DataFrame:
     """``max(units, 0) * unit price`` of the service; unknown service = 0. Ignores ``active``."""
-    sp = _config(service_prices.select(F.col("service").alias("_svc"), F.col("unit_price_micros").alias("_unit_price")))
+    sp = service_prices.select(F.col("service").alias("_svc"), F.col("unit_price_micros").alias("_unit_price"))
     j = calls.join(sp, calls[service_col] == sp["_svc"], "left")
     return j.withColumn(out, _price(F.col(units_col), F.col("_unit_price"))).drop("_svc", "_unit_price")
 
@@ -50,7 +44,7 @@ def price_micros_tokens(calls: DataFrame, model_rates: DataFrame, model_col: str
                         cols=("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens")) -> DataFrame:
     """U2 (retired five-argument form): token price at per-model rates, rounded once."""
     i, c, o, r = cols
-    mr = _config(model_rates.withColumnRenamed("model", "_model"))
+    mr = model_rates.withColumnRenamed("model", "_model")
     j = calls.join(mr, calls[model_col] == mr["_model"], "left")
     amount = (
         F.greatest(_dec(i) - _dec(c), F.lit(0)) * F.col("input_usd_per_mtok")
@@ -66,7 +60,7 @@ def cost_micros(calls: DataFrame, model_costs: DataFrame, model_col: str = "mode
                 cols=("input_tokens", "cached_input_tokens", "output_tokens")) -> DataFrame:
     """What the model provider charges for the call's tokens, rounded half away from zero."""
     i, c, o = cols
-    mc = _config(model_costs.withColumnRenamed("model", "_model"))
+    mc = model_costs.withColumnRenamed("model", "_model")
     j = calls.join(mc, calls[model_col] == mc["_model"], "left")
     cost = _cost(cols, F.col("input_usd_per_mtok"), F.col("cached_input_usd_per_mtok"), F.col("output_usd_per_mtok"))
     return j.withColumn(out, cost).drop("_model", "input_usd_per_mtok", "cached_input_usd_per_mtok", "output_usd_per_mtok")
@@ -104,10 +98,14 @@ def price_lookup(accounts: DataFrame, balances: DataFrame, service_prices: DataF
 def price_asof(calls: DataFrame, price_history: DataFrame, ts_col: str = "created_at") -> DataFrame:
     """The unit price in force when each call was made (NULL before the first price).
 
-    The history is turned into ``[valid_from, valid_to)`` ranges on its own (small) side,
-    then joined: an equi-join on service with the range as a join filter, so the
-    call side is never sorted or shuffled by time.
-    """
+    An interval index: the history, turned into ``[valid_from, valid_to)`` ranges on its own, is cut
+    into the UTC days that the calls' times span (one row per service and day for a price that
+    lasts), and calls meet it by (service, day). So a call is tested against the prices of its own
+    day alone, and calls of one service go to as many join partitions as they have days. Only the
+    first and last day of the calls reach the driver; a NULL time has no price."""
+    day_of = lambda c: F.unix_date(F.to_date(c))
+    span = calls.agg(F.min(ts_col).alias("a"), F.max(ts_col).alias("z")).select(day_of("a").alias("a"), day_of("z").alias("z")).first()
+    first, last = (span.a, span.z) if span.a is not None else (0, 0)
     w = Window.partitionBy("service").orderBy("valid_from")
     ranges = price_history.select(
         F.col("service").alias("_svc"),
@@ -115,6 +113,10 @@ def price_asof(calls: DataFrame, price_history: DataFrame, ts_col: str = "create
         F.col("valid_from").alias("_from"),
         F.lead("valid_from").over(w).alias("_to"),
     )
-    r = _config(ranges)
-    cond = (calls["service"] == r["_svc"]) & (calls[ts_col] >= r["_from"]) & (r["_to"].isNull() | (calls[ts_col] < r["_to"]))
-    return calls.join(r, cond, "left").drop("_svc", "_from", "_to")
+    a = F.greatest(day_of("_from"), F.lit(first))
+    z = F.least(F.coalesce(day_of("_to"), F.lit(last)), F.lit(last))
+    index = ranges.filter(a <= z).select("*", F.explode(F.sequence(a, z)).alias("_price_day"))
+    dated = calls.withColumn("_day", day_of(ts_col))
+    cond = ((dated["service"] == index["_svc"]) & (dated["_day"] == index["_price_day"]) & (dated[ts_col] >= index["_from"])
+            & (index["_to"].isNull() | (dated[ts_col] < index["_to"])))
+    return dated.join(index, cond, "left").drop("_svc", "_from", "_to", "_day", "_price_day")

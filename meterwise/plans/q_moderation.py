@@ -8,6 +8,7 @@ from meterwise.operators import moderation as MO
 from meterwise.plans.oracle_fixtures import items_sql
 from meterwise.plans.registry import register
 from meterwise.plans.sql_snippets import AS_OF, BALANCE_CTES
+from meterwise.sources.tables import materialized
 
 U16 = "(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
 
@@ -247,6 +248,16 @@ def _admission(fx, balances=None):
                         fx.p.service, fx.p.as_of)
 
 
+def replay_parts(fx):
+    """(P2's answers, outcomes, requests, wallet) for the replay. The texts are read and checked
+    once: what remains of a request is a row of its header, time, item count, units and verdict."""
+    facts = materialized(MO.request_validation(fx.moderation_requests, keep=("authorization", "at")), "request-facts")
+    outcomes = AD.answer_outcomes_of(MO.check_answers(fx.answers_to(facts), facts))
+    snap = fx.wallet_snapshot  # read by the snapshot check and by the fold
+    admitted = AD.admission(facts, facts, AD.key_auth(facts, fx.api_keys), fx.usage_events, snap, fx.service_prices, fx.p.service, fx.p.as_of)
+    return materialized(admitted, "admitted"), outcomes, facts, snap
+
+
 @register("key_auth", "P1", "SELECT * FROM auth", {"auth": _AUTH})
 def q_key_auth(fx):
     return _auth(fx)
@@ -318,10 +329,8 @@ _REFUSED = """SELECT request_id, account_id, r."at", status_code, CAST(0 AS BIGI
 
 @register("admission_replay", "P4", f"{FOLD_SQL} UNION ALL {_REFUSED}", FOLD_CTES)
 def q_admission_replay(fx):
-    rejects = _ingest(fx)[1]
-    snap = fx.wallet_snapshot  # read by the snapshot check and by the fold
-    return AD.admission_replay(_admission(fx, snap), AD.answer_outcomes(fx.score_answers, rejects), fx.moderation_requests,
-                               fx.usage_events, snap, fx.p.as_of)
+    admitted, outcomes, requests, snap = replay_parts(fx)
+    return AD.admission_replay(admitted, outcomes, requests, fx.usage_events, snap, fx.p.as_of)
 
 
 _M9 = f"""

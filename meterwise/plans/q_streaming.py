@@ -19,9 +19,15 @@ def q_stream_synced(fx):
     return q_lifecycle._flat(J.stream_synced(_sfx(fx)))
 
 
-@register("stream_ledger", "ST2", "SELECT DISTINCT id, account_id FROM usage_events")
+# Of the rows of an id the first by time, then by the other columns.
+_FIRST_WRITES = """SELECT * EXCLUDE (k) FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, account_id, api_key_id NULLS FIRST, service, units, model, input_tokens, cached_input_tokens,
+    output_tokens, reasoning_tokens, price_micros, cost_micros, status, latency_ms NULLS FIRST) AS k FROM usage_events) t WHERE k = 1"""
+
+
+@register("stream_ledger", "ST2", _FIRST_WRITES)
 def q_stream_ledger(fx):
-    return J.stream_ledger(_sfx(fx)).select("id", "account_id")
+    return J.stream_ledger(_sfx(fx))
 
 
 @register(
@@ -50,13 +56,16 @@ def q_stream_sliding(fx):
     return J.stream_sliding_24h(_sfx(fx))
 
 
+# The stream's time is the newest watch or credit less ten minutes; watches whose time-out it has not passed are open.
 @register(
     "stream_credit_watch", "ST7",
-    """SELECT w.watch_id, w.account_id, w.requested_at, min(c.credit_at) AS landed_at,
+    """SELECT * FROM (SELECT w.watch_id, w.account_id, w.requested_at, min(c.credit_at) AS landed_at,
               CASE WHEN min(c.credit_at) IS NOT NULL THEN 'landed' ELSE 'timed_out' END AS status
        FROM watches w LEFT JOIN credits c
          ON c.account_id = w.account_id AND c.credit_at > w.requested_at AND c.credit_at <= w.requested_at + to_minutes(w.timeout_min)
-       GROUP BY 1, 2, 3""",
+       GROUP BY 1, 2, 3, w.timeout_min) o
+       WHERE landed_at IS NOT NULL OR requested_at + to_minutes((SELECT any_value(w.timeout_min) FROM watches w WHERE w.watch_id = o.watch_id))
+         < (SELECT greatest((SELECT max(requested_at) FROM watches), (SELECT max(credit_at) FROM credits))) - to_minutes(10)""",
     {"watches": """SELECT s.id AS watch_id, a.account_id,
                           make_timestamp(s.created * 1000000) - to_minutes(CAST(CAST(split_part(s.id, '_', 2) AS BIGINT) % 15 AS INTEGER)) AS requested_at,
                           10 AS timeout_min
@@ -68,7 +77,9 @@ def q_stream_sliding(fx):
                    WHERE e.micros > 0"""},
 )
 def q_stream_credit_watch(fx):
-    return J.stream_credit_watch(_sfx(fx))
+    s = _sfx(fx)
+    accounts = J._static(s).accounts
+    return J.stream_credit_watch(J.watches(s, accounts), J.credits(s, accounts))
 
 
 _FIRST_TICK = f"SELECT *, {AS_OF} AS commanded_at FROM commands WHERE trigger = 'schedule'"
@@ -76,16 +87,15 @@ _FIRST_TICK = f"SELECT *, {AS_OF} AS commanded_at FROM commands WHERE trigger =
 
 @register("stream_topups", "ST6", _FIRST_TICK, q_topups.CMD_CTES)
 def q_stream_topups(fx):
-    return J.stream_topups(_sfx(fx)).drop("_batch")
+    s = _sfx(fx)
+    return J.stream_topups(s, J.clock(fx.spark, fx.p.as_of), lambda: J.stream_balance(s)).drop("_batch")
 
 
 @register("stream_admission", "ST4", q_moderation.FOLD_SQL, q_moderation.FOLD_CTES)
 def q_stream_admission(fx):
-    rejects = q_moderation._ingest(fx)[1]
-    rows = AD.replay_input(q_moderation._admission(fx), AD.answer_outcomes(fx.score_answers, rejects), fx.moderation_requests,
-                           fx.usage_events, fx.balances, fx.p.as_of)
-    return J.stream_admission(rows)
-
+    admitted, outcomes, requests, snap = q_moderation.replay_parts(fx)
+    rows = AD.replay_input(admitted, outcomes, requests, fx.usage_events, snap, fx.p.as_of)
+    return J.stream_admission(J.staged_stream(rows, "attempts"))
 
 
 @register("dashboard", "A10")

@@ -3,7 +3,7 @@
 The reference ships no data, so its tables (accounts, the usage ledger, the
 synced payment tables, ...) are derived row by row from the TPC-H-ish inputs
 (see FIXTURES.md). The same expressions exist as DuckDB CTEs in
-``meterwise.plans.oracle``; both sides must agree column for column.
+``meterwise.plans.oracle_fixtures``; both sides must agree column for column.
 
 Every table here is a lazy DataFrame over the inputs, so its size grows with
 them; only the three price/rate configuration tables are literal rows.
@@ -188,29 +188,36 @@ class Fixtures:
         """
         li = self.raw("lineitem")
         o = self.orders_dim().select("o_orderkey", "o_custkey")
-        old = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+        return self.line_calls(li.join(o, li.l_orderkey == o.o_orderkey, "inner")).unionByName(self.event_calls)
+
+    @staticmethod
+    def line_calls(lines: DataFrame) -> DataFrame:
+        """Ledger rows of line items that know their order's customer (``o_custkey``)."""
         units_old = "CAST(l_quantity AS INT)"
-        old_rows = old.selectExpr(
+        return lines.selectExpr(
             "l_orderkey * 8 + l_linenumber AS id",
             "o_custkey AS account_id",
             "CASE WHEN pmod(o_custkey, 3) <> 1 THEN o_custkey END AS api_key_id",
             *ledger_sql("pmod(l_partkey, 100)", units_old, "200", f"CAST({units_old} AS BIGINT) * {FIXTURE_PRICE_MICROS}"),
             "l_shipdate AS created_at",
         )
+
+    @cached_property
+    def event_calls(self) -> DataFrame:
+        """Ledger rows of events (all but sign-ups)."""
         units_new = "CASE WHEN event_type = 'error' THEN 0 ELSE 1 + pmod(_k, 20) END"
         price_now = (f"CASE WHEN ts >= {sql_ts(datetime(2024, 1, 25))} THEN 400000 "
                      f"WHEN ts >= {sql_ts(datetime(2024, 1, 10))} THEN 300000 ELSE 250000 END")
-        new_rows = (self.raw("events").filter("event_type <> 'signup'")
-                    .selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS _k")
-                    .selectExpr(
-                        "event_id * 8 AS id",
-                        "user_id AS account_id",
-                        "CASE WHEN pmod(user_id, 3) <> 1 THEN user_id END AS api_key_id",
-                        *ledger_sql("_k", units_new, "CASE WHEN event_type = 'error' THEN 502 ELSE 200 END",
-                                    f"CAST({units_new} AS BIGINT) * {price_now}"),
-                        "ts AS created_at",
-                    ))
-        return old_rows.unionByName(new_rows)
+        return (self.raw("events").filter("event_type <> 'signup'")
+                .selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS _k")
+                .selectExpr(
+                    "event_id * 8 AS id",
+                    "user_id AS account_id",
+                    "CASE WHEN pmod(user_id, 3) <> 1 THEN user_id END AS api_key_id",
+                    *ledger_sql("_k", units_new, "CASE WHEN event_type = 'error' THEN 502 ELSE 200 END",
+                                f"CAST({units_new} AS BIGINT) * {price_now}"),
+                    "ts AS created_at",
+                ))
 
     @cached_property
     def simulated_spend(self) -> DataFrame:
@@ -395,10 +402,14 @@ class Fixtures:
         item, 3 a score of 1.2, 4 a repeated index, 5 a score given as text, 6 index 1.0
         (valid), 7 ``results`` as an object, 8 NaN.
         """
-        from meterwise.operators.moderation import item_array
+        from meterwise.operators.moderation import request_validation
+
+        return self.answers_to(request_validation(self.moderation_requests))
 
-        split = self.moderation_requests.select("request_id", item_array(F.col("text")).alias("items"))
-        items = split.select("request_id", F.size("items").alias("n"), F.posexplode("items").alias("idx", "item")).drop("item")
+    def answers_to(self, validation: DataFrame) -> DataFrame:
+        """``score_answers`` from the item counts alone (``request_id``, ``n_items``)."""
+        counted = validation.filter(F.col("n_items") > 0).select("request_id", F.col("n_items").alias("n"))
+        items = counted.select("request_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
         lab = self.raw("labels").select(F.col("doc_id").alias("request_id"), "toxic")
         it = items.join(lab, "request_id", "left")
         brk = "pmod(request_id, 17)"

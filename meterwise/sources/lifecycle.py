@@ -3,7 +3,6 @@
 Parquet has no UPDATE, so every "insert ... on conflict", "update ... set"
 of the reference becomes a DataFrame of the rows to write (anti-joins on the
 key) or the current state rebuilt from a change log with per-key aggregates.
-The sinks write partitioned by day and are idempotent for a given batch.
 """
 
 from __future__ import annotations
@@ -23,17 +22,22 @@ def _first_by_all(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(key, *[F.col(f"_v.{c}").alias(c) for c in others])
 
 
-def ledger_append(ledger: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of ``batch`` to append: the request id is the key, so a retried write (an id
-    already in the ledger, or repeated in the batch) adds nothing; the first write wins."""
-    first = _first_by_all(batch, "id", ["created_at"])
-    return first.join(ledger.select("id"), "id", "left_anti").select(*batch.columns)
+#: A batch of up to so many ids (8 MB) goes to the ledger; a larger one meets it by a shuffle.
+MAX_BATCH_IDS = 1_000_000
 
 
-def write_ledger(rows: DataFrame, path: str) -> None:
-    """Sink for S4: append, partitioned by UTC day (partition pruning for time windows)."""
-    (rows.withColumn("day", F.to_date("created_at"))
-     .write.mode("append").partitionBy("day").parquet(path))
+def ledger_append(ledger: DataFrame, batch: DataFrame, max_ids: int = MAX_BATCH_IDS) -> DataFrame:
+    """Rows of ``batch`` to append: the request id is the key, so a retried write (an id
+    already in the ledger, or repeated in the batch) adds nothing; the first write wins.
+
+    Of the ledger only the ids that the batch has are looked for: a batch of a counted size is
+    broadcast to the ledger's id column, which then is scanned but never shuffled or sorted."""
+    first = _first_by_all(batch, "id", ["created_at"])
+    ids = first.select("id")
+    if batch.limit(max_ids + 1).count() <= max_ids:
+        ids = F.broadcast(ids)
+    known = ledger.select("id").join(ids, "id", "left_semi")  # no more than the batch
+    return first.join(known, "id", "left_anti").select(*batch.columns)
 
 
 def topup_insert_if_absent(existing: DataFrame, batch: DataFrame) -> DataFrame:

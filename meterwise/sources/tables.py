@@ -6,24 +6,31 @@ Reads are lazy: column pruning and filter pushdown reach the Parquet scan
 through whatever the caller selects later (in a UTC session Catalyst unwraps
 the cast, so time bounds still become ``PushedFilters``).
 
-A table's schema is inferred once per path and then passed to every later
-read: schema inference reads Parquet footers in a Spark job, which over many
+A table is ``<name>.parquet`` and whatever files ``<name>_*.parquet`` have landed
+beside it by the time it is read; streams take the same files, so a resumed
+stream and the tables it is joined to agree.
+
+A table's schema is inferred once per session and path and then passed to every
+later read: schema inference reads Parquet footers in a Spark job, which over many
 files costs a job per read for nothing.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from meterwise.session import ensure_checkpoint_dir
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-_SCHEMAS: dict[str, T.StructType] = {}
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 _LOCK = threading.Lock()
 
 
@@ -31,14 +38,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def table_glob(sf_dir: str, name: str) -> str:
+    """The table and the files that landed beside it."""
+    return f"{sf_dir.rstrip('/')}/{{{name},{name}_*}}.parquet"
+
+
 def table_schema(spark: SparkSession, path: str) -> T.StructType:
-    """The file schema of ``path``, inferred on first use only."""
+    """The file schema of ``path``, inferred on first use in a session (Spark application)."""
+    key = (spark.sparkContext.applicationId, path)
     with _LOCK:
-        s = _SCHEMAS.get(path)
+        s = _SCHEMAS.get(key)
     if s is None:
         s = spark.read.parquet(path).schema
         with _LOCK:
-            _SCHEMAS[path] = s
+            _SCHEMAS[key] = s
     return s
 
 
@@ -50,6 +63,13 @@ def utc_projection(schema: T.StructType) -> list[str]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = table_path(sf_dir, name)
-    schema = table_schema(spark, path)
-    return spark.read.schema(schema).parquet(path).selectExpr(*utc_projection(schema))
+    schema = table_schema(spark, table_path(sf_dir, name))
+    return spark.read.schema(schema).parquet(table_glob(sf_dir, name)).selectExpr(*utc_projection(schema))
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back: for what several
+    branches of a plan would otherwise compute again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,19 +3,21 @@
 The fixture expressions are row-wise (plus stream-static joins), so the same
 ``Fixtures`` code builds streaming DataFrames when its driver tables are file
 streams. Each job runs with ``availableNow`` (a scheduled trigger in
-production) into an idempotent sink and returns the final state, which must
-equal the batch result.
+production) into an idempotent sink and returns the state it has reached, which
+equals the batch result over the same files.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from meterwise.config import (CHECKOUT_WATCH_MINUTES, DAILY_REQUEST_LIMIT, SYNC_LAG_MINUTES, TOPUP_COOLDOWN_MINUTES,
                               TOPUP_WATCH_MINUTES)
@@ -25,7 +27,8 @@ from meterwise.operators.wallet import purchase_entries
 from meterwise.sources.fixtures import Fixtures
 from meterwise.sources.lifecycle import ledger_append
 from meterwise.sources.synced import synced_latest, synced_typed
-from meterwise.streaming.sinks import latest_per_key, read_if_written, read_sink, read_stream_table, run_available_now, stream_dir
+from meterwise.streaming.sinks import read_if_written, read_sink, read_stream_table, run_available_now, state_store, stream_dir
+from meterwise.streaming.state import KeyedTable, LeveledSums
 
 WATERMARK = f"{SYNC_LAG_MINUTES} minutes"
 
@@ -46,21 +49,48 @@ class StreamFixtures(Fixtures):
 
 
 def _static(fx: StreamFixtures) -> Fixtures:
+    """The tables as they are now, files that landed since the stream's first start included."""
     return Fixtures(fx.spark, fx.sf_dir, fx.p)
 
 
 # ------------------------------------------------------------------------ ST1
 def stream_synced(fx: StreamFixtures) -> DataFrame:
-    """ST1: keep the latest version per object from the change feed (final state = S2). Each
-    micro-batch leaves only its newest version of an object."""
+    """ST1: the latest version per object from the change feed (final state = S2), as a table in
+    buckets of which a micro-batch rewrites those it has objects of."""
     feed = fx.customers_raw
+    table = lambda d: KeyedTable(fx.spark, f"{d}/objects", feed.schema, ["id", "_account_id"])
+    d = run_available_now(feed, "synced", batch_fn=lambda bdf, bid, d: table(d).merge(bdf, bid, synced_latest), run=fx.run)
+    return synced_typed(table(d).read().select(*feed.columns))
 
-    def newest(bdf: DataFrame, bid: int, d: str) -> None:
-        synced_latest(bdf).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
 
-    path = run_available_now(feed, "synced", batch_fn=newest, run=fx.run)
-    rows = read_sink(fx.spark, path, feed.schema).select(*feed.columns)
-    return synced_typed(synced_latest(rows))
+# ------------------------------------------------------------------------ the feed of calls
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+
+
+def _call_feed(fx: StreamFixtures) -> DataFrame:
+    """Metered calls as they arrive: events as ledger rows, line items as they are (their account
+    is their order's), and a row for every order that lands, which wakes the job for the line
+    items that came before it."""
+    kind = lambda df, k: df.withColumn("_kind", F.lit(k))
+    feed = kind(fx.event_calls, "call").unionByName(kind(fx.raw("lineitem").select(*LINE), "line"), allowMissingColumns=True)
+    if "orders" in fx.streamed:
+        feed = feed.unionByName(kind(fx.raw("orders").select("o_orderkey"), "order").drop("o_orderkey"), allowMissingColumns=True)
+    return feed
+
+
+def _calls(fx: StreamFixtures, bdf: DataFrame, bid: int, d: str) -> DataFrame:
+    """The ledger rows of a micro-batch of the call feed. Line items whose order has not landed wait
+    in a folder and are tried again by the next micro-batch."""
+    lines = bdf.filter("_kind = 'line'").select(*LINE)
+    waiting = read_if_written(fx.spark, f"{d}/waiting/{bid - 1}")
+    if waiting is not None:
+        lines = lines.unionByName(waiting)
+    orders = fx.orders_dim().select("o_orderkey", "o_custkey")
+    known = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    known.filter("o_orderkey IS NULL AND l_orderkey IS NOT NULL").select(*LINE).write.mode("overwrite").parquet(f"{d}/waiting/{bid}")
+    columns = [c for c in bdf.columns if c not in (*LINE, "_kind")]
+    calls = bdf.filter("_kind = 'call'").select(*columns)
+    return calls.unionByName(fx.line_calls(known.filter("o_orderkey IS NOT NULL")), allowMissingColumns=True)
 
 
 # ------------------------------------------------------------------------ ST2
@@ -68,71 +98,108 @@ def stream_ledger(fx: StreamFixtures) -> DataFrame:
     """ST2: ingest metered calls exactly once by request id. Every micro-batch is appended as
     S4 appends a batch, against the ids already written: a first write lands however late it
     comes, a repeat never does."""
-    calls = fx.usage_events
+    feed = _call_feed(fx)
 
     def append(bdf: DataFrame, bid: int, d: str) -> None:
-        written = read_if_written(fx.spark, f"{d}/data")
-        ledger = bdf.limit(0) if written is None else written.filter(F.col("_batch") < bid)
-        ledger_append(ledger, bdf).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+        calls = _calls(fx, bdf, bid, d).persist()
+        try:
+            written = read_if_written(fx.spark, f"{d}/data")
+            ledger = calls.limit(0) if written is None else written.filter(F.col("_batch") < bid)
+            ledger_append(ledger, calls).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+        finally:
+            calls.unpersist()
 
-    path = run_available_now(calls, "ledger", batch_fn=append, run=fx.run)
-    return read_sink(fx.spark, path, calls.schema).drop("_batch")
+    d = run_available_now(feed, "ledger", batch_fn=append, run=fx.run)
+    return read_sink(fx.spark, f"{d}/data", fx.event_calls.schema).drop("_batch")
 
 
 # ------------------------------------------------------------------------ ST3
-def _windowed(fx: StreamFixtures, calls: DataFrame, name: str, window, sums: dict) -> DataFrame:
-    """Window sums of a stream of calls. A micro-batch writes the sums of its own rows, and the
-    final state adds the micro-batches up: sums of sums are exact however late a row comes,
-    so no watermark has to drop any and no state is kept between the batches."""
-    keys = ["account_id", "window_start", "window_end"]
+def _sums(fx: StreamFixtures, name: str, unit: str, sums: dict, since: datetime | None = None) -> DataFrame:
+    """Sums of the calls per account and window of one ``unit``, from the partial sums of the
+    micro-batches: exact however late a row comes, so no watermark has to drop any."""
+    schema = T.StructType([T.StructField("account_id", T.LongType()), T.StructField("window_start", T.TimestampType()), *[T.StructField(c, T.LongType()) for c in sums]])
+    table = lambda d: LeveledSums(fx.spark, f"{d}/sums", schema, ["account_id", "window_start"])
 
-    def partial(bdf: DataFrame, bid: int, d: str) -> None:
-        g = bdf.groupBy("account_id", window.alias("w")).agg(*[F.sum(e).cast("long").alias(c) for c, e in sums.items()])
-        g = g.select("account_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *sums)
-        g.write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
+    def add(bdf: DataFrame, bid: int, d: str) -> None:
+        calls = _calls(fx, bdf, bid, d)
+        if since is not None:
+            calls = calls.filter(F.col("created_at") > F.lit(since).cast("timestamp"))
+        table(d).add(calls.select("account_id", F.window("created_at", unit).start.alias("window_start"), *[e.cast("long").alias(c) for c, e in sums.items()]), bid)
 
-    path = run_available_now(calls, name, batch_fn=partial, run=fx.run)
-    schema = T.StructType([T.StructField("account_id", T.LongType()), T.StructField("window_start", T.TimestampType()),
-                           T.StructField("window_end", T.TimestampType()), *[T.StructField(c, T.LongType()) for c in sums]])
-    return read_sink(fx.spark, path, schema).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+    return table(run_available_now(_call_feed(fx), name, batch_fn=add, run=fx.run)).read()
 
 
 def stream_usage(fx: StreamFixtures, size: str = "1 day") -> DataFrame:
     """ST3: tumbling-window usage per account."""
-    w = _windowed(fx, fx.usage_events, "usage", F.window("created_at", size),
-                  {"requests": F.lit(1), "units": F.col("units"), "spent_micros": F.col("price_micros")})
+    w = _sums(fx, "usage", size, {"requests": F.lit(1), "units": F.col("units"), "spent_micros": F.col("price_micros")})
     return w.select("account_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), F.col("requests").cast("int").alias("requests"),
                     "units", "spent_micros")
 
 
+# ------------------------------------------------------------------------ ST9
+def stream_sliding_24h(fx: StreamFixtures) -> DataFrame:
+    """ST9: requests per account in sliding 24 h windows advanced hourly, last 30 days. The stream
+    keeps the sums of whole hours; an hour is repeated for its 24 windows only when read."""
+    hours = _sums(fx, "sliding", "1 hour", {"requests": F.lit(1)}, since=fx.p.as_of - timedelta(days=30))
+    w = hours.select("account_id", "window_start", "requests", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("_back"))
+    back = F.make_dt_interval(F.lit(0), F.col("_back"))
+    w = w.groupBy("account_id", (F.col("window_start") - back).alias("window_start")).agg(F.sum("requests").cast("int").alias("requests"))
+    return w.select("account_id", "window_start", (F.col("window_start") + F.expr("INTERVAL 24 HOURS")).alias("window_end"), "requests")
+
+
 # ------------------------------------------------------------------------ ST5
+HOLDER = T.StructType([T.StructField("holder", T.StringType()), T.StructField("credit", T.LongType()), T.StructField("debit", T.LongType())])
+
+
+def _balances_at(fx: StreamFixtures, d: str) -> KeyedTable:
+    return KeyedTable(fx.spark, f"{d}/holders", HOLDER, ["holder"])
+
+
+def _update_balances(fx: StreamFixtures) -> str:
+    """Brings what has arrived into the credits by customer and the debits by account; returns the
+    job's folder. Who owns a customer is looked up when balances are read, so an account that lands
+    after its payments and calls loses none."""
+    zero = F.lit(0).cast("long")
+    of_account = F.concat(F.lit("account:"), F.col("account_id").cast("string")).alias("holder")
+    credits = purchase_entries(fx.charges, fx.checkout_sessions, fx.invoices, fx.p.app_tag).filter("customer IS NOT NULL").select(
+        F.concat(F.lit("customer:"), F.col("customer")).alias("holder"), F.col("micros").alias("credit"), zero.alias("debit"))
+    sims = fx.simulated_spend.select(of_account, zero.alias("credit"), F.col("amount_micros").alias("debit"))
+    entries = credits.unionByName(sims).withColumn("_kind", F.lit("entry"))
+    feed = _call_feed(fx).unionByName(entries, allowMissingColumns=True)
+
+    def reduce(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("holder").agg(F.sum("credit").cast("long").alias("credit"), F.sum("debit").cast("long").alias("debit"))
+
+    def update(bdf: DataFrame, bid: int, d: str) -> None:
+        calls = _calls(fx, bdf.drop(*HOLDER.names), bid, d).select(of_account, zero.alias("credit"), F.col("price_micros").alias("debit"))
+        rows = bdf.filter("_kind = 'entry'").select(*HOLDER.names).unionByName(calls).filter("holder IS NOT NULL")
+        _balances_at(fx, d).merge(reduce(rows), bid, reduce)
+
+    return run_available_now(feed, "balance", batch_fn=update, run=fx.run)
+
+
 def stream_balance(fx: StreamFixtures) -> DataFrame:
     """ST5: live balance per account from credits and debits (final state = W5)."""
-    st = _static(fx)
-    a = st.accounts.select("account_id", F.col("stripe_customer_id").alias("customer")).filter(F.col("customer").isNotNull())
-    credits = (purchase_entries(fx.charges, fx.checkout_sessions, fx.invoices, fx.p.app_tag).join(a, "customer", "inner")
-               .select("account_id", F.col("micros").alias("credit"), F.lit(0).cast("long").alias("debit")))
-    debits = fx.usage_events.select("account_id", F.lit(0).cast("long").alias("credit"), F.col("price_micros").alias("debit"))
-    sims = fx.simulated_spend.select("account_id", F.lit(0).cast("long").alias("credit"), F.col("amount_micros").alias("debit"))
-    agg = credits.unionByName(debits).unionByName(sims).groupBy("account_id").agg(
-        F.sum("credit").cast("long").alias("purchased"), F.sum("debit").cast("long").alias("spent"))
-    path = run_available_now(agg, "balance", output_mode="update", run=fx.run)
-    final = latest_per_key(read_sink(fx.spark, path, agg.schema), ["account_id"])
-    w = st.accounts.select("account_id").join(final, "account_id", "left")
+    holders = _balances_at(fx, _update_balances(fx)).read()
+    a = _static(fx).accounts.select("account_id", "stripe_customer_id")
+    paid = holders.select(F.col("holder").alias("_payer"), F.col("credit").alias("purchased"))
+    spent = holders.select(F.col("holder").alias("_spender"), F.col("debit").alias("spent"))
+    w = (a.join(paid, F.concat(F.lit("customer:"), a.stripe_customer_id) == F.col("_payer"), "left")
+         .join(spent, F.concat(F.lit("account:"), a.account_id.cast("string")) == F.col("_spender"), "left"))
     p, s = F.coalesce("purchased", F.lit(0)).cast("long"), F.coalesce("spent", F.lit(0)).cast("long")
     return w.select("account_id", p.alias("purchased_micros"), s.alias("spent_micros"), (p - s).alias("balance_micros"))
 
 
-# ------------------------------------------------------------------------ ST9
-def stream_sliding_24h(fx: StreamFixtures) -> DataFrame:
-    """ST9: requests per account in sliding 24 h windows advanced hourly, last 30 days."""
-    recent = fx.usage_events.filter(F.col("created_at") > F.lit(fx.p.as_of - timedelta(days=30)).cast("timestamp"))
-    w = _windowed(fx, recent, "sliding", F.window("created_at", "24 hours", "1 hour"), {"requests": F.lit(1)})
-    return w.withColumn("requests", F.col("requests").cast("int"))
+def _rows_of(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """One key's rows of a micro-batch in order, times as microseconds. What a trigger takes in
+    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the source) bounds them."""
+    rows = pd.concat(list(frames), ignore_index=True)
+    rows["at"] = rows["at"].astype("datetime64[us]").astype("int64")
+    return rows.sort_values(order, kind="stable")
 
 
 # ------------------------------------------------------------------------ ST7
-def _watches(fx: Fixtures, accounts: DataFrame) -> DataFrame:
+def watches(fx: Fixtures, accounts: DataFrame) -> DataFrame:
     """Credit watches: a checkout started (minutes before its session was created) and
     manual top-ups asked for (at their creation)."""
     a = accounts.select("account_id", F.col("stripe_customer_id").alias("customer")).filter(F.col("customer").isNotNull())
@@ -147,48 +214,112 @@ def _watches(fx: Fixtures, accounts: DataFrame) -> DataFrame:
     return checkout.unionByName(topup)
 
 
-def _credits(fx: Fixtures, accounts: DataFrame) -> DataFrame:
+def credits(fx: Fixtures, accounts: DataFrame) -> DataFrame:
+    """Credits above zero (``account_id``, ``credit_at``)."""
     a = accounts.select("account_id", F.col("stripe_customer_id").alias("customer")).filter(F.col("customer").isNotNull())
     return (purchase_entries(fx.charges, fx.checkout_sessions, fx.invoices, fx.p.app_tag).join(a, "customer", "inner")
-            .filter(F.col("micros") > 0)
-            .select(F.col("account_id").alias("c_account_id"), F.col("id").alias("credit_id"),
-                    F.timestamp_seconds("created").alias("credit_at")))
-
-
-def stream_credit_watch(fx: StreamFixtures) -> DataFrame:
+            .filter(F.col("micros") > 0).select("account_id", F.timestamp_seconds("created").alias("credit_at")))
+
+
+WATCH_SCHEMA = "watch_id string, account_id long, requested_at timestamp, landed_at timestamp, status string"
+MINUTE = 60_000_000
+
+
+class CreditWatch(StatefulProcessor):
+    """One account's open watches and the credits a watch may still ask for. A watch lands with the
+    first credit after it; its timer, set at its time-out, ends it if none has come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "watch_id string, requested long, deadline long")
+        self._credits = handle.getListState("credits", "at long")
+
+    def _state(self) -> tuple[list[tuple], list[int]]:
+        return [tuple(r) for r in self._open.get()] if self._open.exists() else [], [r[0] for r in self._credits.get()] if self._credits.exists() else []
+
+    def _keep(self, state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        elif state.exists():
+            state.clear()
+
+    @staticmethod
+    def _out(key, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([(w, key[0], r, c, s) for w, r, c, s in rows], columns=["watch_id", "account_id", "requested_at", "landed_at", "status"])
+        for c in ("requested_at", "landed_at"):
+            out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        waiting, seen = self._state()
+        new = _rows_of(rows, ["at"])
+        asked = new[new["timeout_min"].notna()]
+        fresh = [(w, t, t + int(m) * MINUTE) for w, t, m in zip(asked["watch_id"], asked["at"].tolist(), asked["timeout_min"], strict=True)]
+        seen = sorted(seen + new.loc[new["timeout_min"].isna(), "at"].tolist())
+        still, landed = [], []
+        for w, requested, deadline in [*waiting, *fresh]:
+            k = bisect_right(seen, requested)
+            if k < len(seen) and seen[k] <= deadline:
+                landed.append((w, requested, seen[k], "landed"))
+            else:
+                still.append((w, requested, deadline))
+        for _, _, deadline in fresh:
+            self._handle.registerTimer(-(-deadline // 1000) + 1)
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000  # no watch before this arrives any more
+        low = min([oldest, *(r for _, r, _ in still)])
+        self._keep(self._open, still)
+        self._keep(self._credits, [(c,) for c in seen[bisect_left(seen, low):]])
+        yield self._out(key, landed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting, seen = self._state()
+        over = [x for x in waiting if x[2] < now]
+        self._keep(self._open, [x for x in waiting if x[2] >= now])
+        self._keep(self._credits, [(c,) for c in seen if c >= timerValues.getCurrentWatermarkInMs() * 1000])
+        yield self._out(key, [(w, r, None, "timed_out") for w, r, _ in over])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_credit_watch(asked: DataFrame, paid: DataFrame, run: str | None = None) -> DataFrame:
     """ST7: after a checkout or top-up request, ``landed`` when a credit above zero arrives within the
-    time-out (10 min checkout, 7 min top-up), else ``timed_out``. A stream-stream interval
-    join with watermarks on both sides bounds the join state by the longest time-out."""
-    st = _static(fx)
-    longest = max(CHECKOUT_WATCH_MINUTES, TOPUP_WATCH_MINUTES)
-    w = _watches(fx, st.accounts).withWatermark("requested_at", WATERMARK)
-    c = _credits(fx, st.accounts).withWatermark("credit_at", WATERMARK)
-    cond = ((w["account_id"] == c["c_account_id"]) & (c["credit_at"] > w["requested_at"])
-            & (c["credit_at"] <= w["requested_at"] + F.expr(f"INTERVAL {longest} MINUTES")))
-    matches = w.join(c, cond, "leftOuter").select("watch_id", "requested_at", "timeout_min", "credit_at")
-    path = run_available_now(matches, "credit_watch", run=fx.run)
-    got = read_sink(fx.spark, path, matches.schema)
-    in_time = got.filter(F.col("credit_at").isNotNull()
-                         & (F.col("credit_at") <= F.col("requested_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("timeout_min"))))
-    landed = in_time.groupBy("watch_id").agg(F.min("credit_at").alias("landed_at"))
-    all_w = _watches(st, st.accounts)
-    return all_w.join(landed, "watch_id", "left").select(
-        "watch_id", "account_id", "requested_at", "landed_at",
-        F.when(F.col("landed_at").isNotNull(), "landed").otherwise("timed_out").alias("status"))
+    time-out (10 min checkout, 7 min top-up), ``timed_out`` once the stream's time (the newest row
+    less the sync lag) is past it. ``asked`` and ``paid`` are streams of ``watches`` and ``credits``;
+    a watch that is neither yet has no row. Rows later than the sync lag are too late to count."""
+    rows = asked.select("account_id", F.col("requested_at").alias("at"), "watch_id", "timeout_min").unionByName(
+        paid.select("account_id", F.col("credit_at").alias("at")), allowMissingColumns=True)
+    with state_store(rows.sparkSession):
+        out = rows.withWatermark("at", WATERMARK).groupBy("account_id").transformWithStateInPandas(
+            CreditWatch(), outputStructType=WATCH_SCHEMA, outputMode="append", timeMode="eventTime")
+        d = run_available_now(out, "credit_watch", run=run)
+    return read_sink(rows.sparkSession, f"{d}/data", out.schema).drop("_batch")
 
 
 # ------------------------------------------------------------------------ ST6
-def stream_topups(fx: StreamFixtures, tick: timedelta = timedelta(minutes=5)) -> DataFrame:
-    """ST6: on every trigger, scheduled top-up commands for the accounts under threshold, at
-    most one per account per cooldown window. Trigger n judges the accounts at ``as_of`` plus
-    n ticks; accounts commanded within the cooldown before that instant are left out."""
-    st = _static(fx)
+def clock(spark: SparkSession, start: datetime, tick: timedelta = timedelta(minutes=5)) -> DataFrame:
+    """A stream of the scheduler's ticks, which come without any arrival: one row (``at``) a
+    trigger, ``tick`` apart from ``start``. A production job sets ``processingTime`` to the tick."""
+    ms = AD._epoch_ms(start)
+    s = (spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1)
+         .option("startTimestamp", ms).option("advanceMillisPerBatch", int(tick.total_seconds() * 1000)).load())
+    return s.select(F.col("timestamp").alias("at"))
+
+
+def stream_topups(fx: StreamFixtures, ticks: DataFrame, wallet: Callable[[], DataFrame]) -> DataFrame:
+    """ST6: on every tick, scheduled top-up commands for the accounts under threshold, at most one
+    per account per cooldown window. The tick's own time judges; accounts, payments and top-ups are
+    read as they are at the tick, and ``wallet`` gives the balances of that moment (ST5 keeps them
+    up). Accounts commanded within the cooldown before it are left out."""
     spark = fx.spark
-    ticks = fx.raw("events").select("event_id")  # any arrival drives a run
 
     def batch_fn(bdf: DataFrame, bid: int, d: str) -> None:
-        at = fx.p.as_of + bid * tick
-        cands = TU.topup_scheduled(st.accounts, st.balances, st.charges, st.topups, at, fx.p.free_mode)
+        at = bdf.agg(F.max("at")).first()[0]
+        if at is None:
+            return
+        st = _static(fx)
+        cands = TU.topup_scheduled(st.accounts, wallet(), st.charges, st.topups, at, fx.p.free_mode)
         cmds = TU.topup_commands(cands, st.promotion_codes, fx.p.promotion_code, fx.p.app_tag, fx.p.free_mode, "schedule", at)
         written = read_if_written(spark, f"{d}/data")
         if written is not None:
@@ -197,82 +328,65 @@ def stream_topups(fx: StreamFixtures, tick: timedelta = timedelta(minutes=5)) ->
             cmds = cmds.join(recent.select("account_id"), "account_id", "left_anti")
         cmds.withColumn("commanded_at", F.lit(at).cast("timestamp")).write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
 
-    path = run_available_now(ticks, "topups", batch_fn=batch_fn, run=fx.run)
-    return read_sink(spark, path, ticks.schema)
+    d = run_available_now(ticks, "topups", batch_fn=batch_fn, run=fx.run)
+    return read_sink(spark, f"{d}/data", ticks.schema)
 
 
 # ------------------------------------------------------------------------ ST4
-STATE_SCHEMA = "balance long, recorded array<long>"
-DAY_MICROS = 24 * 3600 * 1_000_000
-
-
-def _admission_state_fn(limit: int):
-    """The fold of one account's rows of a micro-batch. The state is the balance and the last
-    ``limit`` recorded call times (microseconds). The rows come in several Arrow batches in no
-    order, so they are gathered and sorted first: a micro-batch of one account (ids, times and
-    amounts, no texts) has to fit into its task."""
-
-    def fn(key, pdfs, state):
-        bal, recorded = state.get if state.exists else (None, [])
-        recorded = list(recorded)
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["kind", "at", "request_id"], ascending=[False, True, True])
+class Admission(StatefulProcessor):
+    """P4's fold of one account, from one micro-batch to the next: its balance and the times of
+    its recorded calls, which a timer forgets 24 h after the last of them."""
+
+    def __init__(self, limit: int):
+        self._limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._balance = handle.getValueState("balance", "micros long")
+        self._calls = handle.getListState("calls", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _rows_of((r.assign(_rank=r["kind"].map(AD.KIND_RANK)) for r in rows), ["at", "_rank", "request_id"])
+        fold = AD.AccountFold(self._limit, self._balance.get()[0] if self._balance.exists() else 0,
+                              [r[0] for r in self._calls.get()] if self._calls.exists() else ())
         out = []
-        for r in rows.itertuples(index=False):
-            if bal is None:
-                bal = int(r.balance_micros)
-            t = r.at.value // 1000
-            if r.kind == "prior":
-                recorded = (recorded + [t])[-limit:]
-                continue
-            used = sum(1 for s in recorded if s > t - DAY_MICROS)
-            q = int(r.quote_micros)
-            status, charged, counted = 502, 0, False
-            if used >= limit:
-                status = 429
-            elif bal < q:
-                status = 402
-            elif r.outcome == "ok":
-                status, charged, counted = 200, q, True
-            elif r.outcome == "invalid":
-                counted = True
-            bal -= charged
-            if counted:
-                recorded = (recorded + [t])[-limit:]
-            out.append((r.request_id, r.account_id, r.at, status, charged, counted, bal))
-        state.update((bal if bal is not None else 0, recorded))
-        yield pd.DataFrame(out, columns=["request_id", "account_id", "at", "status_code", "charged_micros", "counted",
-                                         "balance_after_micros"])
-
-    return fn
-
-
-def stream_admission(rows: DataFrame, slot_hours: int = 12, limit: int = DAILY_REQUEST_LIMIT) -> DataFrame:
-    """ST4: P4 on a stream of attempts: per-account state holds the balance and the last
-    ``limit`` recorded call times (bounded, whatever the account's volume). ``rows`` are
-    P4's fold input (attempts and prior calls). Attempts reach an admission service in time
-    order, so the simulation lands them slot by slot (``slot_hours`` of event time per
-    arrival) and runs one micro-batch per arrival on the same checkpoint."""
-    spark = rows.sparkSession
-    d = stream_dir(spark, "admission")
-    slot = F.floor(F.unix_seconds("at") / (slot_hours * 3600)).cast("long")
-    # The fold input is computed once and written by slot; each arrival then reads only
-    # its own slot's folder (partition pruning), so nothing upstream runs per slot.
-    rows.withColumn("_slot", slot).write.partitionBy("_slot").parquet(f"{d}/staged")
-    staged = spark.read.parquet(f"{d}/staged")
-    schema = rows.schema
-    slots = sorted(r[0] for r in staged.select("_slot").distinct().collect())  # a few time slots, not data
-
-    def write(bdf: DataFrame, bid: int) -> None:
-        bdf.write.mode("overwrite").parquet(f"{d}/data/_batch={bid}")
-
-    out = None
-    for v in slots:
-        staged.filter(F.col("_slot") == v).drop("_slot").write.mode("append").parquet(f"{d}/in")
-        if out is None:
-            src = spark.readStream.schema(schema).parquet(f"{d}/in")
-            out = src.groupBy("account_id").applyInPandasWithState(
-                _admission_state_fn(limit), AD.REPLAY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-        q = (out.writeStream.outputMode("append").foreachBatch(write)
-             .option("checkpointLocation", f"{d}/checkpoint").trigger(availableNow=True).start())
-        q.awaitTermination()
-    return read_sink(spark, f"{d}/data", spark.createDataFrame([], AD.REPLAY_SCHEMA).schema).drop("_batch")
+        for req, kind, t, micros, outcome in zip(new["request_id"], new["kind"], new["at"].tolist(), new["micros"].tolist(), new["outcome"], strict=True):
+            answer = fold.step(kind, t, int(micros), outcome)
+            if answer is not None:
+                out.append((int(req), key[0], pd.Timestamp(t, unit="us"), *answer, fold.balance))
+        self._balance.update((fold.balance,))
+        if fold.recorded:
+            self._calls.put([(t,) for t in fold.recorded])
+            self._handle.registerTimer((fold.recorded[-1] + AD.DAY_MICROS) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in AD.REPLAY_SCHEMA.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        since = timerValues.getCurrentWatermarkInMs() * 1000 - AD.DAY_MICROS
+        kept = [(r[0],) for r in self._calls.get() if r[0] > since] if self._calls.exists() else []
+        if kept:
+            self._calls.put(kept)
+        elif self._calls.exists():
+            self._calls.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in AD.REPLAY_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_admission(rows: DataFrame, limit: int = DAILY_REQUEST_LIMIT, run: str | None = None) -> DataFrame:
+    """ST4: P4 on a stream of FOLD_ROWS (attempts, calls made before, and credits, which may land
+    at any time). Attempts are answered in the micro-batch they arrive in, in time order; the
+    state is the balance and the last ``limit`` recorded times, and the latter expire. A row may
+    come a day late; one that is later has missed every window it could count in."""
+    with state_store(rows.sparkSession):
+        out = rows.withWatermark("at", "24 hours").groupBy("account_id").transformWithStateInPandas(
+            Admission(limit), outputStructType=AD.REPLAY_SCHEMA, outputMode="append", timeMode="eventTime")
+        d = run_available_now(out, "admission", run=run)
+    return read_sink(rows.sparkSession, f"{d}/data", out.schema).drop("_batch")
+
+
+def staged_stream(rows: DataFrame, name: str, run: str | None = None) -> DataFrame:
+    """``rows`` of a batch plan written once and opened as a file stream."""
+    path = f"{stream_dir(rows.sparkSession, name, run)}/in"
+    rows.write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)

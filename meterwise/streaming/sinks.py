@@ -12,14 +12,14 @@ Nothing is collected to the driver.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from meterwise.session import ensure_checkpoint_dir
-from meterwise.sources.tables import table_path, table_schema, utc_projection
+from meterwise.sources.tables import table_glob, table_path, table_schema, utc_projection
 
 
 def stream_dir(spark: SparkSession, name: str, run: str | None = None) -> str:
@@ -30,16 +30,15 @@ def stream_dir(spark: SparkSession, name: str, run: str | None = None) -> str:
 
 
 def read_stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A file stream over ``<folder>/<name>.parquet`` and the files ``<name>_*.parquet`` that
-    land beside it later, with the zone-less timestamps cast once, as in batch reads."""
+    """A file stream over a table and the files that land beside it later (the same files that a
+    batch read takes), with the zone-less timestamps cast once, as in batch reads."""
     schema = table_schema(spark, table_path(folder, name))
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{{{name},{name}_*}}.parquet").parquet(folder)
-    return s.selectExpr(*utc_projection(schema))
+    return spark.readStream.schema(schema).parquet(table_glob(folder, name)).selectExpr(*utc_projection(schema))
 
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", batch_fn=None, run: str | None = None) -> str:
     """Run ``stream`` over everything available now into ``<dir>/data/_batch=<id>``; returns
-    the data path. ``batch_fn(df, batch_id, dir)`` replaces the default writer."""
+    the job's folder. ``batch_fn(df, batch_id, dir)`` replaces the default writer."""
     spark = stream.sparkSession
     d = stream_dir(spark, name, run)
 
@@ -52,7 +51,7 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(write)
          .option("checkpointLocation", f"{d}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return f"{d}/data"
+    return d
 
 
 def read_sink(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -74,8 +73,14 @@ def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def latest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Final state of an update-mode sink: the row of the newest batch per key."""
-    others = [c for c in rows.columns if c not in keys and c != "_batch"]
-    best = rows.groupBy(*keys).agg(F.max(F.struct("_batch", *others)).alias("_v"))
-    return best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that jobs with state of several kinds and timers need (it keeps the state
+    on the executors' disks and its changes in the checkpoint)."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)

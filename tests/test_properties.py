@@ -38,41 +38,42 @@ def test_replay_never_admits_more_than_limit_in_24h(fx):
 
 
 def _brute_force_replay(rows, limit=2):
-    out, by = [], {}
-    for r in rows:
-        by.setdefault(r["account_id"], []).append(r)
-    for acc, rs in by.items():
-        prior = sorted(r["at"] for r in rs if r["kind"] == "prior")[-limit:]
-        bal = rs[0]["balance_micros"]
-        rec = list(prior)
-        for r in sorted((r for r in rs if r["kind"] == "attempt"), key=lambda r: (r["at"], r["request_id"])):
-            t = r["at"]
-            used = len([s for s in rec if s > t - timedelta(hours=24)])
-            if used >= limit:
-                out.append((r["request_id"], 429))
-            elif bal < r["quote_micros"]:
-                out.append((r["request_id"], 402))
-            elif r["outcome"] == "ok":
-                bal -= r["quote_micros"]
-                rec.append(t)
-                out.append((r["request_id"], 200))
-            elif r["outcome"] == "invalid":
-                rec.append(t)
-                out.append((r["request_id"], 502))
-            else:
-                out.append((r["request_id"], 502))
+    """(request_id, status, balance after) of every attempt, from the fold's rows one by one."""
+    rank = {"prior": 0, "credit": 1, "attempt": 2}
+    out, state = [], {}
+    for r in sorted(rows, key=lambda r: (r["at"], rank[r["kind"]], r["request_id"] or 0)):
+        s = state.setdefault(r["account_id"], {"bal": 0, "rec": []})
+        t, status = r["at"], None
+        if r["kind"] == "prior":
+            s["rec"].append(t)
+        elif r["kind"] == "credit":
+            s["bal"] += r["micros"]
+        elif len([x for x in s["rec"] if x > t - timedelta(hours=24)]) >= limit:
+            status = 429
+        elif s["bal"] < r["micros"]:
+            status = 402
+        elif r["outcome"] == "ok":
+            s["bal"], status = s["bal"] - r["micros"], 200
+            s["rec"].append(t)
+        else:
+            status = 502
+            if r["outcome"] == "invalid":
+                s["rec"].append(t)
+        if status:
+            out.append((r["request_id"], status, s["bal"]))
     return sorted(out)
 
 
+def _answers(df):
+    return sorted((r.request_id, r.status_code, r.balance_after_micros) for r in df.collect())
+
+
 def test_replay_matches_brute_force_and_stream(fx):
-    rejects = QM._ingest(fx)[1]
-    rows = AD.replay_input(QM._admission(fx), AD.answer_outcomes(fx.score_answers, rejects), fx.moderation_requests,
-                           fx.usage_events, fx.balances, fx.p.as_of)
+    admitted, outcomes, requests, snap = QM.replay_parts(fx)
+    rows = AD.replay_input(admitted, outcomes, requests, fx.usage_events, snap, fx.p.as_of)
     want = _brute_force_replay([r.asDict() for r in rows.collect()])
-    got = sorted((r.request_id, r.status_code) for r in AD.replay_fold(rows).collect())
-    assert got == want
-    stream = sorted((r.request_id, r.status_code) for r in REGISTRY["stream_admission"].build(fx).collect())
-    assert stream == want
+    assert want and _answers(AD.replay_fold(rows)) == want
+    assert _answers(REGISTRY["stream_admission"].build(fx)) == want
 
 
 def test_backfills_are_idempotent(fx):

@@ -83,33 +83,46 @@ def test_spend_per_account_matches_brute_force(spark, usage, calls):
     assert got == want
 
 
-def test_replay_fold_carries_a_hot_account_across_arrow_batches(spark):
-    from test_properties import _brute_force_replay
-
-    from meterwise.operators import admission as AD
-
-    rnd = random.Random(11)
+def fold_rows(spark, seed=11, hot=2000, days=60):
+    """A hot account that pauses now and then, and others that run dry, get credits, and go on."""
+    rnd = random.Random(seed)
     base = 1_706_659_200 * 1_000_000  # 2024-01-31 UTC
     rows, rid = [], 0
-    for acc, n in [(HOT, 2000)] + [(a, 50) for a in range(2, 42)]:
-        bal = 5_000_000 if acc == HOT else rnd.randrange(0, 400_000)
-        for _ in range(2):
-            rows.append((None, acc, base - rnd.randrange(DAY_US), 0, "none", "prior", bal))
+    for acc, n in [(HOT, hot)] + [(a, 50) for a in range(2, 42)]:
+        rows.append(("credit", None, acc, base, 5_000_000 if acc == HOT else rnd.randrange(0, 400_000), None))
+        rows += [("prior", None, acc, base - rnd.randrange(DAY_US), 0, None) for _ in range(2)]
+        rows += [("credit", None, acc, base + rnd.randrange(days * DAY_US), rnd.randrange(100_000), None) for _ in range(3)]
         for _ in range(n):
             rid += 1
+            day = rnd.choice([d for d in range(days) if d % 7 < 4])  # three days of each week are quiet
             outcome = rnd.choices(["ok", "invalid", "upstream"], [70, 15, 15])[0]
-            rows.append((rid, acc, base + rnd.randrange(20 * DAY_US), rnd.randrange(1000, 50_000), outcome, "attempt", bal))
-    df = spark.createDataFrame(rows, "request_id long, account_id long, us long, quote_micros long, outcome string, "
-                                     "kind string, balance_micros long")
-    df = df.select("request_id", "account_id", F.timestamp_micros("us").alias("at"), "quote_micros", "outcome", "kind",
-                   "balance_micros")
-    want = _brute_force_replay([r.asDict() for r in df.collect()])
+            rows.append(("attempt", rid, acc, base + day * DAY_US + rnd.randrange(DAY_US), rnd.randrange(1000, 90_000), outcome))
+    df = spark.createDataFrame(rows, "kind string, request_id long, account_id long, us long, micros long, outcome string")
+    return df.select("kind", "request_id", "account_id", F.timestamp_micros("us").alias("at"), "micros", "outcome")
+
+
+@pytest.mark.parametrize("limit", [1, 2, 5])
+def test_replay_fold_carries_a_hot_account_across_segments_and_arrow_batches(spark, limit):
+    from test_properties import _answers, _brute_force_replay
+
+    from meterwise.operators import admission as AD
+
+    df = fold_rows(spark, seed=limit)
+    want = _brute_force_replay([r.asDict() for r in df.collect()], limit)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key)
-    spark.conf.set(key, "50")  # the hot account spans about 40 batches of one task
+    spark.conf.set(key, "50")  # the hot account spans about 40 batches
     try:
-        got = sorted((r.request_id, r.status_code) for r in AD.replay_fold(df).collect())
+        got = _answers(AD.replay_fold(df, limit))
     finally:
         spark.conf.set(key, old)
     assert got == want
-    assert {s for _, s in want} >= {200, 402, 429, 502}
+    assert {s for _, s, _ in want} >= {200, 402, 429, 502}
+
+
+def test_a_hot_account_is_folded_in_several_tasks(spark):
+    from meterwise.operators import admission as AD
+
+    segs = AD.segmented(fold_rows(spark)).filter(F.col("account_id") == HOT)
+    sizes = {r.seg: r["count"] for r in segs.groupBy("seg").count().collect()}
+    assert len(sizes) >= 8 and max(sizes.values()) < 400
