@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import calendar
 from collections import deque
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterwise.config import DAILY_REQUEST_LIMIT, DEFAULT_RETRY_AFTER_S, MICROS_PER_CENT, PACK_CENTS
+from meterwise.operators.moderation import Scorer, ingest_scores, lexicon_scorer, reasoning_estimate, scored_texts, verdicts
 from meterwise.operators.pricing import active_unit_price, cost_micros_of, price_micros_of
 from meterwise.operators.usage import window_counts
+from meterwise.sources.lifecycle import ledger_append
 from meterwise.sources.tables import materialized
 
 BEARER = r"(?i)^Bearer\s+(\S+)$"
@@ -314,3 +317,18 @@ def metering(admitted: DataFrame, answers: DataFrame, rejects: DataFrame, reason
     rows = cost_micros_of(rows, model_costs, model, out="cost_micros")
     return rows.select("id", "account_id", "api_key_id", "service", "units", "model", "input_tokens", "cached_input_tokens",
                        "output_tokens", "reasoning_tokens", "price_micros", "cost_micros", "status", "latency_ms", "created_at")
+
+
+def text_to_ledger(requests: DataFrame, validation: DataFrame, api_keys: DataFrame, ledger: DataFrame, balances: DataFrame, service_prices: DataFrame,
+                   model_costs: DataFrame, service: str, model: str, as_of: datetime, scorer: Callable[[], Scorer] = lexicon_scorer) -> tuple[DataFrame, DataFrame]:
+    """The path of a call from its text to the ledger: P1 and P2 admit, the items of admitted requests
+    only are packed (M2) and scored (M3), answers are checked (M4) and judged (M5), and what is
+    due is metered (M9) and appended to the ledger by request id (S4). Returns (verdicts, new rows).
+    ``requests``: request_id, authorization, text, at; ``validation``: F10 of them."""
+    admitted = materialized(admission(requests, validation, key_auth(requests, api_keys), ledger, balances, service_prices, service, as_of)
+                            .filter(F.col("status_code") == 200), "admitted")
+    valid = validation.join(admitted.select("request_id"), "request_id", "left_semi")
+    answers = materialized(scored_texts(requests, valid, scorer), "answers")
+    results, rejects = ingest_scores(answers, valid)
+    rows = metering(admitted, answers, rejects, reasoning_estimate(answers), requests, service_prices, model_costs, service, model)
+    return verdicts(results), ledger_append(ledger, rows)

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.functions.scalars import json_text
+from meterwise.operators.wallet import purchase_entries
+
 
 def dup_keys(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Q1: repeated primary / unique keys; NULL keys may repeat (as in SQL UNIQUE)."""
@@ -53,8 +56,20 @@ def set_null_refs(usage: DataFrame, api_keys: DataFrame) -> DataFrame:
     return j.select("id", "account_id", F.when(F.col("_k"), F.col("api_key_id")).alias("api_key_id"), "created_at")
 
 
-def no_double_count(purchase_entries: DataFrame) -> DataFrame:
-    """Q5: an order counted more than once among the credit sources (a paid order must not
-    also count as free)."""
-    return (purchase_entries.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("source").alias("sources"))
-            .filter(F.col("n") > 1).select("id", "n", F.array_join(F.sort_array("sources"), ",").alias("sources")))
+def order_entries(charges: DataFrame, sessions: DataFrame, invoices: DataFrame, app_tag: str) -> DataFrame:
+    """The wallet's credits with the order each one pays for: the payment reference that the objects
+    of one order share in their metadata (``order``), else the object itself."""
+    order = F.coalesce(json_text("metadata", "order"), F.col("id")).alias("order_key")
+    refs = [df.select("id", order) for df in (charges, sessions, invoices)]
+    refs = refs[0].unionByName(refs[1]).unionByName(refs[2])
+    return purchase_entries(charges, sessions, invoices, app_tag).join(refs, "id")
+
+
+def no_double_count(entries: DataFrame) -> DataFrame:
+    """Q5: orders that more than one credit counts (a paid order must not also count as free):
+    how many credits, from which sources, and by how much they overstate the order (all but
+    the largest of them)."""
+    g = entries.groupBy("order_key").agg(F.count(F.lit(1)).alias("n"), F.collect_set("source").alias("sources"),
+                                         F.sum("micros").alias("total"), F.max("micros").alias("largest"))
+    return g.filter(F.col("n") > 1).select("order_key", "n", F.array_join(F.sort_array("sources"), ",").alias("sources"),
+                                           (F.col("total") - F.col("largest")).cast("long").alias("extra_micros"))

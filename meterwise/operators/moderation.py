@@ -122,40 +122,89 @@ LEXICON = {
 }
 
 
-def lexicon_scorer(batch: pd.DataFrame) -> pd.DataFrame:
-    """Default scorer: 0.3 per lexicon hit per category, capped at 1 (deterministic, offline)."""
-    text = batch["item"].fillna("").str.lower()
-    out = batch[["request_id", "idx"]].copy()
-    for cat in CATEGORIES:
-        hits = sum(text.str.count(w) for w in LEXICON[cat])
-        out[cat] = (hits * 0.3).clip(upper=1.0).astype("float64")
-    return out
+#: What a scorer is: made once in every worker, then called with the items of one M2 batch and its
+#: token budget; it returns the scores of each item in category order, and the tokens it used.
+Scorer = Callable[[list[str], int], tuple[list[list[float]], int, int]]
 
 
-def score_items(items: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] = lexicon_scorer) -> DataFrame:
-    """M3: score every item in every category with a pluggable batch scorer (Arrow batches)."""
-    schema = "request_id long, idx int, " + ", ".join(f"{c} double" for c in CATEGORIES)
+def lexicon_scorer() -> Scorer:
+    """Default scorer: 0.3 per lexicon hit per category, capped at 1 (deterministic, offline). It
+    counts four characters as a token and 24 tokens an answer, within the budget."""
+    words = [LEXICON[c] for c in CATEGORIES]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield scorer(b)
+    def score(items: list[str], max_tokens: int) -> tuple[list[list[float]], int, int]:
+        low = [x.lower() for x in items]
+        scores = [[min(sum(x.count(w) for w in ws) * 0.3, 1.0) for ws in words] for x in low]
+        return scores, sum(len(x) for x in items) // 4, min(max_tokens, 24 * len(items))
 
-    return items.select("request_id", "idx", "item").mapInPandas(run, schema)
+    return score
+
+
+SCORED = ("request_id long, batch int, idx int, " + ", ".join(f"{c} double" for c in CATEGORIES)
+          + ", n_items int, prompt_tokens int, completion_tokens int, failure string")
+
+
+def score_batches(batches: DataFrame, scorer: Callable[[], Scorer] = lexicon_scorer, size: int = MAX_ITEMS_PER_REQUEST) -> DataFrame:
+    """M3: the items of M2's batches (``request_batches``) scored by a pluggable scorer, one call a
+    batch with the batch's token budget. A row an item; a batch whose call fails (or answers with another
+    number of scores) has one row without ``idx`` that says why in ``failure``, and costs no other
+    batch its answer. Tokens are the batch's, on its first row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = scorer()
+        names = [f.split()[0] for f in SCORED.split(", ")]
+        for frame in frames:
+            rows = []
+            for req, batch, budget, items in zip(frame["request_id"].tolist(), frame["batch"].tolist(), frame["max_tokens"].tolist(), frame["items"], strict=True):
+                items = list(items)
+                try:
+                    scores, used_in, used_out = score(items, budget)
+                    if len(scores) != len(items):
+                        raise ValueError(f"{len(scores)} scores for {len(items)} items")
+                except Exception as failure:  # noqa: BLE001  any failure is this batch's alone
+                    rows.append((req, batch, None, *[None] * len(CATEGORIES), len(items), None, None, f"{type(failure).__name__}: {failure}"[:200]))
+                    continue
+                rows += [(req, batch, batch * size + k, *s, len(items), used_in if k == 0 else 0, used_out if k == 0 else 0, None) for k, s in enumerate(scores)]
+            out = pd.DataFrame(rows, columns=names)
+            for c in ("idx", "n_items", "prompt_tokens", "completion_tokens"):
+                out[c] = out[c].astype("Int32")
+            for c in CATEGORIES:
+                out[c] = out[c].astype("float64")
+            yield out
+
+    return batches.select("request_id", "batch", "max_tokens", "items").mapInPandas(run, SCORED)
+
+
+def score_items(items: DataFrame, scorer: Callable[[], Scorer] = lexicon_scorer) -> DataFrame:
+    """M3 as a table: every item's score in every category (none for the items of a failed batch)."""
+    return score_batches(request_batches(items), scorer).filter("failure IS NULL").select("request_id", "idx", *CATEGORIES)
 
 
 def score_answers_of(scored: DataFrame) -> DataFrame:
-    """The scorer's output as raw answers, one JSON text per request in item order: what M4
-    checks. A request's items are bounded by F10."""
+    """The scorer's output as raw answers, one JSON text per request in item order: what M4 checks,
+    with the tokens of its batches. A request any batch of which failed has no answer
+    (``upstream_status`` 500). A request's items are bounded by F10."""
     entry = F.struct(F.col("idx").alias("index"), F.struct(*CATEGORIES).alias("scores"), F.lit("").alias("reason"))
-    g = scored.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("idx", entry.alias("e")))).alias("_es"))
-    return g.select("request_id", F.to_json(F.struct(F.col("_es.e").alias("results"))).alias("answer"), F.lit(200).alias("upstream_status"))
+    done = F.col("failure").isNull()
+    total = lambda c: F.sum(c).cast("int").alias(c)
+    g = scored.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.when(done, F.struct("idx", entry.alias("e"))))).alias("_es"), F.max(F.when(~done, F.lit(500))).alias("_failed"),
+        total("prompt_tokens"), total("completion_tokens"))
+    return g.select("request_id", F.when(F.col("_failed").isNull(), F.to_json(F.struct(F.col("_es.e").alias("results")))).alias("answer"),
+                    F.coalesce("_failed", F.lit(200)).alias("upstream_status"), "prompt_tokens", F.lit(0).alias("cached_tokens"), "completion_tokens",
+                    F.lit(0).alias("reported_reasoning_tokens"), F.lit(0).alias("reasoning_chars"))
+
+
+def scored_texts(requests: DataFrame, valid: DataFrame, scorer: Callable[[], Scorer] = lexicon_scorer) -> DataFrame:
+    """F9, M2 and M3 of the requests in ``valid``: raw answers by request."""
+    items = request_items(requests).join(valid.select("request_id"), "request_id", "left_semi")
+    return score_answers_of(score_batches(request_batches(items), scorer))
 
 
-def text_verdicts(requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] = lexicon_scorer) -> DataFrame:
-    """F10, F9, M3, M4 and M5 as one plan: the verdicts of every valid request's texts."""
+def text_verdicts(requests: DataFrame, scorer: Callable[[], Scorer] = lexicon_scorer) -> DataFrame:
+    """F10, F9, M2, M3, M4 and M5 as one plan: the verdicts of every valid request's texts."""
     valid = request_validation(requests).filter(F.col("validation") == "ok")
-    items = request_items(requests).join(valid.select("request_id"), "request_id", "left_semi")
-    results, _ = ingest_scores(score_answers_of(score_items(items, scorer)), valid)
+    results, _ = ingest_scores(scored_texts(requests, valid, scorer), valid)
     return verdicts(results)
 
 

@@ -133,34 +133,32 @@ def margin(usage: DataFrame) -> DataFrame:
     return g.withColumn("margin_pct", F.when(rev > 0, (rev - cost).cast("double") / rev.cast("double") * 100.0))
 
 
-def usage_series(usage: DataFrame) -> DataFrame:
-    """Long series from the ledger: (account_id, series_id, unit, value). Tokens carry no unit.
+SERIES = (("spend", "micros", "price_micros"), ("items", "units", "units"), ("latency", "ms", "latency_ms"), ("tokens", None, "tokens"))
+
+
+def ledger_series(usage: DataFrame) -> DataFrame:
+    """A8's series of the ledger (account_id, series_id, unit, total). The ledger is summed per account
+    first; only the four sums of an account are then turned into rows. Tokens carry no unit.
     Values are whole numbers (money in micros), so totals are exact in any order."""
-    return usage.select(
-        "account_id",
-        F.explode(F.array(
-            F.struct(F.lit("spend").alias("series_id"), F.lit("micros").alias("unit"), F.col("price_micros").cast("long").alias("value")),
-            F.struct(F.lit("items").alias("series_id"), F.lit("units").alias("unit"), F.col("units").cast("long").alias("value")),
-            F.struct(F.lit("latency").alias("series_id"), F.lit("ms").alias("unit"), F.col("latency_ms").cast("long").alias("value")),
-            F.struct(F.lit("tokens").alias("series_id"), F.lit(None).cast("string").alias("unit"),
-                     (F.col("input_tokens") + F.col("output_tokens")).cast("long").alias("value")),
-        )).alias("s"),
-    ).select("account_id", "s.*")
-
-
-def series_totals(series: DataFrame) -> DataFrame:
-    """Totals per unit, never across units (no unit, NULL or empty, is one group), with
-    the number of series in each unit group and a flag when an account mixes units."""
-    per_unit = series_sums(series).groupBy("account_id", "unit").agg(
-        F.sum("total").alias("total"), F.count(F.lit(1)).cast("int").alias("series"))
+    tokens = (F.col("input_tokens") + F.col("output_tokens")).alias("tokens")
+    sums = usage.select("account_id", "price_micros", "units", "latency_ms", tokens).groupBy("account_id").agg(
+        *[F.sum(c).cast("long").alias(c) for _, _, c in SERIES])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("series_id"), F.lit(u).cast("string").alias("unit"), F.col(c).alias("total")) for n, u, c in SERIES]))
+    return sums.select("account_id", rows.alias("s")).select("account_id", "s.*")
+
+
+def series_totals(sums: DataFrame) -> DataFrame:
+    """Totals per unit of ``series_sums``, never across units (no unit, NULL or empty, is one
+    group), with the number of series in each unit group and a flag when an account mixes units."""
+    per_unit = sums.groupBy("account_id", "unit").agg(F.sum("total").alias("total"), F.count(F.lit(1)).cast("int").alias("series"))
     units = F.count(F.lit(1)).over(Window.partitionBy("account_id"))
     return per_unit.withColumn("mixed_units", units > 1)
 
 
-def series_sums(series: DataFrame) -> DataFrame:
+def series_sums(series: DataFrame, value: str = "value") -> DataFrame:
     """The total of each series of an account (an empty unit counts as none)."""
     return series.withColumn("unit", F.nullif("unit", F.lit(""))).groupBy("account_id", "unit", "series_id").agg(
-        F.sum("value").alias("total"))
+        F.sum(value).alias("total"))
 
 
 def usage_rollup(usage: DataFrame, granularities=("hour", "day", "month")) -> DataFrame:

@@ -10,7 +10,7 @@ not its raw rows, at every shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.config import MICROS_PER_CENT
@@ -18,11 +18,14 @@ from meterwise.functions.scalars import face_value_micros, json_text
 
 
 # ---------------------------------------------------------------- filters F1-F4
+def is_settled() -> Column:
+    """F1's rule on a charge. A NULL is not true: same three-valued rule as SQL WHERE."""
+    return (F.col("status") == "succeeded") & F.col("paid") & ~F.col("disputed") & (F.col("currency") == "usd")
+
+
 def settled_charges(charges: DataFrame) -> DataFrame:
     """succeeded, paid, not disputed, in USD. NULL ``paid``/``disputed`` drop the row."""
-    cond = (F.col("status") == "succeeded") & F.col("paid") & ~F.col("disputed") & (F.col("currency") == "usd")
-    # A NULL condition is not true: same three-valued rule as SQL WHERE.
-    return charges.filter(cond)
+    return charges.filter(is_settled())
 
 
 def free_sessions(sessions: DataFrame) -> DataFrame:

@@ -68,6 +68,8 @@ ENTRY_SQL = ("""'{"index":' || """ + _INDEX + """ || ',"scores":{' || """
              + """ || '},"reason":' || """ + _REASON + " || '}'")
 
 
+ORDER_REF = f"CASE WHEN (o_orderkey // 3) % 5 = 0 THEN 'o' || {_s('o_orderkey // 3')} ELSE 'k' || {_s('o_orderkey')} END"
+
 FIXTURE_CTES: dict[str, str] = {
     "accounts": f"""
     SELECT c_custkey AS account_id,
@@ -157,7 +159,7 @@ FIXTURE_CTES: dict[str, str] = {
            o_orderpriority = '1-URGENT' AS refunded,
            CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderkey % 23 = 0 END AS disputed,
            'https://pay.example/receipts/ch_' || {_s('o_orderkey')} AS receipt_url,
-           '{{"app":"{TAG}","kind":"' || CASE WHEN o_orderkey % 4 = 0 THEN 'auto_topup' ELSE 'checkout' END || '"}}' AS metadata,
+           '{{"app":"{TAG}","kind":"' || CASE WHEN o_orderkey % 4 = 0 THEN 'auto_topup' ELSE 'checkout' END || '","order":"' || {ORDER_REF} || '"}}' AS metadata,
            CAST(epoch(o_orderdate) AS BIGINT) AS created
     FROM orders WHERE o_orderkey % 3 = 0""",
     "checkout_sessions": f"""
@@ -166,8 +168,8 @@ FIXTURE_CTES: dict[str, str] = {
            CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE 'complete' END AS status,
            CASE WHEN o_orderkey % 11 = 0 THEN 'unpaid' ELSE 'no_payment_required' END AS payment_status,
            CAST(CASE WHEN o_orderkey % 29 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS amount_total,
-           CASE WHEN o_orderkey % 41 = 0 THEN '{{"app":"{TAG}"}}'
-                ELSE '{{"app":"{TAG}","credits_cents":"' || {_s(_pack('o_orderkey'))} || '"}}' END AS metadata,
+           CASE WHEN o_orderkey % 41 = 0 THEN '{{"app":"{TAG}"'
+                ELSE '{{"app":"{TAG}","credits_cents":"' || {_s(_pack('o_orderkey'))} || '"' END || ',"order":"' || {ORDER_REF} || '"}}' AS metadata,
            CAST(epoch(o_orderdate) AS BIGINT) AS created
     FROM orders WHERE o_orderkey % 3 = 1""",
     "invoices": f"""
@@ -177,7 +179,7 @@ FIXTURE_CTES: dict[str, str] = {
            CAST(CASE WHEN o_orderkey % 29 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS amount_paid,
            'https://pay.example/invoices/in_' || {_s('o_orderkey')} AS hosted_invoice_url,
            '{{"app":"' || CASE WHEN o_orderkey % 19 = 0 THEN 'other' ELSE '{TAG}' END
-             || '","kind":"auto_topup","credits_cents":"' || {_s(_pack('o_orderkey'))} || '"}}' AS metadata,
+             || '","kind":"auto_topup","credits_cents":"' || {_s(_pack('o_orderkey'))} || '","order":"' || {ORDER_REF} || '"}}' AS metadata,
            CAST(epoch(o_orderdate) AS BIGINT) AS created
     FROM orders WHERE o_orderkey % 3 = 2""",
     "customers_raw": f"""

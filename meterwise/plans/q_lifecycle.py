@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,11 +11,12 @@ from meterwise.config import DEFAULT
 from meterwise.operators import audit as AU
 from meterwise.operators import backfill as BF
 from meterwise.operators.usage import rate_impact_30d
-from meterwise.operators.wallet import purchase_entries
 from meterwise.plans import q_topups
 from meterwise.plans.q_usage import RATE_IMPACT_SQL
 from meterwise.plans.registry import register
-from meterwise.schemas import OWNED, SYNCED, conform
+from meterwise.plans.sql_snippets import PURCHASE_ENTRIES
+from meterwise.schemas import OWNED, SYNCED, conform, read_owned
+from meterwise.session import ensure_checkpoint_dir
 from meterwise.sources import lifecycle as LC
 from meterwise.sources import synced as SY
 
@@ -48,21 +50,27 @@ def q_synced_latest(fx):
     return _flat(fx.customers)
 
 
-@register("load_tables", "S3", "SELECT * FROM usage_events")
-def q_load_tables(fx):
-    return conform(fx.usage_events, OWNED["usage_events"])
+def _load(table, source=None):
+    """Writes the table as its owner does (declared schema) and opens it through the checked read."""
 
-
-def _load(table):
     def build(fx):
-        return conform(getattr(fx, table), OWNED[table])
+        path = f"{ensure_checkpoint_dir(fx.spark).rstrip('/')}/owned/{table}-{uuid.uuid4().hex}"
+        conform(getattr(fx, source or table), OWNED[table]).write.parquet(path)
+        return read_owned(fx.spark, path, table)
 
     return build
 
 
-# The tables that grow; service prices and model costs are a few configuration rows.
+register("load_tables", "S3", "SELECT * FROM usage_events")(_load("usage_events"))
 for _t in ("accounts", "api_keys", "simulated_spend", "topups"):
     register(f"load_{_t}", "S3", f"SELECT * FROM {_t}")(_load(_t))
+register("load_service_prices", "S3", f"""
+    SELECT 'service_' || p_partkey AS service, CAST(round(p_retailprice * 100) AS BIGINT) AS unit_price_micros, p_partkey % 3 <> 0 AS active,
+           TIMESTAMP '{P.as_of_sql}' - to_days(CAST(p_partkey % 365 AS INTEGER)) AS updated_at FROM part""")(_load("service_prices", "service_catalog"))
+register("load_model_costs", "S3", """
+    SELECT 'model_' || s_suppkey AS model, CAST(CAST(s_suppkey * 7 % 9973 AS DOUBLE) / 100 AS DECIMAL(12,4)) AS input_usd_per_mtok,
+           CAST(CAST(s_suppkey * 3 % 9973 AS DOUBLE) / 100 AS DECIMAL(12,4)) AS cached_input_usd_per_mtok,
+           CAST(CAST(s_suppkey * 31 % 9973 AS DOUBLE) / 100 AS DECIMAL(12,4)) AS output_usd_per_mtok FROM supplier""")(_load("model_costs", "model_catalog"))
 
 
 def _synced(table):
@@ -366,12 +374,11 @@ def q_set_null_refs(fx):
 
 @register(
     "no_double_count", "Q5",
-    f"""SELECT id, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM (
-          SELECT id, 'charge' AS source FROM charges WHERE status = 'succeeded' AND paid AND NOT disputed AND currency = 'usd'
-          UNION ALL SELECT id, 'session' FROM checkout_sessions WHERE mode = 'payment' AND status = 'complete'
-                    AND payment_status IN ('paid', 'no_payment_required') AND amount_total = 0
-          UNION ALL SELECT id, 'invoice' FROM invoices WHERE status = 'paid' AND total = 0 AND json_extract_string(metadata, '$.app') = '{P.app_tag}'
-        ) e GROUP BY id HAVING count(*) > 1""",
+    f"""SELECT order_key, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources,
+               CAST(sum(micros) - max(micros) AS BIGINT) AS extra_micros
+        FROM (SELECT e.*, coalesce(json_extract_string(o.metadata, '$.order'), e.id) AS order_key FROM ({PURCHASE_ENTRIES}) e
+              JOIN (SELECT id, metadata FROM charges UNION ALL SELECT id, metadata FROM checkout_sessions UNION ALL SELECT id, metadata FROM invoices) o USING (id)) k
+        GROUP BY order_key HAVING count(*) > 1""",
 )
 def q_no_double_count(fx):
-    return AU.no_double_count(purchase_entries(fx.charges, fx.checkout_sessions, fx.invoices, P.app_tag))
+    return AU.no_double_count(AU.order_entries(fx.charges, fx.checkout_sessions, fx.invoices, P.app_tag))

@@ -68,13 +68,11 @@ _TOPCAT = "CASE " + " ".join(f"WHEN {c} = {_TOP} THEN '{c}'" for c in CATEGORIES
 
 MOD_CTES = {"val": _VAL, "checked": _CHECK, "results": _RESULTS, "verdicts": _VERDICTS}
 
-_TIE = "[" + ", ".join("true" if b else "false" for b in MO.TIE_UP) + "]"
-
 
 def _fixed2(x: str) -> str:
-    k = f"CAST(round({x} * 1000) AS INTEGER)"
-    h = f"({k} // 10 + CASE WHEN {k} % 10 > 5 OR ({k} % 10 = 5 AND {_TIE}[{k} + 1]) THEN 1 ELSE 0 END)"
-    return f"(CAST({h} // 100 AS VARCHAR) || '.' || lpad(CAST({h} % 100 AS VARCHAR), 2, '0'))"
+    """Two decimals of the exact double, ties upwards; only odd eighths are ties."""
+    tie = f"{x} * 8 = floor({x} * 8) AND {x} * 4 <> floor({x} * 4)"
+    return f"format('{{:.2f}}', CASE WHEN {tie} THEN {x} + CAST(0.001 AS DOUBLE) ELSE {x} END)"
 
 
 def _score_of(c: str) -> str:
@@ -359,3 +357,33 @@ def q_metering(fx):
     rejects = _ingest(fx)[1]
     return AD.metering(_admission(fx), fx.score_answers, rejects, MO.reasoning_estimate(fx.score_answers), fx.moderation_requests,
                        fx.service_prices, fx.model_costs, fx.p.service, fx.p.model)
+
+
+# The path from text to ledger: the lexicon's scores never fail the strict check, so every admitted
+# request is charged, unless the ledger has its id.
+_TOKENS = "SELECT request_id, sum(length(item)) // 4 AS input, 24 * count(*) AS output FROM mod_items GROUP BY request_id"
+_PATH_LEDGER = f"""
+    SELECT ad.request_id AS id, ad.account_id, ad.key_id AS api_key_id, 'moderate' AS service, ad.units, 'gpt-oss-20b' AS model,
+           CAST(t.input AS INTEGER) AS input_tokens, 0 AS cached_input_tokens, CAST(t.output AS INTEGER) AS output_tokens, 0 AS reasoning_tokens,
+           CAST(ad.quote_micros AS BIGINT) AS price_micros,
+           CAST(round(CAST(t.input AS DECIMAL(20,0)) * mc.input_usd_per_mtok + CAST(t.output AS DECIMAL(20,0)) * mc.output_usd_per_mtok) AS BIGINT) AS cost_micros,
+           CAST(200 AS SMALLINT) AS status, CAST(NULL AS INTEGER) AS latency_ms, r."at" AS created_at
+    FROM admitted ad JOIN tokens t USING (request_id) JOIN moderation_requests r USING (request_id) JOIN model_costs mc ON mc.model = 'gpt-oss-20b'
+    WHERE ad.status_code = 200 AND ad.request_id NOT IN (SELECT id FROM usage_events)"""
+_PATH_VERDICTS = {"results": f"SELECT *, '' AS reason FROM ({_LEXICON_SCORES}) s WHERE request_id IN (SELECT request_id FROM admitted WHERE status_code = 200)",
+                  "verdicts": _VERDICTS}
+
+
+def _path(fx):
+    facts = materialized(MO.request_validation(fx.moderation_requests, keep=("authorization", "at", "text")), "requests")
+    return AD.text_to_ledger(facts, facts, fx.api_keys, fx.usage_events, fx.balances, fx.service_prices, fx.model_costs, fx.p.service, fx.p.model, fx.p.as_of)
+
+
+@register("path_verdicts", "P1-M5", "SELECT * FROM verdicts", {**ADM_CTES, **_PATH_VERDICTS})
+def q_path_verdicts(fx):
+    return _path(fx)[0]
+
+
+@register("path_ledger", "P1-S4", _PATH_LEDGER, {**ADM_CTES, "tokens": _TOKENS})
+def q_path_ledger(fx):
+    return _path(fx)[1]

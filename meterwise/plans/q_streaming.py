@@ -96,10 +96,3 @@ def q_stream_admission(fx):
     admitted, outcomes, requests, snap = q_moderation.replay_parts(fx)
     rows = AD.replay_input(admitted, outcomes, requests, fx.usage_events, snap, fx.p.as_of)
     return J.stream_admission(J.staged_stream(rows, "attempts"))
-
-
-@register("dashboard", "A10")
-def q_dashboard(fx):
-    from meterwise.plans.dashboard import dashboard
-
-    return dashboard(fx)

@@ -202,7 +202,7 @@ _SERIES = """
     {"series": _SERIES},
 )
 def q_series_totals(fx):
-    return U.series_totals(U.usage_series(fx.usage_events))
+    return U.series_totals(U.ledger_series(fx.usage_events))
 
 
 @register(
@@ -211,7 +211,7 @@ def q_series_totals(fx):
     {"series": _SERIES},
 )
 def q_series_sums(fx):
-    return U.series_sums(U.usage_series(fx.usage_events))
+    return U.ledger_series(fx.usage_events)
 
 
 @register(

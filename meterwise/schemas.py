@@ -59,5 +59,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_owned(spark, path: str, table: str) -> DataFrame:
-    """S3: read an owned table with its declared schema (no inference, no drift)."""
+    """S3: an owned table with its declared schema. A file without a declared column, or with
+    one of another type, is an error: a read that trusts the declaration would return NULLs."""
+    have = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+    bad = [f"{f.name}: {have.get(f.name, 'missing')}" for f in OWNED[table].fields
+           if have.get(f.name) != f.dataType and not (f.dataType == TS and have.get(f.name) == T.TimestampNTZType())]
+    if bad:
+        raise ValueError(f"{table} does not have its declared schema: {bad}")
     return spark.read.schema(OWNED[table]).parquet(path)

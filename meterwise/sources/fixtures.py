@@ -46,6 +46,11 @@ def pack(k: Column) -> Column:
     return F.when(r == 0, 1000).when(r == 1, 2500).otherwise(10000)
 
 
+# What the objects of one order have in common: every fifth order has a charge, a session and an
+# invoice of its own (if their keys exist), which the audit has to find.
+ORDER_REF_SQL = "CASE WHEN pmod(floor(o_orderkey / 3), 5) = 0 THEN concat('o', CAST(floor(o_orderkey / 3) AS STRING)) ELSE concat('k', CAST(o_orderkey AS STRING)) END"
+
+
 def epoch_s(ts: Column) -> Column:
     return F.unix_seconds(ts)
 
@@ -171,6 +176,24 @@ class Fixtures:
         df = self.spark.createDataFrame(rows, "model string, input_usd_per_mtok double, cached_input_usd_per_mtok double, output_usd_per_mtok double")
         return df.select("model", *[F.col(c).cast("decimal(12,4)").alias(c) for c in df.columns[1:]])
 
+    @cached_property
+    def service_catalog(self) -> DataFrame:
+        """A price list as long as ``part``, as files of the service_prices table hold it."""
+        return self.raw("part").selectExpr(
+            "concat('service_', CAST(p_partkey AS STRING)) AS service",
+            "CAST(round(p_retailprice * 100) AS BIGINT) AS unit_price_micros",
+            "pmod(p_partkey, 3) <> 0 AS active",
+            f"{sql_ts(self.p.as_of)} - make_dt_interval(CAST(pmod(p_partkey, 365) AS INT)) AS updated_at",
+        )
+
+    @cached_property
+    def model_catalog(self) -> DataFrame:
+        """Model costs, one per supplier, in dollars per million tokens."""
+        rate = lambda k: f"CAST(pmod(s_suppkey * {k}, 9973) AS DECIMAL(12,4)) / 100"
+        return self.raw("supplier").selectExpr(
+            "concat('model_', CAST(s_suppkey AS STRING)) AS model", f"CAST({rate(7)} AS DECIMAL(12,4)) AS input_usd_per_mtok",
+            f"CAST({rate(3)} AS DECIMAL(12,4)) AS cached_input_usd_per_mtok", f"CAST({rate(31)} AS DECIMAL(12,4)) AS output_usd_per_mtok")
+
     @cached_property
     def model_rates(self) -> DataFrame:
         rows = [(m, *[float(x) for x in r]) for m, *r in MODEL_RATES]
@@ -267,15 +290,16 @@ class Fixtures:
             f"{refunded} > 0 AS refunded",
             "CASE WHEN pmod(o_orderkey, 37) = 0 THEN CAST(NULL AS BOOLEAN) ELSE pmod(o_orderkey, 23) = 0 END AS disputed",
             "concat('https://pay.example/receipts/ch_', CAST(o_orderkey AS STRING)) AS receipt_url",
-            f"""concat({sql_str('{"app":"' + self.p.app_tag + '","kind":"')}, {kind}, '"}}') AS metadata""",
+            f"""concat({sql_str('{"app":"' + self.p.app_tag + '","kind":"')}, {kind}, '","order":"', {ORDER_REF_SQL}, '"}}') AS metadata""",
             "unix_seconds(o_orderdate) AS created",
         )
 
     @cached_property
     def checkout_sessions(self) -> DataFrame:
         tag = self.p.app_tag
-        meta = (f"""CASE WHEN pmod(o_orderkey, 41) = 0 THEN {sql_str('{"app":"' + tag + '"}')} """
-                f"""ELSE concat({sql_str('{"app":"' + tag + '","credits_cents":"')}, CAST({pack_sql('o_orderkey')} AS STRING), '"}}') END""")
+        meta = (f"""concat(CASE WHEN pmod(o_orderkey, 41) = 0 THEN {sql_str('{"app":"' + tag + '"')} """
+                f"""ELSE concat({sql_str('{"app":"' + tag + '","credits_cents":"')}, CAST({pack_sql('o_orderkey')} AS STRING), '"') END, """
+                f"""',"order":"', {ORDER_REF_SQL}, '"}}')""")
         return self._orders_slice(1).selectExpr(
             "concat('cs_', CAST(o_orderkey AS STRING)) AS id",
             "concat('cus_', CAST(o_custkey AS STRING)) AS customer",
@@ -298,7 +322,7 @@ class Fixtures:
             f"{total} AS total",
             f"{total} AS amount_paid",
             "concat('https://pay.example/invoices/in_', CAST(o_orderkey AS STRING)) AS hosted_invoice_url",
-            f"""concat('{{"app":"', {tag}, '","kind":"auto_topup","credits_cents":"', CAST({pack_sql('o_orderkey')} AS STRING), '"}}') AS metadata""",
+            f"""concat('{{"app":"', {tag}, '","kind":"auto_topup","credits_cents":"', CAST({pack_sql('o_orderkey')} AS STRING), '","order":"', {ORDER_REF_SQL}, '"}}') AS metadata""",
             "unix_seconds(o_orderdate) AS created",
         )
 

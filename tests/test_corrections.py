@@ -12,53 +12,29 @@ from meterwise.operators import audit as AU
 from meterwise.operators import moderation as MO
 from meterwise.operators import purchases as PU
 from meterwise.operators import usage as U
+from meterwise.operators.admission import AccountFold
 from meterwise.schemas import OWNED, read_owned
 from meterwise.sources import lifecycle as LC
-from meterwise.streaming.jobs import _admission_state_fn
+from meterwise.streaming.jobs import _rows_of
 from meterwise.streaming.sinks import read_if_written, read_stream_table, run_available_now
 
 T0 = pd.Timestamp("2024-01-10 00:00:00")
 DAY = dt.datetime(2024, 1, 10)
 
 
-class _State:
-    """The two calls of a group state that the fold makes."""
-
-    def __init__(self):
-        self.value = None
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value = value
-
-
-def _attempts(ids):
-    return pd.DataFrame({"kind": "attempt", "request_id": ids, "account_id": 1, "at": [T0 + pd.Timedelta(hours=i) for i in ids],
-                         "balance_micros": 100, "quote_micros": 1, "outcome": "ok"})
-
-
-def _statuses(frames):
-    return {r.request_id: r.status_code for f in frames for r in f.itertuples()}
-
-
-def test_admission_fold_sorts_across_arrow_batches():
-    got = _statuses(_admission_state_fn(2)(None, iter([_attempts([3, 4]), _attempts([1, 2])]), _State()))
-    assert got == {1: 200, 2: 200, 3: 429, 4: 429}
+def test_rows_of_a_micro_batch_are_put_in_order():
+    frames = [pd.DataFrame({"at": [T0 + pd.Timedelta(hours=i) for i in ids], "request_id": ids}) for ids in ([3, 4], [1, 2])]
+    assert _rows_of(iter(frames), ["at"])["request_id"].tolist() == [1, 2, 3, 4]
 
 
 def test_admission_state_holds_the_whole_limit():
-    fold, state = _admission_state_fn(3), _State()
-    assert _statuses(fold(None, iter([_attempts([1, 2, 3])]), state)) == {1: 200, 2: 200, 3: 200}
-    assert len(state.get[1]) == 3
-    assert _statuses(fold(None, iter([_attempts([4])]), state)) == {4: 429}
-    assert _statuses(fold(None, iter([_attempts([26])]), state)) == {26: 200}
+    hour = 3600 * 1_000_000
+    fold = AccountFold(3, balance=100)
+    assert [fold.step("attempt", i * hour, 1, "ok")[0] for i in (1, 2, 3)] == [200, 200, 200]
+    again = AccountFold(3, fold.balance, list(fold.recorded))
+    assert len(again.recorded) == 3 and again.balance == 97
+    assert again.step("attempt", 4 * hour, 1, "ok") == (429, 0, False)
+    assert again.step("attempt", 26 * hour, 1, "ok") == (200, 1, True)
 
 
 def test_late_first_writes_reach_the_ledger(spark):
@@ -75,8 +51,8 @@ def test_streams_see_files_that_land_later(spark, tmp_path):
     rows.toPandas().to_parquet(tmp_path / "events.parquet")
     rows.toPandas().to_parquet(tmp_path / "events_2.parquet")
     rows.toPandas().to_parquet(tmp_path / "eventsother.parquet")
-    out = run_available_now(read_stream_table(spark, str(tmp_path), "events"), "later-files")
-    assert spark.read.parquet(out).count() == 6
+    d = run_available_now(read_stream_table(spark, str(tmp_path), "events"), "later-files")
+    assert spark.read.parquet(f"{d}/data").count() == 6
 
 
 def test_only_a_missing_folder_counts_as_nothing_written(spark, tmp_path):
@@ -100,7 +76,7 @@ def test_series_totals_join_null_and_empty_units(spark):
     big = 2**53
     s = spark.createDataFrame([(1, "a", "", big), (1, "a", "", 1), (1, "b", None, 1), (1, "c", "ms", 5), (2, "a", "", 7)],
                               "account_id long, series_id string, unit string, value long")
-    got = {(r.account_id, r.unit): (r.total, r.series, r.mixed_units) for r in U.series_totals(s).collect()}
+    got = {(r.account_id, r.unit): (r.total, r.series, r.mixed_units) for r in U.series_totals(U.series_sums(s)).collect()}
     assert got == {(1, None): (big + 2, 2, True), (1, "ms"): (5, 1, True), (2, None): (7, 1, False)}
     assert {(r.account_id, r.series_id): r.total for r in U.series_sums(s).collect()} == {
         (1, "a"): big + 1, (1, "b"): 1, (1, "c"): 5, (2, "a"): 7}
@@ -131,8 +107,22 @@ def test_audits_fire(spark):
     child = spark.createDataFrame([(1,), (9,), (9,), (None,)], "ref long")
     parent = spark.createDataFrame([(1,), (2,)], "key long")
     assert [(r.table_name, r.ref, r.n) for r in AU.orphans({"c": (child, "ref")}, parent, "key").collect()] == [("c", "9", 2)]
-    entries = spark.createDataFrame([("o1", "charge"), ("o1", "session"), ("o2", "charge")], "id string, source string")
-    assert [(r.id, r.n, r.sources) for r in AU.no_double_count(entries).collect()] == [("o1", 2, "charge,session")]
+    entries = spark.createDataFrame([("o1", "charge", 30), ("o1", "session", 20), ("o1", "invoice", 5), ("o2", "charge", 7), (None, "charge", 1)],
+                                    "order_key string, source string, micros long")
+    assert [tuple(r) for r in AU.no_double_count(entries).collect()] == [("o1", 3, "charge,invoice,session", 25)]
+
+
+def test_one_order_counted_twice_is_found_across_kinds(spark):
+    """A paid charge and a free session of one order, told by the reference in their metadata."""
+    meta = lambda o: '{"app":"appx","credits_cents":"100","order":"%s"}' % o if o else '{"app":"appx","credits_cents":"100"}'
+    ch = spark.createDataFrame([("ch_1", "c", "succeeded", True, False, "usd", 500, 0, meta("A"), 1), ("ch_2", "c", "succeeded", True, False, "usd", 500, 0, meta(None), 1),
+                                ("ch_3", "c", "failed", False, False, "usd", 500, 0, meta("B"), 1)],
+                               "id string, customer string, status string, paid boolean, disputed boolean, currency string, amount long, amount_refunded long, metadata string, created long")
+    cs = spark.createDataFrame([("cs_1", "c", "payment", "complete", "paid", 0, meta("A"), 1), ("cs_2", "c", "payment", "complete", "paid", 0, meta("B"), 1)],
+                               "id string, customer string, mode string, status string, payment_status string, amount_total long, metadata string, created long")
+    inv = spark.createDataFrame([("in_1", "c", "paid", 0, meta("C"), 1)], "id string, customer string, status string, total long, metadata string, created long")
+    got = AU.no_double_count(AU.order_entries(ch, cs, inv, "appx")).collect()
+    assert [tuple(r) for r in got] == [("A", 2, "charge,session", 100 * 10_000)]  # B's charge failed: not counted
 
 
 def test_request_bodies(spark):
@@ -155,6 +145,46 @@ def test_verdicts_follow_the_text(spark):
 
 def test_owned_tables_are_read_with_their_schema(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2, 3, DAY)], "id long, account_id long, amount_micros long, created_at timestamp")
-    rows.write.parquet(str(tmp_path / "t"))
+    rows.withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "t"))
     got = read_owned(spark, str(tmp_path / "t"), "simulated_spend")
     assert [f.name for f in got.schema] == [f.name for f in OWNED["simulated_spend"]] and got.count() == 1
+    for k, bad in enumerate((rows.drop("amount_micros"), rows.withColumn("amount_micros", F.col("amount_micros").cast("string")))):
+        bad.write.parquet(str(tmp_path / f"bad{k}"))
+        with pytest.raises(ValueError, match="amount_micros"):
+            read_owned(spark, str(tmp_path / f"bad{k}"), "simulated_spend")
+
+
+def test_scorer_is_made_once_and_called_once_a_batch(spark, tmp_path):
+    """A counting scorer sees exactly M2's batches, with their budgets; a call that fails costs its own
+    request alone."""
+    log = str(tmp_path / "calls")
+    texts = [(i, "\n".join(f"line {i} {k}" for k in range(n))) for i, n in enumerate([1, 20, 21, 45, 3])] + [(9, "boom\nx")]
+    requests = spark.createDataFrame(texts, "request_id long, text string").repartition(2)
+
+    def factory():
+        import os
+        import uuid
+
+        os.makedirs(log, exist_ok=True)
+        open(f"{log}/made-{uuid.uuid4().hex}", "w").close()
+        inner = MO.lexicon_scorer()
+
+        def score(items, max_tokens):
+            if items[0] == "boom":
+                raise RuntimeError("no model")
+            with open(f"{log}/call-{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{len(items)} {max_tokens} {items[0]}")
+            return inner(items, max_tokens)
+
+        return score
+
+    batches = MO.request_batches(MO.request_items(requests)).coalesce(2)
+    out = MO.score_batches(batches, factory).collect()
+    calls = sorted(f.read_text() for f in (tmp_path / "calls").glob("call-*"))
+    want = sorted(f"{b.n_items} {b.max_tokens} {b['items'][0]}" for b in batches.collect() if b["items"][0] != "boom")
+    assert calls == want and len(calls) == 1 + 1 + 2 + 3 + 1
+    assert len(list((tmp_path / "calls").glob("made-*"))) <= 2
+    assert sorted((r.request_id, r.idx) for r in out if r.failure is None) == sorted((i, k) for i, t in texts if i != 9 for k in range(len(t.split("\n"))))
+    assert [(r.request_id, r.idx, r.failure) for r in out if r.failure] == [(9, None, "RuntimeError: no model")]
+    answers = {r.request_id: (r.upstream_status, r.answer is None) for r in MO.score_answers_of(MO.score_batches(batches, factory)).collect()}
+    assert answers[9] == (500, True) and answers[0] == (200, False)

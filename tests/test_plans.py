@@ -23,7 +23,7 @@ def test_no_cross_or_nested_loop_joins(plans):
 
 def test_no_row_at_a_time_python(plans):
     # Python appears only as Arrow-batched mapInPandas (M3's scorer, also within ``text_verdicts``, and
-    # P4's fold).
+    # P4's fold; the path from text to ledger has scored before its last plan begins).
     assert not [n for n, p in plans.items() if "BatchEvalPython" in p]
     assert sorted(n for n, p in plans.items() if "MapInPandas" in p) == ["admission_replay", "score_items", "text_verdicts"]
 
@@ -56,3 +56,62 @@ def test_per_row_windows_split_a_busy_account_by_day(plans, name):
     # T6 / T7 sort (account, UTC day) partitions, never one account's whole history.
     specs = [line for line in plans[name].splitlines() if " Window [" in line and "_day" in line]
     assert specs and all("windowspecdefinition(account_id" in line for line in specs)
+
+
+@pytest.mark.parametrize("name,table", [("admission_replay", "documents"), ("dashboard", "lineitem")])
+def test_big_tables_are_read_once(spark, fx, name, table):
+    """The texts in P4 and the ledger's lines in A10: one scan in all of their plans, jobs that run
+    while the plan is built included."""
+    from pyspark.sql import DataFrame
+
+    from meterwise.sources.fixtures import Fixtures
+
+    seen = []
+
+    class Counting(Fixtures):
+        def raw(self, name: str) -> DataFrame:
+            seen.append(name)
+            return super().raw(name)
+
+    out = REGISTRY[name].build(Counting(spark, fx.sf_dir, fx.p))
+    assert seen.count(table) == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count(f"{table}.parquet") == 0  # it was written on the way
+
+
+def test_dashboard_is_one_fold(plans):
+    """A10 meets its parts in one aggregate; joins would be one a part."""
+    p = plans["dashboard"]
+    assert "Join" not in p.split("Subquery")[0]
+
+
+def test_a_batch_reads_ledger_ids_without_moving_them(spark, fx):
+    """Nothing below the join on the ledger's side is exchanged."""
+    from pyspark.sql import functions as F
+
+    from meterwise.sources.lifecycle import ledger_append
+
+    ledger = spark.range(100_000).withColumn("created_at", F.current_timestamp())
+    batch = spark.range(50, 150).withColumn("created_at", F.current_timestamp())
+    p = ledger_append(ledger, batch)._jdf.queryExecution().executedPlan().toString()
+    at = p.index("Range (0, 100000")
+    above = [line for line in p[:at].splitlines()][-3:]
+    assert any("BroadcastHashJoin" in x and "LeftSemi" in x for x in above) and not any("Exchange hashpartitioning" in x for x in above), p
+
+
+def test_prices_are_met_by_service_and_day(spark):
+    """A call meets its own day's prices alone, and one service's calls are spread by day."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from meterwise.operators.pricing import price_asof
+
+    t0 = dt.datetime(2024, 1, 1)
+    history = spark.createDataFrame([("s", k, t0 + dt.timedelta(hours=7 * k)) for k in range(200)], "service string, unit_price_micros long, valid_from timestamp")
+    calls = spark.range(3000).select("id", F.lit("s").alias("service"), (F.lit(t0) + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 37).cast("int"))).alias("created_at"))
+    calls = calls.unionByName(spark.createDataFrame([(-1, "s", t0 - dt.timedelta(days=9)), (-2, "s", None), (-3, "t", t0)], "id long, service string, created_at timestamp"))
+    out = price_asof(calls, history)
+    got = {r.id: r.unit_price_asof for r in out.collect()}
+    assert got == {i: (i * 37) // 420 if (i * 37) // 420 < 200 else 199 for i in range(3000)} | {-1: None, -2: None, -3: None}
+    keys = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert any("service" in x and "_day" in x for x in keys)

@@ -11,6 +11,7 @@ from meterwise.operators import usage as U
 from meterwise.plans import q_moderation as QM
 from meterwise.plans.catalog import REGISTRY
 from meterwise.plans.compare import compare
+from meterwise.plans.dashboard import dashboard
 
 
 def _rows(df):
@@ -90,7 +91,7 @@ def test_stream_balance_equals_batch(fx):
 
 
 def test_dashboard_lists_equal_their_own_queries(fx, con):
-    d = REGISTRY["dashboard"].build(fx).cache()
+    d = dashboard(fx).cache()
     r = compare(d.select("account_id", "wallet.*"), con, REGISTRY["balances"].oracle_sql())
     assert r["match"], r
     for column, name, fields in (("purchases", "purchases_top10", ["id", "amount_cents", "refunded_cents", "status", "disputed", "auto", "created"]),
