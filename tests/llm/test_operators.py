@@ -327,9 +327,33 @@ def test_backoff_over_real_words(spark, monkeypatch, order):
 
 def test_a_frequent_gram_is_one_entry_a_run(spark):
     docs = spark.createDataFrame([(i, "the the the") for i in range(500)], "doc_id long, text string").coalesce(1)
-    runs = docs.mapInArrow(backoff_lm._runs, "run bigint, ids array<bigint>, sizes binary, data binary, n_words bigint")
-    pieces = runs.select("run", "sizes", "data").mapInArrow(backoff_lm._pieces(1, 2), "part int, run bigint, data binary").collect()
-    assert [sorted(backoff_lm._unpack(p.data, 2)[1].tolist()) for p in pieces] == [[1000, 1500]]
+    runs = docs.mapInArrow(backoff_lm._runs, "task int, run bigint, ids array<bigint>, sizes binary, data binary, n_words bigint")
+    pieces = runs.select("task", "run", "sizes", "data").mapInArrow(backoff_lm._pieces(1), "part int, task int, run bigint, data binary").collect()
+    assert [backoff_lm._unpack(p.data, 2)[1].tolist() for p in pieces] == [[1500]]
+
+
+def test_longer_grams_are_dropped_before_they_move(spark):
+    """A gram goes on only if both shorter grams in it occur in another document."""
+    run = backoff_lm.Run(backoff_lm._pack(np.array([11, 9])), backoff_lm.zstandard.compress(b"a b c d e x a b c y z"[:11] + b"a b c y z"))
+    run.learn(np.zeros(len(run.distinct()[0]), np.int64))
+    seen = [len(run.candidates()[0])]
+    run.learn(np.zeros(len(run.distinct()[0]), np.int64))
+    seen.append(len(run.candidates()[0]))
+    # of the words only a, b, c are in both texts: a b, b c in each, then a b c
+    assert seen == [4, 2]
+
+
+def test_texts_are_not_moved_by_the_joins(spark):
+    """The table of texts is read by its buckets: only counts and totals are exchanged."""
+    docs = spark.createDataFrame([(i, f"the cat {i % 3} sat") for i in range(50)], "doc_id long, text string").repartition(3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = backoff_lm.score(docs, order=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [x for x in plan.splitlines() if "Exchange" in x]
+    assert len(moved) == 3 and all("task" in x for x in moved) and "Bucketed: true" in plan, plan
 
 
 def test_pipeline_stages_keep_the_columns(spark):
