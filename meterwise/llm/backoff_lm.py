@@ -48,10 +48,10 @@ from meterwise.llm.scratch import new_folder, written
 ORDER = 3
 ALPHA = 0.4
 #: Entries of a partition of the count table, at most about so many.
-PARTITION_PAIRS = 4 << 20
-RUN_BYTES = 16 << 20
+PARTITION_PAIRS = 2 << 20
+RUN_BYTES = 6 << 20
 #: Runs of a bucket of the table of texts: what one task reads and scores.
-BUCKET_RUNS = 2
+BUCKET_RUNS = 4
 
 
 def word_ids(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +139,12 @@ class Run:
         self.found.append(found)
 
 
+def _row_by_row(batch: pa.RecordBatch) -> Iterator[list]:
+    """A batch's rows, one in memory at a time beside it."""
+    for k in range(batch.num_rows):
+        yield [c[k].as_py() for c in batch.columns]
+
+
 def _run_of(sizes: bytes, data: bytes, totals: list[bytes | None]) -> Run:
     run = Run(sizes, data)
     for t in totals:
@@ -153,7 +159,7 @@ def _pieces(partitions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.array([-(-(k << 64) // partitions) for k in range(1, partitions)], np.uint64)
         for batch in batches:
-            for task, number, sizes, data, *totals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for task, number, sizes, data, *totals in _row_by_row(batch):
                 grams, count = _run_of(sizes, data, totals).distinct()
                 cut = [0, *np.searchsorted(grams, bounds), len(grams)]
                 have = [k for k in range(partitions) if cut[k] < cut[k + 1]]
@@ -239,7 +245,7 @@ def _score(total: int, order: int):
         """From rows (task, run, sizes, data, totals by order ..., ids)."""
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            for k, (_, _, sizes, data, *totals) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)):
+            for k, (_, _, sizes, data, *totals) in enumerate(_row_by_row(batch.select(range(batch.num_columns - 1)))):
                 own = _run_of(sizes, data, totals)
                 back, score = _scores(own, total, order) if len(own.ids) else (own.n, np.zeros(len(own.n)))
                 yield pa.RecordBatch.from_arrays([ids.slice(k, 1).flatten(), pa.array(own.n, pa.int64()), pa.array(back, pa.int64()), pa.array(np.where(own.n > 0, score, np.nan), from_pandas=True)],
