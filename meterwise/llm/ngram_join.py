@@ -44,6 +44,10 @@ ROWS = 5
 GROUPS = 128
 BLOCK_SHINGLES = 4 << 20
 LEAF = 16
+#: Orders of minimum hashes in which neighbours are compared first.
+ROUNDS = 12
+#: Shingles of the pairs compared at a time.
+PAIR_SHINGLES = 4 << 20
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -150,55 +154,129 @@ def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class CountTree:
-    """An R-tree, packed bottom-up, over group counts; a node keeps its upper corner and the
-    smallest and largest set size below it."""
+    """An R-tree, packed bottom-up in the given order, over group counts; a node keeps its upper
+    corner, the smallest and largest set size below it, and the first and last component, so
+    that a search passes over the component it comes from as a whole."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((points.argmax(1), sizes))
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, order: np.ndarray):
+        self.order = order
         self.levels = []
-        top, lo, hi = points[self.order], sizes[self.order], sizes[self.order]
+        top, lo, hi, first, last = points[order], sizes[order], sizes[order], component[order], component[order]
         while True:
-            self.levels.append((top, lo, hi))
+            self.levels.append((top, lo, hi, first, last))
             if len(top) <= LEAF:
                 break
             at = np.arange(0, len(top), LEAF)
             top, lo, hi = np.maximum.reduceat(top, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
+            first, last = np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)
 
-    def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """The points whose bound allows a link with the given one."""
+    def near(self, point: np.ndarray, size: int, component: int, percent: int) -> np.ndarray:
+        """The points of other components whose bound allows a link with the given one."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, lo, hi = (x[at] for x in self.levels[depth])
-            bound = np.minimum(top, point).sum(1)
+            top, lo, hi, first, last = (x[at] for x in self.levels[depth])
             # 100 * overlap >= percent * (size + other - overlap); sizes within the ratio
-            ok = ((100 + percent) * bound >= percent * (size + lo)) & (100 * hi >= percent * size) & (100 * size >= percent * lo)
-            at = at[ok]
+            ok = ((first != component) | (last != component)) & (100 * hi >= percent * size) & (100 * size >= percent * lo)
+            at, top, lo = at[ok], top[ok], lo[ok]
+            bound = np.minimum(top, point).sum(1, dtype=np.int64)
+            at = at[(100 + percent) * bound >= percent * (size + lo)]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
         return self.order[at]
 
 
+class _Sets:
+    """A block's sets as codes, end to end, and exact comparison of many pairs at once."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.flat = np.concatenate(sets)
+        self.code = np.unique(self.flat, return_inverse=True)[1].astype(np.int64)
+        self.bits = max(1, int(self.code.max()).bit_length())
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the sets of each pair link."""
+        out = np.zeros(len(x), bool)
+        total = np.cumsum(self.size[x] + self.size[y])
+        a = 0
+        while a < len(x):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIR_SHINGLES, "right")))
+            both = np.concatenate([x[a:b], y[a:b]])
+            pair = np.tile(np.arange(b - a), 2)
+            n = self.size[both]
+            spot = np.repeat(self.at[both] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            key = np.sort((np.repeat(pair, n) << self.bits) | self.code[spot])
+            same = np.bincount(key[1:][key[1:] == key[:-1]] >> self.bits, minlength=b - a)
+            out[a:b] = 100 * same >= self.percent * (self.size[x[a:b]] + self.size[y[a:b]] - same)
+            a = b
+        return out
+
+
+def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots of ``x``, whose paths are shortened to them."""
+    root = parent[x]
+    while not np.array_equal(step := parent[root], root):
+        root = step
+    parent[x] = root
+    return root
+
+
+def _union(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the groups of each pair; a group's root is its first set."""
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+
+
 def link_block(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the index of its component's first set."""
     m = len(sets)
-    root = np.arange(m)
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS) for s in sets])
-    tree = CountTree(points, sizes)
-    for k in range(m):
-        near = tree.near(points[k], sizes[k], percent)
-        near = np.sort(near[(near < k) & (root[near] != root[k])])
+    parent, every = np.arange(m), np.arange(m)
+    block = _Sets(sets, percent)
+    smallest = [np.minimum.reduceat((block.flat ^ _XOR[k]) * _ODD[k], block.at[:-1]) for k in range(ROUNDS)]
+    for key in smallest:
+        by = np.argsort(key, kind="stable")
+        begin = W.run_starts(key[by])
+        run = np.diff(np.append(begin, m))
+        head = np.repeat(by[begin], run)
+        later = np.ones(m, bool)
+        later[begin] = False
+        # each with the one before it, and with the first of its run
+        x = np.concatenate([by[1:][later[1:]], by[later]])
+        y = np.concatenate([by[:-1][later[1:]], head[later]])
+        apart = _find(parent, x) != _find(parent, y)
+        x, y = x[apart], y[apart]
+        if len(x):
+            ok = block.linked(x, y)
+            _union(parent, x[ok], y[ok])
+    root = _find(parent, every)
+    if (root == root[0]).all():
+        return root
+    points = np.zeros((m, GROUPS), np.uint16)
+    group = np.repeat(every, block.size) * GROUPS + (block.flat >> np.uint64(57)).astype(np.int64)
+    points.ravel()[:] = np.minimum(np.bincount(group, minlength=m * GROUPS), 65535)
+    # components and copies side by side keep the corners of the tree's nodes small
+    tree = CountTree(points, block.size, root, np.lexsort((smallest[1], smallest[0], root)))
+    largest = np.bincount(root).argmax()
+    for k in np.flatnonzero(root != largest).tolist():
+        own = np.array([k])
+        near = tree.near(points[k], int(block.size[k]), int(root[k]), percent)
+        step = 64
         while len(near):
-            other, near = near[0], near[1:]
-            a, b = sets[k], sets[other]
-            spot = np.searchsorted(a, b)
-            both = int((a[np.minimum(spot, len(a) - 1)] == b).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                r, s = sorted((root[k], root[other]))
-                root[root == s] = r
-                near = near[root[near] != r]
-    return root
+            near = near[_find(parent, near) != _find(parent, own)[0]]
+            some, near = near[:step], near[step:]
+            if len(some):
+                ok = block.linked(np.full(len(some), k), some)
+                _union(parent, np.full(int(ok.sum()), k), some[ok])
+            step *= 4
+    return _find(parent, every)
 
 
 def _blocks(percent: int):
