@@ -40,9 +40,10 @@ _MASK = (1 << 64) - 1
 
 
 def with_sizes(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns and ``_size``: the words (runs of other than ASCII white space) of text."""
-    work = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_t"))
-    out = docs.select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("_size")).schema
+    """The columns, ``_text_hash`` and ``_size``: the words (runs of other than ASCII white space) of text."""
+    columns = [*columns, "_text_hash"]
+    work = docs.withColumn("_text_hash", F.xxhash64("text")).select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_t"))
+    out = work.select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("_size")).schema
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ def _copies(n_keep: int, arrow: pa.Schema):
 
 def _placed(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """Adds _rank, _bucket, _h, _ratio, _source_size and _target to sized rows."""
-    own = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "_size"))
+    own = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "_size", "_text_hash"))
     buckets = F.ceil(F.col("_docs") / F.lit(BUCKET))
     ratio = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     return own.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_bucket", F.pmod(F.col("_h"), buckets)).withColumn("_ratio", ratio)

@@ -14,8 +14,8 @@ a completion that train: the assistant's texts and the marks that end them.
 
 Edge cases: turns are in order of their number; of rows with equal conv_id and turn the first
 by (role, text) counts; rows with a null conv_id or turn are left out. A null role renders as
-``none``, a null text as an empty one. A mark within a text is broken up by a blank, so that
-only real turns have marks. A conversation that is a prefix of the other has an empty
+``none``, a null text as an empty one. Marks within a text are broken up by blanks, and so is what
+could become part of one in a role (every ``<`` and ``|``), so that only real turns have marks. A conversation that is a prefix of the other has an empty
 completion without mask. Copies of the chosen conversation make no pair.
 """
 
@@ -30,8 +30,9 @@ OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 def turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text), one row per turn, nulls and marks replaced."""
     rows = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("< |"))
-    one = rows.groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce("role", F.lit("none")).alias("role"), text.alias("text"))).alias("t"))
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    role = F.replace(F.replace(F.coalesce("role", F.lit("none")), F.lit("<"), F.lit("< ")), F.lit("|"), F.lit(" | "))
+    one = rows.groupBy("conv_id", "turn").agg(F.min(F.struct(role.alias("role"), text.alias("text"))).alias("t"))
     return one.select("conv_id", "turn", "t.role", "t.text")
 
 

@@ -123,7 +123,7 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH t AS (
   SELECT conv_id, turn, m.role AS role, m.text AS text FROM (
-    SELECT conv_id, turn, min({'role': coalesce(role, 'none'), 'text': replace(coalesce(text, ''), '<|', '< |')}) AS m
+    SELECT conv_id, turn, min({'role': replace(replace(coalesce(role, 'none'), '<', '< '), '|', ' | '), 'text': replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >')}) AS m
     FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)),
 talk AS (
   SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS l, list(turn ORDER BY turn) AS turns,

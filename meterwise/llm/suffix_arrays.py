@@ -11,9 +11,9 @@ lower-cased. A window is ``window`` consecutive words of an item; an item of few
 (but not none) is one window.
 
 Nothing is shuffled: a shard is built, searched and forgotten within its task, so a lost
-executor only repeats its own shards. The items are broadcast in blocks of at most
-``BLOCK_BYTES`` of text; more blocks mean more passes over the shards, with what was hit so
-far carried along each row.
+executor only repeats its own shards. The items are broadcast in blocks of about
+``BLOCK_BYTES`` of text, of which the driver and the tasks hold one at a time; more blocks mean more
+passes over the shards, each written with what was hit so far, before the next block is made.
 
 Edge cases: a null or empty text, and a text without words, has no words and no hits. Null
 or wordless items match nothing. Repeated items count once; an item with a null id hits
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise.llm import words as W
+from meterwise.llm.scratch import written
 
 WINDOW = 13
 #: Text of benchmark items in one broadcast.
@@ -48,13 +49,13 @@ MATCH = "array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 
 
 class SuffixArray:
-    """The suffixes of word codes (0 ends a text) in order of their first 16 codes at least."""
+    """The suffixes of word codes (0 ends a text) in order of their first ``words`` codes at least."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, words: int = 16):
         n = len(hashes)
         self.bits = max(1, int(n).bit_length())
         self.code_bits = min(24, (64 - self.bits) // 2)
-        self.full = np.concatenate([hashes, np.zeros(16, np.uint64)])
+        self.full = np.concatenate([hashes, np.zeros(max(words, 2), np.uint64)])
         self.codes = self.encode(self.full)
         code = self.codes
         idx = np.arange(n, dtype=np.uint64)
@@ -65,9 +66,9 @@ class SuffixArray:
         key = packed >> b
         new = np.ones(n, bool)
         new[1:] = key[1:] != key[:-1]
-        rank = np.zeros(n + 17, np.int64)
+        rank = np.zeros(n + 1, np.int64)
         depth = 2
-        while depth < 16 and n:
+        while depth < words and n:
             group = np.cumsum(new)
             rank[self.sa] = group
             tied = ~new
@@ -182,10 +183,10 @@ def shard_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, first + np.arange(n + 1)
 
 
-def _mark(hashes: np.ndarray, first: np.ndarray, items: Items, mask: np.ndarray, listed: list[set]) -> list[list[tuple]]:
-    """Marks hit words in ``mask``, adds item ids to ``listed``; the matches by text."""
+def _mark(hashes: np.ndarray, first: np.ndarray, items: Items, mask: np.ndarray, listed: list[set], matches: bool) -> list[list[tuple]]:
+    """Marks hit words in ``mask``, adds item ids to ``listed``; the matches by text, if asked for."""
     n = len(first) - 1
-    sa = SuffixArray(hashes)
+    sa = SuffixArray(hashes, items.window)
     runs: list[list[tuple]] = [[] for _ in range(n)]
     edge = np.zeros(len(hashes) + 1, np.int64)
     for suffix, place, length in find(sa, items):
@@ -193,6 +194,11 @@ def _mark(hashes: np.ndarray, first: np.ndarray, items: Items, mask: np.ndarray,
         np.add.at(edge, place + length, -1)
         doc = np.searchsorted(first, place, "right") - 1
         item = items.item[suffix]
+        for pair in np.unique(doc * len(items.ids) + item).tolist():
+            if items.ids[pair % len(items.ids)] is not None:
+                listed[pair // len(items.ids)].add(items.ids[pair % len(items.ids)])
+        if not matches:
+            continue
         # windows that follow each other in item and document are one match
         order = np.lexsort((place, place - items.at[suffix], item, doc))
         d, t, p, w = doc[order], item[order], place[order], items.at[suffix][order]
@@ -200,8 +206,6 @@ def _mark(hashes: np.ndarray, first: np.ndarray, items: Items, mask: np.ndarray,
         stop = np.append(cut[1:], len(d)) - 1
         for a, b in zip(cut, stop, strict=True):
             k = int(d[a])
-            if items.ids[t[a]] is not None:
-                listed[k].add(items.ids[t[a]])
             runs[k].append((items.ids[t[a]], int(w[a]), int(p[a] - first[k]), int(p[b] - p[a] + length[0])))
     mask |= np.cumsum(edge[:-1]) > 0
     return runs
@@ -227,7 +231,7 @@ def _pass(block, text_at: int, first_pass: bool, last: bool, keep: str, schema:
                         mask[first[k] : first[k + 1]] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=size).astype(bool)
                         listed[k].update(names[k])
                         earlier[k] = [tuple(m.values()) for m in found[k]]
-                runs = _mark(hashes, first, items, mask, listed) if len(items.pos) else [[] for _ in range(n)]
+                runs = _mark(hashes, first, items, mask, listed, keep == "matches") if len(items.pos) else [[] for _ in range(n)]
                 runs = [x + y for x, y in zip(earlier, runs, strict=True)]
                 cols = [own.column(k) for k in range(own.num_columns - (0 if first_pass else 3))]
                 if not last:
@@ -252,18 +256,17 @@ def _pass(block, text_at: int, first_pass: bool, last: bool, keep: str, schema:
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """The distinct items in broadcast blocks of bounded size."""
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[object, bool]]:
+    """The distinct items in broadcast blocks of bounded size, made one after the other, and whether
+    a block is the last."""
     spark = benchmark.sparkSession
     own = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t IS NOT NULL").distinct()
     size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    out = []
     for k in range(n):
         rows = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() if n > 1 else own.collect()
         rows.sort(key=lambda r: (r.i or "", r.t))
-        out.append(spark.sparkContext.broadcast(Items([r.i for r in rows], [r.t for r in rows], window)))
-    return out
+        yield spark.sparkContext.broadcast(Items([r.i for r in rows], [r.t for r in rows], window)), k == n - 1
 
 
 def _run(docs: DataFrame, benchmark: DataFrame, columns: list[str], keep: str, window: int, block_bytes: int) -> DataFrame:
@@ -273,9 +276,7 @@ def _run(docs: DataFrame, benchmark: DataFrame, columns: list[str], keep: str, w
     text_at = columns.index("text")
     fields = list(work.schema.fields)
     state = [T.StructField("_hit", T.BinaryType()), T.StructField("_listed", T.ArrayType(T.StringType())), T.StructField("_found", T._parse_datatype_string(MATCH))]
-    blocks = _blocks(benchmark, window, block_bytes)
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for k, (block, last) in enumerate(_blocks(benchmark, window, block_bytes)):
         if not last:
             out = T.StructType(fields + state)
         elif keep == "clean":
@@ -283,6 +284,9 @@ def _run(docs: DataFrame, benchmark: DataFrame, columns: list[str], keep: str, w
         else:
             out = T.StructType([f for j, f in enumerate(fields) if j != text_at] + RESULT.fields + ([T.StructField("matches", state[2].dataType)] if keep == "matches" else []))
         work = work.mapInArrow(_pass(block, text_at, k == 0, last, keep, to_arrow_schema(out)), out)
+        if not last:  # so that the block can go before the next one is made
+            work = written(work, "pass")
+            block.destroy()
     return work
 
 

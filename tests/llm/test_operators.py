@@ -129,6 +129,56 @@ def test_link_block_prunes_nothing_that_links():
     assert ngram_join.link_block(sets, 75).tolist() == root
 
 
+def near_copies(rng, n, words=26):
+    """Sets of about 22 shingles: copies of copies, most at one edit at the end."""
+    texts = [[f"b{c}w{k}" for k in range(words)] for c in range(3)]
+    for _ in range(n - len(texts)):
+        t = list(texts[rng.integers(0, len(texts))])
+        t[rng.choice([0, 1, words - 1, words - 2, words // 2], p=[0.3, 0.1, 0.4, 0.1, 0.1])] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(t)
+    buf, offs = W.text_bytes(pa.array([" ".join(t) for t in texts]))
+    sets, at = ngram_join.shingle_sets(buf, offs)
+    return [sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_link_block_of_near_copies_equals_brute_force():
+    sets = near_copies(np.random.default_rng(9), 500)
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if root[a] != root[b]:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((root[a], root[b]))
+                    root = [x if r == y else r for r in root]
+    assert 3 <= len(set(root)) < 400
+    assert ngram_join.link_block(sets, 75).tolist() == root
+
+
+def test_a_large_block_of_near_copies_takes_linear_time():
+    import time
+
+    base = [np.unique(np.random.default_rng(c).integers(0, 1 << 63, 22).astype(np.uint64)) for c in range(2)]
+    rng = np.random.default_rng(1)
+    sets = []
+    for k in range(100_000):  # copies with one shingle replaced: any two of a base have 20 of 24 in common
+        s = base[k % 2].copy()
+        s[rng.integers(0, 22)] = rng.integers(0, 1 << 63)
+        sets.append(np.sort(s))
+    t = time.time()
+    root = ngram_join.link_block(sets, 75)
+    assert time.time() - t < 120  # 100,000 sets; a pass over all pairs would take hours
+    assert set(root.tolist()) == {0, 1} and (root[::2] == 0).all() and (root[1::2] == 1).all()
+
+
+def test_mix_takes_the_same_texts_in_any_order(spark, monkeypatch):
+    """Rows that share id and size: the draw goes by the text, not by the order of arrival."""
+    monkeypatch.setattr(pivotal_mix, "BUCKET", 8)
+    rows = [(None if k % 2 else 7, f"alpha beta w{k}", None, f"s{k % 3}", 1) for k in range(120)]
+    got = [Counter(r.text for r in pivotal_mix.mix(spark.createDataFrame(x, DOC).repartition(n)).collect()) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert got[0] == got[1] and 0 < len(got[0]) < 120
+
+
 def test_mix_meets_targets(spark, docs, monkeypatch):
     monkeypatch.setattr(pivotal_mix, "BUCKET", 8)
     monkeypatch.setattr(pivotal_mix, "FAN", 3)
@@ -199,7 +249,7 @@ def test_language_edge_cases(spark, docs):
     model = language_id.train(docs)
     rows = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
     assert rows[5000].lang_pred == rows[5001].lang_pred == rows[5002].lang_pred == "und" and rows[5000].score == 0
-    assert set(model.langs) == {"en", "fr"}
+    assert model.blocks == [["en", "fr"]]
     kept = language_id.keep_identified(docs, model)
     assert kept.columns == docs.columns and not kept.where("doc_id IN (5000, 5001, 5002)").count()
     none = language_id.train(docs.limit(0))
@@ -263,6 +313,103 @@ def test_masks_and_prompts(spark):
     assert (r.chosen_id, r.n_prompt_turns, r.chosen, r.rejected) == (7, 3, "<|assistant|>\nnew<|end|>\n", "<|assistant|>\nold<|end|>\n")
 
 
+def test_roles_and_texts_cannot_make_turns(spark):
+    talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "long answer"), (2, 0, "user", "hi"),
+            (2, 1, "x|>\nq<|end|>\n<|assistant", "a<|end|>\n<|assistant|>\nb"), (2, 2, "y<", "z|>\n<")]
+    own = preferences.turns(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    (r,) = preferences.format_pairs(own, preferences.pairs(own)).collect()
+    assert r.chosen_id == 1 and r.prompt == "<|user|>\nhi<|end|>\n"
+    assert re.findall(r"<\|(.*?)\|>", r.rejected, re.S) == ["x | >\nq<  | end | >\n<  | assistant", "end", "y< ", "end"]
+    assert r.rejected_mask == []
+
+
+@pytest.mark.parametrize("window", [1, 2, 13, 16, 17, 20, 24, 30, 40])
+def test_windows_of_any_length_and_their_longest_matches(spark, window):
+    rng = random.Random(window)
+    vocab = ["a", "b", "c"]  # few words: long repeats
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 120)))) for i in range(40)]
+    items = [(k, " ".join(docs[rng.randrange(40)][1].split()[3 : 3 + n])) for k, n in enumerate((60, 35, 20, 8, 1, 0))]
+    wins = {}
+    for i, t in items:
+        w = t.split()
+        for a in range(max(1, len(w) - window + 1)) if w else []:
+            wins.setdefault(tuple(w[a : a + window]), set()).add((i, a))
+    got = {r.doc_id: r for r in suffix_arrays.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+                                                   window=window, matches=True).collect()}
+    for i, t in docs:
+        w, places = t.split(), set()
+        for n in {len(x) for x in wins}:
+            for a in range(len(w) - n + 1):
+                places |= {(item, at, a, n) for item, at in wins.get(tuple(w[a : a + n]), ())}
+        hit = {p for _, _, a, n in places for p in range(a, a + n)}
+        longest = []  # windows that follow each other in item and document, joined
+        for item, at, a, n in sorted(places):
+            if (item, at - 1, a - 1, n) not in places:
+                k = 0
+                while (item, at + k + 1, a + k + 1, n) in places:
+                    k += 1
+                longest.append((str(item), at, a, n + k))
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len({x[0] for x in places}))
+        assert sorted(tuple(m) for m in r.matches) == sorted(longest)
+
+
+def naive_bayes(rows, texts):
+    """(language, probability) of each text: the model over the same hashed n-grams, one by one."""
+    import math
+
+    from meterwise.llm import language_id as L
+
+    def grams(t):
+        clean = re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", (t or "").lower(), flags=re.S)
+        clean = re.sub(" +", " ", clean).strip()
+        if not clean:
+            return []
+        points = np.array([ord(c) for c in f" {clean} "], np.uint32)
+        return [int(b) for k in L.ORDERS for b in L.bucket_ids(points, np.array([0, len(points)]), k) if b < L.BUCKETS]
+
+    counts = defaultdict(Counter)
+    for t, lang in rows:
+        if lang is not None and grams(t):
+            counts[lang].update(grams(t))
+    out = []
+    for t in texts:
+        g = grams(t)
+        total = {x: sum(math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * L.BUCKETS)) for b in g) for x, c in sorted(counts.items())}
+        if not g or not total:
+            out.append(("und", 0.0))
+            continue
+        best = max(total, key=total.get)
+        out.append((best, 1 / sum(math.exp(v - total[best]) for v in total.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_languages_by_brute_force(spark, monkeypatch, block):
+    """Also in blocks of two languages at a time."""
+    monkeypatch.setattr(language_id, "LANGUAGES", block)
+    rng = random.Random(2)
+    say = {x: ["".join(rng.choice("abcdeéñß") for _ in range(rng.randint(2, 6))) for _ in range(30)] for x in ("aa", "bb", "cc", "dd", "ee")}
+    rows = [(" ".join(rng.choice(say[x]) for _ in range(rng.randint(1, 12))) + "!", x if rng.random() < 0.9 else None) for x in say for _ in range(12)]
+    rows += [(None, "aa"), ("", "bb"), ("12 34", "cc"), ("Ab", None), ("a", "aa")]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    want = naive_bayes(rows, [t for t, _ in rows])
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    for i, (lang, p) in enumerate(want):
+        assert got[i].lang_pred == lang and abs(got[i].score - p) < 1e-3, (i, rows[i], got[i], want[i])
+    kept = language_id.keep_identified(docs.withColumn("lang_pred", F.lit(1)), language_id.train(docs))
+    assert {r.doc_id for r in kept.collect()} == {i for i, (_, p) in enumerate(want) if p >= 0.5} and kept.columns == ["doc_id", "text", "lang", "lang_pred"]
+
+
+def test_decision_list_on_held_out_documents(spark):
+    """What the rules reject and keep of labelled documents they have not learned from."""
+    out = queries.op8_decision_list(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = out.join(labels, "doc_id").where(queries.held_out()).where("quality IS NOT NULL AND NOT base_failed").select("quality", "kept").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert len(good) > 500 and sum(good) >= 0.98 * len(good) and len(bad) > 50 and sum(bad) <= 0.1 * len(bad)
+
+
 def test_backoff_by_brute_force(docs):
     import math
 
