@@ -1,10 +1,10 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A text becomes a vector of two families of terms: hashed trigrams of character classes (each
-ASCII punctuation mark is a class of its own), weighted by the square root of their share and
-by inverse document frequency, which is counted over all documents; and shares of word and
-line events (word repeated, word lengths, line repeated, line lengths, size of the text).
-Each family has length one.
+A text becomes a vector of three families of terms: hashed words (A-Z lower-cased) and hashed
+trigrams of character classes (each ASCII punctuation mark is a class of its own), both weighted
+by the square root of their share and by inverse document frequency, which is counted over all
+documents; and shares of word and line events (word repeated, word lengths, line repeated, line
+lengths, size of the text). Each family has the length ``LENGTHS`` gives it.
 
 A bounded sample of labelled documents, at most ``PER_CLASS`` of each label in order of a hash
 of their ids, gives the latent space (the leading singular vectors of their centred vectors)
@@ -31,8 +31,12 @@ from pyspark.sql import functions as F
 from meterwise.llm import words as W
 
 PER_CLASS = 2048
-TERMS = 2048
+SHAPES = 2048
+WORDS = 1024
+TERMS = SHAPES + WORDS
 EVENTS = 64
+#: Lengths of the families: words, shapes, events.
+LENGTHS = (0.5, 1.0, 1.0)
 RANK = 64
 NEIGHBOURS = 32
 BLOCK_BYTES = 1 << 20
@@ -56,17 +60,20 @@ def raw_terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(term counts, event shares) of texts, a row each."""
     n = len(offs) - 1
     terms = np.zeros((n, TERMS), np.float32)
+    shapes = terms[:, WORDS:]
     if len(buf) > 2:
         c = _CLASS[buf]
         t = ((((c[:-2] << 7) | c[1:-1]) << 7 | c[2:]) * np.uint32(2654435761)) >> np.uint32(21)
         ok = W.inside(offs, 3)
         owner = np.repeat(np.arange(n), np.diff(offs))[:-2]
-        terms = np.bincount(owner[ok] * TERMS + t[ok], minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
+        shapes[:] = np.bincount(owner[ok] * SHAPES + t[ok], minlength=n * SHAPES).reshape(n, SHAPES)
     events = np.zeros((n, EVENTS), np.float32)
     starts, ends, first = W.split_words(buf, offs, W.NON_SPACE)
     h = W.word_hashes(buf, starts, ends)
     size = np.diff(first)
     owner = np.repeat(np.arange(n), size)
+    small = W.word_hashes(W.LOWER[buf], starts, ends) >> np.uint64(64 - WORDS.bit_length() + 1)
+    terms[:, :WORDS] = np.bincount(owner * WORDS + small.astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
     for gap, at in ((1, 0), (2, 2)):  # equal to the last word, to the one before
         if len(h) > gap:
             same = (h[gap:] == h[:-gap]) & (owner[gap:] == owner[:-gap])
@@ -89,10 +96,19 @@ def raw_terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def vectors(buf: np.ndarray, offs: np.ndarray, idf: np.ndarray) -> np.ndarray:
     terms, events = raw_terms(buf, offs)
-    terms = np.sqrt(terms / np.maximum(terms.sum(1, keepdims=True), 1)) * idf
-    for x in (terms, events):
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return np.concatenate([terms, events], axis=1, dtype=np.float32)
+    families = [np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1)) * w for x, w in ((terms[:, :WORDS], idf[:WORDS]), (terms[:, WORDS:], idf[WORDS:]))] + [events]
+    for x, length in zip(families, LENGTHS, strict=True):
+        x *= length / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return np.concatenate(families, axis=1, dtype=np.float32)
+
+
+def leading(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors of ``x`` (columns), by subspace iteration from a fixed start."""
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(rank + 16, x.shape[1])))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v.T)[:, :rank]
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +135,7 @@ class Model:
         self.idf, self.label, self.weight = idf, label.astype(np.float32), weight.astype(np.float32)
         self.mean = x.mean(0) if len(x) else np.zeros(TERMS + EVENTS, np.float32)
         x = x - self.mean
-        _, vec = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.basis = np.ascontiguousarray(vec[:, ::-1][:, :RANK]).astype(np.float32)
+        self.basis = np.ascontiguousarray(leading(x.astype(np.float64), RANK)).astype(np.float32)
         self.points = self.project(x)
 
     def project(self, centred: np.ndarray) -> np.ndarray:

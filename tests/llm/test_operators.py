@@ -263,6 +263,38 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_votes_by_brute_force(spark):
+    """The score of every document from all its cosines, one by one."""
+    rng = random.Random(6)
+    say = lambda ws: " ".join(rng.choice(ws) for _ in range(rng.randint(1, 40)))
+    rows = [(i, say(["alpha", "beta", "delta"]) if i % 3 else say(["###", "BUY", "9$9"])) for i in range(200)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    model = knn_quality.train(docs, labels, per_class=40)
+    assert len(model.points) == 70 and (model.weight[model.label == 1] == 1.5).all() and (model.weight[model.label == 0] == 1.0).all()
+    got = {r.doc_id: r.score for r in knn_quality.predict(docs, model).collect()}
+    for i, t in rows:
+        v = knn_quality.vectors(*W.text_bytes(pa.array([t], pa.string())), model.idf)[0].astype(float) - model.mean
+        p = v @ model.basis
+        p /= max(float(np.sqrt((p * p).sum())), 1e-9)
+        cosines = sorted(((float(sum(a * b for a, b in zip(p, q, strict=True))), k) for k, q in enumerate(model.points)), reverse=True)[: knn_quality.NEIGHBOURS]
+        votes = [(max(c, 1e-6) * float(model.weight[k]), float(model.label[k])) for c, k in cosines]
+        assert abs(got[i] - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-3, i
+
+
+def test_quality_tells_words_apart_that_have_one_shape():
+    a, b, c = (knn_quality.vectors(*W.text_bytes(pa.array([t])), np.ones(knn_quality.TERMS, np.float32))[0] for t in ("cat dog sun", "fox hen sky", "CAT dog sun"))
+    words = slice(0, knn_quality.WORDS)
+    assert np.allclose(a[knn_quality.WORDS :], b[knn_quality.WORDS :]) and not np.allclose(a[words], b[words]) and np.allclose(a[words], c[words])
+
+
+def test_leading_vectors_span_those_of_the_full_decomposition():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8)) @ rng.standard_normal((8, 120)) + 0.01 * rng.standard_normal((300, 120))
+    full = np.linalg.svd(x, full_matrices=False)[2][:8].T
+    assert np.allclose(np.linalg.svd(full.T @ knn_quality.leading(x, 8))[1], 1, atol=1e-6)
+
+
 def test_quality_edge_cases(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, None, 1), (5003, 1, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")
     model = knn_quality.train(docs, labels)
