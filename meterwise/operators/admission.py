@@ -26,6 +26,7 @@ from meterwise.operators.usage import window_counts
 from meterwise.sources.lifecycle import ledger_append
 from meterwise.sources.tables import materialized
 
+# Fixed value: the header form that the service accepts.
 BEARER = r"(?i)^Bearer\s+(\S+)$"
 
 

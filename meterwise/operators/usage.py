@@ -221,15 +221,16 @@ def running_balance(entries: DataFrame) -> DataFrame:
 
     A distributed prefix sum: the running sum inside each (account, UTC day) plus the
     account's total of all earlier days (a window over one row per account and day).
-    A busy account's history is split into day-sized sorts instead of one.
+    A busy account's history is split into day-sized sorts instead of one. A day's total is the
+    running sum of its last entry, so both come from one exchange of the entries.
     """
     day = F.floor(F.unix_micros("entry_at") / F.lit(MICROS_24H)).alias("_day")
-    e = entries.select("*", day)
-    totals = e.groupBy("account_id", "_day").agg(F.sum("delta_micros").alias("_tot"))
+    w = Window.partitionBy("account_id", "_day").orderBy("entry_at", "entry_rank", "entry_id", "delta_micros")
+    within = entries.select("*", day).select(
+        "account_id", "_day", "entry_id", "entry_at", "delta_micros", F.sum("delta_micros").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run"),
+        F.lead(F.lit(True)).over(w).alias("_more"))
+    totals = within.filter("_more IS NULL").select("account_id", "_day", F.col("_run").alias("_tot"))
     before = Window.partitionBy("account_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("account_id", "_day", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_offset"))
-    w = (Window.partitionBy("account_id", "_day").orderBy("entry_at", "entry_rank", "entry_id", "delta_micros")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    within = e.select("account_id", "_day", "entry_id", "entry_at", "delta_micros", F.sum("delta_micros").over(w).alias("_run"))
-    j = within.join(offsets, ["account_id", "_day"], "inner")
+    j = within.drop("_more").join(offsets, ["account_id", "_day"], "inner")
     return j.select("account_id", "entry_id", "entry_at", "delta_micros", (F.col("_run") + F.col("_offset")).cast("long").alias("balance_micros"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -101,6 +103,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every executor can reach")
     scratch = tempfile.mkdtemp(prefix="meterwise-ckpt-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch

@@ -115,3 +115,12 @@ def test_prices_are_met_by_service_and_day(spark):
     assert got == {i: (i * 37) // 420 if (i * 37) // 420 < 200 else 199 for i in range(3000)} | {-1: None, -2: None, -3: None}
     keys = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
     assert any("service" in x and "_day" in x for x in keys)
+
+
+def test_running_balance_reads_its_entries_once(spark, fx):
+    """The day totals come from the exchange of the entries that the running sums come from."""
+    out = REGISTRY["running_balance"].build(fx)
+    out.count()
+    out.collect()
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in p or "ReusedQueryStage" in p or p.split("Initial Plan")[0].count("lineitem.parquet") <= 1, p
