@@ -56,7 +56,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 # whole runs of the class: a shorter run can't be part of a longer one
 HEX = re.compile("[0-9a-f]{%d,}" % MIN_LENGTH["hex"])
 RUN = re.compile(TOKEN + "{%d,}" % MIN_TOKEN)
-_MIXED = re.compile("[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -77,7 +77,7 @@ def tokens(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int,
         else:
             clear.append([s, e])
     for m in RUN.finditer(text):
-        if not _MIXED.search(m[0]):
+        if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
             continue
         while k < len(clear) and clear[k][1] <= m.start():
             k += 1
