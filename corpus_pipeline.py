@@ -27,9 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that repeat an earlier line, and documents that lose all their words so. Of
-    repeated rows the first keeps its lines; null and wordless texts have no line to lose and stay;
-    lines of any length are read whole."""
+    """Drops lines that repeat an earlier line, and documents that lose all their words so. Equal rows
+    (id and text) are one document and lose the same lines; null and wordless texts have no line to
+    lose and stay; ``n_chars`` is brought up to date; lines of any length are read whole."""
     return line_dedup.clean(docs)
 
 
