@@ -188,3 +188,38 @@ def test_scorer_is_made_once_and_called_once_a_batch(spark, tmp_path):
     assert [(r.request_id, r.idx, r.failure) for r in out if r.failure] == [(9, None, "RuntimeError: no model")]
     answers = {r.request_id: (r.upstream_status, r.answer is None) for r in MO.score_answers_of(MO.score_batches(batches, factory)).collect()}
     assert answers[9] == (500, True) and answers[0] == (200, False)
+
+
+@pytest.mark.parametrize("max_ids", [0, 1_000_000])
+def test_batches_of_any_size_append_alike(spark, max_ids):
+    """The ids of a large batch meet the ledger by a shuffle: the same rows."""
+    ledger = spark.range(0, 1000, 3).withColumn("created_at", F.lit(DAY))
+    batch = spark.range(0, 500).unionByName(spark.range(0, 50)).withColumn("created_at", F.lit(DAY))
+    got = sorted(r.id for r in LC.ledger_append(ledger, batch, max_ids).collect())
+    assert got == [i for i in range(500) if i % 3]
+
+
+def test_a_failed_call_leaves_no_ledger_row(spark, fx):
+    """From text to ledger with a scorer that fails on some texts: those requests have no verdict and no
+    row, all others the same as without a failure."""
+    from meterwise.operators import admission as AD
+
+    requests = fx.moderation_requests
+    facts = MO.request_validation(requests, keep=("authorization", "at", "text"))
+    parts = (fx.api_keys, fx.usage_events, fx.balances, fx.service_prices, fx.model_costs, fx.p.service, fx.p.model, fx.p.as_of)
+
+    def factory():
+        inner = MO.lexicon_scorer()
+
+        def score(items, max_tokens):
+            if sum(map(len, items)) % 2:
+                raise TimeoutError("no answer")
+            return inner(items, max_tokens)
+
+        return score
+
+    verdicts, rows = AD.text_to_ledger(facts, facts, *parts)
+    some, fewer = AD.text_to_ledger(facts, facts, *parts, scorer=factory)
+    whole, left = {r.id: r for r in rows.collect()}, {r.id: r for r in fewer.collect()}
+    assert 0 < len(left) < len(whole) and all(whole[i] == r for i, r in left.items())
+    assert {r.request_id for r in some.select("request_id").distinct().collect()} < {r.request_id for r in verdicts.select("request_id").distinct().collect()}
