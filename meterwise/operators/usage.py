@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from meterwise.config import DAILY_REQUEST_LIMIT, MICROS_24H
 from meterwise.operators.pricing import price_micros_tokens
 
+#: Granularities of which each lies within the one before it (weeks lie in no month).
+NESTED = ("year", "quarter", "month", "day", "hour")
+
 
 def _ts(dt: datetime) -> Column:
     return F.lit(dt).cast("timestamp")
@@ -162,14 +165,21 @@ def series_sums(series: DataFrame, value: str = "value") -> DataFrame:
 
 
 def usage_rollup(usage: DataFrame, granularities=("hour", "day", "month")) -> DataFrame:
-    """The same measures per account at several time granularities, hours and longer. The
-    ledger is summed by hour first; only the hours are then repeated per granularity."""
-    hours = usage.groupBy("account_id", F.date_trunc("hour", "created_at").alias("hour")).agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("units").alias("units"), F.sum("price_micros").alias("micros"))
-    g = F.explode(F.array(*[F.lit(x) for x in granularities])).alias("granularity")
-    return hours.select("*", g).groupBy("account_id", "granularity", F.expr("date_trunc(granularity, hour)").alias("bucket")).agg(
-        F.sum("requests").cast("int").alias("requests"), F.sum("units").cast("long").alias("units"),
-        F.sum("micros").cast("long").alias("spent_micros"))
+    """The same measures per account at several time granularities, hours and longer. The ledger
+    is shuffled by account and the longest granularity and sorted once there, with running sums per
+    granularity: the last call of an hour, of a day and so on gives its row. So a task holds its
+    calls once, in a sort that spills, in place of hash tables of the hours and of a copy per granularity."""
+    nested = [g for g in NESTED if g in granularities]
+    out = usage.select("account_id", "units", "price_micros", *[F.date_trunc(g, "created_at").alias(f"_{g}") for g in granularities])
+    for g in (*nested, *(g for g in granularities if g not in nested)):
+        own, shorter = (nested[: nested.index(g) + 1], nested[nested.index(g) + 1 :]) if g in nested else ([g], [])
+        w = Window.partitionBy("account_id", *[f"_{x}" for x in own]).orderBy(*[f"_{x}" for x in shorter], "price_micros")
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        row = F.struct(F.lit(g).alias("granularity"), F.col(f"_{g}").alias("bucket"), F.count(F.lit(1)).over(run).cast("int").alias("requests"),
+                       F.sum("units").over(run).cast("long").alias("units"), F.sum("price_micros").over(run).cast("long").alias("spent_micros"))
+        out = out.select("*", F.when(F.lead(F.lit(True)).over(w).isNull(), row).alias(f"_row_{g}"))
+    rows = out.select("account_id", F.explode(F.array(*[F.col(f"_row_{g}") for g in granularities])).alias("r"))
+    return rows.filter("r IS NOT NULL").select("account_id", "r.*")
 
 
 def rolling_24h(usage: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ exactly 24 h apart and ties in time. The day-split windows (T6, T7) and the wall
 partial aggregation must give the same answers as a plain-Python pass over each account."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,18 @@ def test_a_hot_account_is_folded_in_several_tasks(spark):
     segs = AD.segmented(fold_rows(spark)).filter(F.col("account_id") == HOT)
     sizes = {r.seg: r["count"] for r in segs.groupBy("seg").count().collect()}
     assert len(sizes) >= 8 and max(sizes.values()) < 400
+
+
+def test_usage_rollup_holds_its_calls_once(spark):
+    """One shuffle and one sort, no hash table of hours times granularities; weeks do not nest in months."""
+    start = datetime(2024, 1, 29, 22)
+    calls = [(a, n, 10 * n if n else None, start + timedelta(minutes=7 * n * a)) for a in (1, 2, 3) for n in range(400)]
+    calls += [(None, 5, 1, start), (1, None, None, None), (1, None, 3, None), (2, 4, 4, start), (2, 4, 4, start)]
+    usage = spark.createDataFrame(calls, "account_id long, units int, price_micros long, created_at timestamp")
+    plan = U.usage_rollup(usage)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    for grains in (("hour", "day", "month"), ("month", "week", "day"), ("day",)):
+        got = sorted(map(tuple, U.usage_rollup(usage, grains).collect()), key=str)
+        want = [tuple(r) for g in grains for r in usage.groupBy("account_id", F.lit(g), F.date_trunc(g, "created_at")).agg(
+            F.count(F.lit(1)).cast("int"), F.sum("units").cast("long"), F.sum("price_micros").cast("long")).collect()]
+        assert got == sorted(want, key=str)
