@@ -40,6 +40,8 @@ MIN_CHARS = 20
 MAX_EDITS = 1
 HOT = 64
 LEVELS = 4
+#: ASCII white space: a line's own, outside of it, is not compared.
+SPACES = " \t\n\x0b\f\r"
 #: Candidate lines whose hashes (8 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -86,7 +88,7 @@ def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     """(i, k, pos, line, n, h, g): every line of at least ``shortest`` characters with its
     document's id and key, its length and two hashes."""
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("i"), _document_key().alias("k"), F.posexplode(F.split("text", "\n")).alias("pos", "whole"))
-    line = F.regexp_replace("whole", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    line = F.btrim("whole", F.lit(SPACES))
     return rows.select("i", "k", "pos", line.alias("line")).withColumn("n", F.length("line")).where(F.col("n") >= shortest).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("g"), "line"))
 
 

@@ -80,3 +80,12 @@ def test_short_lines_go_as_exact_repeats_only(spark):
     out = {r.row.doc_id: r for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: r.row.text for k, r in out.items()} == {1: rows[0][1], 2: "Read mose\n\nsecond words", 3: "", 4: "a\n\n", 5: "\n \n"}
     assert {k: (r.n_exact, r.n_near, r.whole) for k, r in out.items()} == {1: (0, 0, False), 2: (1, 0, False), 3: (2, 0, True), 4: (1, 0, False), 5: (0, 0, False)}
+
+
+def test_lines_lose_their_outer_white_space_without_a_regular_expression(spark):
+    """A search for the end of a line from every blank in it took a third of the run's time."""
+    texts = [" \t\n\x0b\f\r", "a b  c ", "\x0b x\ty \f", " z ", "", "\x00 q", "\x1f w \x1c", " \U0001f600 é\r\n\r"]
+    lines = L._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0)
+    want = sorted((i, p, re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x)) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n")))
+    assert sorted((r.i, r.pos, r.line) for r in lines.select("i", "pos", "line").collect()) == want
+    assert "regexp" not in lines._jdf.queryExecution().optimizedPlan().toString()
