@@ -58,11 +58,11 @@ def _key(line: Column, length: Column, segments: int, left_out: tuple[int, ...],
     return F.xxhash64(F.lit(segments), F.lit(",".join(map(str, left_out))), length, *parts)
 
 
-def keys(line: Column, length: Column, segments: int, edits: int) -> tuple[list[Column], list[Column]]:
-    """(index keys, further probes) of a line."""
+def _splits(segments: int, edits: int) -> tuple[list[tuple], list[tuple]]:
+    """(segments left out, shift after each of them) of the index keys, and of the further probes."""
     index, probes, seen = [], [], set()
     for out in combinations(range(segments), edits):
-        index.append(_key(line, length, segments, out, (0,) * edits))
+        index.append((out, (0,) * edits))
         for shifts in product(range(-edits, edits + 1), repeat=edits):
             shorter = sum(shifts)
             if 0 <= shorter and sum(map(abs, shifts)) <= edits and any(shifts):
@@ -76,10 +76,16 @@ def keys(line: Column, length: Column, segments: int, edits: int) -> tuple[list[
                 if (shorter, tuple(kept)) in seen or (shorter == 0 and not any(s for _, s in kept)):
                     continue
                 seen.add((shorter, tuple(kept)))
-                probes.append(_key(line, length - F.lit(shorter), segments, out, shifts))
+                probes.append((out, shifts))
     return index, probes
 
 
+def keys(line: Column, length: Column, segments: int, edits: int) -> tuple[list[Column], list[Column]]:
+    """(index keys, further probes) of a line, a column each: for few segments."""
+    index, probes = _splits(segments, edits)
+    return [_key(line, length, segments, out, shifts) for out, shifts in index], [_key(line, length - F.lit(sum(shifts)), segments, out, shifts) for out, shifts in probes]
+
+
 def _document_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.col("text"))
 
@@ -93,10 +99,20 @@ def _lines(docs: DataFrame, shortest: int) -> DataFrame:
 
 
 def _keyed(lines: DataFrame, segments: int, edits: int) -> DataFrame:
-    """(key, index, h) of distinct lines."""
-    index, probes = keys(F.col("line"), F.col("n"), segments, edits)
-    each = [F.struct(k.alias("key"), F.lit(j < len(index)).alias("index")) for j, k in enumerate([*index, *probes])]
-    return lines.select("h", F.explode(F.array(*each)).alias("e")).select("e.key", "e.index", "h")
+    """(key, index, h) of distinct lines: the keys of ``keys`` as rows, one expression for any number
+    of segments (the driver plans and compiles an expression per key otherwise)."""
+    index, probes = _splits(segments, edits)
+    splits = F.from_json(F.lit(str([[*out, *shifts] for out, shifts in [*index, *probes]])), "array<array<int>>")
+    rows = lines.select("h", "line", "n", F.explode(splits).alias("split"))
+    out, shifts = ([F.get("split", F.lit(e)) for e in range(at, at + edits)] for at in (0, edits))
+    length = F.col("n") - sum(shifts, F.lit(0))
+    parts, first, shift = [], F.lit(0), F.lit(0)
+    for k, move in zip((*out, F.lit(segments)), (*shifts, F.lit(0)), strict=True):  # the kept segments before each left-out one
+        a, b = (F.floor(length * x / F.lit(segments)).cast("int") for x in (first, k))
+        parts.append(F.substring(F.col("line"), a + 1 + shift, b - a))
+        first, shift = k + 1, shift + move
+    unmoved = F.forall(F.slice("split", edits + 1, edits), lambda move: move == 0)
+    return rows.select(F.xxhash64(*out, length, *parts).alias("key"), unmoved.alias("index"), "h")
 
 
 def _pairs(keyed: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:

@@ -89,3 +89,24 @@ def test_lines_lose_their_outer_white_space_without_a_regular_expression(spark):
     want = sorted((i, p, re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x)) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n")))
     assert sorted((r.i, r.pos, r.line) for r in lines.select("i", "pos", "line").collect()) == want
     assert "regexp" not in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("edits", "segments"), [(1, 8), (2, 6)])
+def test_refined_keys_are_rows_of_one_expression(spark, edits, segments):
+    """An expression per key took the driver's memory: 64 of them where lines are cut into 32 segments."""
+    rng = random.Random(edits)
+    texts = {"".join(rng.choice("ab") for _ in range(rng.randint(4, 12))) for _ in range(200)}
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(sorted(texts))], "h long, line string, n int")
+
+    def met(keyed):
+        a, b = keyed.where("index").select("key", F.col("h").alias("a")), keyed.select("key", F.col("h").alias("b"))
+        return {(r.a, r.b) for r in a.join(b, "key").where("a <> b").distinct().collect()}
+
+    index, probes = L.keys(F.col("line"), F.col("n"), segments, edits)
+    each = [F.struct(k.alias("key"), F.lit(j < len(index)).alias("index")) for j, k in enumerate([*index, *probes])]
+    plain = lines.select("h", F.explode(F.array(*each)).alias("e")).select("e.key", "e.index", "h")
+    rows = L._keyed(lines, segments, edits)
+    assert met(rows) == met(plain) != set()
+    assert rows.count() == plain.count() and rows.where("index").count() == plain.where("index").count()
+    plan = L._keyed(lines, 128, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and "from_json" not in plan
